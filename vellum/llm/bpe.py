@@ -27,7 +27,7 @@ from vellum.llm.arrowtext import mixed, span_hashes, text_slices
 from vellum.llm.pretokens import pretoken_spans
 
 #: Encodings of missed pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Keys of a bucket of the perfect hash, on average.
 BUCKET = 4
 
@@ -107,9 +107,9 @@ class ByteBpe:
         self.row_of_id = np.full(int(self.ids.max(initial=0)) + 1, -1, np.int64)
         self.row_of_id[self.ids] = np.arange(len(tokens))
         self.key_hashes = hashes
-        self.missed: dict[bytes, np.ndarray] = {}
+        self.missed: dict[bytes, bytes] = {}
 
-    def merged(self, word: bytes) -> np.ndarray:
+    def merged(self, word: bytes) -> list[int]:
         """Ids of a pre-token that is no entry: a heap of merges over linked bytes."""
         ranks, n = self.ranks, len(word)
         before, after, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
@@ -133,7 +133,7 @@ class ByteBpe:
         while i < n:
             out.append(ranks[word[i : end[i]]])
             i = after[i]
-        return np.array(out, np.uint32)
+        return out
 
     def encoded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice's texts back to back, and where each text's begin."""
@@ -155,21 +155,21 @@ class ByteBpe:
         raw, pieces = data.tobytes(), []
         if len(self.missed) > REMEMBERED:
             self.missed.clear()
-        for i in misses.tolist():
-            word = raw[starts[i] : ends[i]]
+        for a, b in zip(starts[misses].tolist(), ends[misses].tolist()):
+            word = raw[a:b]
             ids = self.missed.get(word)
             if ids is None:
-                ids = self.merged(word)
+                ids = np.array(self.merged(word), np.uint32).tobytes()
                 if len(word) <= 64:
                     self.missed[word] = ids
             pieces.append(ids)
-        counts[misses] = [len(p) for p in pieces]
+        counts[misses] = [len(p) >> 2 for p in pieces]
         places = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.uint32)
         out[places[hit]] = self.ids[rows[hit]]
         if pieces:
             own = counts[misses]
-            out[np.repeat(places[misses] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] = np.concatenate(pieces)
+            out[np.repeat(places[misses] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))] = np.frombuffer(b"".join(pieces), np.uint32)
         return out, np.append(places, len(out))[firsts]
 
     def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

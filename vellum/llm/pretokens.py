@@ -93,6 +93,18 @@ def transitions() -> np.ndarray:
     return table
 
 
+@functools.cache
+def begins_here() -> np.ndarray:
+    """Whether a pre-token begins at the character read, by place in the table of transitions."""
+    return (transitions() & HERE) > 0
+
+
+@functools.cache
+def began_before() -> np.ndarray:
+    """Whether a pre-token began one character earlier, by place in the table of transitions."""
+    return (transitions() & BEFORE) > 0
+
+
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the byte that each begins at."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
@@ -110,19 +122,21 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def state_maps(classes: np.ndarray) -> np.ndarray:
     """Exit state of each chunk for each entry state; ``classes`` has a row for each step."""
-    table = transitions() & 15
-    maps = np.tile(np.arange(STATES, dtype=np.uint8), (classes.shape[1], 1))
+    table = (transitions() & 15) << 4  # states times 16, so that adding a class gives the place in the table
+    maps = np.tile(np.arange(STATES, dtype=np.uint8) << 4, (classes.shape[1], 1))
     settle = min(SETTLE, len(classes))
     for kinds in classes[:settle]:
-        maps = table[maps.astype(np.intp) * 16 + kinds[:, None]]
+        maps = table[maps + kinds[:, None]]
     settled = (maps == maps[:, :1]).all(axis=1)
     one, rest = maps[settled, 0], maps[~settled]
     left, right = classes[settle:, settled], classes[settle:, ~settled]
-    for a, b in zip(left, right):
-        one = table[one.astype(np.intp) * 16 + a]
-        rest = table[rest.astype(np.intp) * 16 + b[:, None]]
+    for kinds in left:
+        one = table[one + kinds]
+    if len(rest):
+        for kinds in right:
+            rest = table[rest + kinds[:, None]]
     maps[settled], maps[~settled] = one[:, None], rest
-    return maps
+    return maps >> 4
 
 
 def scanned(maps: np.ndarray) -> np.ndarray:
@@ -154,18 +168,20 @@ def pretoken_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | N
     texts = np.flatnonzero(offsets[:-1] < offsets[1:])
     firsts = np.searchsorted(at, offsets[texts])
     stream = np.insert(kinds, firsts, BREAK)
-    place = np.arange(len(at)) + np.searchsorted(firsts, np.arange(len(at)), side="right")
+    is_text = np.ones(len(stream), bool)
+    is_text[firsts + np.arange(len(firsts))] = False
     padded = np.full(-(-(len(stream) + 1) // CHUNK) * CHUNK, 12, np.uint8)
     padded[: len(stream)] = stream
     steps = np.ascontiguousarray(padded.reshape(-1, CHUNK).T)
     state = scanned(state_maps(steps))
-    table, marks = transitions(), np.empty_like(steps)
+    table, places = (transitions() & 15) << 4, np.empty_like(steps)
+    state <<= 4
     for i, row in enumerate(steps):
-        out = table[state.astype(np.intp) * 16 + row]
-        marks[i], state = out & 48, out & 15
-    marks = np.ascontiguousarray(marks.T).reshape(-1)
-    begins = (marks & HERE) > 0
-    begins[:-1] |= (marks[1:] & BEFORE) > 0
-    starts = at[np.flatnonzero(begins[place])]
+        places[i] = state + row
+        state = table[places[i]]
+    places = np.ascontiguousarray(places.T).reshape(-1)
+    begins = begins_here()[places]
+    begins[:-1] |= began_before()[places[1:]]
+    starts = at[begins[: len(stream)][is_text]]
     ends = np.append(starts[1:], n)
     return starts, ends, np.searchsorted(starts, offsets)

@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from vellum.llm.arrowtext import span_hashes, text_slices
 from vellum.llm.pretokens import pretoken_spans
 
 #: States that a worker keeps before it compiles anew, and the longest path whose states it keeps.
-KEPT_STATES = 1_500_000
+KEPT_STATES = 800_000
 KEPT_LENGTH = 64
 #: Counts by pre-token that a worker keeps before it starts anew.
 KEPT_WORDS = 1_000_000
@@ -56,7 +57,7 @@ class WordTransducer:
         self.reset()
 
     def reset(self) -> None:
-        self.next: dict[tuple[int, int], tuple[int, int]] = {}
+        self.next: dict[int, int] = {}  # by 256 * state + byte: 1024 * next state + tokens emitted + 512
         self.last: list[bytes] = [b""]
 
     def valid(self, left: bytes, right: bytes) -> bool:
@@ -97,18 +98,21 @@ class WordTransducer:
         state = total = 0
         last, counts = [b""], [0]
         kept = len(word) <= KEPT_LENGTH
+        known, tokens = self.next, self.last
         for i, byte in enumerate(word):
-            step = self.next.get((state, byte)) if kept else None
+            step = known.get(state * 256 + byte) if kept else None
             if step is None:
                 token = self.last_token(word, i + 1, last)
                 emitted = counts[i + 1 - len(token)] + 1 - total
-                step = (len(self.last), emitted)
                 if kept:
-                    self.last.append(token)
-                    self.next[state, byte] = step
+                    known[state * 256 + byte] = len(tokens) * 1024 + emitted + 512
+                    state = len(tokens)
+                    tokens.append(token)
+                total += emitted
             else:
-                token = self.last[step[0]]
-            state, total = step[0], total + step[1]
+                state = step >> 10
+                token = tokens[state]
+                total += (step & 1023) - 512
             last.append(token)
             counts.append(total)
         return total
@@ -159,16 +163,15 @@ class TokenCounter:
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64)
         hashes = span_hashes(data, starts, ends, lower=False)
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
-        known, counts = self.known, np.empty(len(distinct), np.int64)
-        for i, (key, k) in enumerate(zip(distinct.tolist(), at.tolist())):
-            n = known.get(key)
+        known, keys = self.known, hashes.tolist()
+        counts = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+        for i in np.flatnonzero(counts < 0).tolist():
+            n = known.get(keys[i])
             if n is None:
-                n = known[key] = self.words.count(raw[starts[k] : ends[k]])
+                n = known[keys[i]] = self.words.count(raw[starts[i] : ends[i]])
             counts[i] = n
-        counts = counts[which]
         for a, b in special:  # one token for all of its characters
             inside = slice(*np.searchsorted(starts, [a, b]))
             counts[inside] = 0
