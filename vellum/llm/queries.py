@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, token_counts
+from vellum.llm import bpe, language_id, near_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the rows that are not held out."""
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text: number and digest of the ids, digest of the bytes decoded from them."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -23,7 +28,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op7_bpe": op7_bpe, "op8_token_counts": op8_token_counts}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents and the document that each keeps."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op7_bpe": op7_bpe,
+    "op8_token_counts": op8_token_counts,
+    "op10_near_dedup": op10_near_dedup,
+}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
