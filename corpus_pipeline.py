@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import public_tokenizers
-from vellum.llm import bpe
+from vellum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
 from vellum.llm.store import stored
 
-Rows = DataFrame
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is one of those learned from the labelled ones; the rejected go."""
+    return language_id.accepted(docs, language_id.fit(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the later repeats of runs of lines; documents of which nothing is left go."""
+    cut = line_dedup.dedup_lines(docs, removed_column="__removed")
+    cut = cut.where("__removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).drop("__removed")
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.without_copies(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def encode(spark: SparkSession, docs: Rows, sf_dir: str) -> Rows:
-    """Byte-level BPE of what is kept: number and digest of ids, digest of the decoded text."""
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of what is kept: number and digest of the ids, digest of the decoded text."""
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("byte-level BPE", encode)]
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("near dedup", dedup_documents),
+    ("decontamination", decontaminate_benchmark),
+    ("byte-level BPE", encode),
+]
 
-#: SQL cannot express the stages (learned models, BPE merges): the tests compare with brute force.
+#: SQL cannot express a learned model, minima of hashes or BPE merges: the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -230,6 +230,21 @@ def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id", te
     return columns.mapInArrow(batches, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_column)
 
 
+def accepted(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text the model rejects; all columns stay."""
+    at = docs.columns.index(text_column)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keep = np.zeros(batch.num_rows, bool)
+            for row, end, data, offsets in text_slices(batch.column(at)):
+                if model is not None:
+                    keep[row:end] = has_letter(data, offsets) & ~model.predicted(data, offsets)[2]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(batches, docs.schema)
+
+
 def held_out(id_column: str = "doc_id"):
     """Whether a row is kept from training: the CRC of its id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 3 == 1, F.lit(False))

@@ -179,3 +179,9 @@ def _texts_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents in ``pairs``."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     return ids.join(named, "id", "left_semi")
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: the one of smallest id. All columns stay."""
+    dropped = near_duplicates(docs, id_column, text_column).where("not kept").select(F.col(id_column).alias("__copy")).distinct()
+    return docs.join(dropped, docs[id_column] == F.col("__copy"), "left_anti")
