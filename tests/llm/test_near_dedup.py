@@ -40,8 +40,11 @@ def variants(rng, words, n, edits):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_as_by_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, small", [(1, 32), (2, 1)])
+def test_components_as_by_brute_force(spark, seed, small, monkeypatch):
+    monkeypatch.setattr(N, "SMALL_BAND", small)  # 1: all in blocks
+    monkeypatch.setattr(N, "BLOCK_OUTSIDE", 3)
+    monkeypatch.setattr(N, "BLOCK_OTHERS", 7)
     rng = random.Random(seed)
     words = ["w%d" % i for i in range(400)]
     texts = [None, "", " \n\t", "One", "one", "a b", "A  b", "x " * 3000]
@@ -51,7 +54,7 @@ def test_components_as_by_brute_force(spark, seed):
     for i in range(30):  # neighbours are alike, the ends are not
         chain[2 * i] = "z%d" % i
         texts.append(" ".join(chain))
-    texts += [texts[20]] * 40
+    texts += [texts[20]] * 40 + variants(rng, words, 120, 40)
     rng.shuffle(texts)
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "n", "b") for i, t in rows], "doc_id long, text string, n string, bands string").repartition(5)

@@ -8,8 +8,8 @@ Window and item share one of ``HASHES`` minima with probability over 1 - 0.83**6
 minima of block pairs come from minima of blocks, and blocks of one partition from those of the
 partition below, so that each shingle is hashed ``HASHES`` times in all.
 
-A document gives away only minima that some item may have: a Bloom filter of at most ``FILTER_BITS``
-bits (a fixed bound; false hits are settled by the join) goes with the tasks. Candidates are
+A document gives away only minima that some item may have: a Bloom filter of bounded size (false
+hits are settled by the join) goes with the tasks. Candidates are
 confirmed by exact containment: the share of the item's shingles that are shingles of the document.
 
 Shingles are compared by 64-bit hashes. Null texts, and items without words, take part in nothing;
@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import mixed, text_slices, texts_shingles
+from vellum.llm.filters import KeyFilter, filter_of
 from vellum.llm.store import stored
 
 HASHES = 64
 #: Share of an item's shingles, in hundredths, that a document with the item has at least.
 CONTAINED = 75
-#: Bits of a Bloom filter for each key that it holds, and at most.
-BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
 
 _random = np.random.default_rng(2)
 _FACTORS = _random.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,31 +87,6 @@ def window_keys(shingles: np.ndarray, firsts: np.ndarray, partitions: list[int])
         yield np.concatenate([owner[pair], owner[alone]]), keys_of(both, partition)
 
 
-class KeyFilter:
-    """A Bloom filter of two bits a key, as 64-bit words."""
-
-    def __init__(self, bits: int):
-        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        mask = np.uint64(self.bits - 1)
-        a, b = keys & mask, (keys >> np.uint64(32)) & mask
-        bit = lambda x: (self.words[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
-        return (bit(a) & bit(b)).astype(bool)
-
-
-def filter_of(keys: DataFrame, column: str) -> KeyFilter:
-    """A filter of a column of longs, made of bits that are set by SQL; its words are what reaches the driver."""
-    n = keys.count()
-    bits = min(FILTER_BITS, max(1 << 16, 1 << (n * BITS_PER_KEY - 1).bit_length()))
-    place = F.explode(F.array(F.col(column).bitwiseAND(bits - 1), F.shiftrightunsigned(F.col(column), 32).bitwiseAND(bits - 1)))
-    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("set"))
-    found = words.toArrow()
-    out = KeyFilter(bits)
-    out.words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
-    return out
-
-
 def item_keys(items: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, size, partition, shingles, keys) of the items that have words."""
 

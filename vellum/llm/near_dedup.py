@@ -3,13 +3,15 @@
 1. Each text's set of distinct 5-word shingles gives 128 minima; four at a time they are the keys of
    32 bands, and their low two bits, packed into longs, the signature.
 2. Equal sets are one class, whose smallest id stands for all of its members.
-3. Documents that share a band are candidates. A band's members are first held against its smallest
-   id only. What is then still in different components of the same band is held against each other
-   within a join whose condition is the similarity that the packed bits give: equal low bits are
-   counted with bit operations and corrected for the share that is equal by chance.
-4. Candidates whose estimate is within ``MARGIN`` of the threshold are confirmed on the full sets:
-   texts of pairs travel to the tasks of their first member, in salted groups of bounded size, and
-   are read there as a stream.
+3. Documents that share a band are candidates. A candidate pair's similarity is estimated from the
+   packed bits: equal low bits are counted with bit operations, and the share that is equal by chance
+   is taken off. Pairs whose estimate is within ``MARGIN`` of the threshold are confirmed on the full
+   sets: texts of pairs travel to the tasks of their first member, in salted groups of bounded size,
+   and are read there as a stream.
+4. A band's members are first held against its smallest id only. Of what is then still in different
+   components of the same band, the members outside the band's largest component are held against all
+   others: in bands of up to ``SMALL_BAND`` members as pairs, in larger ones in blocks, each a few such
+   members and a stream of others, from which only links come out. No partner is left out.
 5. Links between classes give components by label propagation.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, and its estimate
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import distinct_shingles, mixed
 from vellum.llm.components import components
+from vellum.llm.filters import filter_of
 from vellum.llm.store import removed, stored
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -40,6 +43,8 @@ THRESHOLD = 75
 MARGIN = 0.25
 #: Members that are held against one text in one group.
 GROUP = 512
+#: Members of a band whose pairs are listed at most; and of larger ones, members outside the largest component, and others, of a block.
+SMALL_BAND, BLOCK_OUTSIDE, BLOCK_OTHERS = 32, 64, 2048
 
 _random = np.random.default_rng(10)
 _FACTORS = (_random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[None, :]
@@ -157,28 +162,86 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # then what is in one band but not yet in one component
     labelled = stored(in_bands.join(labels, in_bands.id == labels.node, "left").select("band", "head", "id", F.coalesce("label", "id").alias("label")), "labelled")
     groups = labelled.groupBy("band", "label").agg(F.count("*").alias("size"))
-    open_bands = groups.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main")).where("labels > 1")
-    open_bands = stored(open_bands.select("band", "main"), "open")
-    rows = labelled.join(open_bands, "band").where("id <> head")
-    rows = stored(rows.join(reps.select("id", "n", "bits"), "id").select("band", "id", "label", "n", "bits", (F.col("label") == F.col("main")).alias("inside")), "rest")
-    a, b = rows.alias("x"), rows.where("not inside").alias("y")
+    open_bands = groups.groupBy("band").agg(F.count("*").alias("labels"), F.sum("size").alias("size"), F.max("size").alias("inside"), F.max_by("label", F.struct("size", "label")).alias("main"))
+    open_bands = stored(open_bands.where("labels > 1").select("band", "main", "size", (F.col("size") - F.col("inside")).alias("outside")), "open")
+    rows = labelled.join(open_bands, "band").where("id <> head").select("band", "id", "label", "size", "outside", (F.col("label") == F.col("main")).alias("inside"))
+    rows = stored(rows.join(reps.select("id", "n", "bits", "bands"), "id"), "rest")
+    a, b = (rows.where(F.col("size") <= SMALL_BAND).select("band", "id", "label", "inside", "n", "bits").alias(x) for x in "xy")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    alike = (x("label") != y("label")) & (x("inside") | (x("id") < y("id"))) & likely(x("n"), y("n"), x("bits"), y("bits"))
+    alike = ~y("inside") & (x("label") != y("label")) & (x("inside") | (x("id") < y("id"))) & likely(x("n"), y("n"), x("bits"), y("bits"))
     more = stored(a.join(b, (x("band") == y("band")) & alike).select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct(), "candidates")
-    if not more.isEmpty():
-        links = stored(links.union(confirmed(more, _texts_of(more, ids))), "links")
-        labels = components(links)
+    large = rows.where(F.col("size") > SMALL_BAND)
+    further = stored(confirmed(more, _texts_of(more, ids)).union(confirmed_in_blocks(large, ids)), "links")
+    if not further.isEmpty():
+        labels = components(links.union(further))
     found = signed.join(copies, ["set_a", "set_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     found = found.join(labels, found.rep == labels.node, "left")
     component = F.coalesce("label", "rep")
-    removed(docs.sparkSession, in_bands, labelled, rows, heads, open_bands, reps)
+    removed(docs.sparkSession, in_bands, labelled, rows, heads, open_bands, reps, pairs, more)
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def _texts_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``pairs``."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    return ids.join(named, "id", "left_semi")
+    """(id, text) of the documents in ``pairs``, and of few others: what is not in a filter of ids stays where it is."""
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")) if "a" in pairs.columns else pairs.select("id")
+    held = filter_of(named.select(F.xxhash64("id").alias("key")).distinct(), "key")
+    shared = ids.sparkSession.sparkContext.broadcast(held)  # of bounded size
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            yield batch.filter(pa.array(shared.value.has(batch.column(2).to_numpy().view(np.uint64)))).select([0, 1])
+
+    keyed = ids.select("id", "text", F.xxhash64("id").alias("key"))
+    return keyed.mapInArrow(batches, keyed.drop("key").schema)
+
+
+def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of ``rows``' bands that are outside the band's largest component and all members of other components.
+
+    A block is a few members outside and a stream of others; both are split by hash into as many parts as
+    keep a block's size. A pair that shares several bands is looked at in the first of them.
+    """
+    outside, others = F.ceil(F.col("outside") / BLOCK_OUTSIDE), F.ceil(F.col("size") / BLOCK_OTHERS)
+    dealt = rows.join(_texts_of(rows, ids), "id").select("band", "id", "label", "inside", "bits", "bands", "text", outside.alias("outs"), others.alias("others"))
+    own = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(parts))
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    columns = ["id", "label", "bits", "bands", "text"]
+    held = dealt.where("not inside").select("band", own("outs", 1).alias("block"), all_of("others").alias("part"), F.lit(0).alias("role"), *columns)
+    stream = dealt.select("band", all_of("outs").alias("block"), own("others", 2).alias("part"), F.lit(1).alias("role"), *columns)
+    both = held.unionByName(stream).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "role")
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, tables = None, [], None
+        for batch in source:
+            first, second = [], []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            roles, names, labels = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            bits, bands = (np.stack(batch.column(i).to_numpy(zero_copy_only=False)) if batch.num_rows else None for i in (6, 7))
+            for i, own in enumerate(distinct_shingles(batch.column(8))):
+                if keys[i] != key:
+                    key, held, tables = keys[i], [], None
+                if roles[i] == 0:
+                    held.append((names[i], labels[i], len(own), bits[i].view(np.uint64), bands[i], own))
+                    continue
+                if not held:
+                    continue
+                if tables is None:
+                    tables = [np.array([h[k] for h in held], object if k < 2 else None) for k in range(5)]
+                n, differ = tables[2], tables[3] ^ bits[i].view(np.uint64)
+                differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+                share = ((1 - differ / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
+                common = tables[4] == bands[i]
+                here = tables[4][np.arange(len(held)), common.argmax(axis=1)] == key[0]
+                some = here & (tables[1] != labels[i]) & (share >= THRESHOLD / 100 - MARGIN) & (np.minimum(n, len(own)) * 100 >= np.maximum(n, len(own)) * THRESHOLD)
+                for j in np.flatnonzero(some):
+                    both = len(np.intersect1d(held[j][5], own, assume_unique=True))
+                    if 100 * both >= THRESHOLD * (n[j] + len(own) - both):
+                        first.append(min(names[i], held[j][0]))
+                        second.append(max(names[i], held[j][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(4).type) for x in (first, second)], ["a", "b"])
+
+    kind = dealt.schema["id"].dataType.simpleString()
+    return both.mapInArrow(batches, f"a {kind}, b {kind}").distinct()
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
