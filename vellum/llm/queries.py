@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, token_counts
+from vellum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, personal_data, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_removed")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the rules' finds, and the learned tagger's added to them."""
+    return personal_data.find_all(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text: number and digest of the ids, digest of the bytes decoded from them."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -39,6 +44,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text and its edited text, and how alike they and the next document are."""
+    return simhash.edited(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents and the document that each keeps."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -48,8 +58,10 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_fingerprints": op9_fingerprints,
     "op10_near_dedup": op10_near_dedup,
 }
 
