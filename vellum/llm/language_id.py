@@ -30,8 +30,8 @@ from vellum.llm.pretokens import E, ENDING, LETTER, L, R, V, character_classes,
 
 BUCKETS, DIMENSIONS = 1 << 15, 16
 #: Labelled texts a language that the classifier is fitted on at most, and languages at most.
-SAMPLE, LANGUAGES = 600, 256
-#: Bytes of the pieces that training texts are cut into, besides being used whole.
+SAMPLE, LANGUAGES = 400, 256
+#: Bytes of the pieces that training texts are cut into (the first six), besides being used whole.
 PIECE = 240
 EPOCHS, RATE, BATCH = 12, 0.5, 64
 REJECTED_SHARE = 0.0005
@@ -137,7 +137,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
         if label not in languages or not raw.strip():
             continue
         held = rng.random() < 0.2
-        cuts = [raw] + [raw[i : i + PIECE] for i in range(0, min(len(raw), 20 * PIECE), PIECE) if len(raw) > PIECE]
+        cuts = [raw] + [raw[i : i + PIECE] for i in range(0, min(len(raw), 6 * PIECE), PIECE) if len(raw) > PIECE]
         pieces += cuts
         targets += [languages.index(label)] * len(cuts)
         aside += [held] * len(cuts)
