@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup, personal_data, simhash, token_counts
+from vellum.llm import bpe, decontaminate, language_id, line_dedup, lm_score, near_dedup, personal_data, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_removed")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every text by a network that is trained on all of them."""
+    return lm_score.score_all(table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: the rules' finds, and the learned tagger's added to them."""
     return personal_data.find_all(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_score": op4_lm_score,
     "op6_personal_data": op6_personal_data,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
