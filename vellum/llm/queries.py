@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, decontaminate, language_id, line_dedup, lm_score, near_dedup, personal_data, simhash, token_counts
+from vellum.llm import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, near_dedup, personal_data, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_all(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text, with what their template saves and how their wording differs."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: the rules' finds, and the learned tagger's added to them."""
     return personal_data.find_all(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_score": op4_lm_score,
+    "op5_license_scan": op5_license_scan,
     "op6_personal_data": op6_personal_data,
     "op7_bpe": op7_bpe,
     "op8_token_counts": op8_token_counts,
