@@ -187,7 +187,7 @@ def kind_labels(spark, sf_dir):
 
 def sizes(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    return parts.select("p_partkey", T.size_text(F.col("p_partkey") * 1024).alias("size"), F.array_join(T.split_values(F.concat(F.lit(" a ;; "), "p_name", F.lit(" ; "))), "|").alias("values"))
+    return parts.select("p_partkey", T.size_text(F.col("p_partkey") * 1024 * 1024 * 256).alias("size"), F.array_join(T.split_values(F.concat(F.lit(" a ;; "), "p_name", F.lit(" ; "))), "|").alias("values"))
 
 
 def vector_topk(spark, sf_dir):
@@ -263,7 +263,7 @@ ORACLE_SQL = {
     "status_latest": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1",
     "progress": "with s as (select o_orderkey, o_orderkey % 8 as k, o_custkey % 50 as d from orders) select o_orderkey, cast(case when k = 6 then 100 else floor(case k when 2 then 25 when 3 then 25 when 4 then 50 when 5 then 75 else 0 end + least(d / 40.0 * 25, 25.0) + 0.5) end as int) as progress from s",
     "kind_labels": f"select o_orderkey, case o_orderkey % 5 when 0 then 'application' when 1 then 'invention' when 2 then 'utility model' when 3 then '-' else 'C1' end as label, case when o_orderkey % 5 = 0 then {_DAY} else '2000-01-01' end as shown, case o_orderkey % 5 when 0 then 'A' when 1 then 'B' when 2 then 'U' when 3 then ' ' else 'B' end as kind from orders",
-    "size_text": "select p_partkey, case when p_partkey = 0 then '0 B' when p_partkey * 1024 >= 1048576 then concat(printf('%.2f', p_partkey / 1024.0), ' MB') else concat(printf('%.2f', cast(p_partkey as double)), ' KB') end as size, concat('a|', p_name) as values from part",
+    "size_text": "select p_partkey, case when p_partkey = 0 then '0 B' when p_partkey < 4 then concat(printf('%.2f', p_partkey * 256.0), ' MB') else concat(printf('%.2f', p_partkey / 4.0), ' GB') end as size, concat('a|', p_name) as values from part",
     "vector_topk": f"with r as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v, list_transform(range(64), lambda i: (i * 7 % 13 - 6) / 10.0) as q from embeddings) select vec_id, round({_COS}, 6) as similarity from r order by {_COS} desc, vec_id limit 20",
     "vector_filtered_join": f"with r as (select vec_id, lang, list_transform(embedding, lambda x: cast(x as double)) as v, list_transform(range(64), lambda i: case when i % 3 > 0 then 1.0 else -0.5 end) as q from embeddings join documents on vec_id = doc_id where label in (1, 2)) select vec_id, lang, round({_COS}, 6) as similarity from r order by {_COS} desc, vec_id limit 15",
     "hamming_topk": "select vec_id, cast(list_sum(list_transform(range(64), lambda i: case when (embedding[i + 1] > 0) = (i % 2 = 1) then 0 else 1 end)) as bigint) as distance from embeddings order by distance, vec_id limit 20",
