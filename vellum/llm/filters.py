@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits of a filter for each key that it holds, and at most (16 MB); beyond, more false keys pass.
 BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
@@ -33,3 +35,13 @@ def filter_of(keys: DataFrame, column: str) -> KeyFilter:
     out = KeyFilter(bits)
     out.words[found["word"].to_numpy()] = found["set"].to_numpy().view(np.uint64)
     return out
+
+
+def member(rows: DataFrame, held: KeyFilter, key: Column) -> Column:
+    """Whether a key of ``rows`` may be in the filter; only the keys go to Python."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)  # of bounded size
+
+    def has(keys: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(keys.to_numpy(np.int64).view(np.uint64)))
+
+    return F.pandas_udf(has, T.BooleanType())(key)

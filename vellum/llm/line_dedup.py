@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.arrowtext import mixed, span_hashes, text_slices, word_spans
+from vellum.llm.filters import filter_of, member
 from vellum.llm.store import stored
 
 #: Lines of a run that is deleted in any case, and words of one that has fewer lines.
@@ -143,13 +144,18 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     runs = repeated_runs(docs, id_column, text_column, **limits)
     cuts = runs.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    cuts = cuts.select(F.col("id").alias("__id"), "starts", "stops")
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[id_column].alias("__id"), docs[text_column].alias("__text"))
+    cuts = stored(cuts.select(F.col("id").alias("__id"), "starts", "stops"), "cuts")
+    # texts without a cut stay where they are
+    held = filter_of(cuts.select(F.xxhash64("__id").alias("key")), "key")
+    marked = docs.withColumn("__may", member(docs, held, F.xxhash64(docs[id_column])))
+    whole = marked.where("__may").select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(id_column).alias("__id"))
     joined = whole.join(cuts, "__id", "left")
-    hit = F.col("starts").isNotNull() & F.col("__text").isNotNull()
-    joined = joined.withColumn("__cut", _without(F.when(hit, F.col("__text")), F.col("starts"), F.col("stops")))
-    text = F.when(hit, F.col("__cut.text")).otherwise(F.col("__text"))
-    columns = [(text if c == text_column else F.col("__row")[c]).alias(c) for c in docs.columns]
+    text = F.col("__row")[text_column]
+    hit = F.col("starts").isNotNull() & text.isNotNull()
+    joined = joined.withColumn("__cut", _without(F.when(hit, text), F.col("starts"), F.col("stops")))
+    columns = [(F.when(hit, F.col("__cut.text")).otherwise(text) if c == text_column else F.col("__row")[c]).alias(c) for c in docs.columns]
+    same = marked.where("not __may").drop("__may")
     if removed_column:
         columns.append(F.when(hit, F.col("__cut.removed")).otherwise(0).alias(removed_column))
-    return joined.select(*columns)
+        same = same.withColumn(removed_column, F.lit(0))
+    return same.unionByName(joined.select(*columns))
