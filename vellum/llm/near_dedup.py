@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import distinct_shingles, mixed
 from vellum.llm.components import components
-from vellum.llm.filters import filter_of
+from vellum.llm.filters import filter_of, member
 from vellum.llm.store import removed, stored
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -185,14 +185,7 @@ def _texts_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents in ``pairs``, and of few others: what is not in a filter of ids stays where it is."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")) if "a" in pairs.columns else pairs.select("id")
     held = filter_of(named.select(F.xxhash64("id").alias("key")).distinct(), "key")
-    shared = ids.sparkSession.sparkContext.broadcast(held)  # of bounded size
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            yield batch.filter(pa.array(shared.value.has(batch.column(2).to_numpy().view(np.uint64)))).select([0, 1])
-
-    keyed = ids.select("id", "text", F.xxhash64("id").alias("key"))
-    return keyed.mapInArrow(batches, keyed.drop("key").schema)
+    return ids.where(member(ids, held, F.xxhash64("id")))
 
 
 def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
