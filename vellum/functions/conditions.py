@@ -56,7 +56,7 @@ def on_date(column: Column, value: str) -> Column:
     parts = value.strip().split("-")
     try:
         numbers = [int(p) for p in parts]
-        start = datetime.date(*(numbers + [1, 1])[:3])
+        start = datetime.date(*numbers, *[1] * (3 - len(numbers)))
     except (TypeError, ValueError):
         raise ConditionError(f"not a date: {value}") from None
     if len(parts) == 3:
