@@ -230,9 +230,14 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 def training_texts(docs: DataFrame, text_column: str = "text") -> list[str]:
     """At most ``SAMPLE`` pieces of texts with a digit or at sign, in the order of their hashes."""
-    near = F.regexp_extract(F.col(text_column).cast("string"), "(?s).{0,300}[0-9@].{0,300}", 0)
-    rows = docs.select(near.alias("text")).where("text <> ''").select("text", F.xxhash64("text").alias("draw")).distinct()
-    return [r.text for r in rows.orderBy("draw", "text").limit(SAMPLE).collect()]
+    text = F.col(text_column).cast("string")
+    at = F.regexp_instr(text, F.lit("[0-9@]"))
+    near = F.substring(text, F.greatest(F.lit(1), at - 300), F.lit(600))
+    rows = docs.where(at > 0).select(near.alias("text")).withColumn("draw", F.xxhash64("text"))
+    # the smallest hashes first, so that copies do not fill the sample
+    draws = [r.draw for r in rows.select("draw").distinct().orderBy("draw").limit(SAMPLE).collect()]
+    chosen = rows.where(F.col("draw").isin(draws)).groupBy("draw").agg(F.min("text").alias("text"))
+    return [r.text for r in sorted(chosen.collect())]
 
 
 def find(docs: DataFrame, tagger: Tagger, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
