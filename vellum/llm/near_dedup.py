@@ -42,7 +42,7 @@ THRESHOLD = 75
 #: How far below the threshold an estimate may be for the pair to be confirmed on its full sets.
 MARGIN = 0.25
 #: Members that are held against one text in one group.
-GROUP = 512
+GROUP = 96
 #: Members of a band whose pairs are listed at most; and of larger ones, members outside the largest component, and others, of a block.
 SMALL_BAND, BLOCK_OUTSIDE, BLOCK_OTHERS = 32, 64, 2048
 
