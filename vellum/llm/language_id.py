@@ -33,7 +33,7 @@ BUCKETS, DIMENSIONS = 1 << 15, 16
 SAMPLE, LANGUAGES = 400, 256
 #: Bytes of the pieces that training texts are cut into (the first six), besides being used whole.
 PIECE = 240
-EPOCHS, RATE, BATCH = 12, 0.5, 64
+EPOCHS, RATE, BATCH = 6, 0.5, 64
 REJECTED_SHARE = 0.0005
 UNKNOWN = "und"
 
@@ -168,14 +168,16 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
             ids = np.concatenate([of[i][0] for i in some])
             share = np.concatenate([of[i][1] / max(of[i][1].sum(), 1) for i in some]).astype(np.float32)
             which = np.repeat(np.arange(len(some)), [len(of[i][0]) for i in some])
-            means = np.zeros((len(some), DIMENSIONS), np.float32)
-            np.add.at(means, which, embedding[ids] * share[:, None])
+            own, at = np.unique(ids, return_inverse=True)
+            shares = np.zeros((len(some), len(own)), np.float32)
+            shares[which, at] = share
+            means = shares @ embedding[own]
             error = softmax(means @ weights + bias)
             error[np.arange(len(some)), targets[some]] -= 1
             back = error @ weights.T
             weights -= rate * (means.T @ error) / len(some) * 8
             bias -= rate * error.mean(axis=0)
-            np.add.at(embedding, ids, -rate * back[which] * share[:, None])
+            embedding[own] -= rate * (shares.T @ back)
     model = Model(languages, np.ascontiguousarray((embedding @ weights).T), bias, seen)
     check = aside if aside.any() else np.ones(len(pieces), bool)
     kept = [p for p, a in zip(pieces, check) if a]
