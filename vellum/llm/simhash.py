@@ -149,7 +149,8 @@ def edited(docs: DataFrame, radius: int = 3, query_step: int = 20) -> DataFrame:
     prints = stored(prints.groupBy(*keys[:-1]).agg(pick(False).alias("bits"), pick(True).alias("edited_bits")), "fingerprints")
     following = prints.where("id is not null").select(F.col("id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("bits").alias("next_bits")).distinct()
     found = prints.join(following, ["next_id", "next_hash"], "left").withColumn("next_bits", F.coalesce("next_bits", F.lit(0).cast("long")))
-    asked = F.col("id") % query_step == 0
-    counts = within_radius(prints.where(asked), prints, radius).groupBy("query").agg(F.sum("rows").alias("n_within"))
-    found = found.join(counts, F.when(asked, F.col("bits")) == F.col("query"), "left")
+    asked = prints.where(F.col("id") % query_step == 0).select("bucket", "place", F.col("bits").alias("query"))
+    counts = within_radius(asked.select(F.col("query").alias("bits")), prints, radius).groupBy("query").agg(F.sum("rows").alias("n_within"))
+    counts = stored(counts, "counts")  # so that a fingerprint that very many rows have is split by the join
+    found = found.join(asked.join(counts, "query").drop("query"), ["bucket", "place"], "left")
     return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text("bits").alias("fingerprint"), as_text("edited_bits").alias("edited_fingerprint"), likeness("bits", "edited_bits").alias("near_edited"), likeness("bits", "next_bits").alias("near_next"), "n_within")
