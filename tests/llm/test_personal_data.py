@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from vellum.llm import personal_data as P
 from vellum.llm.sequence_tagger import Tagger, spans_of
@@ -36,6 +38,20 @@ def test_rules():
     assert P.by_rules("") == []
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@- +(2)%é", max_size=40))
+def test_rules_are_the_plain_patterns(text):
+    got = P.by_rules(text)
+    assert [x[1:] for x in got if x[0] == 0] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    plain = re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+    assert [x[1:] for x in got if x[0] == 1] == [m.span() for m in plain if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+def test_long_runs_take_no_square_time():
+    for text in ("a" * 300_000 + " x@y.z", "1" * 300_000, "1." * 150_000, "@" * 100_000, "+" * 100_000, "+1" + " " * 200_000):
+        P.by_rules(text)
+
+
 def test_held_out_spans(tagger):
     ids, gold = P.examples([], 300, seed=77)
     want = found = right = 0

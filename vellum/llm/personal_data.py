@@ -37,8 +37,11 @@ DECODED = 2048
 #: Examples of the training set, and documents that their surroundings are taken from at most.
 TRAINING, SAMPLE = 3000, 300
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The rules. EMAIL is found by its at signs and IP from the start of a run of digits,
+#: which gives the same leftmost matches in a time that does not grow with the square of a run.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]")
@@ -53,11 +56,22 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of e-mail addresses, leftmost first."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (host := _HOST.match(text, at + 1)):
+            end = host.end()
+            yield start, end
+        at = text.find("@", at + 1)
+
+
 def by_rules(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the plain forms, by kind, then start."""
-    out = []
-    if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+    out = [(0, start, end) for start, end in emails(text)]
     for m in IP.finditer(text):
         if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
             out.append((1, m.start(), m.end()))
