@@ -81,3 +81,13 @@ def test_vectors(spark):
 def test_dates_of_the_dashboard(spark):
     df = spark.createDataFrame([(datetime.datetime(2024, 1, d),) for d in (1, 3, 9)], "t timestamp_ntz")
     assert df.where(S.since(F.col("t"), "2024-01-09", 7)).count() == 2
+
+
+def test_semantic_search(spark):
+    e = spark.createDataFrame([("ipc", "A01", "1", [1.0, 0.0]), ("ipc", "B01", "1", [0.9, 0.1]), ("ipc", "C01", "1", [1.0]), ("cpc", "A02", "1", [1.0, 0.0]), ("ipc", "A03", "0", [1.0, 0.0])], "type string, code_norm string, version string, embedding array<double>")
+    d = spark.createDataFrame([("A01", "1", "A", "one"), ("B01", "1", "B", "two"), ("A02", "1", "A", "x"), ("A03", "1", "A", "y")], "code_norm string, version string, section string, title_en string")
+    found = V.semantic_search(e, d, [1.0, 0.0], type="ipc").collect()
+    assert [(r.code_norm, r.title_en, r.percent) for r in found] == [("A01", "one", "100.0%"), ("B01", "two", "99.4%")]
+    assert [r.code_norm for r in V.semantic_search(e, d, [1.0, 0.0], section="B", type="ipc").collect()] == ["B01"]
+    got = V.embedded(d, "title_en", lambda texts: [[len(t), 1] for t in texts], 2)
+    assert sorted(r.embedding for r in got.collect()) == [[1.0, 1.0], [1.0, 1.0], [3.0, 1.0], [3.0, 1.0]]

@@ -49,3 +49,34 @@ def best_matches(pairs: DataFrame, group: str, prefilter: str, score: str, keep:
     few = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     top = few.groupBy(group).agg(F.max_by(F.struct(*[c for c in pairs.columns if c != group]), F.struct(F.col(score), -F.col("rank"))).alias("best"))
     return top.select(group, "best.*").where(F.col(score) >= least)
+
+
+def embedded(rows: DataFrame, text: str, embed, dimensions: int, column: str = "embedding") -> DataFrame:
+    """``rows`` with the vector that ``embed`` (a list of texts to a list of vectors) gives for a text; called once a batch of rows.
+
+    A vector of another length, or with a number that is not finite, fails the job.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(x) for x in v] for v in embed(texts.tolist())])
+
+    made = rows.withColumn(column, of(F.col(text)))
+    checked = F.when(valid(F.col(column), dimensions), F.col(column)).otherwise(F.raise_error(F.lit(f"an embedding has not {dimensions} finite numbers")).cast("array<double>"))
+    return made.withColumn(column, checked)
+
+
+def semantic_search(embeddings: DataFrame, dictionary: DataFrame, query: list[float], k: int = 10, most: int = 100, section: str | None = None, **equal: str) -> DataFrame:
+    """The dictionary's entries most alike a query vector, with ``similarity`` and ``percent``.
+
+    ``equal`` names columns of ``embeddings`` and the value that each must have (type, locale, model, version).
+    Only vectors of the query's length count. Each task keeps ``k`` rows.
+    """
+    rows = embeddings.where(valid(F.col("embedding"), len(query)))
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value)
+    entries = dictionary.where(F.col("section") == section) if section else dictionary
+    rows = rows.join(entries, ["code_norm", "version"])
+    found = nearest(rows, "embedding", query, min(max(1, k), most), "code_norm")
+    return found.withColumn("percent", F.format_string("%.1f%%", F.col("similarity") * 100))
