@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,8 +57,6 @@ def embedded(rows: DataFrame, text: str, embed, dimensions: int, column: str = "
 
     A vector of another length, or with a number that is not finite, fails the job.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[float(x) for x in v] for v in embed(texts.tolist())])
