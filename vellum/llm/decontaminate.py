@@ -50,7 +50,7 @@ def partition_of(size: int) -> int:
 
 def keys_of(minima: np.ndarray, partition: int) -> np.ndarray:
     """Keys of minima (a row for each hash) within a partition."""
-    return mixed(minima + (np.arange(HASHES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(partition) * np.uint64(0xD6E8FEB86659FD93)))
+    return mixed(minima + (np.arange(HASHES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(partition * 0xD6E8FEB86659FD93 % (1 << 64))))
 
 
 def minima_of(shingles: np.ndarray, firsts: np.ndarray) -> np.ndarray:
