@@ -105,10 +105,11 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = stored(windows(docs, id_column, text_column, run_lines, run_words), "windows")
     shared = found.where("selects").groupBy("fingerprint").agg(F.count("*").alias("places")).where("places > 1").select("fingerprint")
     shared = stored(shared, "fingerprints")
-    found = found.join(shared, "fingerprint", "left_semi").select("id", "start", "stop", "content")
+    # none of these tables has a bound, so none is broadcast
+    found = found.join(shared.hint("merge"), "fingerprint", "left_semi").select("id", "start", "stop", "content")
     first = found.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("places")).where("places > 1")
     first = stored(first.select("content", F.col("first.id").alias("source_id"), F.col("first.start").alias("source_start")), "first")
-    later = found.join(first, "content").where("id > source_id or start > source_start")
+    later = found.join(first.hint("merge"), "content").where("id > source_id or start > source_start")
     # matches on one diagonal that touch or overlap are one run
     diagonal = W.partitionBy("id", "source_id", "diagonal").orderBy("start", "stop")
     later = later.withColumn("diagonal", F.col("start") - F.col("source_start"))
@@ -149,7 +150,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     held = filter_of(cuts.select(F.xxhash64("__id").alias("key")), "key")
     marked = docs.withColumn("__may", member(docs, held, F.xxhash64(docs[id_column])))
     whole = marked.where("__may").select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(id_column).alias("__id"))
-    joined = whole.join(cuts, "__id", "left")
+    joined = whole.join(cuts.hint("merge"), "__id", "left")
     text = F.col("__row")[text_column]
     hit = F.col("starts").isNotNull() & text.isNotNull()
     joined = joined.withColumn("__cut", _without(F.when(hit, text), F.col("starts"), F.col("stops")))
