@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import mixed, text_slices, texts_shingles
-from vellum.llm.filters import KeyFilter, filter_of
+from vellum.llm.filters import KeyFilter, filter_of, without
 from vellum.llm.store import stored
 
 HASHES = 64
@@ -170,5 +170,5 @@ def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id"
 
 def without_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **columns: str) -> DataFrame:
     """``docs`` without the documents that contain an item; all columns stay."""
-    found = contained_items(docs, items, id_column, **columns).select(F.col(id_column).alias("__leak")).distinct()
-    return docs.join(found, docs[id_column] == F.col("__leak"), "left_anti")
+    found = contained_items(docs, items, id_column, **columns).select(id_column).distinct()
+    return without(docs, stored(found, "leaks"), id_column)

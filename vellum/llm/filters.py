@@ -45,3 +45,15 @@ def member(rows: DataFrame, held: KeyFilter, key: Column) -> Column:
         return pd.Series(shared.value.has(keys.to_numpy(np.int64).view(np.uint64)))
 
     return F.pandas_udf(has, T.BooleanType())(key)
+
+
+def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose value of ``column`` is not among those of ``gone`` (one column, stored). All columns stay.
+
+    Only rows that may be among them are shuffled for the join, whatever the number of rows.
+    """
+    name = gone.columns[0]
+    held = filter_of(gone.where(F.col(name).isNotNull()).select(F.xxhash64(name).alias("key")).distinct(), "key")
+    marked = rows.withColumn("__may", member(rows, held, F.xxhash64(rows[column])))
+    kept = marked.where("__may").drop("__may").join(gone.select(F.col(name).alias("__gone")).hint("merge"), F.col(column) == F.col("__gone"), "left_anti")
+    return marked.where("not __may").drop("__may").unionByName(kept)

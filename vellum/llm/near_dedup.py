@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import distinct_shingles, mixed
 from vellum.llm.components import components
-from vellum.llm.filters import filter_of, member
+from vellum.llm.filters import filter_of, member, without
 from vellum.llm.store import removed, stored
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -239,5 +239,5 @@ def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one of smallest id. All columns stay."""
-    dropped = near_duplicates(docs, id_column, text_column).where("not kept").select(F.col(id_column).alias("__copy")).distinct()
-    return docs.join(dropped, docs[id_column] == F.col("__copy"), "left_anti")
+    dropped = near_duplicates(docs, id_column, text_column).where("not kept").select(id_column).distinct()
+    return without(docs, stored(dropped, "dropped"), id_column)
