@@ -13,6 +13,13 @@ def test_held_out_accuracy(spark):
     assert np.mean([r.rejected for r in rows]) < 0.02
 
 
+def test_a_small_sample_is_learned_as_well(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = L.identify_held_out(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in rows if r.held_out]) > 0.97
+    assert not any(r.rejected for r in rows if r.lang_pred != "und")
+
+
 def test_rejects_what_is_no_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = L.fit(docs)

@@ -7,7 +7,7 @@ together by stochastic gradient descent in numpy on a bounded sample of labelled
 ``SAMPLE`` texts a language, and no more than ``LANGUAGES`` languages. Part of the sample is set
 aside to calibrate: a temperature makes scores probabilities, and two limits reject what is unlike
 everything learned: the score, and the share of subwords that were seen in training. Both lie below
-all but ``REJECTED_SHARE`` of the set-aside texts.
+all but ``REJECTED_SHARE`` of the set-aside texts. A text of fewer than ``FEW`` subwords is kept if it has a letter.
 
 The trained tables have a fixed size and travel with the tasks; every whole text is read.
 Null texts and texts without a letter are ``und`` with score 0 and rejected. Rows that repeat are
@@ -33,7 +33,10 @@ BUCKETS, DIMENSIONS = 1 << 15, 16
 SAMPLE, LANGUAGES = 400, 256
 #: Bytes of the pieces that training texts are cut into (the first six), besides being used whole.
 PIECE = 240
-EPOCHS, RATE, BATCH = 6, 0.5, 64
+#: Passes over the sample, and steps at least: a small sample is passed over more often.
+EPOCHS, STEPS, RATE, BATCH = 6, 600, 0.5, 64
+#: Subwords below which a text says too little to be rejected by either limit.
+FEW = 8
 REJECTED_SHARE = 0.0005
 UNKNOWN = "und"
 
@@ -94,11 +97,11 @@ class Model:
     least_score: float = 0.0
     least_seen: float = 0.0
 
-    def measured(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of each text of a slice, and the share of its subwords that training saw."""
+    def measured(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits of each text of a slice, the share of its subwords that training saw, and their number."""
         buckets, firsts = subwords(data, offsets)
         rows, k = len(offsets) - 1, len(self.languages)
-        logits, shares = np.zeros((rows, k)), np.zeros(rows)
+        logits, shares, counts = np.zeros((rows, k)), np.zeros(rows), np.zeros(rows, np.int64)
         full = np.flatnonzero(firsts[1:] > firsts[:-1])
         if len(full):
             counted = np.add.reduceat((buckets < BUCKETS).astype(np.int64), firsts[full])
@@ -106,14 +109,15 @@ class Model:
             for j in range(k):
                 logits[full, j] = np.add.reduceat(self.table[j][buckets], firsts[full]) / np.maximum(counted, 1)
             shares[full] = known / np.maximum(counted, 1)
-        return logits + self.bias, shares
+            counts[full] = counted
+        return logits + self.bias, shares, counts
 
     def predicted(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, score and whether it is rejected, for each text of a slice."""
-        logits, shares = self.measured(data, offsets)
+        logits, shares, counts = self.measured(data, offsets)
         p = softmax(logits / self.temperature)
         score = p.max(axis=1)
-        return p.argmax(axis=1), score, (score < self.least_score) | (shares < self.least_seen)
+        return p.argmax(axis=1), score, (counts >= FEW) & ((score < self.least_score) | (shares < self.least_seen))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -159,8 +163,10 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
         of.append(np.unique(own[own < BUCKETS], return_counts=True))
     for i in fit:
         seen[of[i][0]] = True
-    steps, step = EPOCHS * -(-len(fit) // BATCH), 0
-    for _ in range(EPOCHS):
+    batches = -(-len(fit) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         rng.shuffle(fit)
         for first in range(0, len(fit), BATCH):
             some = fit[first : first + BATCH]
@@ -182,9 +188,15 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model | None:
     check = aside if aside.any() else np.ones(len(pieces), bool)
     kept = [p for p, a in zip(pieces, check) if a]
     data = np.frombuffer(b"".join(kept), np.uint8)
-    logits, shares = model.measured(data, np.concatenate([[0], np.cumsum([len(p) for p in kept])]).astype(np.int64))
+    logits, shares, _ = model.measured(data, np.concatenate([[0], np.cumsum([len(p) for p in kept])]).astype(np.int64))
     own = targets[check]
-    loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(own)), own] + 1e-12).mean()
+    # as in Platt's scaling a small share of each target goes to all languages, so that no sharpness fits a small set best
+    rest = 1 / (len(own) + 2)
+
+    def loss(t: float) -> float:
+        logs = np.log(softmax(logits / t) + 1e-12)
+        return -((1 - rest) * logs[np.arange(len(own)), own] + rest * logs.mean(axis=1)).mean()
+
     model.temperature = float(min(np.geomspace(0.02, 5, 60), key=loss))
     p = softmax(logits / model.temperature)
     right = p.argmax(axis=1) == own
