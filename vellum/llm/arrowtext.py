@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Words of a shingle.
 SHINGLE_WORDS = 5
 
