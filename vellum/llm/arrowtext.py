@@ -10,6 +10,7 @@ shingles meet is about N**2 / 2**65.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@contextmanager
+def task_memory(*caches: dict) -> Iterator[None]:
+    """Gives back at a task's end what a worker would go on to hold: the entries of ``caches`` and unused Arrow memory."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def text_slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column: first row, end row, bytes, offsets of the texts in them.
 

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vellum.llm.arrowtext import mixed, span_hashes, text_slices
+from vellum.llm.arrowtext import mixed, span_hashes, task_memory, text_slices
 from vellum.llm.pretokens import pretoken_spans
 
-#: Encodings of missed pre-tokens that a worker remembers before it starts anew.
+#: Encodings of missed pre-tokens that a task remembers before it starts anew.
 REMEMBERED = 200_000
 #: Keys of a bucket of the perfect hash, on average.
 BUCKET = 4
@@ -195,15 +195,16 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in source:
-            for row, end, data, offsets in text_slices(batch.column(1)):
-                ids, firsts = bpe.encoded(data, offsets)
-                back, places = bpe.decoded(ids)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, end - row),
-                    pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(ids.view(np.int32))),
-                    pa.Array.from_buffers(pa.binary(), end - row, [None, pa.py_buffer(places[firsts].astype(np.int32)), pa.py_buffer(back)]),
-                ], ["id", "ids", "decoded"])
+        with task_memory(bpe.missed):
+            for batch in source:
+                for row, end, data, offsets in text_slices(batch.column(1)):
+                    ids, firsts = bpe.encoded(data, offsets)
+                    back, places = bpe.decoded(ids)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(row, end - row),
+                        pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pa.array(ids.view(np.int32))),
+                        pa.Array.from_buffers(pa.binary(), end - row, [None, pa.py_buffer(places[firsts].astype(np.int32)), pa.py_buffer(back)]),
+                    ], ["id", "ids", "decoded"])
 
     columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()
@@ -218,17 +219,18 @@ def encode_digests(docs: DataFrame, path: str, id_column: str = "doc_id", text_c
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in source:
-            for row, end, data, offsets in text_slices(batch.column(1)):
-                ids, firsts = bpe.encoded(data, offsets)
-                back, places = bpe.decoded(ids)
-                raw, plain, bounds = ids.astype("<u4").data.cast("B") if len(ids) else b"", memoryview(back), places[firsts]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, end - row),
-                    pa.array(np.diff(firsts), pa.int64()),
-                    pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(firsts[:-1], firsts[1:])]),
-                    pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]),
-                ], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with task_memory(bpe.missed):
+            for batch in source:
+                for row, end, data, offsets in text_slices(batch.column(1)):
+                    ids, firsts = bpe.encoded(data, offsets)
+                    back, places = bpe.decoded(ids)
+                    raw, plain, bounds = ids.astype("<u4").data.cast("B") if len(ids) else b"", memoryview(back), places[firsts]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(row, end - row),
+                        pa.array(np.diff(firsts), pa.int64()),
+                        pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(firsts[:-1], firsts[1:])]),
+                        pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]),
+                    ], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.arrowtext import text_slices
+from vellum.llm.arrowtext import task_memory, text_slices
 from vellum.llm.pretokens import E, ENDING, LETTER, L, R, V, character_classes, code_points
 
 BUCKETS, DIMENSIONS = 1 << 15, 16
@@ -226,20 +226,21 @@ def identify(docs: DataFrame, model: Model | None, id_column: str = "doc_id", te
     kind = columns.schema["id"].dataType.simpleString()
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for row, end, data, offsets in text_slices(batch.column(1)):
-                letters = has_letter(data, offsets) & (model is not None)
-                if model is None:
-                    names, score, rejected = np.full(end - row, UNKNOWN), np.zeros(end - row), np.ones(end - row, bool)
-                else:
-                    index, score, rejected = model.predicted(data, offsets)
-                    names = np.array(model.languages)[index]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, end - row),
-                    pa.array(np.where(letters, names, UNKNOWN).tolist(), pa.string()),
-                    pa.array(np.where(letters, score, 0.0), pa.float64()),
-                    pa.array(rejected | ~letters),
-                ], ["id", "lang_pred", "score", "rejected"])
+        with task_memory():
+            for batch in source:
+                for row, end, data, offsets in text_slices(batch.column(1)):
+                    letters = has_letter(data, offsets) & (model is not None)
+                    if model is None:
+                        names, score, rejected = np.full(end - row, UNKNOWN), np.zeros(end - row), np.ones(end - row, bool)
+                    else:
+                        index, score, rejected = model.predicted(data, offsets)
+                        names = np.array(model.languages)[index]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(row, end - row),
+                        pa.array(np.where(letters, names, UNKNOWN).tolist(), pa.string()),
+                        pa.array(np.where(letters, score, 0.0), pa.float64()),
+                        pa.array(rejected | ~letters),
+                    ], ["id", "lang_pred", "score", "rejected"])
 
     return columns.mapInArrow(batches, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_column)
 
@@ -249,12 +250,13 @@ def accepted(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     at = docs.columns.index(text_column)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            keep = np.zeros(batch.num_rows, bool)
-            for row, end, data, offsets in text_slices(batch.column(at)):
-                if model is not None:
-                    keep[row:end] = has_letter(data, offsets) & ~model.predicted(data, offsets)[2]
-            yield batch.filter(pa.array(keep))
+        with task_memory():
+            for batch in source:
+                keep = np.zeros(batch.num_rows, bool)
+                for row, end, data, offsets in text_slices(batch.column(at)):
+                    if model is not None:
+                        keep[row:end] = has_letter(data, offsets) & ~model.predicted(data, offsets)[2]
+                yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(batches, docs.schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.arrowtext import mixed, span_hashes, text_slices, word_spans
+from vellum.llm.arrowtext import mixed, span_hashes, task_memory, text_slices, word_spans
 from vellum.llm.filters import filter_of, member
 from vellum.llm.store import stored
 
@@ -81,17 +81,18 @@ def windows(docs: DataFrame, id_column: str, text_column: str, run_lines: int, r
     """(id, start, stop, fingerprint, content, selects) of the windows of all texts."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for row, end, data, offsets in text_slices(batch.column(1)):
-                w = windows_of(data, offsets, run_lines, run_words)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, end - row).take(pa.array(w["text"], pa.int64())),
-                    pa.array(w["start"], pa.int32()),
-                    pa.array(w["stop"], pa.int32()),
-                    pa.array(w["fingerprint"].astype(np.uint64).view(np.int64)),
-                    pa.array(w["content"].astype(np.uint64).view(np.int64)),
-                    pa.array(w["selects"].astype(bool)),
-                ], ["id", "start", "stop", "fingerprint", "content", "selects"])
+        with task_memory():
+            for batch in source:
+                for row, end, data, offsets in text_slices(batch.column(1)):
+                    w = windows_of(data, offsets, run_lines, run_words)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).slice(row, end - row).take(pa.array(w["text"], pa.int64())),
+                        pa.array(w["start"], pa.int32()),
+                        pa.array(w["stop"], pa.int32()),
+                        pa.array(w["fingerprint"].astype(np.uint64).view(np.int64)),
+                        pa.array(w["content"].astype(np.uint64).view(np.int64)),
+                        pa.array(w["selects"].astype(bool)),
+                    ], ["id", "start", "stop", "fingerprint", "content", "selects"])
 
     columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text")).where("id is not null")
     kind = columns.schema["id"].dataType.simpleString()

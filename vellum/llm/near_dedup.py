@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.arrowtext import distinct_shingles, mixed
+from vellum.llm.arrowtext import distinct_shingles, mixed, task_memory
 from vellum.llm.components import components
 from vellum.llm.filters import filter_of, member, without
 from vellum.llm.store import removed, stored
@@ -68,25 +68,26 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """(id, n, set_a, set_b, bands, bits): size and key of each shingle set, its bands and packed low bits."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            sizes, keys, bands, bits = [], [], [], []
-            for own in distinct_shingles(batch.column(1)):
-                sizes.append(len(own))
-                if not len(own):
-                    keys.append((0, 0))
-                    bands.append(None)
-                    bits.append(None)
-                    continue
-                least = minima(own)
-                keys.append((int(mixed(own).sum().view(np.int64)), int(mixed(own ^ np.uint64(0x5DEECE66D)).sum().view(np.int64))))
-                bands.append(mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-                low = (least & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
-                bits.append((low << np.arange(0, 64, BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64))
-            a, b = zip(*keys) if keys else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["id", "n", "set_a", "set_b", "bands", "bits"],
-            )
+        with task_memory():
+            for batch in source:
+                sizes, keys, bands, bits = [], [], [], []
+                for own in distinct_shingles(batch.column(1)):
+                    sizes.append(len(own))
+                    if not len(own):
+                        keys.append((0, 0))
+                        bands.append(None)
+                        bits.append(None)
+                        continue
+                    least = minima(own)
+                    keys.append((int(mixed(own).sum().view(np.int64)), int(mixed(own ^ np.uint64(0x5DEECE66D)).sum().view(np.int64))))
+                    bands.append(mixed((least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+                    low = (least & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
+                    bits.append((low << np.arange(0, 64, BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64))
+                a, b = zip(*keys) if keys else ((), ())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    ["id", "n", "set_a", "set_b", "bands", "bits"],
+                )
 
     columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()
@@ -122,18 +123,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, np.zeros(0, np.uint64)
-        for batch in source:
-            kept = []
-            heads, salts, partners = (batch.column(i).to_pylist() for i in range(3))
-            for i, own in enumerate(distinct_shingles(batch.column(3))):
-                if partners[i] is None:
-                    key, first = (heads[i], salts[i]), own
-                    continue
-                assert key == (heads[i], salts[i])
-                both = len(np.intersect1d(first, own, assume_unique=True))
-                if both and 100 * both >= THRESHOLD * (len(first) + len(own) - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(2).take(pa.array(kept, pa.int64()))], ["a", "b"])
+        with task_memory():
+            for batch in source:
+                kept = []
+                heads, salts, partners = (batch.column(i).to_pylist() for i in range(3))
+                for i, own in enumerate(distinct_shingles(batch.column(3))):
+                    if partners[i] is None:
+                        key, first = (heads[i], salts[i]), own
+                        continue
+                    assert key == (heads[i], salts[i])
+                    both = len(np.intersect1d(first, own, assume_unique=True))
+                    if both and 100 * both >= THRESHOLD * (len(first) + len(own) - both):
+                        kept.append(i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(2).take(pa.array(kept, pa.int64()))], ["a", "b"])
 
     kind = dealt.schema["a"].dataType.simpleString()
     return rows.mapInArrow(batches, f"a {kind}, b {kind}")
@@ -205,33 +207,34 @@ def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, tables = None, [], None
-        for batch in source:
-            first, second = [], []
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            roles, names, labels = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            bits, bands = (np.stack(batch.column(i).to_numpy(zero_copy_only=False)) if batch.num_rows else None for i in (6, 7))
-            for i, own in enumerate(distinct_shingles(batch.column(8))):
-                if keys[i] != key:
-                    key, held, tables = keys[i], [], None
-                if roles[i] == 0:
-                    held.append((names[i], labels[i], len(own), bits[i].view(np.uint64), bands[i], own))
-                    continue
-                if not held:
-                    continue
-                if tables is None:
-                    tables = [np.array([h[k] for h in held], object if k < 2 else None) for k in range(5)]
-                n, differ = tables[2], tables[3] ^ bits[i].view(np.uint64)
-                differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
-                share = ((1 - differ / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
-                common = tables[4] == bands[i]
-                here = tables[4][np.arange(len(held)), common.argmax(axis=1)] == key[0]
-                some = here & (tables[1] != labels[i]) & (share >= THRESHOLD / 100 - MARGIN) & (np.minimum(n, len(own)) * 100 >= np.maximum(n, len(own)) * THRESHOLD)
-                for j in np.flatnonzero(some):
-                    both = len(np.intersect1d(held[j][5], own, assume_unique=True))
-                    if 100 * both >= THRESHOLD * (n[j] + len(own) - both):
-                        first.append(min(names[i], held[j][0]))
-                        second.append(max(names[i], held[j][0]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(4).type) for x in (first, second)], ["a", "b"])
+        with task_memory():
+            for batch in source:
+                first, second = [], []
+                keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+                roles, names, labels = (batch.column(i).to_pylist() for i in (3, 4, 5))
+                bits, bands = (np.stack(batch.column(i).to_numpy(zero_copy_only=False)) if batch.num_rows else None for i in (6, 7))
+                for i, own in enumerate(distinct_shingles(batch.column(8))):
+                    if keys[i] != key:
+                        key, held, tables = keys[i], [], None
+                    if roles[i] == 0:
+                        held.append((names[i], labels[i], len(own), bits[i].view(np.uint64), bands[i], own))
+                        continue
+                    if not held:
+                        continue
+                    if tables is None:
+                        tables = [np.array([h[k] for h in held], object if k < 2 else None) for k in range(5)]
+                    n, differ = tables[2], tables[3] ^ bits[i].view(np.uint64)
+                    differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+                    share = ((1 - differ / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
+                    common = tables[4] == bands[i]
+                    here = tables[4][np.arange(len(held)), common.argmax(axis=1)] == key[0]
+                    some = here & (tables[1] != labels[i]) & (share >= THRESHOLD / 100 - MARGIN) & (np.minimum(n, len(own)) * 100 >= np.maximum(n, len(own)) * THRESHOLD)
+                    for j in np.flatnonzero(some):
+                        both = len(np.intersect1d(held[j][5], own, assume_unique=True))
+                        if 100 * both >= THRESHOLD * (n[j] + len(own) - both):
+                            first.append(min(names[i], held[j][0]))
+                            second.append(max(names[i], held[j][0]))
+                yield pa.RecordBatch.from_arrays([pa.array(x, batch.column(4).type) for x in (first, second)], ["a", "b"])
 
     kind = dealt.schema["id"].dataType.simpleString()
     return both.mapInArrow(batches, f"a {kind}, b {kind}").distinct()
