@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from vellum.llm.store import stored
+from vellum.llm.store import small_batches, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those learned from the labelled ones; the rejected go."""
+    small_batches(spark)
     return language_id.accepted(docs, language_id.fit(docs))
 
 
@@ -35,6 +36,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of what is kept: number and digest of the ids, digest of the decoded text."""
+    small_batches(spark)
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

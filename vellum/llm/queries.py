@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.llm import bpe, decontaminate, language_id, license_scan, line_dedup, lm_score, near_dedup, personal_data, simhash, token_counts
+from vellum.llm.store import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder ``sf_dir``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,6 +14,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: Rows of an Arrow batch at most: executor and worker each hold a batch whole, and texts are long.
+ARROW_ROWS, ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to ``ARROW_ROWS``; a setting that is lower stays."""
+    if not 0 < int(spark.conf.get(ARROW)) <= ARROW_ROWS:
+        spark.conf.set(ARROW, ARROW_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
