@@ -53,6 +53,19 @@ def test_training_beats_shares_and_prefers_order(spark):
     assert learned > M.score(spark.createDataFrame(mixed, "doc_id long, text string"), net, frequent).agg({"log_likelihood": "sum"}).first()[0]
 
 
+def test_every_token_is_a_target_once():
+    firsts = np.array([0, 1, 3, 3, 20, 57])
+    for rounds in (1, M.ROUNDS, 3):
+        assert sorted(np.concatenate([M.masked(firsts, turn, rounds) for turn in range(rounds)])) == list(range(57))
+
+
+def test_short_texts_train(spark):
+    for text in ("word", "two words"):
+        docs = spark.createDataFrame([(i, text) for i in range(50)], "doc_id long, text string")
+        net, frequent = M.train(docs)
+        assert not np.array_equal(net, M.Network.first(M.vocabulary(docs)[1]).values)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert M.score_all(none).count() == 0

@@ -7,7 +7,8 @@ group. A text's score is the sum over all of its tokens of the log-probability g
 
 Everything the model learns comes from all documents. Word counts are summed in each task before the
 shuffle. Training is data-parallel: in each round every task goes on from the same parameters over its
-own texts with one of ``MASKED`` tokens masked (other ones in each round), and the tasks' parameters are
+own texts, and a share of their tokens is masked, other ones in each round, so that after the last round
+each token of each text has been a target once. Then the tasks' parameters are
 averaged by the number of tokens, in salted groups, a block of parameters at a time. What tasks send
 grows with their number, so with the input; what reaches the driver has the size of the model.
 
@@ -35,8 +36,8 @@ CLASSES = FREQUENT + OTHERS
 MEMBERS = CLASSES // GROUPS
 #: Tokens seen on either side; size of the hidden layer.
 REACH, HIDDEN = 2, 16
-#: One of so many tokens is masked in a round; rounds; tokens of a step; step size.
-MASKED, ROUNDS, BATCH, RATE = 8, 2, 2048, 0.15
+#: Rounds, which share the tokens out among them; tokens of a step; step size.
+ROUNDS, BATCH, RATE = 2, 2048, 0.15
 #: Parameters of a block, and groups that the tasks' parameters are summed in.
 BLOCK, SUMMED = 4096, 16
 
@@ -75,8 +76,9 @@ class Network:
         return np.tanh(total)
 
     def _by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(target // MEMBERS, kind="stable")
-        edges = np.searchsorted(target[order] // MEMBERS, np.arange(GROUPS + 1))
+        group = (target // MEMBERS).astype(np.int16)  # numpy sorts 16 bits by radix
+        order = np.argsort(group, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
         for g in range(GROUPS):
             if edges[g] < edges[g + 1]:
                 yield g, order[edges[g] : edges[g + 1]]
@@ -110,8 +112,11 @@ class Network:
             squares.part[name][:] += grad * grad
             self.part[name][:] -= RATE * grad / np.sqrt(squares.part[name] + 1e-8)
         for j in range(2 * REACH):
-            order = np.argsort(context[:, j], kind="stable")
-            ids, first = np.unique(context[order, j], return_index=True)
+            column = context[:, j].astype(np.int16)
+            order = np.argsort(column, kind="stable")
+            column = column[order]
+            first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+            ids = column[first]
             grad = np.add.reduceat(back[order], first, axis=0)
             squares.part["embed"][j][ids] += grad * grad
             self.part["embed"][j][ids] -= RATE * grad / np.sqrt(squares.part["embed"][j][ids] + 1e-8)
@@ -150,6 +155,13 @@ def contexts(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return out
 
 
+def masked(firsts: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Tokens of a slice that are targets in round ``turn``; each is in one of ``rounds`` rounds."""
+    counts = np.diff(firsts)
+    place = np.arange(firsts[-1]) - np.repeat(firsts[:-1], counts)
+    return np.flatnonzero((place + np.repeat(counts, counts)) % rounds == turn)
+
+
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(word, count): hash of every word of all texts, and how often it occurs."""
 
@@ -192,8 +204,8 @@ def vocabulary(docs: DataFrame, text_column: str = "text") -> tuple[np.ndarray,
     return np.stack([hashes[order], order.astype(np.uint64)]), counts
 
 
-def _trained_round(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, turn: int, text_column: str) -> np.ndarray:
-    """The parameters after one round over all texts: the tasks' own, averaged by tokens."""
+def _trained_round(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, turn: int, rounds: int, text_column: str) -> np.ndarray:
+    """The parameters after one round of ``rounds`` over all texts: the tasks' own, averaged by tokens."""
     start = docs.sparkSession.sparkContext.broadcast((net, frequent))  # of the model's size
 
     def tasks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,10 +216,9 @@ def _trained_round(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, turn:
         for batch in source:
             for _, _, data, offsets in text_slices(batch.column(0)):
                 classes, firsts = classes_of(data, offsets, frequent)
-                place = np.arange(len(classes)) - np.repeat(firsts[:-1], np.diff(firsts))
-                masked = np.flatnonzero((place + np.repeat(np.diff(firsts), np.diff(firsts)) + turn * 3) % MASKED == 0)
-                rest.append((contexts(classes, firsts)[masked], classes[masked]))
-                waiting += len(masked)
+                some = masked(firsts, turn, rounds)
+                rest.append((contexts(classes, firsts)[some], classes[some]))
+                waiting += len(some)
                 if waiting < BATCH:
                     continue
                 context, target = (np.concatenate(x) for x in zip(*rest))
@@ -257,7 +268,7 @@ def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS) -> t
     frequent, counts = vocabulary(docs, text_column)
     net = Network.first(counts).values
     for turn in range(rounds):
-        net = _trained_round(docs, net, frequent, turn, text_column)
+        net = _trained_round(docs, net, frequent, turn, rounds, text_column)
     return net, frequent
 
 
