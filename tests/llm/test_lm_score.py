@@ -66,6 +66,31 @@ def test_short_texts_train(spark):
         assert not np.array_equal(net, M.Network.first(M.vocabulary(docs)[1]).values)
 
 
+def test_words_of_a_class_score_apart(spark, monkeypatch):
+    texts = [" ".join(f"f{i}" for i in range(M.FREQUENT))] * 9 + ["rare%d " % (i % 400 if i % 2 else 0) for i in range(800)] + ["rare0 rare0 rare1 once"]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None), (-1, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "rare0 rare0 rare1 once"), (1, "neverseen"), (1, "neverseen"), (2, "f1 f2")], "doc_id long, text string")
+    words = M.stored(M.word_counts(docs), "words")
+    frequent, counts = M.vocabulary(docs, words=words)
+    net = M.Network.first(counts).values
+    table, number = {r.word: r["count"] for r in words.collect()}, M.OTHERS - 1
+    own = set(frequent[0].view(np.int64).tolist())
+    size = lambda c: M.SMOOTH + sum(n + M.SMOOTH for w, n in table.items() if w not in own and w & number == c)
+    plain = {r.doc_id: r.log_likelihood for r in M.score(asked, net, frequent).collect()}
+    want = dict(plain)
+    for doc, text in ((0, "rare0 rare0 rare1 once"), (1, "neverseen")):
+        for _, _, data, offsets in text_slices(pa.array([text])):
+            starts, ends, _ = M.word_spans(data, offsets)
+            for w in M.span_hashes(data, starts, ends).view(np.int64).tolist():
+                if w not in own:
+                    want[doc] += np.log((table.get(w, 0) + M.SMOOTH) / size(w & number))
+    assert want[0] < plain[0] and want[2] == plain[2]
+    for known in (0, 200, M.KNOWN):  # from the join, from both, from the counts that go out
+        monkeypatch.setattr(M, "KNOWN", known)
+        found = M.score(asked, net, frequent, words=words).collect()
+        assert len(found) == 4 and all(abs(r.log_likelihood - want[r.doc_id]) < 1e-6 for r in found)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert M.score_all(none).count() == 0

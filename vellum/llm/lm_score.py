@@ -3,7 +3,12 @@
 Tokens are words: the ``FREQUENT`` most frequent of the corpus by themselves, all others by a hash in
 ``OTHERS`` classes. A network predicts a masked token from ``REACH`` tokens on either side: embeddings by
 place are summed, squashed, and give a softmax over groups of tokens and one over the members of the
-group. A text's score is the sum over all of its tokens of the log-probability given both sides.
+group. A word of a hashed class then has its share of the class, log P(class) + log P(word | class): its
+count in all texts by the class's, ``SMOOTH`` added for each of the class's words and once for all words
+never counted. A text's score is the sum over all of its tokens of the log-probability given both sides.
+
+The table of word counts grows with the input. Its most frequent words, ``KNOWN`` at most, go out with the
+network; all others are summed up per text and joined with the table by their hashes.
 
 Everything the model learns comes from all documents. Word counts are summed in each task before the
 shuffle. Training is data-parallel: in each round every task goes on from the same parameters over its
@@ -38,6 +43,8 @@ MEMBERS = CLASSES // GROUPS
 REACH, HIDDEN = 2, 16
 #: Rounds, which share the tokens out among them; tokens of a step; step size.
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
+#: Words whose counts go out with the network at most; what is added to a word's count within its class.
+KNOWN, SMOOTH = 1 << 17, 0.5
 #: Parameters of a block, and groups that the tasks' parameters are summed in.
 BLOCK, SUMMED = 4096, 16
 
@@ -187,9 +194,9 @@ def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "count"])
 
 
-def vocabulary(docs: DataFrame, text_column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and classes of the frequent words; and how often each class occurs in all texts."""
-    counted = stored(word_counts(docs, text_column), "words")
+def vocabulary(docs: DataFrame, text_column: str = "text", words: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and classes of the frequent words; and how often each class occurs in all texts (``words``: their stored counts)."""
+    counted = stored(word_counts(docs, text_column), "words") if words is None else words
     top = counted.orderBy(F.desc("count"), "word").limit(FREQUENT).collect()
     counts = np.zeros(CLASSES)
     counts[: len(top)] = [r["count"] for r in top]
@@ -263,22 +270,56 @@ def _blocks(block: np.ndarray, salt: np.ndarray, weight: np.ndarray, values: np.
     return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(salt, pa.int64()), pa.array(weight, pa.float64()), lists], ["block", "salt", "weight", "parameters"])
 
 
-def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Parameters of a network that is trained on all texts, and the frequent words' hashes and classes."""
-    frequent, counts = vocabulary(docs, text_column)
+    frequent, counts = vocabulary(docs, text_column, words)
     net = Network.first(counts).values
     for turn in range(rounds):
         net = _trained_round(docs, net, frequent, turn, rounds, text_column)
     return net, frequent
 
 
-def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: its id, ``n_tokens``, ``log_likelihood`` (the sum over tokens) and ``mean_log_likelihood``."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, frequent))  # of the model's size
+def known_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes and counts of the most frequent words, ``KNOWN`` at most; all words of the least count taken, or more, are there."""
+    level = F.floor(F.log2("count") * 4).cast("int")
+    sizes = sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    least, total = None, 0
+    for row in sizes:  # a few hundred rows at most
+        total += row.words
+        if total > KNOWN:
+            break
+        least = row.level
+    rows = words.where(level >= least) if least is not None else words.where("false")
+    taken = rows.select("word", "count").toArrow()
+    hashes = taken.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], taken.column("count").to_numpy().astype(np.float64)[order]
+
+
+def class_sizes(words: DataFrame, frequent: np.ndarray) -> np.ndarray:
+    """Log of the smoothed count of each hashed class: of its words that have no class of their own."""
+    rest = words.groupBy(F.col("word").bitwiseAND(OTHERS - 1).alias("class")).agg(F.sum("count").alias("count"), F.count("*").alias("words"))
+    total = np.full(OTHERS, SMOOTH)
+    for r in rest.collect():
+        total[r["class"]] += r["count"] + SMOOTH * r.words
+    own = words.where(F.col("word").isin([int(h) for h in frequent[0].view(np.int64)])) if frequent.shape[1] else words.where("false")
+    for r in own.collect():  # ``FREQUENT`` rows at most
+        total[r.word & (OTHERS - 1)] -= r["count"] + SMOOTH
+    return np.log(total)
+
+
+def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str = "doc_id", text_column: str = "text", words: DataFrame | None = None) -> DataFrame:
+    """Per row: its id, ``n_tokens``, ``log_likelihood`` (the sum over tokens) and ``mean_log_likelihood``.
+
+    ``words`` are the stored counts of all words; without them a word outside the frequent ones scores as its class.
+    """
+    table = None if words is None else (*known_counts(words), class_sizes(words, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast((net, frequent, table))  # of the model's size, and ``KNOWN`` counts
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, frequent = shared.value
+        values, frequent, table = shared.value
         own = Network(values)
+        key = TaskContext.get().partitionId() << 33
         for batch in source:
             for row, end, data, offsets in text_slices(batch.column(1)):
                 classes, firsts = classes_of(data, offsets, frequent)
@@ -288,15 +329,50 @@ def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str
                 for at in range(0, len(classes), 1 << 15):
                     logs[at : min(at + (1 << 15), len(classes))] = own.log_probabilities(around[at : at + (1 << 15)], classes[at : at + (1 << 15)])
                 counts = np.diff(firsts)
+                text, hashes, times = within_class(data, offsets, classes, firsts, logs, table) if table else _NO_REST
                 sums = np.where(counts > 0, np.add.reduceat(logs, firsts[:-1]), 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(counts, pa.int64()), pa.array(sums)], ["id", "n_tokens", "log_likelihood"])
+                edges = pa.array(np.searchsorted(text, np.arange(end - row + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (hashes.view(np.int64), times)]
+                keys = pa.array(key + np.arange(end - row))
+                key += end - row
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(counts, pa.int64()), pa.array(sums), keys, *lists], ["id", "n_tokens", "log_likelihood", "key", "words", "times"])
 
     columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     kind = columns.schema["id"].dataType.simpleString()
-    found = columns.mapInArrow(batches, f"id {kind}, n_tokens long, log_likelihood double")
+    found = columns.mapInArrow(batches, f"id {kind}, n_tokens long, log_likelihood double, key long, words array<long>, times array<long>")
+    if words is not None:
+        found = stored(found, "scored")
+        rest = found.select("key", F.explode(F.arrays_zip("words", "times")).alias("rest")).select("key", F.col("rest.words").alias("word"), F.col("rest.times").alias("times"))
+        # neither side has a bound
+        logs = rest.join(words.hint("merge"), "word", "left").groupBy("key").agg(F.sum(F.col("times") * F.log(F.coalesce("count", F.lit(0)) + SMOOTH)).alias("more"))
+        found = found.drop("words", "times").join(logs.hint("merge"), "key", "left")
+        found = found.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0)))
     return found.select(F.col("id").alias(id_column), "n_tokens", "log_likelihood", F.try_divide("log_likelihood", "n_tokens").alias("mean_log_likelihood"))
 
 
+_NO_REST = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def within_class(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, firsts: np.ndarray, logs: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds to ``logs`` what is known of log P(word | class); text, word and times of the words whose counts are not in ``table``."""
+    hashes, counts, sizes = table
+    at = np.flatnonzero(classes >= FREQUENT)
+    starts, ends, _ = word_spans(data, offsets)
+    own = span_hashes(data, starts[at], ends[at])
+    logs[at] -= sizes[classes[at] - FREQUENT]
+    there = np.zeros(len(at), bool)
+    if len(hashes):
+        place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+        there = hashes[place] == own
+        logs[at[there]] += np.log(counts[place[there]] + SMOOTH)
+    own, text = own[~there], np.searchsorted(firsts, at[~there], side="right") - 1
+    order = np.lexsort((own, text))
+    own, text = own[order], text[order]
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])])) if len(own) else np.zeros(0, np.int64)
+    return text[first], own[first], np.diff(np.append(first, len(own))).astype(np.int64)
+
+
 def score_all(docs: DataFrame) -> DataFrame:
     """Scores of all rows by a network that is trained on them."""
-    return score(docs, *train(docs))
+    words = stored(word_counts(docs), "words")
+    return score(docs, *train(docs, words=words), words=words)
