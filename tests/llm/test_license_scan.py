@@ -29,6 +29,20 @@ def test_reduction_ranks_the_own_template_first():
         assert L.reductions(text)[0][1] == i or len(text) < 80
 
 
+def test_a_short_notice_beside_long_texts_that_fail():
+    edited = [" ".join(w for i, w in enumerate(text.split()) if i % 5) for _, text in TEMPLATES if len(text) > 600]
+    for notice, name in (("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("All rights reserved.", "all-rights-reserved")):
+        for text in edited:
+            assert name in names(f"{text}\n{notice}\n")
+        assert name in names(" ".join(edited)[:1500] + "\n" + notice)
+
+
+def test_notices_over_lines():
+    assert names("Licensed under CC\nBY 4.0.\nmore") == ["CC-BY-4.0"]
+    assert names("Licensed under\nCC BY\n4.0.") == ["CC-BY-4.0"]
+    assert names("x\n\nThis work is licensed under the GNU General\nPublic License,\nversion 2.\n") == ["GPL-2.0"]
+
+
 def test_rows(spark):
     texts = ["x " * 50000 + "\nReleased under the MIT License.", None, "", "none", "é Licensed under CC BY 4.0. é"]
     docs = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string")

@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 Candidate blocks are found by cue words: the line of a cue, up to ``AROUND`` characters to either side,
-and as many behind it if a license's whole text begins with it; blocks less than ``GAP`` characters apart are one. Each block is compressed alone and with each
+the ``FOLLOWING`` lines behind it, over which a notice may be wrapped, and as many characters as before if a license's whole text begins with it; blocks less than ``GAP`` characters apart are one. Each block is compressed alone and with each
 template as a raw zstandard dictionary. What the dictionary saves, as a share of the block's own
-compressed size, ranks the templates; the best ``RANKED`` are confirmed by the exact differences in
-wording: the longest alignment of template words within the block, the words that are missing, and the
+compressed size, ranks the templates; ``RANKED`` of them at a time, best first, until one passes or all
+have failed, are confirmed by the exact differences in wording: the longest alignment of template words within the block, the words that are missing, and the
 words that stand between. The first template with no more than ``MISSING`` of its words missing and as
 few words added wins; a template whose words carry a version or a variant (a digit, or a short word such
 as NC) must have these words exactly. A block may hold several notices: the words of a winner are taken
@@ -29,7 +29,9 @@ from vellum.llm.license_texts import TEMPLATES
 
 #: Characters on either side of a cue that belong to its block at most; and between blocks that are joined.
 AROUND, GAP = 2000, 200
-#: Templates that are confirmed by their wording; share of words that may be missing, and that may be added.
+#: Lines behind a cue's line that belong to its block.
+FOLLOWING = 2
+#: Templates that are confirmed by their wording at a time; share of words that may be missing, and that may be added.
 RANKED, MISSING, ADDED = 4, 0.08, 0.15
 LEVEL = 9
 #: Blocks whose result a worker remembers.
@@ -52,8 +54,10 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for m in _CUES.finditer(text):
         start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - AROUND)
-        end = text.find("\n", m.end())
-        end = min(len(text) if end < 0 or _LONG.fullmatch(m[0]) else end, m.end() + AROUND)
+        end = len(text) if _LONG.fullmatch(m[0]) else text.find("\n", m.end())
+        for _ in range(FOLLOWING):
+            end = text.find("\n", end + 1) if 0 <= end < m.end() + AROUND else end
+        end = min(len(text) if end < 0 else end, m.end() + AROUND)
         if out and start <= out[-1][1] + GAP:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -105,7 +109,9 @@ def scanned(block: str) -> tuple[tuple[str, int, int, float, int, int], ...]:
     while words:
         text = block[words[0][1] : words[-1][2]] if not out else " ".join(block[a:b] for _, a, b in words)
         best = None
-        for share, i in reductions(text)[:RANKED]:
+        for k, (share, i) in enumerate(reductions(text)):
+            if best is not None and k % RANKED == 0:
+                break
             n = len(_template_words(i))
             first, last, missing, added = wording([w for w, _, _ in words], i)
             exact = all(len(w) > 2 and not any(c.isdigit() for c in w) for w in missing) if n < 30 else True
