@@ -43,6 +43,21 @@ def test_notices_over_lines():
     assert names("x\n\nThis work is licensed under the GNU General\nPublic License,\nversion 2.\n") == ["GPL-2.0"]
 
 
+def test_versions_and_variants_of_long_notices():
+    gpl = {version: next(text for name, text in TEMPLATES if name == f"GPL-{version}.0-or-later") for version in (2, 3)}
+    for version, text in gpl.items():
+        assert names(text) == names(text.replace("hope that it", "hope it")) == [f"GPL-{version}.0-or-later"]
+        for kind in ("Lesser", "Affero", "Library"):
+            assert names(text.replace("GNU General", f"GNU {kind} General")) == []
+        for other in ("1", "2.1"):
+            assert names(text.replace(f"version {version}", f"version {other}")) == []
+        assert names(text.replace(", or (at your option) any later version", " only")) == []
+    bsd = next(text for name, text in TEMPLATES if name == "BSD-2-Clause")
+    assert names(bsd.replace("1. ", "* ").replace("2. ", "* ")) == ["BSD-2-Clause"]
+    assert names("This work is licensed under the GNU Lesser General Public License, version 2.") == []
+    assert names("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.") == []
+
+
 def test_rows(spark):
     texts = ["x " * 50000 + "\nReleased under the MIT License.", None, "", "none", "é Licensed under CC BY 4.0. é"]
     docs = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string")

@@ -6,8 +6,8 @@ template as a raw zstandard dictionary. What the dictionary saves, as a share of
 compressed size, ranks the templates; ``RANKED`` of them at a time, best first, until one passes or all
 have failed, are confirmed by the exact differences in wording: the longest alignment of template words within the block, the words that are missing, and the
 words that stand between. The first template with no more than ``MISSING`` of its words missing and as
-few words added wins; a template whose words carry a version or a variant (a digit, or a short word such
-as NC) must have these words exactly. A block may hold several notices: the words of a winner are taken
+few words added wins. Words that carry a version or a variant (a number that is no list's, or a word such as
+NC, lesser, affero, only) must neither be missing nor added, and in templates of under 30 words no short word or number may be missing. A block may hold several notices: the words of a winner are taken
 out and the rest is looked at again.
 
 Each task scans its own texts; nothing is shuffled. Equal blocks are compressed once. Null texts hold no
@@ -17,7 +17,7 @@ license, repeated rows are scanned each, an empty table gives no rows, other col
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -34,6 +34,8 @@ FOLLOWING = 2
 #: Templates that are confirmed by their wording at a time; share of words that may be missing, and that may be added.
 RANKED, MISSING, ADDED = 4, 0.08, 0.15
 LEVEL = 9
+#: Words that tell licenses of nearly one wording apart, alone or as a part of a word with hyphens.
+VARIANTS = frozenset("lesser affero only later nc sa nd noncommercial sharealike noderivatives noderivs".split())
 #: Blocks whose result a worker remembers.
 REMEMBERED = 20_000
 
@@ -90,16 +92,32 @@ def _template_words(i: int) -> tuple[str, ...]:
     return tuple(w for w, _, _ in words_of(TEMPLATES[i][1]))
 
 
-def wording(words: list[str], i: int) -> tuple[int, int, list[str], list[str]]:
-    """First and last word of the block that are aligned to template ``i``, its words that are missing and those added between."""
+def decides(words: Sequence[str], k: int, versions: bool = False) -> bool:
+    """Whether word ``k`` is one of a version or a variant; with ``versions`` any number is one, else only one behind "version"."""
+    word = words[k]
+    if not VARIANTS.isdisjoint(re.split("[-.']", word)) or word == "library" and words[k + 1 : k + 2] == ["general"]:
+        return True
+    return any(c.isdigit() for c in word) and (versions or (k > 0 and words[k - 1] in ("version", "v")))
+
+
+@lru_cache(maxsize=len(TEMPLATES))
+def _deciding(i: int) -> frozenset[int]:
+    """Words of a template that must be there: numbers of lists are none of them."""
+    words, text = _template_words(i), TEMPLATES[i][1]
+    lists = {k for k, (_, a, _) in enumerate(words_of(text)) if re.match(r"[0-9]+\.\s", text[a:]) and (a == 0 or text[a - 1] == "\n")}
+    return frozenset(k for k in range(len(words)) if k not in lists and decides(words, k, versions=True))
+
+
+def wording(words: list[str], i: int) -> tuple[int, int, list[int], list[int]]:
+    """First and last word of the block that are aligned to template ``i``, places of its words that are missing and of those added between."""
     template = list(_template_words(i))
     found = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
     if not found:
-        return 0, 0, template, []
+        return 0, 0, list(range(len(template))), []
     first, last = found[0].b, found[-1].b + found[-1].size
     matched = {k for b in found for k in range(b.b, b.b + b.size)}
     there = {k for b in found for k in range(b.a, b.a + b.size)}
-    return first, last, [w for k, w in enumerate(template) if k not in there], [words[k] for k in range(first, last) if k not in matched]
+    return first, last, [k for k in range(len(template)) if k not in there], [k for k in range(first, last) if k not in matched]
 
 
 @lru_cache(maxsize=REMEMBERED)
@@ -113,8 +131,11 @@ def scanned(block: str) -> tuple[tuple[str, int, int, float, int, int], ...]:
             if best is not None and k % RANKED == 0:
                 break
             n = len(_template_words(i))
-            first, last, missing, added = wording([w for w, _, _ in words], i)
-            exact = all(len(w) > 2 and not any(c.isdigit() for c in w) for w in missing) if n < 30 else True
+            plain = [w for w, _, _ in words]
+            first, last, missing, added = wording(plain, i)
+            exact = _deciding(i).isdisjoint(missing) and not any(decides(plain, k) for k in added)
+            if n < 30:
+                exact = exact and all(len(w) > 2 and not any(c.isdigit() for c in w) for w in (_template_words(i)[k] for k in missing))
             if len(missing) <= MISSING * n and len(added) <= ADDED * n + (n >= 30) and exact:
                 rank = (len(missing) + len(added)) / n, -n
                 if best is None or rank < best[0]:
