@@ -70,6 +70,36 @@ def test_windows_cover_all_anchors():
     assert P.windows_of("no such thing") == []
 
 
+class Marker:
+    """Marks what a pattern finds in the windows' characters."""
+
+    def __init__(self, kind, pattern):
+        self.kind, self.pattern = kind, re.compile(pattern)
+
+    def decode(self, ids):
+        out = np.zeros(ids.shape, np.int64)
+        for row, own in zip(out, ids):
+            for m in self.pattern.finditer("".join(chr(c + 30) if c else "\n" for c in own)):
+                row[m.start()] = 2 * self.kind + 1
+                row[m.start() + 1 : m.end()] = 2 * self.kind + 2
+        return out
+
+
+def test_spans_over_a_windows_edge_are_joined():
+    long = "ann.smith [at] department [dot] informatics [dot] university [dot] example [dot] org", "a" * 70 + " [at] " + "b" * 120 + " [dot] org", "x" * 45 + "[at]host[dot]org"
+    for item in long:
+        for before in range(0, 130, 7):
+            text = "!" * before + item + "!" * 130
+            assert P.added(Marker(0, r"[\w.\[\] ]+"), [text], [[]]) == [[(0, before, before + len(item))]], (item, before)
+
+
+def test_phones_of_other_countries():
+    for text in ("0049 30 1234567", "030 12345678", "0044 (20) 7946 0958", "(212) 555-0123", "01 23 45 67 89"):
+        assert P.plausible(3, text)
+    for text in ("123-4567", "1234567890123456", "12345678x"):
+        assert not P.plausible(3, text)
+
+
 def test_overlapping_spans_are_reconciled():
     assert P.reconciled([(0, 0, 10), (1, 5, 30), (0, 31, 40), (0, 0, 10)], [(2, 33, 34)]) == [(1, 5, 30)]
     assert sorted(P.reconciled([(0, 0, 10), (1, 9, 12), (3, 12, 20)], [])) == [(0, 0, 10), (3, 12, 20)]

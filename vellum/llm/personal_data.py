@@ -8,8 +8,8 @@ sample of documents, and written-around forms set into the same surroundings (``
 
 Whatever the tagger may add has a digit, an at sign or a bracketed "at" in it, so text farther than
 ``REACH`` characters from all of these can hold none, and windows are laid over the rest: ``WINDOW``
-characters, half a window apart. Windows overlap; a span that touches a window's edge is left to the
-window that has it inside. The windows' spans of a text are reconciled globally: those that overlap
+characters, half a window apart. Windows overlap; where a span touches a window's edge one more window is
+laid across the edge if there is none, and its parts are joined. The windows' spans of a text are reconciled globally: those that overlap
 a rule's find go, and of spans that overlap each other the set of greatest total length stays.
 
 Null texts are empty. Rows that repeat are searched each. Other columns are not read. An empty table
@@ -44,7 +44,7 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(r"[0-9@]|[\[(] ?[aA][tT] ?[\])]")
+_ANY = re.compile(r"[0-9@]|[\[(] ?(?:[aA][tT]|[dD][oO][tT]) ?[\])]")
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +94,7 @@ def plausible(kind: int, text: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9]+(?: ?(?:\.|[\[(]\.?(?:dot)?[\])]) ?[0-9]+){3}", text))
     if kind == 2:
         return 16 <= len(digits) <= 19 and luhn(digits)
-    return len(digits) == 10 and bool(re.fullmatch(r"\(?[0-9]{3}\)?[ .-]{0,2}[0-9]{3}[ .-][0-9]{4}", text))
+    return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?\(?[0-9]++\)?(?:[ ./-]{0,3}\(?[0-9]++\)?)*", text))
 
 
 def character_ids(text: str) -> np.ndarray:
@@ -217,12 +217,27 @@ def reconciled(found: list[tuple[int, int, int]], rules: list[tuple[int, int, in
     return out
 
 
+def joined(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Parts of a kind that overlap or touch, as one span each."""
+    out: list[tuple[int, int, int]] = []
+    for kind, start, end in sorted(parts):
+        if out and out[-1][0] == kind and start <= out[-1][2]:
+            out[-1] = kind, out[-1][1], max(out[-1][2], end)
+        else:
+            out.append((kind, start, end))
+    return out
+
+
 def added(tagger: Tagger, texts: list[str], rules: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """For each text the spans that the tagger adds to the rules' finds."""
     places = [(i, start) for i, text in enumerate(texts) for start in windows_of(text)]
+    laid = set(places)
     found: list[list] = [[] for _ in texts]
-    for first in range(0, len(places), DECODED):
+    parts: list[list] = [[] for _ in texts]
+    first = 0
+    while first < len(places):  # windows across edges are added while others are decoded
         some = places[first : first + DECODED]
+        first += len(some)
         ids = np.zeros((len(some), WINDOW), np.uint8)
         for row, (i, start) in enumerate(some):
             own = character_ids(texts[i][start : start + WINDOW])
@@ -231,9 +246,17 @@ def added(tagger: Tagger, texts: list[str], rules: list[list[tuple[int, int, int
         for row in np.flatnonzero((labels > 0).any(axis=1)):
             i, start = some[row]
             for kind, a, b in spans_of(labels[row]):
-                whole = (a > 0 or start == 0) and (b < WINDOW or start + b >= len(texts[i]))
-                if whole and start + b <= len(texts[i]) and plausible(kind, texts[i][start + a : start + b]):
+                before, behind = a == 0 and start > 0, b == WINDOW and start + b < len(texts[i])
+                if before or behind:
+                    parts[i].append((kind, start + a, start + b))
+                    for other in [max(0, start - WINDOW // 2)] * before + [start + WINDOW // 2] * behind:
+                        if (i, other) not in laid:
+                            laid.add((i, other))
+                            places.append((i, other))
+                elif start + b <= len(texts[i]) and plausible(kind, texts[i][start + a : start + b]):
                     found[i].append((kind, start + a, start + b))
+    for text, own, cut in zip(texts, found, parts):
+        own += [x for x in joined(cut) if plausible(x[0], text[x[1] : x[2]])]
     return [reconciled(f, r) for f, r in zip(found, rules)]
 
 
