@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.llm.store import unused
+
 #: Bits of a filter for each key that it holds, and at most (16 MB); beyond, more false keys pass.
 BITS_PER_KEY, FILTER_BITS = 32, 1 << 27
 
@@ -54,6 +56,7 @@ def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     """
     name = gone.columns[0]
     held = filter_of(gone.where(F.col(name).isNotNull()).select(F.xxhash64(name).alias("key")).distinct(), "key")
-    marked = rows.withColumn("__may", member(rows, held, F.xxhash64(rows[column])))
-    kept = marked.where("__may").drop("__may").join(gone.select(F.col(name).alias("__gone")).hint("merge"), F.col(column) == F.col("__gone"), "left_anti")
-    return marked.where("not __may").drop("__may").unionByName(kept)
+    may, lost = unused(rows.columns, "may"), unused(rows.columns, "gone")
+    marked = rows.withColumn(may, member(rows, held, F.xxhash64(rows[column])))
+    kept = marked.where(F.col(may)).drop(may).join(gone.select(F.col(name).alias(lost)).hint("merge"), F.col(column) == F.col(lost), "left_anti")
+    return marked.where(~F.col(may)).drop(may).unionByName(kept)

@@ -6,12 +6,15 @@ its smallest line hash as its fingerprint, so two equal windows select the same
 of that length two places share has a fingerprint in common. Fingerprints that occur at one place
 only are dropped; windows behind the others are joined by position with the first place (smallest
 id, then line) that has the same window. Matches on the same diagonal of two texts are extended both
-ways to maximal runs, and every run that is not the first of its kind is deleted.
+ways to maximal runs, and every run that is not the first of its kind is deleted. Where a run overlaps
+its own source (lines that repeat at once), the source stays whole and what is behind it is deleted.
 
 The order of ids is the order of texts. Nothing is compared in pairs: each window meets only the
 first of its kind, whose minimum is combined before the shuffle, so a line that a third of all texts
 share costs one row a place. Null and empty texts, and rows without an id, stay as they are; rows
-that share an id count as one text. A text whose lines are all repeated becomes empty.
+that share an id count as one text. A text whose lines are all repeated becomes empty. Very long texts are
+a slice of their own. Any other columns stay as they are, whatever their names. An empty table stays empty.
+Contents of windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from vellum.llm.arrowtext import mixed, span_hashes, task_memory, text_slices, word_spans
 from vellum.llm.filters import filter_of, member
-from vellum.llm.store import stored
+from vellum.llm.store import stored, unused
 
 #: Lines of a run that is deleted in any case, and words of one that has fewer lines.
 RUN_LINES, RUN_WORDS = 3, 50
@@ -100,7 +103,7 @@ def windows(docs: DataFrame, id_column: str, text_column: str, run_lines: int, r
 
 
 def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
-    """(id, start, stop, source_id, source_start): maximal runs of lines that an earlier place has, and that place."""
+    """(id, start, stop, source_id, source_start, cut): maximal runs of lines that an earlier place has, that place, and the first line to delete."""
     if not 1 <= run_lines <= len(_PLACES):
         raise ValueError(f"run_lines is not in 1..{len(_PLACES)}")
     found = stored(windows(docs, id_column, text_column, run_lines, run_words), "windows")
@@ -108,16 +111,18 @@ def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     shared = stored(shared, "fingerprints")
     # none of these tables has a bound, so none is broadcast
     found = found.join(shared.hint("merge"), "fingerprint", "left_semi").select("id", "start", "stop", "content")
-    first = found.groupBy("content").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("places")).where("places > 1")
-    first = stored(first.select("content", F.col("first.id").alias("source_id"), F.col("first.start").alias("source_start")), "first")
+    first = found.groupBy("content").agg(F.min(F.struct("id", "start", "stop")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    first = stored(first.select("content", F.col("first.id").alias("source_id"), F.col("first.start").alias("source_start"), F.col("first.stop").alias("source_stop")), "first")
     later = found.join(first.hint("merge"), "content").where("id > source_id or start > source_start")
     # matches on one diagonal that touch or overlap are one run
     diagonal = W.partitionBy("id", "source_id", "diagonal").orderBy("start", "stop")
     later = later.withColumn("diagonal", F.col("start") - F.col("source_start"))
     later = later.withColumn("reached", F.max("stop").over(diagonal.rowsBetween(W.unboundedPreceding, -1)))
     later = later.withColumn("run", F.count(F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached") + 1), 1)).over(diagonal))
-    runs = later.groupBy("id", "source_id", "diagonal", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("source_start").alias("source_start"))
-    return runs.select("id", "start", "stop", "source_id", "source_start")
+    runs = later.groupBy("id", "source_id", "diagonal", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("source_start").alias("source_start"), F.max("source_stop").alias("source_stop"))
+    # a source is never cut
+    cut = F.when(F.col("id") == F.col("source_id"), F.greatest(F.col("start"), F.col("source_stop") + 1)).otherwise(F.col("start"))
+    return runs.select("id", "start", "stop", "source_id", "source_start", cut.alias("cut")).where("cut <= stop")
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
@@ -142,22 +147,24 @@ def _without(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFr
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", removed_column: str | None = None, **limits: int) -> DataFrame:
     """``docs`` with the later repeats of runs of lines deleted from the text; all columns stay.
 
-    ``removed_column``, if named, is added: the number of lines deleted.
+    ``removed_column``, if named, is added, or takes the place of the column of that name: the number of lines deleted.
     """
     runs = repeated_runs(docs, id_column, text_column, **limits)
-    cuts = runs.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    cuts = stored(cuts.select(F.col("id").alias("__id"), "starts", "stops"), "cuts")
+    row, key, may, found = (unused([*docs.columns, "starts", "stops"], c) for c in ("row", "key", "may", "cut"))
+    cuts = runs.groupBy("id").agg(F.collect_list("cut").alias("starts"), F.collect_list("stop").alias("stops"))
+    cuts = stored(cuts.select(F.col("id").alias(key), "starts", "stops"), "cuts")
     # texts without a cut stay where they are
-    held = filter_of(cuts.select(F.xxhash64("__id").alias("key")), "key")
-    marked = docs.withColumn("__may", member(docs, held, F.xxhash64(docs[id_column])))
-    whole = marked.where("__may").select(F.struct(*[F.col(c) for c in docs.columns]).alias("__row"), F.col(id_column).alias("__id"))
-    joined = whole.join(cuts.hint("merge"), "__id", "left")
-    text = F.col("__row")[text_column]
+    held = filter_of(cuts.select(F.xxhash64(key).alias("key")), "key")
+    marked = docs.withColumn(may, member(docs, held, F.xxhash64(docs[id_column])))
+    whole = marked.where(F.col(may)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_column).alias(key))
+    joined = whole.join(cuts.hint("merge"), key, "left")
+    text = F.col(row)[text_column]
     hit = F.col("starts").isNotNull() & text.isNotNull()
-    joined = joined.withColumn("__cut", _without(F.when(hit, text), F.col("starts"), F.col("stops")))
-    columns = [(F.when(hit, F.col("__cut.text")).otherwise(text) if c == text_column else F.col("__row")[c]).alias(c) for c in docs.columns]
-    same = marked.where("not __may").drop("__may")
+    joined = joined.withColumn(found, _without(F.when(hit, text), F.col("starts"), F.col("stops")))
+    kept = [c for c in docs.columns if removed_column is None or c.lower() != removed_column.lower()]
+    columns = [(F.when(hit, F.col(found)["text"]).otherwise(text) if c == text_column else F.col(row)[c]).alias(c) for c in kept]
+    same = marked.where(~F.col(may)).select(*[F.col(f"`{c}`") for c in kept])
     if removed_column:
-        columns.append(F.when(hit, F.col("__cut.removed")).otherwise(0).alias(removed_column))
+        columns.append(F.when(hit, F.col(found)["removed"]).otherwise(0).alias(removed_column))
         same = same.withColumn(removed_column, F.lit(0))
     return same.unionByName(joined.select(*columns))

@@ -1,13 +1,12 @@
 """Tables written to the folder that driver and executors share, and read again.
 
 A written table cuts the lineage and survives lost executors. The folder is
-the session's ``spark.checkpoint.dir``; only where none is set (local tests)
-a folder of the local machine is taken.
+the session's ``spark.checkpoint.dir``; only a local session may go without,
+a cluster's executors could not read what others wrote to their own disks.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,14 +24,24 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for tables between jobs."""
+    """The folder for tables between jobs; a session on a cluster must name one."""
     folder = spark.conf.get(CHECKPOINT, "")
     if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} names no folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tables-")
         spark.conf.set(CHECKPOINT, folder)
     return folder.rstrip("/")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as far as ``columns`` have it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
