@@ -13,7 +13,8 @@ def rows_of(spark, rows):
 def test_edited_text_is_made_with_the_next_document(spark, monkeypatch):
     monkeypatch.setattr(S, "BUCKET_ROWS", 4)
     rng = random.Random(4)
-    ids = rng.sample(range(-(10**12), 10**12), 40) + list(range(60))
+    monkeypatch.setattr(S, "OVERSAMPLED", 2)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(40)] + list(range(60))
     rows = [(i, "".join(rng.choice("ab é\U0001f600 \n") for _ in range(rng.randrange(40)))) for i in ids]
     docs = rows_of(spark, rows)
     got = {r.doc_id: r for r in S.edited(docs).collect()}
@@ -77,3 +78,21 @@ def test_edges_of_the_input(spark):
     one = S.edited(rows_of(spark, [(20, "only one here now")])).first()
     assert (one.near_next, one.n_within) == (1.0, 1)
     assert S.edited(rows_of(spark, [])).count() == 0
+
+
+def test_buckets_follow_the_rows_and_not_the_ids(spark):
+    docs = spark.range(20_000).selectExpr("id", "cast(id % 7 as string) as text").union(spark.createDataFrame([(10**18, "far")], "id long, text string"))
+    sizes = [r["count"] for r in S.with_next(docs).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 20_001 and 40 < len(sizes) < 120 and max(sizes) < 2500
+    same = spark.range(5_000).selectExpr("7L as id", "cast(id as string) as text")
+    assert len(S.bucket_bounds(same)) > 10
+    found = S.with_next(same).collect()
+    assert sorted(r.next_text for r in found) == sorted(str(i) for i in range(5_000))
+
+
+def test_ids_of_other_types(spark):
+    words = spark.createDataFrame([("b", "b text"), ("a", "a text"), ("é", "last"), ("20", "first")], "doc_id string, text string")
+    got = {r.doc_id: (r.edited_sha256, r.n_within) for r in S.edited(words).collect()}
+    want = {"20": "firsa", "a": "a texb", "b": "b texl", "é": "lasf"}
+    assert {k: v[0] for k, v in got.items()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in want.items()}
+    assert [k for k, v in got.items() if v[1]] == ["20"]

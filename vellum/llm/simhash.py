@@ -12,12 +12,15 @@ keyed by the bits in the chosen blocks (the permuted tables of a sorted index; t
 here). A pair is given by the first table in which it agrees. Equal fingerprints are one row with a count.
 
 Null texts are empty; the fingerprint of a text without words is 0. Every row is fingerprinted, rows
-that repeat as often as they occur; the next document of a row is by (id, text), so rows that share an
-id follow each other. A row without an id has an empty next text.
+that repeat as often as they occur. The next document of a row is by id, of rows that share one by a hash of
+their text. Ids are of any type that has an order; only those that are whole numbers can ask. A row without
+an id has an empty next text. An empty table gives no rows, other columns are not read. A very long text is
+split into words in one row, as an array; its votes are summed like those of others.
 """
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from vellum.llm.store import stored
 
 MOST_WEIGHT = 16
-#: Rows of a bucket of neighbouring ids, on average, and buckets at most: the bound of a broadcast of two longs each.
-BUCKET_ROWS, BUCKETS = 256, 1 << 18
+#: Rows of a bucket of neighbouring ids, on average; buckets at most; rows that are drawn for each bound.
+BUCKET_ROWS, BUCKETS, OVERSAMPLED = 256, 1 << 14, 8
 
 _PAIR = 0x0000000100000001
 _HALF = 0xFFFFFFFF
@@ -39,29 +42,43 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\t-\\r]+"), lambda w: w != "")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(id, text) ``docs`` with ``next_id`` and ``next_text`` of the next row by (id, text), the first after the last; and (bucket, place), a key of rows.
+def bucket_bounds(docs: DataFrame) -> list[tuple]:
+    """(id, hash) of the first row of each bucket of (id, text) ``docs`` in the order of ids and texts' hashes.
 
-    Ids fall into buckets of equal width. The first of each bucket also goes, as a copy, to the bucket
-    before it that has rows; so one shuffle brings a row and the next together, whatever the ids.
+    The first is the first row of all; the others are every ``OVERSAMPLED``-th of a set of rows chosen by a hash, so that
+    buckets have about ``BUCKET_ROWS`` rows whatever the ids are. What reaches the driver is bounded by ``BUCKETS``.
     """
-    ids = docs.where("id is not null").select(F.col("id").cast("long").alias("id"))
-    low, high, rows = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    ids = docs.where("id is not null")
+    rows, low = ids.agg(F.count("*"), F.min("id")).first()
     if not rows:
-        low = high = 0
-    width = (high - low) // min(BUCKETS, max(1, rows // BUCKET_ROWS)) + 1
-    bucket = F.expr(f"cast(id as long) div {width}L")
-    firsts = ids.groupBy(bucket.alias("bucket")).agg(F.min("id").alias("first"))
-    order = W.orderBy("bucket")
-    firsts = firsts.select("first", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("last"))
-    firsts = firsts.select("first", F.coalesce("before", "last").alias("before"))
-    own = F.struct(bucket.alias("bucket"), F.lit(False).alias("copy"))
-    other = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy"))
-    dealt = docs.join(F.broadcast(firsts), F.col("id").cast("long") == F.col("first"), "left")
-    dealt = dealt.select("id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, other))).alias("to"))
+        return []
+    least = ids.where(F.col("id") == F.lit(low)).agg(F.min(F.xxhash64("text"))).first()[0]
+    buckets = min(BUCKETS, rows // BUCKET_ROWS)
+    drawn = F.pmod(F.xxhash64("id", "hash", F.lit("bounds")), F.lit(rows)) < buckets * OVERSAMPLED
+    chosen = ids.select("id", F.xxhash64("text").alias("hash")).where(drawn).distinct().collect() if buckets > 1 else []
+    return [(low, least), *sorted(tuple(r) for r in chosen if tuple(r) != (low, least))[OVERSAMPLED - 1 :: OVERSAMPLED]]
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(id, text) ``docs`` with ``next_id`` and ``next_text`` of the next row by id and text's hash, the first after the last; and (bucket, alone, place), a key of rows.
+
+    Rows fall into buckets by ``bucket_bounds``, found by binary search. The first row of each bucket also
+    goes, as a copy, to the bucket before it; so one shuffle brings a row and the next together.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    bounds = bucket_bounds(docs)
+    table = F.from_json(F.lit(json.dumps([{"id": i, "hash": h} for i, h in bounds], default=str)), f"array<struct<id:{kind},hash:bigint>>")
+    own_key = F.struct(F.col("id"), F.col("hash"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(bounds).bit_length())))])
+    bucket = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step < len(bounds)) & (own_key >= F.get(table, low + step)), low + step).otherwise(low))
+    placed = docs.withColumn("hash", F.xxhash64("text")).withColumn("bucket", F.when(F.col("id").isNotNull(), bucket))
+    own = F.struct(F.col("bucket"), F.lit(False).alias("copy"))
+    other = F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(1, len(bounds)))).alias("bucket"), F.lit(True).alias("copy"))
+    is_first = F.coalesce(own_key == F.get(table, F.col("bucket")), F.lit(False))
+    dealt = placed.select("id", "text", "hash", F.explode(F.when(is_first, F.array(own, other)).otherwise(F.array(own))).alias("to"))
     # rows without an id are spread by their text
-    dealt = dealt.select("id", "text", "to.bucket", "to.copy", F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1 << 20))).alias("alone"))
-    by = W.partitionBy("bucket", "alone").orderBy("copy", "id", "text")
+    dealt = dealt.select("id", "text", "hash", "to.bucket", "to.copy", F.when(F.col("id").isNull(), F.pmod("hash", F.lit(1 << 20))).alias("alone"))
+    by = W.partitionBy("bucket", "alone").orderBy("copy", "id", "hash")
     named = F.col("id").isNotNull()
     found = dealt.select("id", "text", "copy", "bucket", "alone", F.row_number().over(by).alias("place"), F.lead("id").over(by).alias("next_id"), F.when(named, F.lead("text").over(by)).alias("next_text"))
     return found.where("not copy")
@@ -125,7 +142,8 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks
     first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(table)])
     left, right = left.alias("l"), right.alias("r")
     same = (F.col("l.table") == F.col("r.table")) & (F.col("l.key") == F.col("r.key")) & (F.bit_count(differ) <= radius) & (first == F.col("l.table"))
-    return left.join(right, same).select("query", "bits", "rows", distance("query", "bits").alias("distance"))
+    # neither side has a bound
+    return left.join(right.hint("merge"), same).select("query", "bits", "rows", distance("query", "bits").alias("distance"))
 
 
 def edited(docs: DataFrame, radius: int = 3, query_step: int = 20) -> DataFrame:
@@ -143,14 +161,14 @@ def edited(docs: DataFrame, radius: int = 3, query_step: int = 20) -> DataFrame:
     rows = rows.withColumn("edited", change)
     keys = ["bucket", "alone", "place", "id", "n_chars", "text_hash", "next_id", "next_hash", "edited_sha256", "is_edited"]
     both = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("own")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("own")))
-    rows = rows.select("bucket", "alone", "place", "id", "n_chars", F.xxhash64("text").alias("text_hash"), "next_id", F.xxhash64("next_text").alias("next_hash"), F.sha2("edited", 256).alias("edited_sha256"), F.explode(both).alias("to"))
+    rows = rows.select("bucket", "alone", "place", "id", "n_chars", F.xxhash64("text").alias("text_hash"), "next_id", F.xxhash64("next_text").alias("next_hash"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), F.explode(both).alias("to"))
     prints = fingerprints(rows.select(*keys[:-1], "to.is_edited", F.col("to.own").alias("own")), keys, "own")
     pick = lambda kind: F.max(F.when(F.col("is_edited") == kind, F.col("bits")))
     prints = stored(prints.groupBy(*keys[:-1]).agg(pick(False).alias("bits"), pick(True).alias("edited_bits")), "fingerprints")
     following = prints.where("id is not null").select(F.col("id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("bits").alias("next_bits")).distinct()
-    found = prints.join(following, ["next_id", "next_hash"], "left").withColumn("next_bits", F.coalesce("next_bits", F.lit(0).cast("long")))
-    asked = prints.where(F.col("id") % query_step == 0).select("bucket", "place", F.col("bits").alias("query"))
+    found = prints.join(following.hint("merge"), ["next_id", "next_hash"], "left").withColumn("next_bits", F.coalesce("next_bits", F.lit(0).cast("long")))
+    asked = prints.where(F.expr(f"try_cast(id as decimal(38, 0)) % {query_step} = 0")).select("bucket", "place", F.col("bits").alias("query"))
     counts = within_radius(asked.select(F.col("query").alias("bits")), prints, radius).groupBy("query").agg(F.sum("rows").alias("n_within"))
     counts = stored(counts, "counts")  # so that a fingerprint that very many rows have is split by the join
-    found = found.join(asked.join(counts, "query").drop("query"), ["bucket", "place"], "left")
-    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_text("bits").alias("fingerprint"), as_text("edited_bits").alias("edited_fingerprint"), likeness("bits", "edited_bits").alias("near_edited"), likeness("bits", "next_bits").alias("near_next"), "n_within")
+    found = found.join(asked.join(counts.hint("merge"), "query").drop("query").hint("merge"), ["bucket", "place"], "left")
+    return found.select(F.col("id").alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_text("bits").alias("fingerprint"), as_text("edited_bits").alias("edited_fingerprint"), likeness("bits", "edited_bits").alias("near_edited"), likeness("bits", "next_bits").alias("near_next"), "n_within")
