@@ -45,6 +45,8 @@ def test_components_as_by_brute_force(spark, seed, small, monkeypatch):
     monkeypatch.setattr(N, "SMALL_BAND", small)  # 1: all in blocks
     monkeypatch.setattr(N, "BLOCK_OUTSIDE", 3)
     monkeypatch.setattr(N, "BLOCK_OTHERS", 7)
+    monkeypatch.setattr(N, "SIGNED_OUTSIDE", 4)
+    monkeypatch.setattr(N, "SIGNED_OTHERS", 9)
     rng = random.Random(seed)
     words = ["w%d" % i for i in range(400)]
     texts = [None, "", " \n\t", "One", "one", "a b", "A  b", "x " * 3000]
@@ -85,3 +87,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_members_without_a_likely_partner_move_no_text(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    common = say(25)
+    texts = [f"{common} {say(60)}" for _ in range(50)]
+    texts += [texts[7] + " end", texts[9] + " end"]
+    signed = N.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = signed.selectExpr("1L as band", "id", "id as label", "id = 0 as inside", "n", "bits", "bands", "52L as size", "51L as outside")
+    got = {(r.id, r.size, r.outside) for r in N.with_likely_partners(rows).collect()}
+    assert got == {(7, 4, 4), (9, 4, 4), (50, 4, 4), (51, 4, 4)}

@@ -11,14 +11,16 @@
 4. A band's members are first held against its smallest id only. Of what is then still in different
    components of the same band, the members outside the band's largest component are held against all
    others: in bands of up to ``SMALL_BAND`` members as pairs, in larger ones in blocks, each a few such
-   members and a stream of others, from which only links come out. No partner is left out.
+   members and a stream of others. Blocks of packed signatures come first and give the members that have
+   a likely partner at all; blocks of these members' texts give the links. No partner is left out.
 5. Links between classes give components by label propagation.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, and its estimate
 is off by ``MARGIN`` (over 5 standard deviations) less often than 1e-6. Shingles are compared by
-64-bit hashes. Null and empty texts and texts without words have no shingles and are linked with
+64-bit hashes, equal sets by two sums of their members' hashes, 128 bits in all. Null and empty texts and texts without words have no shingles and are linked with
 nothing. Rows that repeat an id are all kept or all dropped. A row without an id is dropped if it is
-a copy of one with an id, and kept otherwise.
+a copy of one with an id, and kept otherwise. Very long texts are slices of their own, and count like others.
+Columns beside id and text are not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +45,9 @@ THRESHOLD = 75
 MARGIN = 0.25
 #: Members that are held against one text in one group.
 GROUP = 96
-#: Members of a band whose pairs are listed at most; and of larger ones, members outside the largest component, and others, of a block.
+#: Members of a band whose pairs are listed at most; and of larger ones, members outside the largest component, and others, of a block: of texts, and of signatures.
 SMALL_BAND, BLOCK_OUTSIDE, BLOCK_OTHERS = 32, 64, 2048
+SIGNED_OUTSIDE, SIGNED_OTHERS = 2048, 32768
 
 _random = np.random.default_rng(10)
 _FACTORS = (_random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[None, :]
@@ -172,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     alike = ~y("inside") & (x("label") != y("label")) & (x("inside") | (x("id") < y("id"))) & likely(x("n"), y("n"), x("bits"), y("bits"))
     more = stored(a.join(b, (x("band") == y("band")) & alike).select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct(), "candidates")
-    large = rows.where(F.col("size") > SMALL_BAND)
+    large = with_likely_partners(rows.where(F.col("size") > SMALL_BAND))
     further = stored(confirmed(more, _texts_of(more, ids)).union(confirmed_in_blocks(large, ids)), "links")
     if not further.isEmpty():
         labels = components(links.union(further))
@@ -190,20 +193,84 @@ def _texts_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.where(member(ids, held, F.xxhash64("id")))
 
 
-def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Links (a, b) between the members of ``rows``' bands that are outside the band's largest component and all members of other components.
+def in_blocks(rows: DataFrame, columns: list[str], outside_of: int, others_of: int) -> DataFrame:
+    """(band, block, part, role, ..) of ``rows``, block by block: first members outside the band's largest component (role 0), then a stream of members (role 1).
 
-    A block is a few members outside and a stream of others; both are split by hash into as many parts as
-    keep a block's size. A pair that shares several bands is looked at in the first of them.
+    Both are split by hash into as many parts as keep a block's size; every member outside meets every member in one block.
     """
-    outside, others = F.ceil(F.col("outside") / BLOCK_OUTSIDE), F.ceil(F.col("size") / BLOCK_OTHERS)
-    dealt = rows.join(_texts_of(rows, ids), "id").select("band", "id", "label", "inside", "bits", "bands", "text", outside.alias("outs"), others.alias("others"))
+    outside, others = F.ceil(F.col("outside") / outside_of), F.ceil(F.col("size") / others_of)
+    dealt = rows.select("band", *columns, "inside", outside.alias("outs"), others.alias("others"))
     own = lambda parts, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(parts))
     all_of = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
-    columns = ["id", "label", "bits", "bands", "text"]
     held = dealt.where("not inside").select("band", own("outs", 1).alias("block"), all_of("others").alias("part"), F.lit(0).alias("role"), *columns)
     stream = dealt.select("band", all_of("outs").alias("block"), own("others", 2).alias("part"), F.lit(1).alias("role"), *columns)
-    both = held.unionByName(stream).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "role")
+    return held.unionByName(stream).repartition("band", "block", "part").sortWithinPartitions("band", "block", "part", "role")
+
+
+def likely_beside(held: list[np.ndarray], label: object, n: int, bits: np.ndarray) -> np.ndarray:
+    """Which of the held (labels, sizes, bits) are of another component and by sizes and packed bits may be as similar as the threshold asks."""
+    labels, sizes, signed = held
+    differ = signed ^ bits.view(np.uint64)
+    differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+    share = ((1 - differ / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
+    return (labels != label) & (share >= THRESHOLD / 100 - MARGIN) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * THRESHOLD)
+
+
+def with_likely_partners(rows: DataFrame) -> DataFrame:
+    """The ``rows`` of large bands' members that have a likely partner in another component of the band, with the band's new ``size`` and ``outside``.
+
+    Only signatures are compared, and of a block no more comes out than its members.
+    """
+    both = in_blocks(rows, ["id", "label", "n", "bits"], SIGNED_OUTSIDE, SIGNED_OTHERS)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, waiting, held, hit = None, [], [], None, None
+
+        def hits() -> list[tuple]:
+            return [] if hit is None else [(key[0], ids[j]) for j in np.flatnonzero(hit)]
+
+        def out(found: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], kind)], ["band", "id"])
+
+        kind = None
+        for batch in source:
+            found, kind = [], batch.column(4).type
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            roles, names, labels, sizes = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
+            bits = np.stack(batch.column(7).to_numpy(zero_copy_only=False)) if batch.num_rows else None
+            for i, role in enumerate(roles):
+                if keys[i] != key:
+                    found += hits()
+                    key, ids, waiting, held, hit = keys[i], [], [], None, None
+                if role == 0:
+                    ids.append(names[i])
+                    waiting.append((labels[i], sizes[i], bits[i].view(np.uint64)))
+                elif waiting:
+                    if held is None:
+                        held = [np.array([w[0] for w in waiting], object), np.array([w[1] for w in waiting]), np.stack([w[2] for w in waiting])]
+                        hit = np.zeros(len(ids), bool)
+                    some = likely_beside(held, labels[i], sizes[i], bits[i])
+                    if some.any():
+                        hit |= some
+                        found.append((key[0], names[i]))
+            yield out(found, kind)
+        if kind is not None:
+            yield out(hits(), kind)
+
+    kind = rows.schema["id"].dataType.simpleString()
+    likely_ones = both.mapInArrow(batches, f"band long, id {kind}").distinct()
+    left = stored(rows.join(likely_ones.hint("merge"), ["band", "id"], "left_semi").drop("size", "outside"), "likely")
+    sizes = left.groupBy("band").agg(F.count("*").alias("size"), F.count_if(~F.col("inside")).alias("outside"))
+    return left.join(sizes, "band")
+
+
+def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of ``rows``' bands that are outside the band's largest component and all members of other components.
+
+    A pair that shares several bands is looked at in the first of them.
+    """
+    dealt = rows.join(_texts_of(rows, ids), "id")
+    both = in_blocks(dealt, ["id", "label", "bits", "bands", "text"], BLOCK_OUTSIDE, BLOCK_OTHERS)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, tables = None, [], None
@@ -223,13 +290,9 @@ def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
                         continue
                     if tables is None:
                         tables = [np.array([h[k] for h in held], object if k < 2 else None) for k in range(5)]
-                    n, differ = tables[2], tables[3] ^ bits[i].view(np.uint64)
-                    differ = np.bitwise_count((differ | (differ >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
-                    share = ((1 - differ / HASHES) - 2.0**-BITS) / (1 - 2.0**-BITS)
-                    common = tables[4] == bands[i]
+                    n, common = tables[2], tables[4] == bands[i]
                     here = tables[4][np.arange(len(held)), common.argmax(axis=1)] == key[0]
-                    some = here & (tables[1] != labels[i]) & (share >= THRESHOLD / 100 - MARGIN) & (np.minimum(n, len(own)) * 100 >= np.maximum(n, len(own)) * THRESHOLD)
-                    for j in np.flatnonzero(some):
+                    for j in np.flatnonzero(here & likely_beside(tables[1:4], labels[i], len(own), bits[i])):
                         both = len(np.intersect1d(held[j][5], own, assume_unique=True))
                         if 100 * both >= THRESHOLD * (n[j] + len(own) - both):
                             first.append(min(names[i], held[j][0]))
