@@ -12,8 +12,15 @@ characters, half a window apart. Windows overlap; where a span touches a window'
 laid across the edge if there is none, and its parts are joined. The windows' spans of a text are reconciled globally: those that overlap
 a rule's find go, and of spans that overlap each other the set of greatest total length stays.
 
-Null texts are empty. Rows that repeat are searched each. Other columns are not read. An empty table
-gives no rows; the tagger is then trained on built-in surroundings.
+A span's kind and end are settled by its characters: signs at its end are left off, and a row of digits that
+passes Luhn is a card, whatever kind of number was marked. On sentences written by hand, not by the generator
+of its training set (``tests/llm``), the tagger finds over nine in ten written-around forms, and over nine in
+ten of what it marks are right.
+
+Null texts are empty. Rows that repeat are searched each. Of spans of equal length that overlap the first one
+stays. Very long texts and runs of digits take a time in proportion to their length. Columns beside id and
+text are not read, whatever their names. An empty table gives no rows; the tagger is then trained on built-in
+surroundings. The sample for the training surroundings is bounded; every text is searched whole.
 """
 
 from __future__ import annotations
@@ -35,7 +42,9 @@ WINDOW, REACH = 96, 40
 #: Windows that are decoded at once.
 DECODED = 2048
 #: Examples of the training set, and documents that their surroundings are taken from at most.
-TRAINING, SAMPLE = 3000, 300
+TRAINING, SAMPLE = 6000, 300
+#: What is added to the score of a character in a span when windows are decoded.
+LEAN = 0.15
 
 #: The rules. EMAIL is found by its at signs and IP from the start of a run of digits,
 #: which gives the same leftmost matches in a time that does not grow with the square of a run.
@@ -73,7 +82,7 @@ def by_rules(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the plain forms, by kind, then start."""
     out = [(0, start, end) for start, end in emails(text)]
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if all(len(bare := x.lstrip("0")) <= 3 and int(bare or "0") <= 255 for x in m[0].split(".")):
             out.append((1, m.start(), m.end()))
     for m in CARD.finditer(text):
         digits = re.sub("[ -]", "", m[0])
@@ -97,6 +106,17 @@ def plausible(kind: int, text: str) -> bool:
     return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?\(?[0-9]++\)?(?:[ ./-]{0,3}\(?[0-9]++\)?)*", text))
 
 
+def settled(kind: int, start: int, end: int, text: str) -> tuple[int, int, int] | None:
+    """What the tagger marked, without signs at its end and of the kind that its characters allow: its own, else another of numbers; None if there is none."""
+    while end > start and not text[end - 1].isalnum():
+        end -= 1
+    own = text[start:end]
+    for other in (kind, *(k for k in (2, 1, 3) if kind and k != kind)):
+        if plausible(other, own):
+            return other, start, end
+    return None
+
+
 def character_ids(text: str) -> np.ndarray:
     """Classes of characters: printable ASCII each, other letters, other characters; 0 is none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -106,26 +126,50 @@ def character_ids(text: str) -> np.ndarray:
 CHARACTERS = 99
 
 
-def written_around(rng: np.random.Generator, kind: int) -> tuple[str, bool]:
-    """A made-up item of a kind, plain or written around, or something alike that is none."""
+#: Words that made-up names are put together from, and words before a number that make it a phone's, or none.
+_SYLLABLES = "an ber cla da el fra go hu in jo ka lo ma no ol pe ra sa ti ul va wi xe yo zu th er on st".split()
+_PARTS = "info mail john smith maria sales support team lab uni shop list web office anna peter group press".split()
+_PHONES = "call phone tel. fax mobile ring contact office".split()
+_NUMBERS = "serial order invoice item id ref model lot no. number ISBN code ticket case".split()
+
+
+#: Kinds as they are drawn: 4 is none.
+_DRAWN = (0, 0, 1, 2, 3, 3, 4, 4)
+
+
+def written_around(rng: np.random.Generator, kind: int) -> tuple[str, str, bool]:
+    """Words before, and a made-up item of a kind, plain or written around, or something alike that is none."""
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    name = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 9)))
     pick = lambda *x: x[rng.integers(len(x))]
+    name = lambda: pick(pick(*_PARTS), "".join(pick(*_SYLLABLES) for _ in range(rng.integers(1, 5))), chr(97 + rng.integers(26)))
     if kind == 0:
-        at, dot = pick(("@", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", " . "), (" [at] ", "."))
-        return f"{name()}{pick('', '.' + digits(2))}{at}{name()}{pick('', digits(1))}{dot}{pick('example' + dot + 'com', 'org', 'net', name() + dot + 'com')}", True
+        at = pick("@", " [at] ", "[at]", " (at) ", "(at)", " @ ", " [AT] ", "(AT)")
+        round_ones = "(" in at or (at == "@" and rng.random() < 0.5)
+        dot = pick(".", *((" (dot) ", "(dot)", " (DOT) ") if round_ones else (" [dot] ", "[dot]", " [DOT] ")), " . " if at == " @ " else ".")
+        local = name() + "".join(pick(".", "_", "-", ".") + pick(name(), digits(2)) for _ in range(pick(0, 0, 1, 1, 2))) + pick("", "", digits(rng.integers(1, 4)))
+        host = name() + pick("", "", "-" + name(), digits(rng.integers(1, 3)))
+        labels = [host, *(name() for _ in range(pick(0, 0, 1, 2, 3))), pick("com", "org", "net", "de", "fr", "es", "edu", "io", "co" + dot + "uk")]
+        return "", local + at + dot.join(labels), True
     if kind == 1:
-        dot = pick(".", "[.]", "(.)", " . ", "[dot]")
-        return dot.join(str(x) for x in rng.integers(1, 256, 4)), True
+        return "", pick(".", "[.]", "(.)", " . ", "[dot]", "(dot)", "[.]").join(str(x) for x in (rng.integers(0, 256, 4) if rng.random() < 0.7 else rng.integers(0, 20, 4))), True
     if kind == 2:
-        body = [4, *rng.integers(0, 10, 14)]
+        body = [pick(4, 5, 6), *rng.integers(0, pick(1, 10, 10), 14)]
         body.append((10 - sum((x * 2 - 9 * (x > 4)) if i % 2 == 0 else x for i, x in enumerate(body)) % 10) % 10)
-        whole, part = "".join(map(str, body)), pick("", " ", "-", ".", " - ")
-        return part.join(whole[i : i + 4] for i in range(0, 16, 4)), True
+        whole, part = "".join(map(str, body)), pick("", " ", "-", ".", ".", " - ", "/", "  ")
+        return pick("", "", "card "), part.join(whole[i : i + 4] for i in range(0, 16, 4)), True
     if kind == 3:
-        a, b, c = digits(3), digits(3), digits(4)
-        return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"{a} {b} {c}"), True
-    return pick(digits(rng.integers(1, 13)), f"v{digits(1)}.{digits(1)}.{digits(2)}", f"20{digits(2)}-0{digits(1)}-1{digits(1)}", f'token = "{hashlib.md5(digits(5).encode()).hexdigest()}"', f"{digits(1)},{digits(3)}.{digits(2)}", f"@{name()}", f"[{digits(1)}]", f"10:{digits(2)}"), False
+        a, b, c, two = digits(3), digits(3), digits(4), lambda n: " ".join(digits(2) for _ in range(n))
+        before = pick("", "", *(w + pick(" ", ": ") for w in _PHONES))
+        plain = pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b}-{c}", f"{a} {b} {c}")
+        other = pick(f"00{digits(2)} {digits(2)} {digits(7)}", f"00{digits(2)} ({digits(2)}) {digits(4)} {c}", f"(0{digits(2)}) {c} {digits(4)}", f"0{digits(3)} {digits(7)}", f"0{digits(1)} {two(4)}", f"0{digits(2)} {digits(8)}")
+        return before, plain if rng.random() < 0.6 else other, True
+    groups = pick(" ", "-", ".").join(digits(rng.integers(2, 5)) for _ in range(rng.integers(2, 6)))
+    return "", pick(
+        pick(*_NUMBERS) + pick(" ", " ", ": ") + pick(groups, digits(rng.integers(4, 17)), f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        digits(rng.integers(1, 13)), f"v{digits(1)}.{digits(1)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}.{digits(1)}{pick('a', 'b', 'rc1')}", f"{pick('1', '20')}{digits(2)}-0{digits(1)}-1{digits(1)}", f"19{digits(2)}-19{digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}",
+        f'token = "{hashlib.md5(digits(5).encode()).hexdigest()}"', f"{digits(1)},{digits(3)}.{digits(2)}", f"{digits(3)} - {digits(3)}", f"@{name()}", f"[{digits(1)}]", f"10:{digits(2)}", f"{digits(2)}.{digits(4)}, {digits(2)}.{digits(4)}", f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}",
+        f"{name()} {pick('(at)', '[at]', '@')} {name()} {name()}", f"{name()} (at) the {name()}", f"{digits(3)}x{digits(3)}",
+    ), False
 
 
 def examples(texts: list[str], n: int = TRAINING, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +183,13 @@ def examples(texts: list[str], n: int = TRAINING, seed: int = 3) -> tuple[np.nda
         text, marks = "", []
         while len(text) < 2 * WINDOW:
             at = int(rng.integers(0, len(filler) - WINDOW))
-            text += filler[at : at + int(rng.integers(0, rng.choice([3, 20, WINDOW])))] + str(rng.choice([" ", " ", " ", "\n", ", ", ": "]))
-            kind = int(rng.integers(0, 6))
-            item, is_one = written_around(rng, kind)
+            text += filler[at : at + int(rng.integers(0, rng.choice([3, 20, WINDOW])))] + str(rng.choice([" ", " ", " ", "\n", ", ", ": ", " (", "; "]))
+            kind = int(rng.choice(_DRAWN))
+            before, item, is_one = written_around(rng, kind)
+            text += before
             if is_one:
                 marks.append((kind, len(text), len(text) + len(item)))
-            text += item + str(rng.choice([" ", " ", " ", ". ", ", ", "\n", "!! ", "### "]))
+            text += item + str(rng.choice([" ", " ", " ", ". ", ", ", "\n", "!! ", "### ", "; ", ": ", ") ", "? "]))
         first = int(rng.choice([0, rng.integers(0, WINDOW)]))
         last = min(len(text), first + int(rng.choice([WINDOW, rng.integers(WINDOW // 2, WINDOW)])))
         own = character_ids(text[first:last])
@@ -242,7 +287,7 @@ def added(tagger: Tagger, texts: list[str], rules: list[list[tuple[int, int, int
         for row, (i, start) in enumerate(some):
             own = character_ids(texts[i][start : start + WINDOW])
             ids[row, : len(own)] = own
-        labels = tagger.decode(ids)
+        labels = tagger.decode(ids, LEAN)
         for row in np.flatnonzero((labels > 0).any(axis=1)):
             i, start = some[row]
             for kind, a, b in spans_of(labels[row]):
@@ -253,10 +298,10 @@ def added(tagger: Tagger, texts: list[str], rules: list[list[tuple[int, int, int
                         if (i, other) not in laid:
                             laid.add((i, other))
                             places.append((i, other))
-                elif start + b <= len(texts[i]) and plausible(kind, texts[i][start + a : start + b]):
-                    found[i].append((kind, start + a, start + b))
+                elif start + b <= len(texts[i]) and (one := settled(kind, start + a, start + b, texts[i])):
+                    found[i].append(one)
     for text, own, cut in zip(texts, found, parts):
-        own += [x for x in joined(cut) if plausible(x[0], text[x[1] : x[2]])]
+        own += [one for x in joined(cut) if (one := settled(*x, text))]
     return [reconciled(f, r) for f, r in zip(found, rules)]
 
 
