@@ -1,17 +1,27 @@
 """License scans by conditional compression.
 
 Candidate blocks are found by cue words: the line of a cue, up to ``AROUND`` characters to either side,
-the ``FOLLOWING`` lines behind it, over which a notice may be wrapped, and as many characters as before if a license's whole text begins with it; blocks less than ``GAP`` characters apart are one. Each block is compressed alone and with each
-template as a raw zstandard dictionary. What the dictionary saves, as a share of the block's own
-compressed size, ranks the templates; ``RANKED`` of them at a time, best first, until one passes or all
-have failed, are confirmed by the exact differences in wording: the longest alignment of template words within the block, the words that are missing, and the
-words that stand between. The first template with no more than ``MISSING`` of its words missing and as
-few words added wins. Words that carry a version or a variant (a number that is no list's, or a word such as
-NC, lesser, affero, only) must neither be missing nor added, and in templates of under 30 words no short word or number may be missing. A block may hold several notices: the words of a winner are taken
-out and the rest is looked at again.
-
-Each task scans its own texts; nothing is shuffled. Equal blocks are compressed once. Null texts hold no
-license, repeated rows are scanned each, an empty table gives no rows, other columns are not read.
+the ``FOLLOWING`` lines behind it, over which a notice may be wrapped, and as many characters as before if a
+license's whole text begins with it. Blocks less than ``GAP`` characters apart are one, and what is longer than
+``BLOCK`` is cut into windows that overlap by more than any template is long, so no block's size is without a
+bound and no notice is cut. Each block is compressed alone and with each template as a raw zstandard
+dictionary. What the dictionary saves, as a share of the template's own compressed size, ranks the templates:
+it does not depend on what else is in the block. Templates of ``LONG_WORDS`` words or more that save less than
+``LEAST`` of themselves are given up; all others are confirmed by the exact differences in wording: the
+alignment of template words at each place of the block where the template may begin, the words that are
+missing, and the words that stand between. The best with no more than ``MISSING`` of its words missing and
+``ADDED`` of as many added wins. Words that carry a version or a variant (a number that is no list's, or a word
+such as NC, lesser, affero, only) must neither be missing nor added, and in templates of under ``LONG_WORDS``
+words no short word or number may be missing. A block may hold several notices: the words of a winner are
+taken out and the rest is looked at again.
+
+Licenses whose wording is long (Apache, GPL, MPL, EPL and their relatives) are known by the title that their
+texts begin with, by the notice that they ask for, and by their names and SPDX identifiers; other Creative
+Commons licenses than BY, BY-SA, BY-NC 4.0 and CC0 are not known.
+
+Each task scans its own texts; nothing is shuffled. Equal blocks are compressed once. Null and empty texts hold
+no license, repeated rows are scanned each, of wordings that fit equally well the longest wins, very long texts
+are scanned whole, an empty table gives no rows, columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +41,10 @@ from vellum.llm.license_texts import TEMPLATES
 AROUND, GAP = 2000, 200
 #: Lines behind a cue's line that belong to its block.
 FOLLOWING = 2
-#: Templates that are confirmed by their wording at a time; share of words that may be missing, and that may be added.
-RANKED, MISSING, ADDED = 4, 0.08, 0.15
+#: Characters of a block at most, and by how many its windows overlap: more than a template with added words has.
+BLOCK, OVERLAP = 8000, 3000
+#: Words of a long template; share of its own compressed size that one must save; share of words that may be missing, and that may be added.
+LONG_WORDS, LEAST, MISSING, ADDED = 30, 0.2, 0.08, 0.15
 LEVEL = 9
 #: Words that tell licenses of nearly one wording apart, alone or as a part of a word with hyphens.
 VARIANTS = frozenset("lesser affero only later nc sa nd noncommercial sharealike noderivatives noderivs".split())
@@ -41,7 +53,7 @@ REMEMBERED = 20_000
 
 #: Cues of whole texts of licenses: their blocks go on over the lines behind them.
 LONG = r"permission (?:is|to)|redistribution and use|free software|free and unencumbered|\(the \"license\"\)|subject to the terms"
-CUES = r"licen[cs]e|all rights reserved|public domain|" + LONG
+CUES = r"licen[cs]e|all rights reserved|public domain|creative commons|\bcc0\b|\bcc[ -]by\b|\b[al]?gpl|\bmpl\b|express or implied warranty|" + LONG
 _CUES, _LONG = re.compile(CUES, re.IGNORECASE), re.compile(LONG, re.IGNORECASE)
 _WORD = re.compile(r"\w+(?:[-.']\w+)*", re.UNICODE)
 
@@ -64,26 +76,26 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
-    return [(a, b) for a, b in out]
+    return [(at, min(at + BLOCK, b)) for a, b in out for at in range(a, max(a + 1, b - OVERLAP), BLOCK - OVERLAP)]
 
 
 @lru_cache(maxsize=1)
-def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompressor]]:
+def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompressor], list[int]]:
     options = {"format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
     plain = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, **options))
     by_template = []
     for _, text in TEMPLATES:
         raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         by_template.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=zstandard.ZstdCompressionParameters.from_level(LEVEL, **options)))
-    return plain, by_template
+    return plain, by_template, [len(plain.compress(text.lower().encode())) for _, text in TEMPLATES]
 
 
 def reductions(block: str) -> list[tuple[float, int]]:
-    """(share of its compressed size that a template saves, template) for a block, best first; of equals the longer template."""
-    plain, by_template = _compressors()
+    """(what a template saves of a block's compressed size, as a share of its own, template), best first; of equals the longer template."""
+    plain, by_template, own = _compressors()
     raw = block.lower().encode()
     alone = len(plain.compress(raw))
-    found = [((alone - len(c.compress(raw))) / alone, i) for i, c in enumerate(by_template)]
+    found = [((alone - len(c.compress(raw))) / own[i], i) for i, c in enumerate(by_template)]
     return sorted(found, key=lambda f: (-f[0], -len(TEMPLATES[f[1]][1]), f[1]))
 
 
@@ -108,16 +120,85 @@ def _deciding(i: int) -> frozenset[int]:
     return frozenset(k for k in range(len(words)) if k not in lists and decides(words, k, versions=True))
 
 
-def wording(words: list[str], i: int) -> tuple[int, int, list[int], list[int]]:
-    """First and last word of the block that are aligned to template ``i``, places of its words that are missing and of those added between."""
-    template = list(_template_words(i))
-    found = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
-    if not found:
-        return 0, 0, list(range(len(template))), []
-    first, last = found[0].b, found[-1].b + found[-1].size
-    matched = {k for b in found for k in range(b.b, b.b + b.size)}
-    there = {k for b in found for k in range(b.a, b.a + b.size)}
-    return first, last, [k for k in range(len(template)) if k not in there], [k for k in range(first, last) if k not in matched]
+@lru_cache(maxsize=len(TEMPLATES))
+def _needed(i: int) -> tuple[frozenset[str], int, int]:
+    """Different words of a template, how many may be missing, and how many added."""
+    n = len(_template_words(i))
+    return frozenset(_template_words(i)), int(MISSING * n), int(ADDED * n) + (n >= LONG_WORDS)
+
+
+def aligned(template: Sequence[str], words: list[str], may_miss: int, may_add: int) -> tuple[list[int], list[int]]:
+    """Places of the template's words that are missing, and of the others between, in the best run of ``words`` from the first on.
+
+    A run within both bounds goes first, then the one with the least differences, then the shortest.
+    """
+    n = len(template)
+    table = [[0] * (len(words) + 1)]  # longest common subsequences
+    for word in template:
+        last, row = table[-1], [0]
+        for j, other in enumerate(words):
+            row.append(last[j] + 1 if word == other else max(last[j + 1], row[j]))
+        table.append(row)
+    end = min(range(1, len(words) + 1), key=lambda j: (n - table[n][j] > may_miss or j - table[n][j] > may_add, n + j - 2 * table[n][j], j))
+    missing, added, k, j = [], [], n, end
+    while k or j:
+        if k and j and template[k - 1] == words[j - 1]:
+            k, j = k - 1, j - 1
+        elif k and (not j or table[k - 1][j] >= table[k][j - 1]):
+            k -= 1
+            missing.append(k)
+        else:
+            j -= 1
+            added.append(j)
+    return missing[::-1], added[::-1]
+
+
+def wording(words: list[str], i: int) -> tuple[int, int, list[int], list[int]] | None:
+    """First and last word of the block that are aligned to template ``i``, places of its words that are missing and of those added between.
+
+    None if the block has nowhere enough of its words. A short template may begin wherever one of its first words stands,
+    a long one near three of its first words in a row; the place with the least differences is taken, the first of equals.
+    """
+    template, (different, may_miss, may_add) = _template_words(i), _needed(i)
+    if len(different.difference(words)) > may_miss:
+        return None
+    n, best = len(template), None
+    if n < LONG_WORDS:
+        heads = set(template[: may_miss + 1])
+        for start, word in enumerate(words):
+            if word in heads:
+                segment = words[start : start + n + may_add]
+                missing, added = aligned(template, segment, may_miss, may_add)
+                fits = len(missing) <= may_miss and len(added) <= may_add
+                if best is None or (not fits, len(missing) + len(added)) < best[0]:
+                    best = (not fits, len(missing) + len(added)), start, start + n - len(missing) + len(added), missing, [start + k for k in added]
+        return best and best[1:]
+    heads = {template[k : k + 3]: k for k in reversed(range(min(n, may_miss + 6) - 2))}
+    for start in dict.fromkeys(max(0, p - k) for p in range(len(words) - 2) if (k := heads.get(tuple(words[p : p + 3]))) is not None):
+        segment = words[start : start + n + may_add + may_miss]
+        found = [b for b in SequenceMatcher(None, template, segment, autojunk=False).get_matching_blocks() if b.size]
+        if not found:
+            continue
+        first, last = found[0].b, found[-1].b + found[-1].size
+        matched = {k for b in found for k in range(b.b, b.b + b.size)}
+        there = {k for b in found for k in range(b.a, b.a + b.size)}
+        missing, added = [k for k in range(n) if k not in there], [start + k for k in range(first, last) if k not in matched]
+        if best is None or len(missing) + len(added) < len(best[2]) + len(best[3]):
+            best = start + first, start + last, missing, added
+    return best
+
+
+def confirmed(words: list[str], i: int) -> tuple[int, int, int, int] | None:
+    """First and last word of template ``i`` in a block, and numbers of words missing and added; None if the wording differs too much."""
+    if (found := wording(words, i)) is None:
+        return None
+    first, last, missing, added = found
+    template, (_, may_miss, may_add) = _template_words(i), _needed(i)
+    if len(missing) > may_miss or len(added) > may_add or not _deciding(i).isdisjoint(missing) or any(decides(words, k) for k in added):
+        return None
+    if len(template) < LONG_WORDS and any(len(template[k]) < 3 or any(c.isdigit() for c in template[k]) for k in missing):
+        return None
+    return first, last, len(missing), len(added)
 
 
 @lru_cache(maxsize=REMEMBERED)
@@ -126,28 +207,34 @@ def scanned(block: str) -> tuple[tuple[str, int, int, float, int, int], ...]:
     words, out = words_of(block), []
     while words:
         text = block[words[0][1] : words[-1][2]] if not out else " ".join(block[a:b] for _, a, b in words)
-        best = None
-        for k, (share, i) in enumerate(reductions(text)):
-            if best is not None and k % RANKED == 0:
-                break
+        plain, best = [w for w, _, _ in words], None
+        for share, i in reductions(text):
             n = len(_template_words(i))
-            plain = [w for w, _, _ in words]
-            first, last, missing, added = wording(plain, i)
-            exact = _deciding(i).isdisjoint(missing) and not any(decides(plain, k) for k in added)
-            if n < 30:
-                exact = exact and all(len(w) > 2 and not any(c.isdigit() for c in w) for w in (_template_words(i)[k] for k in missing))
-            if len(missing) <= MISSING * n and len(added) <= ADDED * n + (n >= 30) and exact:
-                rank = (len(missing) + len(added)) / n, -n
-                if best is None or rank < best[0]:
-                    best = rank, i, share, first, last, len(missing), len(added)
+            if n >= LONG_WORDS and share < LEAST or (found := confirmed(plain, i)) is None:
+                continue
+            rank = (found[2] + found[3]) / n, -n
+            if best is None or rank < best[0]:
+                best = rank, i, share, found
         if best is None:
             break
-        _, i, share, first, last, missing, added = best
+        _, i, share, (first, last, missing, added) = best
         out.append((TEMPLATES[i][0], words[first][1], words[last - 1][2], share, missing, added))
         words = words[:first] + words[last:]
     return tuple(sorted(out, key=lambda x: x[1:3]))
 
 
+def notices(text: str) -> list[tuple[str, int, int, float, int, int]]:
+    """The notices of a text: those of its blocks, once where windows overlap; of two that overlap the longer stays."""
+    found = [(name, start + a, start + b, *rest) for start, end in blocks_of(text) for name, a, b, *rest in scanned(text[start:end])]
+    out: list[tuple] = []
+    for x in sorted(set(found), key=lambda x: (x[1], -x[2], x[0])):
+        if out and x[1] < out[-1][2]:
+            out[-1] = max(out[-1], x, key=lambda y: y[2] - y[1])
+        else:
+            out.append(x)
+    return out
+
+
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc id, ``license``, ``start``, ``end``, ``reduction``, ``n_missing``, ``n_added``): the notices in each text."""
 
@@ -155,11 +242,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         for batch in source:
             rows, out = [], []
             for row in range(batch.num_rows):
-                text = batch.column(1)[row].as_py()
-                for start, end in blocks_of(text):
-                    for name, a, b, share, missing, added in scanned(text[start:end]):
-                        rows.append(row)
-                        out.append((name, start + a, start + b, share, missing, added))
+                for notice in notices(batch.column(1)[row].as_py()):
+                    rows.append(row)
+                    out.append(notice)
             columns = list(zip(*out)) or [()] * 6
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["id", "license", "start", "end", "reduction", "n_missing", "n_added"])

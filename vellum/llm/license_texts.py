@@ -36,6 +36,44 @@ MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Pub
 
 UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 
+_GNU_NOTICE = """This {work} is free software{sign} you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version.
+
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more details."""
+LGPL_2_NOTICE = _GNU_NOTICE.format(work="library", sign=";", kind="Lesser", comma=";", version="2.1")
+LGPL_3_NOTICE = _GNU_NOTICE.format(work="program", sign=":", kind="Lesser", comma=",", version="3")
+AGPL_NOTICE = _GNU_NOTICE.format(work="program", sign=":", kind="Affero", comma=",", version="3")
+
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""
+
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""
+
+#: Identifiers of the published list of short names.
+IDENTIFIERS = "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-1.0 EPL-2.0 BSL-1.0 Zlib Unlicense WTFPL CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+
+#: How whole texts of licenses begin.
+TITLES = [
+    ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+]
+
+#: Names by which texts refer to a license.
+NAMES = [
+    ("MIT", "MIT License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("Apache-2.0", "Apache License 2.0"),
+    ("GPL-2.0", "GPL v2"), ("GPL-3.0", "GPL v3"), ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("LGPL-2.1", "LGPL v2.1"), ("LGPL-2.1", "LGPLv2.1"), ("LGPL-3.0", "LGPL v3"), ("LGPL-3.0", "LGPLv3"),
+    ("AGPL-3.0", "AGPL v3"), ("AGPL-3.0", "AGPLv3"), ("MPL-2.0", "MPL 2.0"), ("MPL-2.0", "Mozilla Public License 2.0"), ("EPL-2.0", "Eclipse Public License 2.0"), ("Zlib", "zlib License"), ("CC0-1.0", "CC0 1.0"),
+]
+
 #: Name of a license, and a wording that says it.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", MIT),
@@ -59,4 +97,16 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("all-rights-reserved", "All rights reserved."),
+    ("LGPL-2.1-or-later", LGPL_2_NOTICE),
+    ("LGPL-3.0-or-later", LGPL_3_NOTICE),
+    ("AGPL-3.0-or-later", AGPL_NOTICE),
+    ("BSL-1.0", BOOST),
+    ("Zlib", ZLIB),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *TITLES,
+    *NAMES,
+    *((name, f"SPDX-License-Identifier: {name}") for name in IDENTIFIERS),
 ]
