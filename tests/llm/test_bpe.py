@@ -67,3 +67,25 @@ def test_counts_as_the_library(spark):
         assert row.n_tokens == len(whole.encode(text, add_special_tokens=False).ids), text[:80]
         assert (row.n_bytes, row.over_limit) == (len(text.encode()), row.n_tokens > 512)
     assert C.count_tokens(docs.where("false"), JSON).agg(F.sum("n_tokens")).first()[0] is None
+
+
+def test_states_are_finite_and_chunks_compose(library):
+    words = C.WordTransducer(C.counter(JSON).words.ranks)
+    rng = np.random.default_rng(0)
+    for text in ("a" * 20_000, "ab" * 9_000, "=" * 7_001, "".join(rng.choice(list("etaoin"), 8_000)), "".join(rng.choice(list("0123456789"), 5_000)), "xyz" * 21 + "q"):
+        word = text.encode()
+        assert words.count(word) == words.walk(0, word)[1] == len(library.encode_ordinary(text))
+    words.reset()
+    words.count(b"a" * 100_000)
+    assert len(words.states) < 1000
+
+
+def test_a_clash_of_hashes_gives_no_wrong_count():
+    known = C.KnownCounts()
+    data = np.frombuffer(b"wordlong", np.uint8)
+    known.add(7, b"word", 3)
+    spans = np.array([0, 4, 0]), np.array([4, 4, 3])
+    assert known.find([7, 7, 7], data, *spans).tolist() == [3, -1, -1]
+    for i in range(5000):
+        known.add(1000 + i, b"w%d" % i, i)
+    assert known.find([1000 + 4321], np.frombuffer(b"w4321", np.uint8), np.array([0]), np.array([5])).tolist() == [4321]

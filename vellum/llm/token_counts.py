@@ -1,17 +1,22 @@
 """Token counts by finite-state tokenizer compilation.
 
-Two deterministic transducers count the tokens of byte-level BPE without
-making them. The splitter (see ``pretokens``) finds where pre-tokens begin:
-state maps of fixed chunks are composed by a parallel prefix scan. The word
-transducer reads a pre-token's bytes; its transitions are annotated with the
-number of tokens that the byte adds (it may be negative, as a longer token can
-replace several), so that the sum over a path is the count. It is compiled
-from the vocabulary as far as it is needed: the last token of a prefix's
-encoding is the longest suffix of the prefix that is a token and follows the
-last token of the rest in a valid pair, so a new state takes a few lookups.
-
-Null texts count as empty (0 bytes, 0 tokens); repeated rows are counted each;
-a text longer than a slice is a slice of its own. Other columns do not matter.
+Two deterministic finite transducers count the tokens of byte-level BPE without making them. The splitter
+(see ``pretokens``) finds where pre-tokens begin: state maps of fixed chunks are composed by a parallel
+prefix scan. The word transducer reads a pre-token's bytes; its transitions are annotated with the number of
+tokens that a byte adds (it may be negative, as a longer token can replace several), so that the sum over a
+path is the count. Its state is what of the past can still matter: each place behind which the bytes read so
+far begin some longer token, with the token that ends at that place and the count there, relative to the
+count now. That is finitely much whatever the pre-token's length, and it is compiled from the vocabulary as
+far as it is needed: the last token of a prefix's encoding is its longest suffix that is a token and follows
+the last token of the rest in a valid pair.
+
+A long pre-token is cut into chunks. Each chunk has a map from entry state to exit state and tokens emitted,
+kept by the chunk's bytes; all chunks are mapped from guessed entries, which are then replaced by the exits of
+the chunks before until none changes. States forget soon, so that few passes are needed.
+
+Counts of pre-tokens are remembered by a hash; the bytes are compared before a count is used. Null texts count
+as empty (0 bytes, 0 tokens); repeated rows are counted each; a very long text is a slice of its own. An empty
+table gives no rows. Columns beside id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import span_hashes, text_slices
+from vellum.llm.bpe import gathered
 from vellum.llm.pretokens import pretoken_spans
 
-#: States that a worker keeps before it compiles anew, and the longest path whose states it keeps.
-KEPT_STATES = 800_000
-KEPT_LENGTH = 64
-#: Counts by pre-token that a worker keeps before it starts anew.
-KEPT_WORDS = 1_000_000
+#: States that a worker keeps before it compiles anew; bytes of a chunk of a pre-token, and maps of chunks that are kept.
+KEPT_STATES, CHUNK, KEPT_MAPS = 200_000, 64, 50_000
+#: Counts by pre-token that a worker keeps before it starts anew, and the longest of these.
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 256
 
 
 def byte_of_character() -> dict[str, int]:
@@ -44,21 +49,26 @@ def byte_of_character() -> dict[str, int]:
 
 
 class WordTransducer:
-    """Counts of tokens along the bytes of a pre-token."""
+    """A finite transducer of pre-tokens' bytes that emits numbers of tokens.
+
+    A state is a tuple of numbers of entries; an entry is (bytes that have been read behind a place, the token that ends
+    there, tokens up to there less tokens up to now). State 0 is the beginning: nothing read, no token before.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
-        self.suffixes: dict[bytes, bool] = {}
-        for token in ranks:  # what a longer token may end with, so that the search for it can stop
-            for i in range(len(token)):
-                self.suffixes[token[i:]] = True
+        self.beginnings = {token[:i] for token in ranks for i in range(1, len(token))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.reset()
 
     def reset(self) -> None:
+        """Forgets all states but the first."""
         self.next: dict[int, int] = {}  # by 256 * state + byte: 1024 * next state + tokens emitted + 512
-        self.last: list[bytes] = [b""]
+        self.entries: list[tuple[bytes, bytes, int]] = [(b"", b"", 0)]
+        self.number_of_entry = {self.entries[0]: 0}
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.number_of_state = {(0,): 0}
+        self.maps: dict[tuple[int, bytes], tuple[int, int]] = {}
 
     def valid(self, left: bytes, right: bytes) -> bool:
         """Whether the bytes of two tokens are encoded as these two."""
@@ -76,46 +86,98 @@ class WordTransducer:
             self.pairs[key] = known
         return known
 
-    def last_token(self, word: bytes, end: int, last: list[bytes]) -> bytes:
-        """The last token of the encoding of ``word[:end]``; ``last`` has those of the shorter prefixes."""
-        best = b""
-        for size in range(1, min(end, self.longest) + 1):
-            suffix = word[end - size : end]
-            if suffix in self.ranks and (size == end or self.valid(last[end - size], suffix)) and self._whole(suffix, size == end):
-                best = suffix
-            if suffix not in self.suffixes:
-                break
-        return best
-
-    def _whole(self, token: bytes, alone: bool) -> bool:
-        """Whether a token that stands alone is what its own bytes are encoded as."""
-        return not alone or len(token) == 1 or self.valid(token, b"")
+    def compiled(self, state: int, byte: int) -> int:
+        """The transition of a state at a byte, made and kept; entries of a state are in order of places, so the first token that fits is the longest."""
+        added, token, emitted, left = bytes([byte]), None, 0, []
+        for e in self.states[state]:
+            read, before, count = self.entries[e]
+            read += added
+            if token is None and read in self.ranks and (len(read) == 1 and not before or self.valid(before, read)):
+                token, emitted = read, count + 1
+            if read in self.beginnings:
+                left.append((read, before, count))
+        entries = [(read, before, count - emitted) for read, before, count in left] + [(b"", token, 0)]
+        for entry in entries:
+            if entry not in self.number_of_entry:
+                self.number_of_entry[entry] = len(self.entries)
+                self.entries.append(entry)
+        key = tuple(self.number_of_entry[entry] for entry in entries)
+        if key not in self.number_of_state:
+            self.number_of_state[key] = len(self.states)
+            self.states.append(key)
+        step = self.next[state * 256 + byte] = self.number_of_state[key] * 1024 + emitted + 512
+        return step
+
+    def walk(self, state: int, part: bytes) -> tuple[int, int]:
+        """Exit state of some bytes from an entry state, and the tokens emitted."""
+        total, known = 0, self.next
+        for byte in part:
+            step = known.get(state * 256 + byte)
+            if step is None:
+                step = self.compiled(state, byte)
+            state = step >> 10
+            total += (step & 1023) - 512
+        return state, total
+
+    def mapped(self, state: int, chunk: bytes) -> tuple[int, int]:
+        """A chunk's map at an entry state."""
+        key = state, chunk
+        if (found := self.maps.get(key)) is None:
+            if len(self.maps) > KEPT_MAPS:
+                self.maps.clear()
+            found = self.maps[key] = self.walk(state, chunk)
+        return found
 
     def count(self, word: bytes) -> int:
         """The tokens of a pre-token: the sum of what the transitions emit."""
-        if len(self.last) > KEPT_STATES:
+        if len(self.states) > KEPT_STATES:
             self.reset()
-        state = total = 0
-        last, counts = [b""], [0]
-        kept = len(word) <= KEPT_LENGTH
-        known, tokens = self.next, self.last
-        for i, byte in enumerate(word):
-            step = known.get(state * 256 + byte) if kept else None
-            if step is None:
-                token = self.last_token(word, i + 1, last)
-                emitted = counts[i + 1 - len(token)] + 1 - total
-                if kept:
-                    known[state * 256 + byte] = len(tokens) * 1024 + emitted + 512
-                    state = len(tokens)
-                    tokens.append(token)
-                total += emitted
-            else:
-                state = step >> 10
-                token = tokens[state]
-                total += (step & 1023) - 512
-            last.append(token)
-            counts.append(total)
-        return total
+        if len(word) <= CHUNK:
+            return self.walk(0, word)[1]
+        chunks = [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
+        entries: list[int] = [0] * len(chunks)
+        found = [self.mapped(0, chunk) for chunk in chunks]
+        while True:
+            exits = [0, *(state for state, _ in found[:-1])]
+            if exits == entries:
+                return sum(tokens for _, tokens in found)
+            found = [same if new == old else self.mapped(new, chunk) for new, old, same, chunk in zip(exits, entries, found, chunks)]
+            entries = exits
+
+
+class KnownCounts:
+    """Counts of pre-tokens by their bytes: found by hash, and compared."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.data, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.starts, self.lengths, self.counts = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def add(self, key: int, word: bytes, count: int) -> None:
+        n = len(self.place)
+        if n == len(self.starts):
+            self.starts, self.lengths, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.counts))
+        while self.used + len(word) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(word)] = np.frombuffer(word, np.uint8)
+        self.starts[n], self.lengths[n], self.counts[n] = self.used, len(word), count
+        self.used += len(word)
+        self.place[key] = n
+
+    def find(self, keys: list[int], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The count of each span of ``data``, -1 where it is not known."""
+        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        out = np.full(len(keys), -1, np.int64)
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[self.lengths[at[hit]] == lengths[hit]]
+        own, kept = gathered(data, starts[hit], lengths[hit]), gathered(self.data, self.starts[at[hit]], lengths[hit])
+        out[hit] = self.counts[at[hit]]
+        if len(wrong := np.flatnonzero(own != kept)):
+            out[hit[np.searchsorted(np.cumsum(lengths[hit]), wrong, side="right")]] = -1
+        return out
 
 
 class TokenCounter:
@@ -134,7 +196,7 @@ class TokenCounter:
             raise ValueError("not a byte-level vocabulary that its merges make")
         self.special = [t["content"].encode() for t in parts["added_tokens"]]
         self.words = WordTransducer(order)
-        self.known: dict[int, int] = {}
+        self.known = KnownCounts()
 
     def special_spans(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
         """Starts and ends of the special strings within the texts, leftmost first."""
@@ -163,14 +225,18 @@ class TokenCounter:
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64)
         hashes = span_hashes(data, starts, ends, lower=False)
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known.place) > KEPT_WORDS:
             self.known.clear()
-        known, keys = self.known, hashes.tolist()
-        counts = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+        keys = hashes.tolist()
+        counts = self.known.find(keys, data, starts, ends - starts)
+        made: dict[bytes, int] = {}
         for i in np.flatnonzero(counts < 0).tolist():
-            n = known.get(keys[i])
+            word = raw[starts[i] : ends[i]]
+            n = made.get(word)
             if n is None:
-                n = known[keys[i]] = self.words.count(raw[starts[i] : ends[i]])
+                n = made[word] = self.words.count(word)
+                if keys[i] not in self.known.place and len(word) <= KEPT_LENGTH:
+                    self.known.add(keys[i], word, n)
             counts[i] = n
         for a, b in special:  # one token for all of its characters
             inside = slice(*np.searchsorted(starts, [a, b]))
