@@ -96,3 +96,15 @@ def test_empty_tables(spark):
     assert M.score_all(none).count() == 0
     blank = spark.createDataFrame([(1, None), (1, None), (None, " ")], "doc_id long, text string")
     assert sorted(r.n_tokens for r in M.score_all(blank).collect()) == [0, 0, 0]
+
+
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first, second = ({r.doc_id: r.log_likelihood for r in M.score_all(rows).collect()} for rows in (docs.repartition(2), docs.repartition(7, "text")))
+    assert len(first) == 1000 and all(abs(first[k] - second[k]) <= 1e-9 * abs(first[k]) for k in first)
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000, 1, 2, "x"), (1, "word", 1, 2, "y")], "doc_id long, text string, key int, n_tokens int, words string")
+    assert sorted(r.n_tokens for r in M.score_all(docs).collect()) == [1, 400_000]

@@ -11,15 +11,16 @@ The table of word counts grows with the input. Its most frequent words, ``KNOWN`
 network; all others are summed up per text and joined with the table by their hashes.
 
 Everything the model learns comes from all documents. Word counts are summed in each task before the
-shuffle. Training is data-parallel: in each round every task goes on from the same parameters over its
-own texts, and a share of their tokens is masked, other ones in each round, so that after the last round
-each token of each text has been a target once. Then the tasks' parameters are
-averaged by the number of tokens, in salted groups, a block of parameters at a time. What tasks send
-grows with their number, so with the input; what reaches the driver has the size of the model.
+shuffle. Training is data-parallel over shards of about ``SHARD`` rows, dealt and ordered by a hash of id and
+text, so that scores do not depend on how the input is split. In each round every shard goes on from the same
+parameters, and a share of its tokens is masked, other ones in each round, so that after the last round each
+token of each text has been a target once. Then the shards' parameters are averaged by the number of tokens,
+in salted groups, a block of parameters at a time and in the order of shards. What shards send grows with their
+number, so with the input; what reaches the driver has the size of the model.
 
 Null and empty texts have no tokens, score 0 and no mean. Rows that repeat are scored each (and count in
 training as often). Without any token all scores are those of an untrained model; an empty table gives
-no rows. Other columns are not read.
+no rows. Columns beside id and text are not read, whatever their names. Very long texts are slices of their own.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ MEMBERS = CLASSES // GROUPS
 REACH, HIDDEN = 2, 16
 #: Rounds, which share the tokens out among them; tokens of a step; step size.
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
+#: Rows of a shard, on average.
+SHARD = 4096
 #: Words whose counts go out with the network at most; what is added to a word's count within its class.
 KNOWN, SMOOTH = 1 << 17, 0.5
 #: Parameters of a block, and groups that the tasks' parameters are summed in.
@@ -211,9 +214,17 @@ def vocabulary(docs: DataFrame, text_column: str = "text", words: DataFrame | No
     return np.stack([hashes[order], order.astype(np.uint64)]), counts
 
 
-def _trained_round(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, turn: int, rounds: int, text_column: str) -> np.ndarray:
-    """The parameters after one round of ``rounds`` over all texts: the tasks' own, averaged by tokens."""
-    start = docs.sparkSession.sparkContext.broadcast((net, frequent))  # of the model's size
+def sharded(docs: DataFrame, id_column: str | None, text_column: str) -> DataFrame:
+    """(text) of all rows, in shards and an order that follow from the rows alone."""
+    text = docs[text_column].cast("string")
+    key = F.xxhash64(text) if id_column is None else F.xxhash64(docs[id_column], text)
+    rows = docs.select(text.alias("text"), key.alias("key"))
+    return rows.repartition(max(1, -(-docs.count() // SHARD)), "key").sortWithinPartitions("key").select("text")
+
+
+def _trained_round(texts: DataFrame, net: np.ndarray, frequent: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The parameters after one round of ``rounds`` over all texts: the shards' own, averaged by tokens."""
+    start = texts.sparkSession.sparkContext.broadcast((net, frequent))  # of the model's size
 
     def tasks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, frequent = start.value
@@ -240,42 +251,43 @@ def _trained_round(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, turn:
             own.step(context, target, squares)
             seen += waiting
         if seen:
-            salt = TaskContext.get().partitionId() % SUMMED
+            shard = TaskContext.get().partitionId()
             padded = np.concatenate([own.values, np.zeros(-_SIZE % BLOCK, np.float32)]).reshape(-1, BLOCK)
-            yield _blocks(np.arange(len(padded)), np.full(len(padded), salt), np.full(len(padded), float(seen)), padded * np.float32(seen))
+            yield _blocks(np.arange(len(padded)), np.full(len(padded), shard), np.full(len(padded), float(seen)), padded * np.float32(seen))
 
     def summed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], list] = {}
         for batch in source:
-            for block, salt, weight, values in zip(*(batch.column(i) for i in range(4))):
-                entry = total.setdefault((block.as_py(), salt.as_py()), [0.0, np.zeros(BLOCK)])
+            for block, shard, weight, values in zip(*(batch.column(i) for i in range(4))):
+                entry = total.setdefault((block.as_py(), shard.as_py() % SUMMED), [0.0, np.zeros(BLOCK)])
                 entry[0] += weight.as_py()
                 entry[1] += values.values.to_numpy()
         if total:
             yield _blocks(np.array([k[0] for k in total]), np.array([k[1] for k in total]), np.array([e[0] for e in total.values()]), np.stack([e[1] for e in total.values()]))
 
-    schema = "block long, salt long, weight double, parameters array<float>"
-    texts = docs.select(docs[text_column].cast("string").alias("text"))
-    sums = texts.mapInArrow(tasks, schema).repartition("block", "salt").mapInArrow(summed, schema)
+    schema = "block long, shard long, weight double, parameters array<float>"
+    sums = texts.mapInArrow(tasks, schema).withColumn("salt", F.col("shard") % SUMMED).repartition("block", "salt").sortWithinPartitions("block", "shard")
+    sums = sums.drop("salt").mapInArrow(summed, schema)
     out, weight = np.zeros((-(-_SIZE // BLOCK), BLOCK)), 0.0
-    for row in sums.collect():  # as many rows as blocks times ``SUMMED``
+    for row in sorted(sums.collect(), key=lambda r: (r.block, r.shard)):  # as many rows as blocks times ``SUMMED``
         out[row.block] += np.array(row.parameters)
         weight += row.weight * (row.block == 0)
     return (out.reshape(-1)[:_SIZE] / weight).astype(np.float32) if weight else net
 
 
-def _blocks(block: np.ndarray, salt: np.ndarray, weight: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+def _blocks(block: np.ndarray, shard: np.ndarray, weight: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     flat = pa.array(values.astype(np.float32).reshape(-1))
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * BLOCK, pa.int32()), flat)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(salt, pa.int64()), pa.array(weight, pa.float64()), lists], ["block", "salt", "weight", "parameters"])
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(shard, pa.int64()), pa.array(weight, pa.float64()), lists], ["block", "shard", "weight", "parameters"])
 
 
-def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Parameters of a network that is trained on all texts, and the frequent words' hashes and classes."""
+def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, words: DataFrame | None = None, id_column: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Parameters of a network that is trained on all texts, and the frequent words' hashes and classes. ``id_column`` spreads texts that are equal."""
     frequent, counts = vocabulary(docs, text_column, words)
     net = Network.first(counts).values
+    texts = sharded(docs, id_column, text_column)
     for turn in range(rounds):
-        net = _trained_round(docs, net, frequent, turn, rounds, text_column)
+        net = _trained_round(texts, net, frequent, turn, rounds)
     return net, frequent
 
 
@@ -375,4 +387,4 @@ def within_class(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, fir
 def score_all(docs: DataFrame) -> DataFrame:
     """Scores of all rows by a network that is trained on them."""
     words = stored(word_counts(docs), "words")
-    return score(docs, *train(docs, words=words), words=words)
+    return score(docs, *train(docs, words=words, id_column="doc_id"), words=words)
