@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from vellum.llm import language_id as L
 
@@ -48,6 +49,14 @@ def test_a_language_not_learned_is_rejected(spark):
     assert {r.lang for r in L.accepted(docs, model).select("lang").distinct().collect()} >= {"en", "es", "fr"}
 
 
+def test_long_texts_of_a_learned_language_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    model = L.fit(docs)
+    assert model.least_seen < 0.99
+    long = docs.groupBy("lang").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    assert L.accepted(long, model).count() == 4
+
+
 def test_every_language_is_learned():
     rng = np.random.default_rng(0)
     texts, labels = [], []

@@ -9,6 +9,7 @@ shingles meet is about N**2 / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once (a longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Words of a shingle.
 SHINGLE_WORDS = 5
 
@@ -52,13 +53,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 @contextmanager
 def task_memory(*caches: dict) -> Iterator[None]:
-    """Gives back at a task's end what a worker would go on to hold: the entries of ``caches`` and unused Arrow memory."""
+    """Gives back at a task's end what a worker would go on to hold: the entries of ``caches``, and unused memory of Arrow and of the C library."""
     try:
         yield
     finally:
         for cache in caches:
             cache.clear()
         pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
 
 
 def text_slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

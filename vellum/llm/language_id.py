@@ -135,7 +135,7 @@ class Model:
 
 
 def with_margin(shares: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The highest share that one of so many subwords may stand for."""
+    """The highest share that one of so many subwords may stand for; more than 1 says nothing."""
     return shares + MARGIN / np.sqrt(np.maximum(counts, 1))
 
 
@@ -245,7 +245,7 @@ def _calibrate(model: Model, check: list[int], pieces: list[bytes], own: list[np
     right = (p.argmax(axis=1) == wanted) & (counts >= FEW)
     if right.any():
         model.least_score = min(0.5, _between(p.max(axis=1)[right], np.concatenate(odd_scores)))
-        model.least_seen = _between(with_margin(shares, counts)[right], np.concatenate(odd_shares))
+        model.least_seen = _between(shares[right], np.concatenate(odd_shares))  # a text's margin falls to nothing, so positives count without
 
 
 def _between(positive: np.ndarray, negative: np.ndarray) -> float:
