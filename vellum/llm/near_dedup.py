@@ -47,7 +47,7 @@ MARGIN = 0.25
 GROUP = 96
 #: Members of a band whose pairs are listed at most; and of larger ones, members outside the largest component, and others, of a block: of texts, and of signatures.
 SMALL_BAND, BLOCK_OUTSIDE, BLOCK_OTHERS = 32, 64, 2048
-SIGNED_OUTSIDE, SIGNED_OTHERS = 2048, 32768
+SIGNED_OUTSIDE, SIGNED_OTHERS = 512, 1024
 
 _random = np.random.default_rng(10)
 _FACTORS = (_random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1))[None, :]

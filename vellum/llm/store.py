@@ -13,14 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
-#: Rows of an Arrow batch at most: executor and worker each hold a batch whole, and texts are long.
-ARROW_ROWS, ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch at most: executor and worker each hold a batch whole, and texts are long.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to ``ARROW_ROWS``; a setting that is lower stays."""
-    if not 0 < int(spark.conf.get(ARROW)) <= ARROW_ROWS:
-        spark.conf.set(ARROW, ARROW_ROWS)
+    """Lowers the session's size of an Arrow batch to ``ARROW``; a setting that is lower stays."""
+    for name, most in ARROW.items():
+        if not 0 < int(spark.conf.get(name)) <= most:
+            spark.conf.set(name, most)
 
 
 def shared_folder(spark: SparkSession) -> str:
