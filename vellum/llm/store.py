@@ -20,7 +20,8 @@ ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execut
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's size of an Arrow batch to ``ARROW``; a setting that is lower stays."""
     for name, most in ARROW.items():
-        if not 0 < int(spark.conf.get(name)) <= most:
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(name, most)
 
 
