@@ -8,6 +8,10 @@ from vellum.operators import merge as M
 from vellum.operators import stats as S
 from vellum.operators import vectors as V
 from vellum.operators import whitelist as WL
+from vellum.operators import image_features as IF
+from vellum.operators import images as IM
+from vellum.operators import writes as W
+from vellum.operators import classification as CL
 
 
 def rows(df):
@@ -20,7 +24,11 @@ def test_manifest(spark):
     assert rows(expected) == [("INNER.ZIP", "0762AE69"), ("gone.zip", "00000002"), ("x.zip", "00000001")]
     actual = spark.createDataFrame([("inner.zip", "0762AE69"), ("x.zip", "00000003"), ("new.zip", "1")], "name string, actual string")
     assert [(r[0], r[3]) for r in rows(I.manifest_failures(expected, actual))] == [("gone.zip", "missing"), ("new.zip", "uncovered"), ("x.zip", "mismatch")]
-    assert len(I.report(I.manifest_failures(expected, actual)).collect()) == 3
+    said = [r.line for r in I.report(I.manifest_failures(expected, actual)).collect()]
+    assert sorted(said) == ["  - gone.zip: 文件不存在", "  - new.zip: ZIP 文件未出现在 CRC 清单中", "  - x.zip: CRC32 不匹配 (期望: 00000001, 实际: 00000003)"]
+    opened = spark.createDataFrame([("inner.zip", "0762AE69", False), ("x.zip", "00000001", True), ("gone.zip", "00000002", True), ("readme.txt", "9", True)], "name string, actual string, opens boolean")
+    assert [(r[0], r[3]) for r in rows(I.manifest_failures(expected, opened))] == [("INNER.ZIP", "damaged")]
+    assert rows(I.empty_manifests(spark.createDataFrame([("a", "x"), ("a", ""), ("b", "p,1F")], "manifest string, value string"))) == [("a", "no entries")]
 
 
 def test_split_archives(spark):
@@ -91,3 +99,52 @@ def test_semantic_search(spark):
     assert [r.code_norm for r in V.semantic_search(e, d, [1.0, 0.0], section="B", type="ipc").collect()] == ["B01"]
     got = V.embedded(d, "title_en", lambda texts: [[len(t), 1] for t in texts], 2)
     assert sorted(r.embedding for r in got.collect()) == [[1.0, 1.0], [1.0, 1.0], [3.0, 1.0], [3.0, 1.0]]
+
+
+def test_hashes_and_likeness_of_pictures(spark):
+    rng = __import__("random").Random(2)
+    pixels = [rng.randrange(256) for _ in range(16 * 16)]
+    light = [200 if i % 16 > 7 else 30 for i in range(256)]
+    df = spark.createDataFrame([(1, pixels, light), (2, pixels[::-1], light), (3, None, None)], "i int, p array<int>, q array<int>")
+    got = {r.i: r for r in df.select("i", IF.phash("p").alias("bits"), IF.black_and_white("q").alias("bw")).collect()}
+    assert len(got[1].bits) == 63 and sum(got[1].bits) == 31 and got[3].bits is None and got[3].bw is None
+    assert got[1].bw == [255 if v == 200 else 0 for v in light]
+    import math
+
+    low = [sum(pixels[16 * y + x] * math.cos((2 * x + 1) * u * math.pi / 32) * math.cos((2 * y + 1) * v * math.pi / 32) for y in range(16) for x in range(16)) for v in range(8) for u in range(8)][1:]
+    assert got[1].bits == [int(c > sorted(low)[31]) for c in low]
+    same = df.where("i < 3").select(IF.hash_score(F.col("p"), F.col("p"), F.col("q"), F.col("q")), IF.structure("q", "q"), IF.agreement("q", "q")).first()
+    assert tuple(round(x, 9) for x in same) == (1.0, 1.0, 1.0)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x01\x02\x03\x04\x01\x01\x11\x00\xff\xd9"
+    sizes = spark.createDataFrame([(1, bytearray(jpeg)), (2, bytearray(b"\x89PNG")), (3, None)], "i int, c binary").select("i", IF.jpeg_size("c").alias("s")).select("i", "s.*")
+    assert rows(sizes) == [(1, 772, 258), (2, None, None), (3, None, None)]
+
+
+def test_images_and_their_assets(spark):
+    images = spark.createDataFrame([("p", "k1", True, "", None), ("p", "k1", True, "", None), ("p", "none", False, "inline", 90)], "patent_id string, oss_key string, is_abstract boolean, image_role string, display_rotation int")
+    assets = spark.createDataFrame([("k1", "a1")], "oss_key string, id string")
+    assert [(r.asset_id, r.image_role, r.display_rotation) for r in W.image_rows(images, assets).collect()] == [("a1", "abstract", 0)]
+    found = IM.candidates(spark.createDataFrame([("p", "a", True), ("p", "d1", False), ("p", "d2", False), ("q", "x", True)], "k string, file_name string, f boolean"), "k", F.col("f"))
+    assert found.count() == 8
+    same = spark.createDataFrame([("p", "b", "h"), ("p", "a", "h"), ("p", "c", "g")], "k string, file_name string, h string")
+    assert rows(IM.same_content(same, "k", "h").select("file_name", "matched_file_name")) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
+def test_log_is_appended_in_todays_wording(spark, tmp_path):
+    for message in ("Start processing step", "other"):
+        W.append_log(spark.createDataFrame([("b", message)], "batch_code string, message string"), str(tmp_path / "log"))
+    assert rows(spark.read.parquet(str(tmp_path / "log")).select("message")) == [("other",), ("开始处理步骤",)]
+
+
+def test_titles_are_folded_in_order(spark):
+    df = spark.createDataFrame([("a", 1, "X; Y", "f1"), ("a", 2, "Y", "f2"), ("a", 3, "Z", "f3"), ("b", 4, "T", "f4")], "k string, at int, t string, file string")
+    assert rows(CL.merged_titles(df, "k", "t", "at")) == [("a", "X; Y; Z", "f1"), ("b", "T", "f4")]
+
+
+def test_folders(spark):
+    from vellum.sources import listing
+
+    df = spark.createDataFrame([("/g/2023", "2023", "directory"), ("/g/2023/202301", "202301", "directory"), ("/g/2024", "2024", "directory"), ("/g/2024/202401", "202401", "directory"), ("/g/2024/x.txt", "x.txt", "file"), ("/h/1", "1", "directory")], "path string, name string, type string")
+    assert [r.name for r in listing.data_folders(df, "/g/").collect()] == ["202401", "202301"]
+    assert [r.name for r in listing.folders_like(df, "^2024$").collect()] == ["2024"]
+    assert [r.n for r in L.by_name(spark.createDataFrame([("b",), ("A",), ("é",), ("f",), ("a",)], "n string"), "n").collect()] == ["a", "A", "b", "é", "f"]

@@ -8,24 +8,53 @@ from vellum.operators import merge as M
 from vellum.sources import archives, listing, patent_xml, titles
 from vellum.streaming import ingest
 
-XML = """<?xml version="1.0" encoding="UTF-8"?>
-<business:PatentDocumentAndRelated xmlns:business="urn:b" xmlns:base="urn:c" country="CN" docNumber="{n}" kind="{kind}" datePublication="20231003" status="C" lang="zh" file="f.XML">
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n'
+XML = HEAD + """<business:PatentDocumentAndRelated xmlns:business="urn:b" xmlns:base="urn:c" country="CN" docNumber="{n}" kind="{kind}" datePublication="20231003" status="C" lang="zh" file="f.XML">
  <business:BibliographicData>
-  <business:PublicationReference><base:DocumentID><base:DocNumber>{n}</base:DocNumber><base:Date>20231003</base:Date></base:DocumentID></business:PublicationReference>
-  <business:RelatedDocument><base:DocumentID><base:Date>20170111</base:Date></base:DocumentID></business:RelatedDocument>
-  <business:ApplicationReference applType="10"><base:DocumentID><base:DocNumber>2015</base:DocNumber><base:Date>20150102</base:Date></base:DocumentID></business:ApplicationReference>
+  <business:PublicationReference><base:DocumentID><base:WIPOST3Code>CN</base:WIPOST3Code><base:DocNumber>P{n}</base:DocNumber><base:Date>20231002</base:Date></base:DocumentID></business:PublicationReference>
+  <business:RelatedDocuments><business:RelatedPublicationDoc><base:DocumentID><base:Date>bad</base:Date></base:DocumentID></business:RelatedPublicationDoc><business:RelatedPublicationDoc><base:DocumentID><base:Date>20170111</base:Date></base:DocumentID></business:RelatedPublicationDoc></business:RelatedDocuments>
+  <business:ApplicationReference applType="10"><base:DocumentID><base:WIPOST3Code>CN</base:WIPOST3Code><base:DocNumber>2015</base:DocNumber><base:Date>20150102</base:Date></base:DocumentID></business:ApplicationReference>
+  <business:PriorityDetails>
+   <business:Priority kind="international" dataFormat="original" sourceDB="office" sequence="1"><base:WIPOST3Code>JP</base:WIPOST3Code><base:DocNumber>10-1</base:DocNumber><base:Date>20140810</base:Date></business:Priority>
+   <business:Priority kind="national"/>
+  </business:PriorityDetails>
   <business:ClassificationIPCRDetails><business:ClassificationIPCR><base:Text>H01M  10/05(2010.01)I</base:Text></business:ClassificationIPCR><business:ClassificationIPCR><base:Text>B60K 1/00 (2006.01)</base:Text></business:ClassificationIPCR></business:ClassificationIPCRDetails>
   <business:InventionTitle> 电池 </business:InventionTitle>
-  <business:Parties><business:ApplicantDetails>
-   <business:Applicant><base:AddressBook><base:Name>甲公司</base:Name><base:Address><base:Province>广东</base:Province></base:Address></base:AddressBook></business:Applicant>
-   <business:Applicant><base:AddressBook><base:Name>乙公司</base:Name></base:AddressBook></business:Applicant>
-  </business:ApplicantDetails></business:Parties>
-  <business:ReferencesCited><business:PatentCitation><base:DocumentID><base:DocNumber>9</base:DocNumber><base:Date>20131009</base:Date></base:DocumentID></business:PatentCitation></business:ReferencesCited>
+  <business:Parties>
+   <business:ApplicantDetails>
+    <business:Applicant><base:AddressBook><base:Name>甲公司</base:Name><base:Address><base:Text>路1号</base:Text><base:Province>广东</base:Province><base:WIPOST3Code>CN</base:WIPOST3Code></base:Address></base:AddressBook></business:Applicant>
+    <business:Applicant><base:AddressBook><base:Name>乙公司</base:Name></base:AddressBook></business:Applicant>
+    <business:Applicant>丙公司</business:Applicant>
+   </business:ApplicantDetails>
+   <business:InventorDetails><business:Inventor><base:AddressBook><base:Name>张三</base:Name></base:AddressBook></business:Inventor></business:InventorDetails>
+   <business:AgentDetails>
+    <business:Agent><base:AddressBook><base:Name>李四</base:Name></base:AddressBook><base:Agency><base:AddressBook><base:OrganizationName>代理 12</base:OrganizationName></base:AddressBook></base:Agency></business:Agent>
+    <business:Agent><base:AddressBook><base:Name>王五</base:Name></base:AddressBook></business:Agent>
+   </business:AgentDetails>
+  </business:Parties>
+  <business:AssigneeDetails><business:Assignee><base:AddressBook><base:Name>甲公司</base:Name></base:AddressBook></business:Assignee></business:AssigneeDetails>
+  <business:ExaminerDetails><business:Examiner><base:Name>审查</base:Name></business:Examiner><business:Examiner>二审</business:Examiner></business:ExaminerDetails>
+  <business:ReferencesCited><business:Citation><business:ApplicationCitation><business:PublicationReference><base:DocumentID><base:WIPOST3Code>TW</base:WIPOST3Code><base:DocNumber>9</base:DocNumber><base:Kind>A1</base:Kind><base:Date>20131009</base:Date></base:DocumentID></business:PublicationReference></business:ApplicationCitation></business:Citation><business:Citation/></business:ReferencesCited>
  </business:BibliographicData>
- <business:Abstract><base:Paragraphs>摘要</base:Paragraphs></business:Abstract>
- <business:Description><business:BackgroundArt><base:Paragraphs>见CN102030405A。</base:Paragraphs></business:BackgroundArt></business:Description>
- <business:Claims><business:Claim num="1"><business:ClaimText>一种电池。</business:ClaimText></business:Claim><business:Claim num="2"><business:ClaimText>根据权利要求1所述的电池。</business:ClaimText></business:Claim></business:Claims>
+ <business:Abstract><base:Paragraphs>摘要 x &lt; 5 &amp; y</base:Paragraphs><business:AbstractFigure><business:Figure><base:Image file="abs.JPG"/></business:Figure></business:AbstractFigure></business:Abstract>
+ <business:Description>
+  <business:TechnicalField title="t"><base:Paragraphs num="0001">领域H<base:sub>2</base:sub>O。</base:Paragraphs></business:TechnicalField>
+  <business:BackgroundArt><business:Part><base:Paragraphs>见CN102030405A和公开号：CN201510145456.1。</base:Paragraphs></business:Part><base:Paragraphs><base:b>粗</base:b><base:b>体</base:b></base:Paragraphs></business:BackgroundArt>
+  <business:Disclosure><base:Paragraphs>发明内容</base:Paragraphs><base:Paragraphs>本发明所要解决的技术问题是电池。</base:Paragraphs><base:Paragraphs>采用如下技术方案：甲。</base:Paragraphs><base:Paragraphs>乙，专利号 20201234567。</base:Paragraphs><base:Paragraphs>有益效果：好。</base:Paragraphs></business:Disclosure>
+  <business:DrawingsDescription><base:Paragraphs>图1<base:Image file="none.png"/></base:Paragraphs></business:DrawingsDescription>
+  <business:InventionMode><base:Paragraphs>如式<base:Image id="1" file="form.webp"/><base:Image file="two.tif"/></base:Paragraphs><base:Paragraphs>又<base:Image file="form.webp"/><base:Image file="x.txt"/></base:Paragraphs></business:InventionMode>
+ </business:Description>
+ <business:Claims><business:Claim num="1"><business:ClaimText>一种电池。</business:ClaimText><business:ClaimText>其特征在于甲。</business:ClaimText></business:Claim><business:Claim/><business:Claim><business:ClaimText>根据权利要求1所述的电池。</business:ClaimText></business:Claim></business:Claims>
+ <business:Drawings><business:Figure num="0001" figureLabels="图1"><base:Image file="1.TIF"/></business:Figure><business:Figure num="0002"><base:Image file="2.PNG"/></business:Figure><business:Figure><base:Image file="3.txt"/></business:Figure></business:Drawings>
 </business:PatentDocumentAndRelated>"""
+OLD = """<patent-document kind="B"><bibliographic-data>
+ <invention-title>Old patent</invention-title>
+ <publication-reference><document-id><doc-number>CN77B</doc-number><date>20240203</date></document-id></publication-reference>
+ <application-reference><document-id><doc-number>CN2099</doc-number><date>20230115</date></document-id></application-reference>
+ <parties><applicants><applicant>Old applicant</applicant><applicant><name>Second</name></applicant></applicants><inventors><inventor>Old inventor</inventor></inventors><agents><agent>Old agent</agent></agents></parties>
+ <classification-ipc><main-classification>H04L 12/58</main-classification></classification-ipc>
+ <abstract>Old abstract</abstract>
+</bibliographic-data><agency>Old agency</agency><claims>Old claim</claims></patent-document>"""
 
 
 @pytest.fixture
@@ -47,11 +76,58 @@ def test_archives_and_patents(spark, batch):
     b = found["100"]
     assert (b.title, b.kind, b.pub_date, b.grant_date, b.app_date, b.zip_name) == ("电池", "B", "2017-01-11", "2023-10-03", "2015-01-02", "a.zip")
     assert (found["200"].pub_date, found["200"].grant_date) == (None, "2023-10-03")
-    assert [a.name for a in b.applicants] == ["甲公司", "乙公司"] and b.applicants[0].province == "广东"
-    assert (b.claim_count, b.independent_claim_count, b.referenced_documents) == (2, 1, ["CN102030405A"])
-    assert [c.pub_date for c in b.citations] == ["2013-10-09"] and b.ipc[1].code_norm == "B60K1/00"
     children = patent_xml.child_table(patent_xml.parsed(rows.where("error is null")), "applicants")
-    assert children.count() == 4 and children.columns[:2] == ["patent_id", "name"]
+    assert children.count() == 6 and children.columns[:2] == ["patent_id", "name"]
+
+
+def parse(spark, *documents, **options):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(documents)], "i int, content string")
+    return {r.i: r for r in patent_xml.parsed(rows, keep=("i",), **options).collect()}
+
+
+def test_every_field_of_a_patent(spark):
+    b = parse(spark, XML.format(n="100", kind="B"))[0]
+    assert (b.doc_number, b.pub_number, b.grant_number, b.app_number, b.app_country, b.app_type, b.pub_country, b.status, b.lang, b.source_file) == ("100", "P100", "P100", "2015", "CN", "10", "CN", "C", "zh", "f.XML")
+    assert (b.abstract, b.abstract_figure) == ("摘要 x < 5 & y", "abs.JPG")
+    assert [tuple(a)[:4] for a in b.applicants] == [("甲公司", "路1号", "广东", None), ("乙公司", None, None, None), ("丙公司", None, None, None)]
+    assert b.applicants[0].country == "CN" and b.applicant == "甲公司; 乙公司; 丙公司"
+    assert (b.inventors, b.inventor, [a.name for a in b.assignees], b.examiners) == (["张三"], "张三", ["甲公司"], ["审查", "二审"])
+    assert [tuple(a) for a in b.agents] == [("代理 12", "李四"), (None, "王五")] and (b.agent, b.agency) == ("李四; 王五", "代理 12")
+    assert [tuple(c) for c in b.citations] == [("TW", "9", "A1", "2013-10-09")]
+    assert [tuple(p) for p in b.priorities] == [("JP", "10-1", "2014-08-10", "international", "original", "office", "1")]
+    assert [tuple(c) for c in b.ipc] == [("H01M  10/05(2010.01)I", "H01M10/05I"), ("B60K 1/00 (2006.01)", "B60K1/00")]
+    assert [tuple(c) for c in b.claims] == [("1", 1, "一种电池。\n其特征在于甲。", True), ("0003", 2, "根据权利要求1所述的电池。", False)]
+    assert (b.claims_text, b.claim_count, b.independent_claim_count) == ("一种电池。 其特征在于甲。\n根据权利要求1所述的电池。", 2, 1)
+    assert (b.technical_field, b.background_art) == ("领域HO。", "见CN102030405A和公开号：CN201510145456.1。\n粗 体")
+    assert b.technical_problem == "本发明所要解决的技术问题是电池。"
+    assert b.technical_solution == "采用如下技术方案：甲。\n乙，专利号 20201234567。" and b.beneficial_effect == "有益效果：好。"
+    assert b.embodiment == "如式\n[[PATENT_IMAGE:form.webp]]\n[[PATENT_IMAGE:two.tif]]\n又\n[[PATENT_IMAGE:form.webp]]"
+    assert b.drawings_description == "图1\n[[PATENT_IMAGE:none.png]]" and b.description.startswith(b.technical_field + "\n\n" + b.background_art)
+    assert b.referenced_documents == ["CN201510145456.1", "CN102030405", "20201234567"]
+    assert [tuple(r) for r in b.image_references] == [("1.TIF", "drawing", "图1", None), ("2.PNG", "drawing", "0002", None), ("form.webp", "inline", None, "InventionMode"), ("two.tif", "inline", None, "InventionMode")]
+    assert b.image_files == ["1.TIF", "2.PNG", "form.webp", "two.tif"]
+
+
+def test_dates_by_kind(spark):
+    plain = '<PatentDocumentAndRelated kind="{}" docNumber="N1"><BibliographicData><PublicationReference><DocumentID><DocNumber>N1</DocNumber><Date>20240102</Date></DocumentID></PublicationReference></BibliographicData></PatentDocumentAndRelated>'
+    got = parse(spark, *[plain.format(k) for k in "ABU"], XML.format(n="1", kind="A"))
+    assert [(r.pub_date, r.grant_number, r.grant_date) for _, r in sorted(got.items())] == [("2024-01-02", None, None), (None, "N1", "2024-01-02"), (None, "N1", "2024-01-02"), ("2023-10-02", None, None)]
+    rows = spark.createDataFrame([(plain.format(""), "utility_model"), (plain.format(""), "invention_application")], "content string, asked string")
+    assert sorted(str((r.pub_date, r.grant_date)) for r in patent_xml.parsed(rows, patent_type="asked").collect()) == ["('2024-01-02', None)", "(None, '2024-01-02')"]
+
+
+def test_the_older_vocabulary(spark):
+    o = parse(spark, OLD)[0]
+    assert (o.doc_number, o.title, o.abstract, o.claims_text, o.applicant, o.inventor, o.agent, o.agency) == ("CN77B", "Old patent", "Old abstract", "Old claim", "Old applicant; Second", "Old inventor", "Old agent", "Old agency")
+    assert (o.app_number, o.app_date, o.pub_date, o.grant_number, o.grant_date) == ("CN2099", "2023-01-15", None, "CN77B", "2024-02-03")
+    assert [tuple(c) for c in o.ipc] == [("H04L 12/58", "H04L12/58")] and [tuple(a) for a in o.agents] == [("Old agency", "Old agent")]
+    flat = "<cn-utility-model><title>Flat</title><publication-number>U9</publication-number><agent>A1; A2</agent><agency>B1</agency><ipc>A01B 1/00</ipc><ipc>A01B 0/00</ipc><claim>one</claim><claim>two</claim></cn-utility-model>"
+    f = parse(spark, flat)[0]
+    assert (f.doc_number, f.title, f.claims_text, [tuple(a) for a in f.agents], [c.ipc_code for c in f.ipc]) == ("U9", "Flat", "one two", [("B1", "A1"), (None, "A2")], ["A01B 1/00", "A01B 0/00"])
+
+
+def test_documents_that_give_no_row(spark):
+    assert parse(spark, "no xml", "", None, "<other docNumber='1'/>", "<PatentDocumentAndRelated kind='B'/>", "<PatentDocumentAndRelated docNumber='1'>") == {}
 
 
 def test_listing(spark, batch):
@@ -68,8 +144,14 @@ def test_titles(spark, tmp_path):
     (tmp_path / "ipc.txt").write_text("H01B0001000000\tConductors\r\n\nH\tELECTRICITY\nH01\t\n()\tx\n")
     rows = titles.two_columns(titles.lines(spark, str(tmp_path)))
     assert sorted((r.code_norm, r.level, r.title_en) for r in rows.where("error is null").collect()) == [("()", 0, "x"), ("H", 0, "ELECTRICITY"), ("H01B1/00", 3, "Conductors")]
-    cpc = spark.createDataFrame([("f", "H01B1/02\t1\tOf metal"), ("f", "H\t\tELECTRICITY"), ("f", "(2006.01)\t\tx")], "file string, line string")
-    assert sorted((str(r.code_norm), r.level, r.error) for r in titles.three_columns(cpc).collect()) == [("H", 0, None), ("H01B1/02", 1, None), ("None", 0, "invalid code")]
+    cpc = spark.createDataFrame([("f", 1, "H01B1/02\t1\tOf metal"), ("f", 2, "H\t\tELECTRICITY"), ("f", 3, "A01B0000020000\t\tx")], "file string, line_no int, line string")
+    parsed = titles.three_columns(cpc)
+    assert sorted((str(r.code_norm), r.level, r.error) for r in parsed.collect()) == [("H", 0, None), ("H01B1/02", 1, None), ("None", 0, "f:3: invalid code")]
+    with pytest.raises(Exception, match="f:3: invalid code"):
+        titles.checked(parsed).collect()
+    with zipfile.ZipFile(tmp_path / "more.zip", "w") as z:
+        z.writestr("sub/cpc.txt", "G\tPHYSICS\r\n")
+    assert {r.title_en for r in titles.two_columns(titles.lines(spark, str(tmp_path))).collect()} >= {"PHYSICS", "ELECTRICITY"}
 
 
 def test_stream_merges_each_file_once(spark, tmp_path):

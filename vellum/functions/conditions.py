@@ -7,13 +7,12 @@ dropped under ``~`` too, as in SQL. Conditions on child tables mark parents by a
 from __future__ import annotations
 
 import datetime
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.functions import codes
-
 
 class ConditionError(ValueError):
     """A value that no condition can be made of."""
@@ -43,29 +42,43 @@ def any_contains(columns: list[Column], value: str) -> Column:
     return reduce(lambda a, b: a | b, [contains(c, value) for c in columns])
 
 
+def normalized_code(value: str) -> str:
+    """A typed classification code as tables have it: without version and spaces, in upper case, long forms written short."""
+    bare = re.sub(r"\s+", "", re.sub(r"\s*\([0-9]{4}\.[0-9]{2}\)\s*", "", value).upper())
+    if not bare:
+        raise ConditionError("a classification code is empty")
+    if long := re.fullmatch(r"([A-H][0-9]{2}[A-Z])([0-9]{4})([0-9]{6})", bare):
+        if int(long[2]) == 0:
+            raise ConditionError(f"no main group: {value}")
+        return f"{long[1]}{int(long[2])}/{long[3].rstrip('0').ljust(2, '0')}"
+    return bare
+
+
 def code_prefix(code_norm: Column, value: str) -> Column:
-    """Whether a normalized code begins with the value; without wildcards this reaches the scan."""
-    value = "".join(value.split()).upper()
+    """Whether a normalized code begins with the value, which is normalized too; without wildcards this reaches the scan."""
+    value = normalized_code(value)
     if any(c in value for c in "*?？"):
         return F.ilike(code_norm, F.lit(like_pattern(value, prefix=True)), F.lit("\\"))
     return code_norm.startswith(value)
 
 
 def on_date(column: Column, value: str) -> Column:
-    """Whether a text date is in a year, a month, or on a day."""
-    parts = value.strip().split("-")
+    """Whether a text date is in a year (YYYY), in a month, or on a day (one or two digits each)."""
+    found = re.fullmatch(r"([0-9]{4})(?:-([0-9]{1,2})(?:-([0-9]{1,2}))?)?", value.strip())
+    if not found:
+        raise ConditionError(f"not a date: {value}")
+    numbers = [int(n) for n in found.groups() if n is not None]
     try:
-        numbers = [int(p) for p in parts]
         start = datetime.date(*numbers, *[1] * (3 - len(numbers)))
-    except (TypeError, ValueError):
+    except ValueError:
         raise ConditionError(f"not a date: {value}") from None
-    if len(parts) == 3:
+    if len(numbers) == 3:
         return column == start.isoformat()
-    if len(parts) == 2:
-        end = datetime.date(start.year + start.month // 12, start.month % 12 + 1, 1)
+    if len(numbers) == 2:
+        end = f"{start.year + start.month // 12}-{start.month % 12 + 1:02d}-01"
     else:
-        end = datetime.date(start.year + 1, 1, 1)
-    return (column >= start.isoformat()) & (column < end.isoformat())
+        end = f"{start.year + 1}-01-01"
+    return (column >= start.isoformat()) & (column < end)
 
 
 def in_range(column: Column, first: str | None, last: str | None) -> Column:
@@ -87,11 +100,47 @@ def has_child(parents: DataFrame, children: DataFrame, key: str, condition: Colu
     return parents.join(hit, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def default_field(texts: list[Column], value: str) -> Column:
-    """The condition of a value without a field, on the text columns of the parent itself."""
-    return any_contains(texts, value)
+def with_child(parents: DataFrame, children: DataFrame, key: str, condition: Column) -> DataFrame:
+    """``parents`` that have a child row of the same key which meets the condition."""
+    return parents.join(children.where(condition).select(key), key, "left_semi")
+
+
+def without_child(parents: DataFrame, children: DataFrame, key: str, condition: Column) -> DataFrame:
+    """``parents`` that have no child row of the same key which meets the condition."""
+    return parents.join(children.where(condition).select(key), key, "left_anti")
+
+
+def json_text(value: Column) -> Column:
+    """A nested value as the JSON text that a search for claims or descriptions looks through; a text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1)
+
+
+def agent_contains(agency: Column, agent: Column, value: str) -> Column:
+    """Whether a row of agents has the value in the agency's name or the agent's."""
+    return contains(agency, value) | contains(agent, value)
 
 
 def code_contains(code_norm: Column, value: str) -> Column:
     """Whether a normalized code has the value, normalized, in it."""
-    return F.contains(F.upper(code_norm), codes.normalized(F.lit(value)))
+    return F.ilike(code_norm, F.lit(like_pattern(normalized_code(value))), F.lit("\\"))
+
+
+def default_field(parents: DataFrame, key: str, texts: list[str], names: list[DataFrame], ipc: DataFrame, value: str) -> DataFrame:
+    """``parents`` that have a value without a field: in one of their ``texts``, in a name (key, name) of a child table, or in a normalized code (key, code_norm)."""
+    marks = []
+    for i, children in enumerate(names):
+        parents = has_child(parents, children, key, contains(F.col("name"), value), f"__name{i}")
+        marks.append(f"__name{i}")
+    parents = has_child(parents, ipc, key, code_contains(F.col("code_norm"), value), "__code")
+    hit = any_contains([F.col(c) for c in texts], value)
+    for mark in [*marks, "__code"]:
+        hit = F.coalesce(hit, F.lit(False)) | F.col(mark)
+    return parents.where(hit).drop(*marks, "__code")
+
+
+def free_search(parents: DataFrame, key: str, texts: list[str], applicants: DataFrame, ipc: DataFrame, value: str) -> DataFrame:
+    """``parents`` that a search box finds: in a text, in an applicant's name (key, name), or in a code as written (key, ipc_code), spaces aside."""
+    marked = has_child(parents, applicants, key, contains_raw(F.col("name"), value), "__name")
+    marked = has_child(marked, ipc, key, contains_raw(F.replace(F.col("ipc_code"), F.lit(" "), F.lit("")), re.sub(r"\s+", "", value)), "__code")
+    hit = reduce(lambda a, b: a | b, [contains_raw(F.col(c), value) for c in texts])
+    return marked.where(F.coalesce(hit, F.lit(False)) | F.col("__name") | F.col("__code")).drop("__name", "__code")

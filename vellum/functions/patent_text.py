@@ -5,27 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import non_empty
+from vellum.functions.text import non_empty, trimmed
 
-#: How paragraphs begin that state a solution or its effects.
-SOLUTION = r"(?:技术方案|为(?:了)?解决|为(?:了)?实现|the invention provides)"
-EFFECT = r"(?:有益效果|技术效果|advantageous effects?)"
+#: Wordings of paragraphs that state a problem, its solution, or the effects of it.
+PROBLEM = ("为解决上述技术问题", "所要解决的技术问题", "要解决的技术问题", "本发明所要解决的技术问题")
+SOLUTION = ("采用如下技术方案", "通过如下技术方案", "通过以下技术方案", "本发明提供.{0,4}技术方案", "技术方案是", "解决上述技术问题所采用的技术方案")
+EFFECT = ("有益效果", "具有如下技术效果", "具有以下有益效果", "与现有技术相比", "具有以下优点", "本发明具有如下.{0,4}效果")
 MARKER = r"\[\[PATENT_IMAGE:([^\]]+)\]\]"
 
 
-def first_match(paragraphs: Column, pattern: str) -> Column:
-    """Place of the first paragraph that matches, from 1; 0 if none does."""
-    return F.array_position(F.transform(paragraphs, lambda p: p.rlike(f"(?i){pattern}")), True)
+def image_marker(file_name: Column) -> Column:
+    """What stands in a paragraph for an image of a file."""
+    return F.concat(F.lit("[[PATENT_IMAGE:"), file_name, F.lit("]]"))
+
+
+def first_match(paragraphs: Column, patterns: tuple[str, ...]) -> Column:
+    """Place of the first paragraph that one of the patterns is found in, from 1; null if none is."""
+    return F.nullif(F.array_position(F.transform(paragraphs, lambda p: p.rlike("|".join(patterns))), True), F.lit(0))
 
 
 def disclosure_parts(paragraphs: Column) -> tuple[Column, Column, Column]:
-    """Problem, solution and effect: a disclosure is cut at the first paragraph that begins each; null where there is none."""
-    solution, effect = first_match(paragraphs, SOLUTION), first_match(paragraphs, EFFECT)
+    """Problem, solution and effect: each from its first marked paragraph up to the next marked one, or the end.
+
+    Of marks in one paragraph the last of problem, solution, effect counts. Without a problem's mark, what stands before the
+    solution is the problem. Null where there is none.
+    """
+    marks = [first_match(paragraphs, p) for p in (PROBLEM, SOLUTION, EFFECT)]
     last = F.size(paragraphs) + 1
-    stop = F.when(effect > solution, effect).otherwise(last)
-    part = lambda a, b: non_empty(F.array_join(F.slice(paragraphs, a.cast("int"), F.greatest(b - a, F.lit(0)).cast("int")), "\n"))
-    problem = F.when(solution > 1, part(F.lit(1), solution))
-    return problem, F.when(solution > 0, part(solution, stop)), F.when(effect > 0, part(effect, F.when(solution > effect, solution).otherwise(last)))
+
+    def part(first: Column, end: Column) -> Column:
+        return non_empty(trimmed(F.array_join(F.slice(paragraphs, first.cast("int"), (end - first).cast("int")), "\n")))
+
+    def segment(i: int) -> Column:
+        at = marks[i]
+        behind = [F.when((other > at) | ((other == at) & F.lit(j > i)), other) for j, other in enumerate(marks) if j != i]
+        end = F.coalesce(F.array_min(F.array(*behind)), last)
+        return F.when(end > at, part(at, end))
+
+    problem, solution, effect = (segment(i) for i in range(3))
+    before = F.when(marks[0].isNull() & solution.isNotNull() & (marks[1] > 1), part(F.lit(1), marks[1]))
+    return F.coalesce(problem, before), solution, effect
 
 
 def inline_images(text: Column) -> Column:
@@ -34,9 +53,10 @@ def inline_images(text: Column) -> Column:
 
 
 def detected_type(xml: Column) -> Column:
-    """Type of a patent by its kind attribute, else by words in its text."""
-    kind = F.regexp_extract(xml, r"""\bkind=["']([A-Z])""", 1)
-    by_kind = F.when(kind == "A", "application").when(kind == "B", "invention").when(kind == "U", "utility model")
+    """Type of a patent by its root's kind, else by words in its text: ``invention``, ``utility_model``, ``invention_application``; null if nothing tells it."""
+    root = F.regexp_extract(xml, r"(?s)<(?:[A-Za-z_][\w.-]*:)?[A-Za-z][\w.-]*\b[^>]*>", 0)
+    kind = F.upper(F.regexp_extract(root, r"""\skind\s*=\s*["']([^"']*)["']""", 1))
+    by_kind = F.when(kind == "A", "invention_application").when(kind == "B", "invention").when(kind == "U", "utility_model")
     lower = F.lower(xml)
-    by_word = F.when(lower.contains("实用新型") | lower.contains("utility-model"), "utility model").when(lower.contains("发明") | lower.contains("invention"), "invention")
+    by_word = F.when(lower.contains("实用新型") | lower.contains("utility-model"), "utility_model").when(lower.contains("发明") | lower.contains("invention"), "invention")
     return F.coalesce(by_kind, by_word)

@@ -44,9 +44,30 @@ def unfinished(archives: DataFrame, checkpoints: DataFrame, keys: tuple[str, ...
     return archives.join(checkpoints.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def reconciled(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """State of each batch from the files that are there: all downloaded, some, or none."""
-    have = files.groupBy("batch").agg(F.count("*").alias("have"))
-    rows = expected.join(have, "batch", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long")))
-    state = F.when(F.col("have") == 0, "pending").when(F.col("have") < F.col("files"), "downloading").otherwise("downloaded")
-    return rows.select("batch", "have", state.alias("status"))
+def reconciled(batches: DataFrame, found: DataFrame) -> DataFrame:
+    """(batch, previous, status) of batches (batch, status) by what is on disk and in the database; completed ones stay as they are.
+
+    ``found`` has for each batch with a folder: ``parsed`` (patents in the parsed file, null without one), ``imported``, ``extracted``
+    (whether there is an unpacked folder), ``files``, and ``whole`` (whether the downloaded archive passed its check).
+    """
+    f = F.col
+    rows = batches.join(found, "batch", "left")
+    state = (
+        F.when(f("status") == "completed", "completed")
+        .when(f("files").isNull(), "pending")
+        .when(f("parsed").isNotNull(), F.when((f("parsed") > 0) & (f("imported") >= f("parsed")), "completed").otherwise("processed"))
+        .when(f("extracted"), "downloaded")
+        .when((f("files") > 0) & f("whole"), "downloaded")
+        .otherwise("pending")
+    )
+    return rows.select("batch", f("status").alias("previous"), state.alias("status"))
+
+
+def latest_of(batches: DataFrame, column: str, value: str, time: str = "created_at") -> DataFrame:
+    """The newest batch with a value in a column."""
+    return batches.where(F.col(column) == value).orderBy(F.col(time).desc_nulls_last(), "batch_code").limit(1)
+
+
+def size_of(files: DataFrame, key: str) -> DataFrame:
+    """Files of each batch and their bytes."""
+    return files.groupBy(key).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

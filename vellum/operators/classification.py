@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from vellum.functions import codes
 from vellum.functions.conditions import any_contains, code_prefix
+from vellum.functions.text import trimmed
 
 PATH = ["section", "class_code", "subclass", "main_group", "subgroup"]
 
 
-def entries(raw: DataFrame, code: str, *columns: str) -> DataFrame:
-    """Rows of a dictionary with the normalized code, its path and its level; rows without a valid code go."""
-    rows = raw.withColumn("code_norm", codes.normalized(F.col(code))).where("code_norm is not null")
+def entries(raw: DataFrame, code: str | None, *columns: str) -> DataFrame:
+    """Rows of a dictionary with the normalized code, its path and its level; rows without a valid code go. Without ``code``, ``code_norm`` is there already."""
+    rows = (raw.withColumn("code_norm", codes.normalized(F.col(code))) if code else raw).where("code_norm is not null")
     norm = F.col("code_norm")
     parts = [f(norm).alias(n) for f, n in ((codes.section, "section"), (codes.class_code, "class_code"), (codes.subclass, "subclass"), (codes.main_group, "main_group"), (codes.subgroup, "subgroup"))]
     return rows.select("code_norm", codes.displayed(norm).alias("code"), *parts, codes.depth(norm).alias("level"), *columns)
@@ -26,9 +27,10 @@ def order(by_number: bool = False) -> list[Column]:
 
 
 def matching(dictionary: DataFrame, query: str) -> DataFrame:
-    """Entries whose code begins with the query, or whose code or titles have it in them; ``is_prefix`` marks the former."""
+    """Entries whose code begins with the query, or whose code, source code or titles have it in them; ``is_prefix`` marks the former."""
     prefix = code_prefix(F.col("code_norm"), query)
-    return dictionary.withColumn("is_prefix", prefix).where(prefix | any_contains([F.col(c) for c in ("code", "title_en")], query))
+    texts = [F.col(c) for c in ("code", "source_code", "title_en", "title_zh") if c in dictionary.columns]
+    return dictionary.withColumn("is_prefix", prefix).where(prefix | F.coalesce(any_contains(texts, query), F.lit(False)))
 
 
 def children(dictionary: DataFrame, parent: str | None = None) -> DataFrame:
@@ -55,7 +57,12 @@ def tree_search(dictionary: DataFrame, query: str, most: int = 200) -> DataFrame
 
 
 def merged_titles(rows: DataFrame, key: str, title: str, position: str) -> DataFrame:
-    """One row a key: its distinct titles joined by semicolons in the order of their first place."""
-    first = rows.groupBy(key, title).agg(F.min(position).alias("at"))
-    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", title))).alias("all"))
-    return listed.select(key, F.array_join(F.transform("all", lambda x: x[title]), "; ").alias(title))
+    """One row a key, the first by position; its title and those of later rows are joined by semicolons, each once."""
+    others = [c for c in rows.columns if c not in (key, title, position)]
+    first = rows.groupBy(key, title).agg(F.min(position).alias("at"), F.min_by(F.struct(*others), position).alias("row") if others else F.lit(None).alias("row"))
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", title))).alias("all"), F.min_by("row", "at").alias("row"))
+    said = F.transform("all", lambda x: x[title])
+    parts = lambda text: F.filter(F.transform(F.split(text, "; "), trimmed), lambda t: t != "")
+    more = lambda text, t: F.array_join(F.when(F.array_contains(parts(text), t), parts(text)).otherwise(F.concat(parts(text), F.array(t))), "; ")
+    merged = F.aggregate(F.slice(said, 2, F.greatest(F.size(said) - 1, F.lit(0))), said[0], more)
+    return listed.select(key, merged.alias(title), *([f"row.{c}" for c in others]))

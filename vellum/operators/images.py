@@ -22,16 +22,24 @@ def expanded(patents: DataFrame, key: str, references: str, files: str, abstract
 
 
 def with_entries(references: DataFrame, entries: DataFrame, file_name: str = "file_name", entry_name: str = "entry_name") -> DataFrame:
-    """References with the archive entry of the same base name, whatever its case and folder; null where there is none."""
-    keyed = entries.withColumn("image_key", image_key(F.col(entry_name))).dropDuplicates(["image_key"])
-    return references.withColumn("image_key", image_key(F.col(file_name))).join(keyed, "image_key", "left")
+    """References with the archive entry of the same base name, whatever its case and folder, of several the first by name; null where there is none."""
+    others = [c for c in entries.columns if c != entry_name]
+    keyed = entries.groupBy(image_key(F.col(entry_name)).alias("image_key")).agg(F.min_by(F.struct(entry_name, *others), F.struct(entry_name, *others)).alias("entry"))
+    return references.withColumn("image_key", image_key(F.col(file_name))).join(keyed.select("image_key", "entry.*"), "image_key", "left")
 
 
-def same_content(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
-    """Pairs of one patent's images with equal content: a match of score 1 that needs no turning."""
-    a, b = left.alias("a"), right.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{digest}") == F.col(f"b.{digest}")))
-    return pairs.select(F.col(f"a.{key}").alias(key), F.col("a.file_name").alias("file_name"), F.col("b.file_name").alias("matched_file_name"), F.lit(1.0).alias("match_score"), F.lit(0).alias("display_rotation"))
+def same_content(images: DataFrame, key: str, digest: str) -> DataFrame:
+    """Each of a patent's images with the first of equal content, its canonical one, as a match of score 1 that needs no turning; images without an equal match themselves."""
+    first = images.groupBy(key, digest).agg(F.min("file_name").alias("matched_file_name"))
+    found = images.join(first, [key, digest])
+    return found.select(key, "file_name", "matched_file_name", F.lit(1.0).alias("match_score"), F.lit(0).alias("display_rotation"))
+
+
+def candidates(images: DataFrame, key: str, is_abstract: Column) -> DataFrame:
+    """(key, file_name, drawing, rotation): the abstract's figure of a patent against each of its drawings, in all rotations that are tried."""
+    figures = images.where(is_abstract).select(key, "file_name")
+    drawings = images.where(~is_abstract).select(key, F.col("file_name").alias("drawing"))
+    return turned(figures.join(drawings, key))
 
 
 def turned(images: DataFrame) -> DataFrame:

@@ -24,14 +24,24 @@ def nested(children: DataFrame, key: str, fields: list[str], name: str, present:
     return children.groupBy(key).agg(F.array_sort(F.collect_set(entry)).alias(name))
 
 
+def nested_lists(children: DataFrame, key: str, lists: dict[str, tuple[list[str], Column | None]]) -> DataFrame:
+    """Several arrays of one child table in one pass: for each name its fields, and which children count."""
+
+    def distinct(fields: list[str], present: Column | None) -> Column:
+        entry = F.struct(*fields) if len(fields) > 1 else F.col(fields[0])
+        return F.array_sort(F.collect_set(entry if present is None else F.when(present, entry)))
+
+    return children.groupBy(key).agg(*[distinct(*x).alias(name) for name, x in lists.items()])
+
+
 def with_nested(parents: DataFrame, key: str, *lists: DataFrame) -> DataFrame:
     """``parents`` with the arrays of several child tables; empty where a parent has none.
 
     Every child table is reduced to one row a key before it is joined, so the joins multiply nothing.
     """
     for one in lists:
-        name = next(c for c in one.columns if c != key)
-        parents = parents.join(one, key, "left").withColumn(name, F.coalesce(name, F.array()))
+        names = [c for c in one.columns if c != key]
+        parents = parents.join(one, key, "left").withColumns({name: F.coalesce(name, F.array()) for name in names})
     return parents
 
 
@@ -40,3 +50,8 @@ def with_assets(images: DataFrame, assets: DataFrame, shared: list[str]) -> Data
     a, b = images.alias("i"), assets.alias("a")
     kept = [F.col(f"i.{c}") for c in images.columns if c not in shared]
     return a.join(b, F.col("i.asset_id") == F.col("a.id"), "left").select(*kept, *[F.coalesce(f"a.{c}", f"i.{c}").alias(c) for c in shared])
+
+
+def by_name(rows: DataFrame, name: str) -> DataFrame:
+    """Rows in the order of names as a reader sorts them, whatever the case and accents."""
+    return rows.orderBy(F.collate(F.col(name), "UNICODE"), name)

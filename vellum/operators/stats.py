@@ -41,13 +41,17 @@ def latest_of_each(log: DataFrame, key: str, time: str, *columns: str, ties: str
     return log.groupBy(key).agg(newest).select(key, "newest.*")
 
 
+def latest(time: Column) -> Column:
+    """The latest of the times in a group, null if one is missing: what an order from the latest on has first in SQL."""
+    return F.when(F.count_if(time.isNull()) == 0, F.max(time))
+
+
 def speeds(samples: DataFrame, key: str, time_ms: str, amount: str, ties: str, window_ms: int = 30_000, most: int = 10, least_ms: int = 500) -> DataFrame:
     """``samples`` with ``speed``: amount a second over the last ``window_ms``, of at most ``most`` samples; 0 over less than ``least_ms``."""
-    recent = W.partitionBy(key).orderBy(time_ms).rangeBetween(-window_ms, 0)
-    seen = F.array_sort(F.collect_list(F.struct(time_ms, ties, amount)).over(recent))
-    last = F.slice(seen, F.greatest(F.lit(1), F.size(seen) - most + 1), most)
-    rows = samples.withColumn("__seen", F.filter(last, lambda x: x[time_ms] <= F.col(time_ms)))
+    recent = W.partitionBy(key).orderBy(time_ms, ties).rowsBetween(1 - most, 0)
+    rows = samples.withColumn("__last", F.collect_list(F.struct(time_ms, amount)).over(recent))
+    rows = rows.withColumn("__seen", F.filter("__last", lambda x: x[time_ms] >= F.col(time_ms) - window_ms))
     first, end = F.col("__seen")[0], F.element_at("__seen", -1)
     span = (end[time_ms] - first[time_ms]) / 1000.0
     speed = F.when((F.size("__seen") < 2) | (span < least_ms / 1000), 0.0).otherwise((end[amount] - first[amount]) / span)
-    return rows.withColumn("speed", speed).drop("__seen")
+    return rows.withColumn("speed", speed).drop("__seen", "__last")

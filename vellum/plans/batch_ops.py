@@ -48,8 +48,14 @@ def resume_archives(spark, sf_dir):
 
 
 def reconcile(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("batch"))
-    return B.reconciled(items, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch"), F.lit(2).cast("long").alias("files")))
+    """States of batches by what is found for them; orders are batches, their items the files."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    batches = orders.select(key.alias("batch"), F.element_at(F.array(*map(F.lit, B.STATES)), (key % 8 + 1).cast("int")).alias("status"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.count_if(F.col("l_quantity") > 25).alias("files"))
+    k = F.col("batch")
+    found = items.where(k % 5 > 0).select("batch", "files", F.when(k % 3 == 0, k % 4).alias("parsed"), (k % 6).alias("imported"), (k % 7 == 0).alias("extracted"), (k % 2 == 0).alias("whole"))
+    return B.reconciled(batches, found)
 
 
 def image_references(spark, sf_dir):
@@ -69,9 +75,10 @@ def image_entries(spark, sf_dir):
 
 
 def image_same_content(spark, sf_dir):
+    """Each image with the first image of its patent that has the same content."""
     parts = table(spark, sf_dir, "part")
     rows = parts.select(F.col("p_size").alias("patent"), F.md5("p_name").alias("digest"), F.concat("p_partkey", F.lit(".jpg")).alias("file_name"))
-    return I.same_content(rows.where("patent % 2 = 0"), rows, "patent", "digest").where("file_name < matched_file_name")
+    return I.same_content(rows, "patent", "digest")
 
 
 def image_sections(spark, sf_dir):
@@ -85,22 +92,28 @@ def image_totals(spark, sf_dir):
 
 
 def image_rotations(spark, sf_dir):
-    return I.turned(table(spark, sf_dir, "part").select("p_partkey")).groupBy("rotation").agg(F.sum("p_partkey").alias("keys"))
+    """The abstract's figure against the drawings of a patent, in every rotation."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_size").alias("patent"), F.col("p_partkey").cast("string").alias("file_name"))
+    return I.candidates(parts, "patent", F.col("file_name").cast("int") <= 50).groupBy("patent", "rotation").agg(F.count("*").alias("pairs"), F.sum(F.col("drawing").cast("long")).alias("drawings"))
 
 
 def disclosure(spark, sf_dir):
-    """A disclosure of made-up paragraphs cut into problem, solution and effect."""
+    """A disclosure of made-up paragraphs, marked in every order, cut into problem, solution and effect."""
     parts = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    lines = F.array_compact(F.array(F.col("p_name"), F.when(k % 3 > 0, F.concat(F.lit("为解决 "), "p_type")), F.col("p_brand"), F.when(k % 2 == 0, F.lit("有益效果"))))
+    lines = F.array_compact(F.array(
+        F.when(k % 7 != 3, F.col("p_name")), F.when(k % 2 == 0, F.concat(F.lit("本发明所要解决的技术问题 "), "p_type")), F.when(k % 5 == 4, F.lit("与现有技术相比，早")),
+        F.when(k % 3 > 0, F.concat(F.lit("采用如下技术方案 "), "p_type")), F.col("p_brand"), F.when(k % 5 < 3, F.lit("具有以下有益效果")),
+    ))
     problem, solution, effect = P.disclosure_parts(lines)
     return parts.select("p_partkey", problem.alias("problem"), solution.alias("solution"), effect.alias("effect"))
 
 
 def markers(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    text = F.concat(F.lit("a [[PATENT_IMAGE:"), "p_name", F.lit(".jpg]] b [[PATENT_IMAGE:x.tif]] c [[PATENT_IMAGE:x.tif]]"))
-    return parts.select("p_partkey", F.array_join(P.inline_images(text), ",").alias("files"), P.detected_type(F.concat(F.lit('<a kind="'), F.substring("p_brand", 1, 1), F.lit('"> utility-model'))).alias("type"))
+    text = F.concat(F.lit("a "), P.image_marker(F.concat("p_name", F.lit(".jpg"))), F.lit(" b [[PATENT_IMAGE:x.tif]] c [[PATENT_IMAGE:x.tif]]"))
+    xml = F.concat(F.lit('<?xml version="1.0"?><a n="1" kind="'), F.lower(F.substring("p_brand", 1, 1)), F.lit('"><b kind="A"/> utility-model'))
+    return parts.select("p_partkey", F.array_join(P.inline_images(text), ",").alias("files"), P.detected_type(xml).alias("type"))
 
 
 def backfill(spark, sf_dir):
@@ -115,7 +128,7 @@ def kv_list(spark, sf_dir):
     stored = dictionary(spark, sf_dir).select(F.to_json(F.struct("code_norm", "title_en")).alias("value"))
     stored = stored.unionByName(stored.limit(1).select(F.lit("{broken").alias("value")))
     rows = stored.select(F.from_json("value", "code_norm string, title_en string").alias("row")).select("row.*").where("code_norm is not null")
-    rows = C.entries(rows, "code_norm", "title_en")
+    rows = C.entries(rows, None, "title_en")
     return rows.where(F.col("code_norm").startswith("A")).orderBy(*C.order(by_number=True)).limit(40).select("code_norm", codes.depth_label(F.col("code_norm")).alias("label"))
 
 
@@ -135,15 +148,22 @@ ORACLE_SQL = {
     "log_failures": "select event_type, case event_id % 3 when 0 then 'import' else 'file' end as kind_of_failure, cast(sum(case event_id % 3 when 0 then 2 else 1 end) as bigint) as failures from events where event_id % 3 < 2 group by 1, 2",
     "time_left": "select o_orderkey, case when o_custkey % 7 > 0 then cast(ceil(greatest(o_orderkey - o_custkey, 0) / cast(o_custkey % 7 as double)) as bigint) end as seconds from orders",
     "resume_archives": "select p_name as name, count(*) as archives from part where p_size % 2 <> 0 group by p_name",
-    "reconcile": "select o_orderkey as batch, coalesce(n, 0) as have, case when coalesce(n, 0) = 0 then 'pending' when n < 2 then 'downloading' else 'downloaded' end as status from orders left join (select l_orderkey, count(*) as n from lineitem where l_quantity > 25 group by l_orderkey) on l_orderkey = o_orderkey",
+    "reconcile": """with f as (select l_orderkey as b, count(*) filter (l_quantity > 25) as files from lineitem group by l_orderkey having l_orderkey % 5 > 0)
+select o_orderkey as batch, list_extract(['pending', 'downloading', 'downloaded', 'processing', 'processed', 'importing', 'completed', 'failed'], cast(o_orderkey % 8 + 1 as int)) as previous,
+case when o_orderkey % 8 = 6 then 'completed' when files is null then 'pending' when o_orderkey % 3 = 0 then case when o_orderkey % 4 > 0 and o_orderkey % 6 >= o_orderkey % 4 then 'completed' else 'processed' end when o_orderkey % 7 = 0 then 'downloaded' when files > 0 and o_orderkey % 2 = 0 then 'downloaded' else 'pending' end as status from orders left join f on b = o_orderkey""",
     "image_references": "select p_partkey, cast(0 as int) as sort_order, concat(p_name, '.JPG') as file_name, 'inline' as image_role from part union all select p_partkey, cast(1 as int), concat(p_type, '.tif'), 'drawing' from part union all select p_partkey, cast(2 as int), concat(p_brand, '.png'), 'abstract' from part where p_partkey % 2 = 0",
     "image_entries": "select p_partkey, concat('nation', p_size, '.jpg') as image_key, n_name from part left join nation on n_nationkey = p_size",
-    "image_same_content": "with r as (select p_size as patent, p_name, concat(p_partkey, '.jpg') as file_name from part) select a.patent, a.file_name, b.file_name as matched_file_name, cast(1.0 as double) as match_score, cast(0 as int) as display_rotation from r a join r b on a.patent = b.patent and a.p_name = b.p_name where a.patent % 2 = 0 and a.file_name < b.file_name",
+    "image_same_content": "with r as (select p_size as patent, p_name, concat(p_partkey, '.jpg') as file_name from part) select patent, file_name, min(file_name) over (partition by patent, p_name) as matched_file_name, cast(1.0 as double) as match_score, cast(0 as int) as display_rotation from r",
     "image_sections": "select l_orderkey, case when l_returnflag <> 'N' then l_returnflag else 'InventionMode' end as source_section, string_agg(distinct concat('f', l_linenumber), ',' order by concat('f', l_linenumber)) as files from lineitem group by 1, 2",
     "image_totals": "select count(*) as total, count(*) filter (l_returnflag not in ('R', 'A')) as uploaded, count(*) filter (l_returnflag = 'A') as skipped, count(*) filter (l_returnflag = 'R') as failed from lineitem",
-    "image_rotations": "select cast(unnest([0, 90, 180, 270]) as int) as rotation, (select cast(sum(p_partkey) as bigint) from part) as keys",
-    "disclosure": "select p_partkey, case when p_partkey % 3 > 0 then p_name end as problem, case when p_partkey % 3 > 0 then concat('为解决 ', p_type, chr(10), p_brand) end as solution, case when p_partkey % 2 = 0 then '有益效果' end as effect from part",
-    "markers": "select p_partkey, concat(p_name, '.jpg,x.tif') as files, case substr(p_brand, 1, 1) when 'A' then 'application' when 'B' then 'invention' else 'utility model' end as type from part",
+    "image_rotations": "select a.p_size as patent, cast(r as int) as rotation, count(*) as pairs, cast(sum(d.p_partkey) as bigint) as drawings from part a join part d on a.p_size = d.p_size cross join unnest([0, 90, 180, 270]) as t(r) where a.p_partkey <= 50 and d.p_partkey > 50 group by 1, 2",
+    "disclosure": """with l as (select p_partkey as k, list_filter([case when p_partkey % 7 <> 3 then p_name end, case when p_partkey % 2 = 0 then concat('本发明所要解决的技术问题 ', p_type) end, case when p_partkey % 5 = 4 then '与现有技术相比，早' end, case when p_partkey % 3 > 0 then concat('采用如下技术方案 ', p_type) end, p_brand, case when p_partkey % 5 < 3 then '具有以下有益效果' end], lambda x: x is not null) as p from part),
+m as (select *, list_position(list_transform(p, lambda x: starts_with(x, '本发明')), true) as a, list_position(list_transform(p, lambda x: starts_with(x, '采用')), true) as b, list_position(list_transform(p, lambda x: starts_with(x, '与现有') or starts_with(x, '具有')), true) as c, len(p) + 1 as e from l),
+n as (select *, nullif(coalesce(a, 0), 0) as a1, nullif(coalesce(b, 0), 0) as b1, nullif(coalesce(c, 0), 0) as c1 from m)
+select k as p_partkey, case when a1 is not null then array_to_string(p[a1 : least(case when b1 > a1 then b1 else e end, case when c1 > a1 then c1 else e end) - 1], chr(10)) when b1 > 1 then array_to_string(p[1 : b1 - 1], chr(10)) end as problem,
+case when b1 is not null then array_to_string(p[b1 : least(case when a1 > b1 then a1 else e end, case when c1 > b1 then c1 else e end) - 1], chr(10)) end as solution,
+case when c1 is not null then array_to_string(p[c1 : least(case when a1 > c1 then a1 else e end, case when b1 > c1 then b1 else e end) - 1], chr(10)) end as effect from n""",
+    "markers": "select p_partkey, concat(p_name, '.jpg,x.tif') as files, case substr(p_brand, 1, 1) when 'A' then 'invention_application' when 'B' then 'invention' else 'utility_model' end as type from part",
     "backfill": "select l.doc_id, coalesce(case when quality = 1 then 'xx' end, d.lang) as lang from labels l left join documents d on l.doc_id = d.doc_id",
     "kv_list": f"with {CODED_SQL} select code_norm, case level when 0 then 'section' when 1 then 'class' when 2 then 'subclass' when 3 then 'main_group' else 'subgroup' end as label from dictionary where code_norm like 'A%' order by 1 = 1, case when length(code_norm) > 2 then substr(code_norm, 1, 3) end nulls last, case when length(code_norm) > 3 then substr(code_norm, 1, 4) end nulls last, try_cast(case when code_norm like '%/%' then substr(split_part(code_norm, '/', 1), 5) end as int) nulls last, case when code_norm like '%/%' then split_part(code_norm, '/', 2) end nulls last, code_norm limit 40",
     "child_rows": "select conv_id, role, min(turn) as turn from conversations group by conv_id, role",

@@ -58,14 +58,16 @@ def tree_search(spark, sf_dir):
 
 def merged_titles(spark, sf_dir):
     """Distinct roles of a conversation in the order of their first turn."""
-    return C.merged_titles(table(spark, sf_dir, "conversations"), "conv_id", "role", "turn")
+    return C.merged_titles(table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), "conv_id", "role", "turn")
 
 
 def embedding_document(spark, sf_dir):
-    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    rows = nations.join(F.broadcast(regions), nations.n_regionkey == regions.r_regionkey)
-    text = T.embedding_document(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 3 > 0, F.col("r_name")), F.col("n_name"), F.lit("subclass"))
-    return rows.select("n_nationkey", text.alias("content"), F.sha2(text, 256).alias("content_hash"))
+    """Texts of the dictionary's entries that are to be embedded, with titles of one language, the other, or both."""
+    d = dictionary(spark, sf_dir)
+    d = d.withColumns({"version": F.lit("2026.01"), "title_zh": F.when(F.col("level") % 2 == 0, F.concat(F.lit(" 标题\u3000"), "code", F.lit(" ")))})
+    entry = {c: F.col(c) for c in ("code", "code_norm", "version", "title_zh", "title_en", *C.PATH)}
+    texts = {locale: T.embedding_document(entry, "ipc", codes.depth_label(F.col("code_norm")), locale) for locale in ("mixed", "zh", "en")}
+    return d.select("code_norm", *[F.sha2(text, 256).alias(f"{locale}_hash") for locale, text in texts.items()], texts["mixed"].alias("content"))
 
 
 QUERIES = {
@@ -100,5 +102,5 @@ ORACLE_SQL = {
     "class_tree_children": f"with {CODED_SQL} select code_norm, {_PARENT} as parent, level as depth, {_BELOW} as has_children from dictionary where {_PARENT} in ('C03', 'D04C', 'E05')",
     "class_tree_search": f"with {CODED_SQL}, hits as (select code_norm, level, {_SHOWN} as code from dictionary where code_norm like 'B02%' or {_SHOWN} ilike '%B02%' or title_en ilike '%B02%' order by (code_norm like 'B02%') desc, {_ORDER} limit 50), above as (select unnest([substr(code_norm, 1, 1), substr(code_norm, 1, 3), substr(code_norm, 1, 4), concat(split_part(code_norm, '/', 1), '/00')]) as code_norm, unnest([0, 1, 2, 3]) as up, level from hits) select code_norm, {_PARENT} as parent, level as depth, code_norm in (select code_norm from hits) as is_match from dictionary where code_norm in (select code_norm from hits) or code_norm in (select code_norm from above where up < level)",
     "merge_title_fold": "select conv_id, string_agg(role, '; ' order by first_turn, role) as role from (select conv_id, role, min(turn) as first_turn from conversations group by conv_id, role) group by conv_id",
-    "embedding_document": "with c as (select n_nationkey, concat('code: ', cast(n_nationkey as varchar), chr(10), 'level: subclass', case when n_nationkey % 3 > 0 then concat(chr(10), 'title_zh: ', r_name) else '' end, chr(10), 'title_en: ', n_name) as content from nation join region on n_regionkey = r_regionkey) select n_nationkey, content, sha256(content) as content_hash from c",
+    "embedding_document": f"with {CODED_SQL}, e as (select *, {_SHOWN} as code, case when level % 2 = 0 then concat(chr(10), '中文标题：标题 ', {_SHOWN}) else '' end as zh, concat(chr(10), '英文标题：', title_en) as en from dictionary), c as (select code_norm, concat('分类类型：IPC', chr(10), '分类号：', code, chr(10), '规范分类号：', code_norm, chr(10), '版本：2026.01', chr(10), '层级：', case level when 0 then 'section' when 1 then 'class' when 2 then 'subclass' when 3 then 'main_group' else 'subgroup' end) as head, zh, en, concat(chr(10), '结构字段：section=', substr(code_norm, 1, 1), case when level > 0 then concat(' class=', substr(code_norm, 1, 3)) else '' end, case when level > 1 then concat(' subclass=', substr(code_norm, 1, 4)) else '' end, case when level > 2 then concat(' main_group=', {_GROUP}, ' subgroup=', {_SUB}) else '' end) as parts from e) select code_norm, sha256(concat(head, zh, en, parts)) as mixed_hash, sha256(concat(head, zh, parts)) as zh_hash, sha256(concat(head, en, parts)) as en_hash, concat(head, zh, en, parts) as content from c",
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellum.functions import codes
 from vellum.functions import conditions as C
 from vellum.functions import text as T
 from vellum.operators import listing as L
-from vellum.plans.tables import patents, table
+from vellum.plans.tables import CODED_SQL, coded, patents, table
 
 DATE = "strftime(o_orderdate, '%Y-%m-%d')"
 
@@ -34,16 +35,23 @@ def wildcards(spark, sf_dir):
     return parts.where(C.contains(name, "l*e r?ng") | C.contains(name, "50%") | C.contains(name, "a_b") | C.contains(name, "blue")).select("p_partkey", "p_name")
 
 
+def _coded_orders(spark, sf_dir):
+    """Orders as patents: their customers as applicants, and a classification code each, as written and normalized."""
+    orders = table(spark, sf_dir, "orders")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    ipc = coded(spark, sf_dir).select("o_orderkey", F.col("raw_code").alias("ipc_code"), codes.normalized(F.col("raw_code")).alias("code_norm"))
+    return orders, orders.select("o_orderkey", "o_custkey").join(names, "o_custkey").select("o_orderkey", "name"), ipc
+
+
 def unescaped_search(spark, sf_dir):
-    """The search box: percent and underscore are wildcards; names or orders' priorities."""
-    customers = table(spark, sf_dir, "customer")
-    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    both = C.has_child(customers, orders, "c_custkey", C.contains_raw(F.col("o_orderpriority"), "1%ent"), "urgent")
-    return both.where(F.col("urgent") | C.contains_raw(F.col("c_name"), "_0011")).select("c_custkey", "c_name", "urgent")
+    """The search box: percent and underscore are wildcards; texts, applicants' names, or codes as written without their spaces."""
+    orders, names, ipc = _coded_orders(spark, sf_dir)
+    found = [C.free_search(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], names, ipc, v).select("o_orderkey", F.lit(v).alias("asked")) for v in ("1%ent", "_00011", "b02 d 5/")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def exists_field(spark, sf_dir):
-    """Orders with a returned item or a late date."""
+    """Orders with a returned item or a high price: the flag serves a disjunction."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     marked = C.has_child(orders, items, "o_orderkey", F.col("l_returnflag") == "R", "returned")
     return marked.where(F.col("returned") | (F.col("o_totalprice") > 400000)).select("o_orderkey", "returned")
@@ -52,36 +60,55 @@ def exists_field(spark, sf_dir):
 def not_exists(spark, sf_dir):
     """Orders without a large item."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    return C.has_child(orders, items, "o_orderkey", F.col("l_quantity") > 30, "large").where("not large").select("o_orderkey", "o_orderpriority")
+    return C.without_child(orders, items, "o_orderkey", F.col("l_quantity") > 30).select("o_orderkey", "o_orderpriority")
 
 
 def default_field(spark, sf_dir):
-    """A value without a field: texts of the order or the name of its customer."""
+    """A value without a field: texts of the patent, names of its children, or a code with it, normalized, in it."""
+    orders, names, ipc = _coded_orders(spark, sf_dir)
+    found = [C.default_field(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], [names], ipc, v).select("o_orderkey", F.lit(v).alias("asked")) for v in ("urgent", "00011", "b02d 5/00", "A01B0010020000")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def code_field(spark, sf_dir):
+    """Patents with a code that begins with a value, however it is written."""
+    orders, _, ipc = _coded_orders(spark, sf_dir)
+    found = [C.with_child(orders, ipc, "o_orderkey", C.code_prefix(F.col("code_norm"), v)).select("o_orderkey", F.lit(v).alias("asked")) for v in ("h04", "A02 c 12", "E05H0016000000", "C?3*/04")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def json_fields(spark, sf_dir):
+    """Claims and descriptions are searched as JSON text: keys and escapes take part."""
+    p = patents(spark, sf_dir)
+    description = F.struct(F.col("title").alias("technical_field"), F.col("kind").alias("embodiment"))
+    hit = C.contains(C.json_text(description), 'embodiment":"en"') & ~C.contains(C.json_text(F.col("title")), "the")
+    return p.where(hit).select("doc_id")
+
+
+def agent_field(spark, sf_dir):
+    """Orders of customers whose name or segment has a value: agents by agency or by name."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
-    marked = C.has_child(orders, customers, "o_custkey", C.contains(F.col("c_name"), "0001"), "by_name")
-    return marked.where(C.default_field([F.col("o_orderpriority"), F.col("o_orderstatus")], "urgent") | F.col("by_name")).select("o_orderkey", "by_name")
+    return C.with_child(orders, customers, "o_custkey", C.agent_contains(F.col("c_mktsegment"), F.col("c_name"), "build?ng") | C.agent_contains(F.col("c_mktsegment"), F.col("c_name"), "00007")).select("o_orderkey")
 
 
 def _dated(value):
     def query(spark, sf_dir):
-        orders = table(spark, sf_dir, "orders").withColumn("pub_date", F.date_format("o_orderdate", "yyyy-MM-dd"))
-        return orders.where(C.on_date(F.col("pub_date"), value)).select("o_orderkey", "pub_date")
+        orders = table(spark, sf_dir, "orders").where(C.on_date(F.col("o_orderdate"), value))  # the column itself, so that it reaches the scan
+        return orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("pub_date"))
 
     query.__doc__ = f"Orders on {value}, dates as text."
     return query
 
 
 def range_and_equality(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("pub_date", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    hit = (F.col("o_orderstatus") == "F") & C.in_range(F.col("pub_date"), "1996-02-01", "1997-12-31")
-    return orders.where(hit).select("o_orderkey", "pub_date", "o_orderstatus")
+    hit = (F.col("o_orderstatus") == "F") & C.in_range(F.col("o_orderdate"), "1996-02-01", "1997-12-31")
+    return table(spark, sf_dir, "orders").where(hit).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("pub_date"), "o_orderstatus")
 
 
 def province_semi(spark, sf_dir):
-    """Customers of one segment, as orders."""
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    chosen = customers.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return orders.join(chosen, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+    """Orders of customers of one segment."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return C.with_child(orders, customers, "o_custkey", F.col("c_mktsegment") == "BUILDING").select("o_orderkey", "o_custkey")
 
 
 def list_page(spark, sf_dir):
@@ -93,18 +120,19 @@ def list_page(spark, sf_dir):
 
 
 def detail_nested(spark, sf_dir):
-    """Orders with two child lists, reduced before they are joined."""
+    """Orders with two lists of one child table, made in one pass over it."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    flags = L.nested(items, "o_orderkey", ["l_returnflag"], "flags")
-    large = L.nested(items, "o_orderkey", ["l_linestatus"], "statuses", F.col("l_quantity") > 40)
-    found = L.with_nested(orders, "o_orderkey", flags, large)
+    lists = L.nested_lists(items, "o_orderkey", {"flags": (["l_returnflag"], None), "statuses": (["l_linestatus"], F.col("l_quantity") > 40)})
+    found = L.with_nested(orders, "o_orderkey", lists)
     return found.select("o_orderkey", T.joined_names(F.col("flags")).alias("flags"), T.joined_names(F.col("statuses")).alias("statuses"))
 
 
 def left_join_coalesce(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    joined = docs.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id", "left")
-    return joined.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce(F.when(F.col("quality") == 1, "good"), "lang").alias("role"))
+    """Images with what their asset says, and what they say themselves where it says nothing; documents stand for images, labels for assets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("asset_id"), F.col("lang").alias("role"), F.lit(-1).alias("quality"))
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
+    assets = labels.withColumn("role", F.when(F.col("quality") == 1, "good"))
+    return L.with_assets(docs, assets, ["quality", "role"]).select("doc_id", "quality", "role")
 
 
 def free_text_page(spark, sf_dir):
@@ -120,6 +148,9 @@ QUERIES = {
     "expr_exists_field": exists_field,
     "expr_not_exists": not_exists,
     "expr_default_field": default_field,
+    "expr_code_field": code_field,
+    "expr_json_fields": json_fields,
+    "expr_agent_field": agent_field,
     "expr_date_year": _dated("1996"),
     "expr_date_month": _dated("1997-12"),
     "expr_date_day": _dated("1998-03-05"),
@@ -132,6 +163,7 @@ QUERIES = {
     "left_join_coalesce": left_join_coalesce,
 }
 
+_CODED = f"with {CODED_SQL}, o as (select o.*, c_name as name, raw_code as ipc_code, code_norm from orders o left join customer on c_custkey = o_custkey join leveled l on l.o_orderkey = o.o_orderkey)"
 _EITHER = "(substr(text, 1, case when strpos(text, chr(10)) = 0 then length(text) else strpos(text, chr(10)) - 1 end) ilike '%{0}%' or text ilike '%{0}%')"
 
 ORACLE_SQL = {
@@ -139,11 +171,14 @@ ORACLE_SQL = {
     "expr_wildcard_escape": r"select p_partkey, p_name from part where p_name ilike '%l%e r_ng%' escape '\' or p_name ilike '%50\%%' escape '\' or p_name ilike '%a\_b%' escape '\' or p_name ilike '%blue%'",
     "expr_exists_field": "select o_orderkey, exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as returned from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') or o_totalprice > 400000",
     "expr_not_exists": "select o_orderkey, o_orderpriority from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 30)",
-    "expr_default_field": "with marked as (select *, exists (select 1 from customer where c_custkey = o_custkey and c_name ilike '%0001%') as by_name from orders) select o_orderkey, by_name from marked where o_orderpriority ilike '%urgent%' or o_orderstatus ilike '%urgent%' or by_name",
+    "expr_default_field": f"{_CODED} select o_orderkey, v as asked from o cross join (values ('urgent', 'URGENT'), ('00011', '00011'), ('b02d 5/00', 'B02D5/00'), ('A01B0010020000', 'A01B10/02')) as t(v, c) where o_orderpriority ilike '%' || v || '%' or o_orderstatus ilike '%' || v || '%' or name ilike '%' || v || '%' or code_norm ilike '%' || c || '%'",
+    "expr_code_field": f"{_CODED} select o_orderkey, v as asked from o cross join (values ('h04', 'H04%'), ('A02 c 12', 'A02C12%'), ('E05H0016000000', 'E05H16/00%'), ('C?3*/04', 'C_3%/04%')) as t(v, c) where code_norm ilike c",
+    "expr_json_fields": "select doc_id from documents where lower(lang) = 'en' and not substr(text, 1, case when strpos(text, chr(10)) = 0 then length(text) else strpos(text, chr(10)) - 1 end) ilike '%the%'",
+    "expr_agent_field": "select o_orderkey from orders join customer on c_custkey = o_custkey where c_mktsegment ilike '%build_ng%' or c_name ilike '%build_ng%' or c_mktsegment ilike '%00007%' or c_name ilike '%00007%'",
     "expr_date_year": f"select o_orderkey, {DATE} as pub_date from orders where {DATE} >= '1996-01-01' and {DATE} < '1997-01-01'",
     "expr_date_month": f"select o_orderkey, {DATE} as pub_date from orders where {DATE} >= '1997-12-01' and {DATE} < '1998-01-01'",
     "expr_date_day": f"select o_orderkey, {DATE} as pub_date from orders where {DATE} = '1998-03-05'",
-    "free_search_unescaped": "with marked as (select *, exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority ilike '%1%ent%') as urgent from customer) select c_custkey, c_name, urgent from marked where urgent or c_name ilike '%_0011%'",
+    "free_search_unescaped": f"{_CODED} select o_orderkey, v as asked from o cross join (values ('1%ent'), ('_00011'), ('b02 d 5/')) as t(v) where o_orderpriority ilike '%' || v || '%' or o_orderstatus ilike '%' || v || '%' or name ilike '%' || v || '%' or replace(ipc_code, ' ', '') ilike '%' || replace(v, ' ', '') || '%'",
     "filter_range_and_equality": f"select o_orderkey, {DATE} as pub_date, o_orderstatus from orders where o_orderstatus = 'F' and {DATE} between '1996-02-01' and '1997-12-31'",
     "province_semi": "select o_orderkey, o_custkey from orders where exists (select 1 from customer where c_custkey = o_custkey and c_mktsegment = 'BUILDING')",
     "list_page": f"with one as (select * from orders order by o_orderdate desc nulls last, o_orderkey desc limit 25 offset 50) select o_orderkey, {DATE} as day, coalesce((select string_agg(distinct l_returnflag, ',' order by l_returnflag) from lineitem where l_orderkey = o_orderkey), '') as flags from one",

@@ -44,7 +44,9 @@ dictionary as (select code_norm, level, min(o_orderpriority) as title_en from le
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry for each code of ``coded``."""
+    from vellum.functions.codes import normalized
     from vellum.operators.classification import entries
 
-    rows = entries(coded(spark, sf_dir), "raw_code", "o_orderpriority")
-    return rows.groupBy("code_norm", "code", "section", "class_code", "subclass", "main_group", "subgroup", "level").agg(F.min("o_orderpriority").alias("title_en"))
+    # codes are made distinct first, so that the parts of each are found once
+    norm = coded(spark, sf_dir).groupBy(normalized(F.col("raw_code")).alias("code_norm")).agg(F.min("o_orderpriority").alias("title_en"))
+    return entries(norm, None, "title_en")

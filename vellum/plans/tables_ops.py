@@ -23,8 +23,8 @@ def anti_resume(spark, sf_dir):
 def full_outer_manifest(spark, sf_dir):
     """Manifest of labels against files of documents, both ways."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    expected = labels.select(F.concat(F.lit("F"), "doc_id").alias("name"), F.col("quality").cast("string").alias("expected"))
-    actual = docs.where("doc_id % 3 > 0").select(F.concat(F.lit("f"), "doc_id").alias("name"), F.lit("1").alias("actual"))
+    expected = labels.select(F.concat(F.lit("F"), "doc_id", F.lit(".ZIP")).alias("name"), F.col("quality").cast("string").alias("expected"))
+    actual = docs.where("doc_id % 3 > 0").select(F.concat(F.lit("f"), "doc_id", F.when(F.col("doc_id") % 5 > 0, ".zip").otherwise(".txt")).alias("name"), F.lit("1").alias("actual"))
     return I.manifest_failures(expected, actual)
 
 
@@ -45,15 +45,19 @@ def dedupe_exact(spark, sf_dir):
 
 
 def dashboard(spark, sf_dir):
-    orders, customers, items = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    """All figures of the dashboard: orders stand for patents, customers for batches, and their items for children."""
+    orders, customers, items, suppliers = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "supplier"))
     day = F.col("o_orderdate")
     o = S.conditional_counts(
         orders,
-        {"orders_f": F.col("o_orderstatus") == "F", "orders_o": F.col("o_orderstatus") == "O", "recent": S.since(day, TODAY, 7)},
-        orders=F.count("*"),
-        latest=F.date_format(F.max(day), "yyyy-MM-dd"),
+        {"invention_patents": F.col("o_orderstatus") == "F", "utility_model_patents": F.col("o_orderstatus") == "O", "this_week_patents": S.since(day, TODAY, 7)},
+        total_patents=F.count("*"),
+        last_sync_at=F.date_format(S.latest(F.when(F.col("o_orderstatus") == "F", day).otherwise(F.lit("1990-01-01").cast("timestamp_ntz"))), "yyyy-MM-dd"),
+        last_known=F.date_format(S.latest(F.when(F.col("o_orderkey") > 1, day)), "yyyy-MM-dd"),
     )
-    return S.beside(o, customers.agg(F.count("*").alias("customers")), items.agg(F.count_if(F.col("l_returnflag") == "R").alias("returned")))
+    b = S.conditional_counts(customers, {"pending_batches": F.col("c_mktsegment") == "BUILDING", "failed_batches": F.col("c_mktsegment") == "MACHINERY"}, total_batches=F.count("*"))
+    i = S.conditional_counts(items, {"total_applicants": F.col("l_returnflag") == "R", "total_inventors": F.col("l_returnflag") == "A"}, total_citations=F.count("*"))
+    return S.beside(o, b, i, suppliers.agg(F.count("*").alias("suppliers")))
 
 
 def by_type(spark, sf_dir):
@@ -107,10 +111,12 @@ def claims(spark, sf_dir):
 
 
 def cited(spark, sf_dir):
-    """Patent numbers in texts, distinct, in order."""
+    """Numbers of documents in two texts: behind a word for a number first, text by text, each once."""
     orders = table(spark, sf_dir, "orders")
-    text = F.concat(F.lit("见CN"), F.lpad(F.col("o_orderkey").cast("string"), 9, "1"), F.lit("A和US1234567, CN"), F.lpad((F.col("o_orderkey") % 7).cast("string"), 9, "1"), F.lit("A; xCN123456789"))
-    return orders.select("o_orderkey", F.array_join(T.cited_documents(text), ",").alias("cited"))
+    k = lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 9, "1")
+    first = F.concat(F.lit("见CN"), k(1000), F.lit("A和CN12345，公开号：CN"), k(7), F.lit("B; 专利号 2020"), k(5), F.lit(".1; xCN123456789; US1234567"))
+    second = F.concat(F.lit("申请号201510145456.1，CN"), k(7), F.lit("C"))
+    return orders.select("o_orderkey", F.array_join(T.cited_documents(first, second), ",").alias("cited"))
 
 
 def format_date(spark, sf_dir):
@@ -121,15 +127,17 @@ def format_date(spark, sf_dir):
 
 
 def html_fields(spark, sf_dir):
+    """Fields of web pages by the text rules of patent documents."""
     pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return pages.select("page_id", T.non_empty(title).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), 0)).cast("long").alias("paragraphs"))
+    return pages.select("page_id", T.compact_line(title).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p[ >]"), 0)).cast("long").alias("paragraphs"))
 
 
 def batch_code(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    folder = F.concat(F.lit("/root/"), F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderkey") % 3 == 0, "RawData").when(F.col("o_orderkey") % 3 == 1, "").otherwise("_x"), F.lit("/"))
-    return orders.select("o_orderkey", T.batch_code(F.col("o_orderpriority"), folder).alias("batch_code"))
+    kinds = F.array(*map(F.lit, ("invention", "invention_application", "utility_model", "other")))
+    folder = F.concat(F.lit("/root/"), F.date_format("o_orderdate", "yyyyMMdd"), F.when(F.col("o_orderkey") % 3 == 0, "RawData").when(F.col("o_orderkey") % 3 == 1, "").otherwise("_x"), F.lit("//"))
+    return orders.select("o_orderkey", T.batch_code(F.element_at(kinds, (F.col("o_orderkey") % 4 + 1).cast("int")), folder).alias("batch_code"))
 
 
 def names_of_files(spark, sf_dir):
@@ -146,11 +154,32 @@ def crc_check(spark, sf_dir):
     return docs.select("doc_id", T.crc_text(F.col("text").cast("binary")).alias("crc"))
 
 
+#: Log messages of older versions, N a number that changes, and what they say now.
+SAID = [
+    ("Start processing step", "开始处理步骤"),
+    ("Extract outer archive package: N file(s)", "解压外层压缩包：N 个文件"),
+    ("A.ZIP: parsed N XML, raw patents 5, filtered patents 4, referenced image files 3", "A.ZIP：已解析 N 个 XML，原始专利 5 条，筛选后 4 条，引用附图文件 3 个"),
+    ("A.ZIP: parsed N XML, processed 9 referenced image(s), uploaded 8, skipped 7, failed 6, total patents 5", "A.ZIP：已解析 N 个 XML，处理引用附图 9 张，上传 8 张，跳过 7 张，失败 6 张，累计专利 5 条"),
+    ("A.ZIP: parsed N XML, filtered patents 4, skipped image upload, total patents 5", "A.ZIP：已解析 N 个 XML，筛选后专利 4 条，已跳过附图上传，累计专利 5 条"),
+    ("Processing completed: patents=N, uploadedImages=2, skippedImages=3, filteredOut=4", "处理完成：N 条专利，上传附图 2 张，跳过附图 3 张，过滤掉 4 条不符合条件的专利"),
+    ("A.ZIP: ?? N/10, ?? 1, ?? 2, ?? 3", "A.ZIP: 附图上传进度 N/10，上传 1，跳过 2，失败 3"),
+    ("A.ZIP????? N ? XML????? 5 ???? 4 ????? 3 ?", "A.ZIP：已解析 N 个 XML，原始专利 5 条，筛选后 4 条，引用附图文件 3 个"),
+    ("A.ZIP????? N ? XML? 9 ??? 8 ? 7 ? 6 ? 5", "A.ZIP：已解析 N 个 XML，处理引用附图 9 张，上传 8 张，跳过 7 张，失败 6 张，累计专利 5 条"),
+    ("处理内层 ZIP: N.ZIP", "开始处理内层 ZIP：N.ZIP"),
+    ("开始处理 ZIP: N.ZIP", "开始处理 ZIP: N.ZIP"),
+    ("澶勭悊澶辫触: N", "处理失败： N"),
+    ("瀵煎叆澶辫触:N", "导入失败：N"),
+    ("N 涓撳埄闄勫浘涓婁紶澶辫触", "N 专利附图上传失败"),
+    ("x: You did not provide the number of bytes specified by the Content-Length HTTP header.", "x: 对象存储上传失败：请求体长度与 Content-Length 不一致"),
+    ("imported N patents", "imported N patents"),
+]
+
+
 def log_normalize(spark, sf_dir):
+    """Log messages of every older wording."""
     events = table(spark, sf_dir, "events")
-    k = (F.col("event_id") % 100).cast("string")
-    wordings = [F.concat(F.lit("started download of "), k, F.lit(" files")), F.concat(F.lit("imported "), k, F.lit(" patents")), F.concat(F.lit("failed: "), F.col("event_type")), k, F.col("event_type")]
-    return events.select("event_id", T.log_message(F.element_at(F.array(*wordings), (F.col("event_id") % 5 + 1).cast("int"))).alias("message"))
+    chosen = F.element_at(F.array(*[F.lit(old) for old, _ in SAID]), (F.col("event_id") % len(SAID) + 1).cast("int"))
+    return events.select("event_id", T.log_message(F.replace(chosen, F.lit("N"), (F.col("event_id") % 100).cast("string"))).alias("message"))
 
 
 def log_latest(spark, sf_dir):
@@ -172,22 +201,29 @@ def speed_window(spark, sf_dir):
 
 
 def progress(spark, sf_dir):
+    """Percentages of batches in every state, as reported and as shown."""
     orders = table(spark, sf_dir, "orders")
     states = F.array(*map(F.lit, ("pending", "downloading", "downloaded", "processing", "processed", "importing", "completed", "failed")))
     status = F.element_at(states, (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return orders.select("o_orderkey", T.progress(status, F.col("o_custkey") % 50, F.lit(40)).alias("progress"))
+    numbers = F.col("o_custkey") % 50, F.when(F.col("o_custkey") % 3 > 0, F.lit(40)), F.col("o_custkey") % 11, F.when(F.col("o_custkey") % 2 == 0, F.lit(8)).otherwise(0)
+    return orders.select("o_orderkey", T.progress(status, *numbers).alias("progress"), F.round(T.shown_progress(status, *numbers), 6).alias("shown"))
 
 
 def kind_labels(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    kind = F.element_at(F.array(*map(F.lit, ("A", "B", "U", " ", "C1"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("A", "B", "U", "", "C1"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     shown = T.display_date(kind, F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("2000-01-01"))
-    return orders.select("o_orderkey", T.kind_label(kind).alias("label"), shown.alias("shown"), T.default_kind(F.nullif(kind, F.lit("C1")), F.lit("invention")).alias("kind"))
+    return orders.select("o_orderkey", T.kind_label(kind).alias("label"), T.kind_label(kind, short=True).alias("short"), shown.alias("shown"), T.default_kind(F.nullif(kind, F.lit("C1")), F.lit("invention")).alias("kind"))
 
 
 def sizes(spark, sf_dir):
+    """Bytes, speeds, times and shares in words."""
     parts = table(spark, sf_dir, "part")
-    return parts.select("p_partkey", T.size_text(F.col("p_partkey") * 1024 * 1024 * 256).alias("size"), F.array_join(T.split_values(F.concat(F.lit(" a ;; "), "p_name", F.lit(" ; "))), "|").alias("values"))
+    n = F.col("p_partkey") * F.element_at(F.array(*[F.lit(1).cast("long"), F.lit(700).cast("long"), F.lit(1024 * 300).cast("long"), F.lit(1024**2 * 256).cast("long")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return parts.select(
+        "p_partkey", T.size_text(n).alias("size"), T.speed_text(n).alias("speed"), T.file_size_text(n).alias("file_size"), T.duration_text(F.col("p_partkey") * F.col("p_partkey") / 64.0 - 1).alias("duration"),
+        T.transfer_text(F.col("p_partkey"), F.col("p_partkey") % 3 * 512).alias("transfer"), F.array_join(T.split_values(F.concat(F.lit(" a ;; "), "p_name", F.lit(" ; "))), "|").alias("values"),
+    )
 
 
 def vector_topk(spark, sf_dir):
@@ -240,11 +276,11 @@ _COS = "list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_pr
 
 ORACLE_SQL = {
     "anti_resume": "select doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
-    "full_outer_manifest": "with e as (select concat('F', doc_id) as name, cast(quality as varchar) as expected from labels), a as (select concat('f', doc_id) as name, '1' as actual from documents where doc_id % 3 > 0), j as (select coalesce(e.name, a.name) as file, expected, actual, case when a.name is null then 'missing' when e.name is null then 'uncovered' when expected <> actual then 'mismatch' end as reason from e full join a on lower(e.name) = lower(a.name)) select * from j where reason is not null",
+    "full_outer_manifest": "with e as (select concat('F', doc_id, '.ZIP') as name, cast(quality as varchar) as expected from labels), a as (select concat('f', doc_id, case when doc_id % 5 > 0 then '.zip' else '.txt' end) as name, '1' as actual from documents where doc_id % 3 > 0), j as (select coalesce(e.name, a.name) as file, expected, actual, case when a.name is null then 'missing' when e.name is null then case when a.name like '%.zip' then 'uncovered' end when expected <> actual then 'mismatch' end as reason from e full join a on lower(e.name) = lower(a.name)) select * from j where reason is not null",
     "dedupe_keep_last": "select conv_id, role, turn, first_position, md5(text) as text_md5 from (select *, row_number() over (partition by conv_id, role order by turn desc) as rn, min(turn) over (partition by conv_id, role) as first_position from conversations) where rn = 1",
     "dedupe_keep_first": "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as rn from lineitem) where rn = 1",
     "dedupe_exact_rows": "select distinct l_returnflag, l_linestatus, l_linenumber, l_quantity from lineitem",
-    "dashboard_stats": f"select (select count(*) from orders where o_orderstatus = 'F') as orders_f, (select count(*) from orders where o_orderstatus = 'O') as orders_o, (select count(*) from orders where o_orderdate >= date '{TODAY}' - interval 7 day) as recent, (select count(*) from orders) as orders, (select strftime(max(o_orderdate), '%Y-%m-%d') from orders) as latest, (select count(*) from customer) as customers, (select count(*) from lineitem where l_returnflag = 'R') as returned",
+    "dashboard_stats": f"select (select count(*) from orders where o_orderstatus = 'F') as invention_patents, (select count(*) from orders where o_orderstatus = 'O') as utility_model_patents, (select count(*) from orders where o_orderdate >= date '{TODAY}' - interval 7 day) as this_week_patents, (select count(*) from orders) as total_patents, (select strftime(max(o_orderdate), '%Y-%m-%d') from orders where o_orderstatus = 'F') as last_sync_at, (select strftime(d, '%Y-%m-%d') from (select case when o_orderkey > 1 then o_orderdate end as d from orders order by d desc nulls first limit 1)) as last_known, (select count(*) from customer where c_mktsegment = 'BUILDING') as pending_batches, (select count(*) from customer where c_mktsegment = 'MACHINERY') as failed_batches, (select count(*) from customer) as total_batches, (select count(*) from lineitem where l_returnflag = 'R') as total_applicants, (select count(*) from lineitem where l_returnflag = 'A') as total_inventors, (select count(*) from lineitem) as total_citations, (select count(*) from supplier) as suppliers",
     "stats_by_type": f'select o_orderstatus, o_orderpriority, count(*) as "rows", min({_DAY}) as first_date, max({_DAY}) as last_date from orders group by o_orderstatus, o_orderpriority',
     "stats_monthly": "select strftime(o_orderdate, '%Y-%m') as period, o_orderstatus, count(*) as \"rows\" from orders group by 1, 2",
     "upsert_policy": "with o as (select * from orders where o_orderkey % 2 = 0), n as (select o_orderkey, 'N' as s, -o_totalprice as p, case when o_orderkey % 4 = 0 then 'new' end as r from orders where o_orderkey % 3 = 0) select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, coalesce(n.s, o.o_orderstatus) as o_orderstatus, coalesce(n.p, o.o_totalprice) as o_totalprice, coalesce(n.r, o.o_orderpriority) as o_orderpriority, coalesce(o.o_custkey, 0) as o_custkey, o.o_orderkey is null as is_new from o full join n on o.o_orderkey = n.o_orderkey",
@@ -253,17 +289,22 @@ ORACLE_SQL = {
     "split_valid": "select case when length(text) < 100 then 'too short' when source in ('src1', 'src2') then 'no page' when lang = 'es' then 'language' end as error, count(*) as \"rows\" from documents where length(text) < 100 or source in ('src1', 'src2') or lang = 'es' group by 1",
     "whitelist_counts": "with f as (select source in ('src1', 'src3') or (source = 'src2' and lang = 'en') as c, lower(text) like '%license%' or lower(text) like '%stat%' as n from documents) select count(*) filter (c and not n) as code_only, count(*) filter (n and not c) as name_only, count(*) filter (c and n) as both, count(*) filter (not c and not n) as skipped from f",
     "claim_independence": "select o_orderkey, o_orderkey % 3 = 2 as independent from orders",
-    "ref_documents": "with k as (select o_orderkey, concat('CN', lpad(cast(o_orderkey as varchar), 9, '1'), 'A') as a, concat('CN', lpad(cast(o_orderkey % 7 as varchar), 9, '1'), 'A') as b from orders) select o_orderkey, case when a = b then concat(a, ',US1234567') else concat(a, ',US1234567,', b) end as cited from k",
+    "ref_documents": "with k as (select o_orderkey, concat('CN', lpad(cast(o_orderkey % 1000 as varchar), 9, '1')) as a, concat('CN', lpad(cast(o_orderkey % 7 as varchar), 9, '1')) as b, concat('2020', lpad(cast(o_orderkey % 5 as varchar), 9, '1'), '.1') as c from orders) select o_orderkey, concat(b, ',', c, case when a = b then '' else concat(',', a) end, ',201510145456.1') as cited from k",
     "format_date": f"select o_orderkey, case when o_orderkey % 4 in (0, 1) then {_DAY} when o_orderkey % 4 = 2 then '2023-13-99' end as iso, case when o_orderkey % 4 in (0, 1) then {_DAY} end as checked from orders",
-    "html_fields": "select page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') as title, cast(len(regexp_extract_all(html, '<p[ >]')) as bigint) as paragraphs from pages",
-    "batch_code": "select o_orderkey, concat(upper(substr(o_orderpriority, 1, 3)), '-', strftime(o_orderdate, '%Y%m%d'), case o_orderkey % 3 when 0 then '-Raw' when 1 then '' else '_x' end) as batch_code from orders",
+    "html_fields": "select page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') as title, cast(len(regexp_extract_all(html, '<p[ >]')) as bigint) as paragraphs from pages",
+    "batch_code": "select o_orderkey, concat(case o_orderkey % 4 when 0 then 'CN-PA-TXTS-10-B' when 1 then 'CN-PA-TXTS-10-A' else 'CN-PA-TXTS-20-U' end, '-', strftime(o_orderdate, '%Y%m%d'), case o_orderkey % 3 when 0 then '-Raw' when 1 then '' else '_x' end) as batch_code from orders",
     "file_names": "with k as (select page_id, lower(concat(list_extract(string_split(url, '/'), -1), list_extract(['.JPG', '.tif', '.svg', '.xml', '.z01'], cast(page_id % 5 + 1 as int)))) as image_key from pages) select page_id, concat('patents/b_1/', page_id, '/', regexp_replace(image_key, '[^A-Za-z0-9._-]', '_', 'g')) as object_key, image_key, case page_id % 5 when 1 then 'image/tiff' when 2 then 'image/svg+xml' else 'image/jpeg' end as content_type, page_id % 5 < 3 as is_image, page_id % 5 = 3 as is_xml, page_id % 5 > 2 as is_download from k",
-    "log_normalize": "select event_id, case event_id % 5 when 0 then concat('download: ', event_id % 100, ' files') when 1 then concat('imported: ', event_id % 100, ' patents') when 2 then concat('error: ', event_type) when 3 then concat('count: ', event_id % 100) else event_type end as message from events",
+    "log_normalize": f"select event_id, replace(list_extract([{', '.join(repr(new) for _, new in SAID)}], cast(event_id % {len(SAID)} + 1 as int)), 'N', cast(event_id % 100 as varchar)) as message from events",
     "log_latest": "select event_id, user_id from events where event_type = 'click' order by ts desc, event_id desc limit 100",
     "status_latest": "select user_id, event_type, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1",
-    "progress": "with s as (select o_orderkey, o_orderkey % 8 as k, o_custkey % 50 as d from orders) select o_orderkey, cast(case when k = 6 then 100 else floor(case k when 2 then 25 when 3 then 25 when 4 then 50 when 5 then 75 else 0 end + least(d / 40.0 * 25, 25.0) + 0.5) end as int) as progress from s",
-    "kind_labels": f"select o_orderkey, case o_orderkey % 5 when 0 then 'application' when 1 then 'invention' when 2 then 'utility model' when 3 then '-' else 'C1' end as label, case when o_orderkey % 5 = 0 then {_DAY} else '2000-01-01' end as shown, case o_orderkey % 5 when 0 then 'A' when 1 then 'B' when 2 then 'U' when 3 then ' ' else 'B' end as kind from orders",
-    "size_text": "select p_partkey, case when p_partkey = 0 then '0 B' when p_partkey < 4 then concat(printf('%.2f', p_partkey * 256.0), ' MB') else concat(printf('%.2f', p_partkey / 4.0), ' GB') end as size, concat('a|', p_name) as values from part",
+    "progress": "with s as (select o_orderkey, o_orderkey % 8 as k, o_custkey % 50 as d, case when o_custkey % 3 > 0 then 40 else 0 end as f, o_custkey % 11 as i, case when o_custkey % 2 = 0 then 8 else 0 end as p from orders), t as (select *, case when k in (2, 3) then 33 when k in (4, 5) then 66 else 0 end as base, case when k not in (1, 3, 5) then 0.0 when k = 5 and p > 0 then i / 8.0 * 25 when f > 0 then d / 40.0 * 25 else 0.0 end as share from s) select o_orderkey, cast(case when k = 6 then 100 else floor(base + least(share, 25.0) + 0.5) end as int) as progress, cast(round(case when k = 6 then 100.0 else least(base + share, 99.0) end, 6) as double) as shown from t",
+    "kind_labels": f"select o_orderkey, case o_orderkey % 5 when 0 then '发明申请' when 1 then '发明授权' when 2 then '实用新型' when 3 then '-' else 'C1' end as label, case o_orderkey % 5 when 0 then '申请' when 1 then '发明' when 2 then '实用' when 3 then '-' else 'C1' end as short, case when o_orderkey % 5 = 0 then {_DAY} else '2000-01-01' end as shown, case o_orderkey % 5 when 0 then 'A' when 1 then 'B' when 2 then 'U' when 3 then 'B' else 'B' end as kind from orders",
+    "size_text": """with b as (select *, p_partkey * case p_partkey % 4 when 0 then 1 when 1 then 700 when 2 then 307200 else 268435456 end as n, p_partkey * p_partkey / 64.0 - 1 as t, p_partkey % 3 * 512 as total from part),
+w as (select *, case when n < 1024 then concat(n, ' B') when n < 1048576 then printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) when n < 1073741824 then printf('%.1f MB', floor(n / 1048576.0 * 10 + 0.5) / 10) else printf('%.2f GB', floor(n / 1073741824.0 * 100 + 0.5) / 100) end as size, cast(floor(t / 60) as bigint) as m, cast(floor(t - 60 * floor(t / 60) + 0.5) as bigint) as sec, cast(floor(t / 3600) as bigint) as h, cast(floor((t - 3600 * floor(t / 3600)) / 60 + 0.5) as bigint) as left_m, case when p_partkey < 1024 then concat(p_partkey, ' B') else printf('%.1f KB', floor(p_partkey / 1024.0 * 10 + 0.5) / 10) end as done from b)
+select p_partkey, size, concat(size, '/s') as speed, case when n < 1024 then printf('%.2f B', n * 1.0) when n < 1048576 then printf('%.2f KB', floor(n / 1024.0 * 100 + 0.5) / 100) when n < 1073741824 then printf('%.2f MB', floor(n / 1048576.0 * 100 + 0.5) / 100) else printf('%.2f GB', floor(n / 1073741824.0 * 100 + 0.5) / 100) end as file_size,
+case when t < 0 then null when t < 1 then '< 1s' when t < 60 then concat(cast(floor(t + 0.5) as bigint), 's') when t < 3600 then concat(m, 'm', case when sec > 0 then concat(' ', sec, 's') else '' end) else concat(h, 'h', case when left_m > 0 then concat(' ', left_m, 'm') else '' end) end as duration,
+case when total <= 0 then done else concat(done, ' / ', case when total < 1024 then concat(total, ' B') else printf('%.1f KB', floor(total / 1024.0 * 10 + 0.5) / 10) end, ' (', least(cast(floor(p_partkey * 100.0 / total + 0.5) as bigint), 100), '%)') end as transfer, concat('a|', p_name) as "values" from w""",
+    "speed_window": "with w as (select event_id, epoch_ms(ts) as ms, list({'ms': epoch_ms(ts), 'amount': event_id}) over (partition by user_id order by epoch_ms(ts), event_id rows between 9 preceding and current row) as l from events), s as (select event_id, list_filter(l, lambda x: x.ms >= ms - 259200000) as seen from w), t as (select event_id, len(seen) as n, (seen[-1].ms - seen[1].ms) / 1000.0 as span, seen[-1].amount - seen[1].amount as moved from s) select event_id, round(case when n < 2 or span < 0.5 then 0.0 else cast(moved as double) / span end * 1000, 3) as speed from t",
     "vector_topk": f"with r as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v, list_transform(range(64), lambda i: (i * 7 % 13 - 6) / 10.0) as q from embeddings) select vec_id, round({_COS}, 6) as similarity from r order by {_COS} desc, vec_id limit 20",
     "vector_filtered_join": f"with r as (select vec_id, lang, list_transform(embedding, lambda x: cast(x as double)) as v, list_transform(range(64), lambda i: case when i % 3 > 0 then 1.0 else -0.5 end) as q from embeddings join documents on vec_id = doc_id where label in (1, 2)) select vec_id, lang, round({_COS}, 6) as similarity from r order by {_COS} desc, vec_id limit 15",
     "hamming_topk": "select vec_id, cast(list_sum(list_transform(range(64), lambda i: case when (embedding[i + 1] > 0) = (i % 2 = 1) then 0 else 1 end)) as bigint) as distance from embeddings order by distance, vec_id limit 20",

@@ -19,12 +19,25 @@ def browse_order(entries: DataFrame) -> DataFrame:
     return entries.orderBy((F.col("type") == "directory").desc(), "name")
 
 
+def folders_like(entries: DataFrame, pattern: str) -> DataFrame:
+    """Directories whose name a pattern is found in."""
+    return entries.where((F.col("type") == "directory") & F.col("name").rlike(pattern))
+
+
+def data_folders(entries: DataFrame, base: str) -> DataFrame:
+    """Directories two levels below ``base`` (a year, then a week), the last name first."""
+    parent = lambda c: F.regexp_replace(c, "/[^/]*/?\\z", "")
+    folders = entries.where(F.col("type") == "directory")
+    years = folders.where(parent(F.col("path")) == base.rstrip("/")).select(F.col("path").alias("year"))
+    return folders.join(years, parent(F.col("path")) == F.col("year"), "left_semi").orderBy(F.collate("name", "UNICODE").desc(), "path")
+
+
 def download_plan(remote: DataFrame, local: DataFrame) -> DataFrame:
     """What is to be fetched of (name, size) files: state, and bytes that are there already."""
     have = local.select("name", F.col("size").alias("have"))
-    rows = remote.where(is_download(F.col("name"))).join(have, "name", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    rows = remote.where(is_download(F.col("name"))).join(have, "name", "left")
     state = F.when(F.col("have") == F.col("size"), "skipped").when(F.col("have") > 0, "partial").otherwise("pending")
-    return rows.select("name", "size", state.alias("state"), F.least(F.greatest("have", F.lit(0)), "size").alias("done"))
+    return rows.select("name", "size", state.alias("state"), F.least(F.greatest(F.coalesce("have", F.lit(0)), F.lit(0)), "size").alias("done"))
 
 
 def archive_groups(names: DataFrame) -> DataFrame:
