@@ -97,6 +97,7 @@ def test_semantic_search(spark):
     found = V.semantic_search(e, d, [1.0, 0.0], type="ipc").collect()
     assert [(r.code_norm, r.title_en, r.percent) for r in found] == [("A01", "one", "100.0%"), ("B01", "two", "99.4%")]
     assert [r.code_norm for r in V.semantic_search(e, d, [1.0, 0.0], section="B", type="ipc").collect()] == ["B01"]
+    assert [r.code_norm for r in V.search_by_text(e, d, " two ", lambda texts: [[0.0, len(texts[0])]], type="ipc").collect()] == ["B01", "A01"]
     got = V.embedded(d, "title_en", lambda texts: [[len(t), 1] for t in texts], 2)
     assert sorted(r.embedding for r in got.collect()) == [[1.0, 1.0], [1.0, 1.0], [3.0, 1.0], [3.0, 1.0]]
 
@@ -130,6 +131,21 @@ def test_images_and_their_assets(spark):
     assert rows(IM.same_content(same, "k", "h").select("file_name", "matched_file_name")) == [("a", "a"), ("b", "a"), ("c", "c")]
 
 
+def test_upserts_by_their_keys(spark):
+    asset = "oss_key string, content_hash string, perceptual_hash string, content_type string, size int, width int, height int"
+    old = spark.createDataFrame([("k", "old", "p", "t", 1, 1, 1)], asset)
+    new = spark.createDataFrame([("k", "h1", None, "u", 2, 0, 3, 1), ("k", "h2", "q", "v", 9, 9, 9, 2), ("n", None, None, "w", 5, 5, 0, 3)], asset + ", at int")
+    got = rows(W.upserted_assets(old, new, F.col("at")).select("oss_key", "content_hash", "perceptual_hash", "content_type", "size", "width", "height", "is_new"))
+    assert got == [("k", "h1", "p", "u", 2, None, 3, False), ("n", "legacy:n", None, "w", 5, 5, None, True)]
+    entry = spark.createDataFrame([("A01", "1", "one"), ("B01", "1", "two")], "code_norm string, version string, title_en string")
+    more = spark.createDataFrame([("A01", "2", None)], "code_norm string, version string, title_en string")
+    assert rows(W.upserted_entries(entry, more)) == [("A01", "2", None, False), ("B01", "1", "two", False)]
+    key = [("ipc", "A01", "1", "zh", "m", "x")]
+    vectors = spark.createDataFrame(key, "type string, code_norm string, version string, locale string, embedding_model string, content string")
+    again = spark.createDataFrame([(*key[0][:5], "y"), (*key[0][:4], "m2", "z")], vectors.schema)
+    assert [r[-2:] for r in rows(W.upserted_embeddings(vectors, again))] == [("y", False), ("z", True)]
+
+
 def test_log_is_appended_in_todays_wording(spark, tmp_path):
     for message in ("Start processing step", "other"):
         W.append_log(spark.createDataFrame([("b", message)], "batch_code string, message string"), str(tmp_path / "log"))

@@ -1,3 +1,5 @@
+import gzip
+import io
 import json
 import zipfile
 
@@ -80,6 +82,29 @@ def test_archives_and_patents(spark, batch):
     assert children.count() == 6 and children.columns[:2] == ["patent_id", "name"]
 
 
+def test_archives_within_archives(spark, tmp_path):
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("1.xml", "<a/>")
+    with zipfile.ZipFile(tmp_path / "OUTER.ZIP", "w") as z:
+        z.writestr("in/INNER.ZIP", inner.getvalue())
+        z.writestr("bad.zip", b"nothing")
+        z.writestr("2.xml", "<b/>")
+    (tmp_path / "3.xml.gz").write_bytes(gzip.compress(b"<c/>"))
+    (tmp_path / "packed.zip.gz").write_bytes(gzip.compress(inner.getvalue()))
+    (tmp_path / "broken.gz").write_bytes(b"no gzip")
+    rows = archives.entries(spark, str(tmp_path)).collect()
+    assert sorted((r.zip_name, str(r.entry_name), r.content and bytes(r.content)) for r in rows if not r.error) == [("3.xml.gz", "3.xml", b"<c/>"), ("INNER.ZIP", "1.xml", b"<a/>"), ("OUTER.ZIP", "2.xml", b"<b/>"), ("packed.zip", "1.xml", b"<a/>")]
+    assert sorted(r.zip_name for r in rows if r.error) == ["bad.zip"]
+
+
+def test_parsed_patents_are_scanned(spark, tmp_path):
+    found = patent_xml.parsed(spark.createDataFrame([(XML.format(n="100", kind="B"),)], "content string"))
+    found.write.json(str(tmp_path / "parsed"))
+    again = patent_xml.scan(spark, str(tmp_path / "parsed"))
+    assert again.dtypes == found.dtypes and again.first().claims == found.first().claims
+
+
 def parse(spark, *documents, **options):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(documents)], "i int, content string")
     return {r.i: r for r in patent_xml.parsed(rows, keep=("i",), **options).collect()}

@@ -79,3 +79,10 @@ def semantic_search(embeddings: DataFrame, dictionary: DataFrame, query: list[fl
     rows = rows.join(entries, ["code_norm", "version"])
     found = nearest(rows, "embedding", query, min(max(1, k), most), "code_norm")
     return found.withColumn("percent", F.format_string("%.1f%%", F.col("similarity") * 100))
+
+
+def search_by_text(embeddings: DataFrame, dictionary: DataFrame, text: str, embed, k: int = 10, **options) -> DataFrame:
+    """The dictionary's entries most alike a text, whose vector ``embed`` (a list of texts to a list of vectors) gives."""
+    if not text.strip():
+        raise ValueError("a search text is empty")
+    return semantic_search(embeddings, dictionary, [float(x) for x in embed([text.strip()])[0]], k, **options)

@@ -1,9 +1,13 @@
-"""Entries of ZIP archives as rows: archives are spread over tasks, entries are streamed out of them."""
+"""Entries of ZIP and gzip archives as rows: archives are spread over tasks, entries are streamed out of them.
+
+Archives are read by Spark, so that any store that it reads will do; one must be under 2 GB.
+"""
 
 from __future__ import annotations
 
-import io
+import gzip
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,18 +20,19 @@ HANDED = 16 << 20
 
 
 def entries(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".xml",)) -> DataFrame:
-    """(zip_name, entry_name, content, error): a row for each wanted entry of the archives in a folder.
+    """(zip_name, entry_name, content, error): a row for each wanted entry of the archives in a folder, and of archives in these, under their own name.
 
-    An archive or entry that cannot be read gives a row with ``error``; directories are passed over.
+    An archive or entry that cannot be read gives a row with ``error``; directories are passed over. A gzip file is an
+    archive of one entry, named as the file without its ending.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[zZ][iI][pP],[gG][zZ]}").option("recursiveFileLookup", True).load(folder)
     found = found.select("path", "content")
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 name, held, size = path.rpartition("/")[2], [], 0
-                for row in _entries_of(name, content.as_buffer(), suffixes):
+                for row in _entries_of(name, pa.BufferReader(content.as_buffer()), suffixes):
                     held.append(row)
                     size += len(row[2] or b"")
                     if size > HANDED:
@@ -39,19 +44,34 @@ def entries(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".xml
     return found.mapInArrow(rows, SCHEMA)
 
 
-def _entries_of(name: str, content, suffixes: tuple[str, ...]) -> Iterator[tuple]:
+#: What reading a damaged archive raises.
+_DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, OSError, EOFError)
+
+
+def _entries_of(name: str, file, suffixes: tuple[str, ...]) -> Iterator[tuple]:
+    inner = name.rpartition("/")[2]
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile as e:
-        yield name, None, None, str(e)
+        if inner.lower().endswith(".gz"):
+            members = [(inner[:-3], lambda: gzip.GzipFile(fileobj=file).read())]
+        else:
+            archive = zipfile.ZipFile(file)
+            members = [(info.filename, lambda info=info: archive.read(info)) for info in archive.infolist() if not info.is_dir()]
+    except _DAMAGED as e:
+        yield inner, None, None, str(e)
         return
-    for info in archive.infolist():
-        if info.is_dir() or not info.filename.lower().endswith(suffixes):
+    for entry, read in members:
+        packed = entry.lower().endswith((".zip", ".gz"))
+        if not packed and not entry.lower().endswith(suffixes):
             continue
         try:
-            yield name, info.filename, archive.read(info), None
-        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, zipfile.zlib.error) as e:
-            yield name, info.filename, None, str(e)
+            content = read()
+        except _DAMAGED as e:
+            yield inner, entry, None, str(e)
+            continue
+        if packed:
+            yield from _entries_of(entry, pa.BufferReader(content), suffixes)
+        else:
+            yield inner, entry, content, None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ taken by regular expressions in the order of the document, whatever lies between
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import codes
@@ -268,6 +268,12 @@ def parsed(entries: DataFrame, content: str = "content", keep: tuple[str, ...] =
     }).drop("disclosed", "figures")
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Records that were written as JSON, a record a line, with the types that ``parsed`` gives."""
+    none = spark.createDataFrame([], "content string")
+    return spark.read.schema(parsed(none).schema).json(path)
+
+
 def child_table(patents: DataFrame, column: str) -> DataFrame:
     """A nested list of the records as a table of its own, keyed by ``patent_id``."""
     rows = patents.select(F.col("id").alias("patent_id"), F.explode(column).alias("child"))
