@@ -162,5 +162,6 @@ def test_folders(spark):
 
     df = spark.createDataFrame([("/g/2023", "2023", "directory"), ("/g/2023/202301", "202301", "directory"), ("/g/2024", "2024", "directory"), ("/g/2024/202401", "202401", "directory"), ("/g/2024/x.txt", "x.txt", "file"), ("/h/1", "1", "directory")], "path string, name string, type string")
     assert [r.name for r in listing.data_folders(df, "/g/").collect()] == ["202401", "202301"]
+    assert [r.name for r in listing.browse_order(df).collect()] == ["1", "2023", "202301", "2024", "202401", "x.txt"]
     assert [r.name for r in listing.folders_like(df, "^2024$").collect()] == ["2024"]
     assert [r.n for r in L.by_name(spark.createDataFrame([("b",), ("A",), ("é",), ("f",), ("a",)], "n string"), "n").collect()] == ["a", "A", "b", "é", "f"]

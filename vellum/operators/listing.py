@@ -12,6 +12,11 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20,
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def newest_first(dates: list[Column], created: Column, ties: Column) -> list[Column]:
+    """Order of a list: by the first date that a row has, latest first and rows without one last, then by the time of creation; ``ties`` makes it whole."""
+    return [F.coalesce(*dates).desc_nulls_last(), created.desc(), ties.asc()]
+
+
 def total_pages(total: int, size: int) -> int:
     return -(-total // size)
 

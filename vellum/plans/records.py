@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import image_features as IF
+from vellum.operators import images as IM
 from vellum.operators import integrity as I
 from vellum.operators import vectors as V
 from vellum.operators import writes as W
@@ -122,6 +124,14 @@ def image_likeness(spark, sf_dir):
     return p.select("k", IF.bit_distance(a, b).alias("distance"), F.round(IF.agreement(x, y), 6).alias("agreement"), F.round(IF.structure(x, y), 6).alias("structure"))
 
 
+def image_order(spark, sf_dir):
+    """Places of a patent's images in the order in which they are shown."""
+    k = F.col("p_partkey")
+    images = table(spark, sf_dir, "part").select(F.col("p_size").alias("patent"), (k % 7 == 0).alias("is_abstract"), F.element_at(F.array(*map(F.lit, ("drawing", "inline", "abstract", "other"))), (k % 4 + 1).cast("int")).alias("image_role"), k.cast("string").alias("file_name"))
+    by = Window.partitionBy("patent").orderBy(*IM.shown_order(F.col("is_abstract"), F.col("image_role"), F.col("file_name")))
+    return images.select("patent", "file_name", F.row_number().over(by).alias("place"))
+
+
 def semantic_search(spark, sf_dir):
     """Dictionary entries whose vectors are most alike a query, of one type and section."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -141,7 +151,7 @@ def identifiers(spark, sf_dir):
     return orders.select("o_orderkey", T.is_uuid(F.when(k % 3 == 0, F.upper(made)).when(k % 3 == 1, made).otherwise(F.concat(made, F.lit("0")))).alias("is_uuid"))
 
 
-QUERIES = {f.__name__: f for f in (xml_parse, title_lists, download_plan, archive_groups, split_parts, manifest_lines, no_manifest, image_assets, delete_batch, image_likeness, semantic_search, identifiers)}
+QUERIES = {f.__name__: f for f in (xml_parse, title_lists, download_plan, archive_groups, split_parts, manifest_lines, no_manifest, image_assets, delete_batch, image_likeness, image_order, semantic_search, identifiers)}
 
 _CODE = "case when o_orderkey % 50 = 7 then 'A01B0000020000' when o_orderkey % 50 = 8 then ' ' else 'x' end"
 _COS = "list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q))"
@@ -183,6 +193,7 @@ union all select 'sync_batches', (select count(distinct o_orderpriority) from or
 m as (select *, list_avg(x) as mx, list_avg(y) as my from p),
 v as (select *, list_sum(list_transform(x, lambda t: (t - mx) * (t - mx))) / 63 as vx, list_sum(list_transform(y, lambda t: (t - my) * (t - my))) / 63 as vy, list_sum(list_transform(range(64), lambda i: (x[i + 1] - mx) * (y[i + 1] - my))) / 63 as c from m)
 select k, cast(list_sum(list_transform(range(256), lambda i: case when (a[i // 16 * 17 + i % 16 + 1] > a[i // 16 * 17 + i % 16 + 2]) = (b[i // 16 * 17 + i % 16 + 1] > b[i // 16 * 17 + i % 16 + 2]) then 0 else 1 end)) as int) as distance, round(list_sum(list_transform(range(64), lambda i: case when x[i + 1] = y[i + 1] then 1 else 0 end)) / 64.0, 6) as agreement, round((2 * mx * my + 6.5025) * (2 * c + 58.5225) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225)), 6) as structure from v""",
+    "image_order": "select p_size as patent, cast(p_partkey as varchar) as file_name, cast(row_number() over (partition by p_size order by p_partkey % 7 = 0 desc, case p_partkey % 4 when 0 then 0 when 1 then 1 else 2 end, cast(p_partkey as varchar)) as int) as place from part",
     "semantic_search": f"with r as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v, list_transform(range(64), lambda i: case when i % 4 > 0 then 1.0 else -0.25 end) as q from embeddings where vec_id % 3 > 0 and vec_id % 2 = 0) select vec_id as code_norm, concat('title ', vec_id) as title_en, round({_COS}, 6) as similarity from r order by {_COS} desc, vec_id limit 12",
     "identifiers": "select o_orderkey, o_orderkey % 3 < 2 as is_uuid from orders",
 }

@@ -112,9 +112,10 @@ def province_semi(spark, sf_dir):
 
 
 def list_page(spark, sf_dir):
-    """The third page of orders by date, newest first, each with the flags of its items."""
+    """The third page of orders by the first date that they have, newest first, each with the flags of its items."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    one = L.page(orders, [F.col("o_orderdate").desc_nulls_last(), F.desc("o_orderkey")], 3, 25)
+    published, granted = F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
+    one = L.page(orders, L.newest_first([published, granted], F.col("o_totalprice"), F.col("o_orderkey")), 3, 25)
     flags = L.nested(items.join(one.select("o_orderkey"), "o_orderkey", "left_semi"), "o_orderkey", ["l_returnflag"], "flags")
     return L.with_nested(one, "o_orderkey", flags).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.array_join("flags", ",").alias("flags"))
 
@@ -181,7 +182,7 @@ ORACLE_SQL = {
     "free_search_unescaped": f"{_CODED} select o_orderkey, v as asked from o cross join (values ('1%ent'), ('_00011'), ('b02 d 5/')) as t(v) where o_orderpriority ilike '%' || v || '%' or o_orderstatus ilike '%' || v || '%' or name ilike '%' || v || '%' or replace(ipc_code, ' ', '') ilike '%' || replace(v, ' ', '') || '%'",
     "filter_range_and_equality": f"select o_orderkey, {DATE} as pub_date, o_orderstatus from orders where o_orderstatus = 'F' and {DATE} between '1996-02-01' and '1997-12-31'",
     "province_semi": "select o_orderkey, o_custkey from orders where exists (select 1 from customer where c_custkey = o_custkey and c_mktsegment = 'BUILDING')",
-    "list_page": f"with one as (select * from orders order by o_orderdate desc nulls last, o_orderkey desc limit 25 offset 50) select o_orderkey, {DATE} as day, coalesce((select string_agg(distinct l_returnflag, ',' order by l_returnflag) from lineitem where l_orderkey = o_orderkey), '') as flags from one",
+    "list_page": f"with one as (select * from orders order by case when o_orderstatus = 'F' or o_orderkey % 3 = 0 then o_orderdate end desc nulls last, o_totalprice desc, o_orderkey limit 25 offset 50) select o_orderkey, {DATE} as day, coalesce((select string_agg(distinct l_returnflag, ',' order by l_returnflag) from lineitem where l_orderkey = o_orderkey), '') as flags from one",
     "list_with_total": "with p as (select doc_id, length(substr(text, 1, case when strpos(text, chr(10)) = 0 then length(text) else strpos(text, chr(10)) - 1 end)) as n from documents where text ilike '%the%') select doc_id, (select count(*) from p) as total from p order by n desc, doc_id limit 10 offset 10",
     "detail_nested": "select o_orderkey, coalesce((select string_agg(distinct l_returnflag, '; ' order by l_returnflag) from lineitem where l_orderkey = o_orderkey), '-') as flags, coalesce((select string_agg(distinct l_linestatus, '; ' order by l_linestatus) from lineitem where l_orderkey = o_orderkey and l_quantity > 40), '-') as statuses from orders",
     "left_join_coalesce": "select d.doc_id, coalesce(quality, -1) as quality, coalesce(case when quality = 1 then 'good' end, lang) as role from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l on d.doc_id = l.doc_id",
