@@ -12,7 +12,7 @@ network; all others are summed up per text and joined with the table by their ha
 
 Everything the model learns comes from all documents. Word counts are summed in each task before the
 shuffle. Training is data-parallel over shards of about ``SHARD`` rows, dealt and ordered by a hash of id and
-text, so that scores do not depend on how the input is split. In each round every shard goes on from the same
+text (what is shuffled are the classes of tokens, two bytes each), so that scores do not depend on how the input is split. In each round every shard goes on from the same
 parameters, and a share of its tokens is masked, other ones in each round, so that after the last round each
 token of each text has been a target once. Then the shards' parameters are averaged by the number of tokens,
 in salted groups, a block of parameters at a time and in the order of shards. What shards send grows with their
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.arrowtext import span_hashes, text_slices, word_spans
-from vellum.llm.store import stored
+from vellum.llm.store import removed, stored
 
 #: Words with a class of their own, classes of the others, and groups that the classes are dealt into.
 FREQUENT, OTHERS, GROUPS = 768, 256, 32
@@ -214,38 +214,57 @@ def vocabulary(docs: DataFrame, text_column: str = "text", words: DataFrame | No
     return np.stack([hashes[order], order.astype(np.uint64)]), counts
 
 
-def sharded(docs: DataFrame, id_column: str | None, text_column: str) -> DataFrame:
-    """(text) of all rows, in shards and an order that follow from the rows alone."""
+def tokenized(docs: DataFrame, frequent: np.ndarray, id_column: str | None, text_column: str) -> DataFrame:
+    """(key, classes) of all rows, stored: a hash of id and text, and the classes of the text's tokens, two bytes each."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # ``FREQUENT`` words
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for row, end, data, offsets in text_slices(batch.column(1)):
+                classes, firsts = classes_of(data, offsets, shared.value)
+                raw = pa.Array.from_buffers(pa.binary(), end - row, [None, pa.py_buffer((2 * firsts).astype(np.int32)), pa.py_buffer(classes.astype("<i2"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), raw], ["key", "classes"])
+
     text = docs[text_column].cast("string")
     key = F.xxhash64(text) if id_column is None else F.xxhash64(docs[id_column], text)
-    rows = docs.select(text.alias("text"), key.alias("key"))
-    return rows.repartition(max(1, -(-docs.count() // SHARD)), "key").sortWithinPartitions("key").select("text")
+    return stored(docs.select(key.alias("key"), text.alias("text")).mapInArrow(batches, "key long, classes binary"), "tokens")
+
 
+def sharded(tokens: DataFrame) -> DataFrame:
+    """(classes) of all rows, in shards and an order that follow from the rows alone."""
+    return tokens.repartition(max(1, -(-tokens.count() // SHARD)), "key").sortWithinPartitions("key").select("classes")
 
-def _trained_round(texts: DataFrame, net: np.ndarray, frequent: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+
+def classes_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a batch's texts back to back, and where each text's begin."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data.view("<i2").astype(np.int32), (offsets - offsets[0]) // 2
+
+
+def _trained_round(shards: DataFrame, net: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """The parameters after one round of ``rounds`` over all texts: the shards' own, averaged by tokens."""
-    start = texts.sparkSession.sparkContext.broadcast((net, frequent))  # of the model's size
+    start = shards.sparkSession.sparkContext.broadcast(net)  # of the model's size
 
     def tasks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, frequent = start.value
-        own, squares, seen = Network(values.copy()), Network(np.full(_SIZE, 0.01, np.float32)), 0
+        own, squares, seen = Network(start.value.copy()), Network(np.full(_SIZE, 0.01, np.float32)), 0
         rest: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
         for batch in source:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                classes, firsts = classes_of(data, offsets, frequent)
-                some = masked(firsts, turn, rounds)
-                rest.append((contexts(classes, firsts)[some], classes[some]))
-                waiting += len(some)
-                if waiting < BATCH:
-                    continue
-                context, target = (np.concatenate(x) for x in zip(*rest))
-                order = np.random.default_rng(waiting).permutation(len(target))
-                context, target = context[order], target[order]
-                full = len(target) // BATCH * BATCH
-                for first in range(0, full, BATCH):
-                    own.step(context[first : first + BATCH], target[first : first + BATCH], squares)
-                seen, waiting, rest = seen + full, len(target) - full, [(context[full:], target[full:])]
+            classes, firsts = classes_in(batch.column(0))
+            some = masked(firsts, turn, rounds)
+            rest.append((contexts(classes, firsts)[some], classes[some]))
+            waiting += len(some)
+            if waiting < BATCH:
+                continue
+            context, target = (np.concatenate(x) for x in zip(*rest))
+            order = np.random.default_rng(waiting).permutation(len(target))
+            context, target = context[order], target[order]
+            full = len(target) // BATCH * BATCH
+            for first in range(0, full, BATCH):
+                own.step(context[first : first + BATCH], target[first : first + BATCH], squares)
+            seen, waiting, rest = seen + full, len(target) - full, [(context[full:], target[full:])]
         if waiting:
             context, target = (np.concatenate(x) for x in zip(*rest))
             own.step(context, target, squares)
@@ -266,7 +285,7 @@ def _trained_round(texts: DataFrame, net: np.ndarray, frequent: np.ndarray, turn
             yield _blocks(np.array([k[0] for k in total]), np.array([k[1] for k in total]), np.array([e[0] for e in total.values()]), np.stack([e[1] for e in total.values()]))
 
     schema = "block long, shard long, weight double, parameters array<float>"
-    sums = texts.mapInArrow(tasks, schema).withColumn("salt", F.col("shard") % SUMMED).repartition("block", "salt").sortWithinPartitions("block", "shard")
+    sums = shards.mapInArrow(tasks, schema).withColumn("salt", F.col("shard") % SUMMED).repartition("block", "salt").sortWithinPartitions("block", "shard")
     sums = sums.drop("salt").mapInArrow(summed, schema)
     out, weight = np.zeros((-(-_SIZE // BLOCK), BLOCK)), 0.0
     for row in sorted(sums.collect(), key=lambda r: (r.block, r.shard)):  # as many rows as blocks times ``SUMMED``
@@ -285,9 +304,11 @@ def train(docs: DataFrame, text_column: str = "text", rounds: int = ROUNDS, word
     """Parameters of a network that is trained on all texts, and the frequent words' hashes and classes. ``id_column`` spreads texts that are equal."""
     frequent, counts = vocabulary(docs, text_column, words)
     net = Network.first(counts).values
-    texts = sharded(docs, id_column, text_column)
+    tokens = tokenized(docs, frequent, id_column, text_column)
+    shards = sharded(tokens)
     for turn in range(rounds):
-        net = _trained_round(texts, net, frequent, turn, rounds)
+        net = _trained_round(shards, net, turn, rounds)
+    removed(docs.sparkSession, tokens)
     return net, frequent
 
 
