@@ -142,15 +142,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def classes_of(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of a slice's tokens, and where each text's begin. ``frequent``: sorted hashes and the classes of these words, in two rows."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a slice's words, and where each text's begin."""
     starts, ends, firsts = word_spans(data, offsets)
-    hashes = span_hashes(data, starts, ends)
+    return span_hashes(data, starts, ends), firsts
+
+
+def classified(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Classes of words. ``frequent``: sorted hashes and the classes of these words, in two rows."""
     out = (FREQUENT + hashes % np.uint64(OTHERS)).astype(np.int32)
     if frequent.shape[1]:
         at = np.minimum(np.searchsorted(frequent[0], hashes), frequent.shape[1] - 1)
         out = np.where(frequent[0][at] == hashes, frequent[1][at].astype(np.int32), out)
-    return out, firsts
+    return out
+
+
+def classes_of(data: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a slice's tokens, and where each text's begin."""
+    hashes, firsts = word_hashes(data, offsets)
+    return classified(hashes, frequent), firsts
 
 
 def contexts(classes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -176,23 +186,31 @@ def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(word, count): hash of every word of all texts, and how often it occurs."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        size = merged = 0
         for batch in source:
             for _, _, data, offsets in text_slices(batch.column(0)):
-                starts, ends, _ = word_spans(data, offsets)
-                own, n = np.unique(span_hashes(data, starts, ends), return_counts=True)
-                both = np.concatenate([words, own])
-                words, at = np.unique(both, return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, n]), len(words)).astype(np.int64)
-                if len(words) > 1 << 20:  # what a task holds is bounded
-                    yield _counted(words, counts)
-                    words, counts = words[:0], counts[:0]
-        yield _counted(words, counts)
+                waiting.append(np.unique(word_hashes(data, offsets)[0], return_counts=True))
+                size += len(waiting[-1][0])
+                if size > 2 * merged + (1 << 18):  # what a task holds is bounded, and merged seldom
+                    waiting = [_summed(waiting)]
+                    size = merged = len(waiting[0][0])
+                    if merged > 1 << 20:
+                        yield _counted(*waiting.pop())
+                        size = merged = 0
+        if waiting:
+            yield _counted(*_summed(waiting))
 
     rows = docs.select(docs[text_column].cast("string").alias("text")).mapInArrow(batches, "word long, count long")
     return rows.groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of several counts, and their sums."""
+    words, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+    return words, np.bincount(at, np.concatenate([n for _, n in parts]), len(words)).astype(np.int64)
+
+
 def _counted(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "count"])
 
@@ -355,14 +373,15 @@ def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str
         key = TaskContext.get().partitionId() << 33
         for batch in source:
             for row, end, data, offsets in text_slices(batch.column(1)):
-                classes, firsts = classes_of(data, offsets, frequent)
+                own_hashes, firsts = word_hashes(data, offsets)
+                classes = classified(own_hashes, frequent)
                 around = contexts(classes, firsts)
                 logs = np.empty(len(classes) + 1)
                 logs[-1] = 0
                 for at in range(0, len(classes), 1 << 15):
                     logs[at : min(at + (1 << 15), len(classes))] = own.log_probabilities(around[at : at + (1 << 15)], classes[at : at + (1 << 15)])
                 counts = np.diff(firsts)
-                text, hashes, times = within_class(data, offsets, classes, firsts, logs, table) if table else _NO_REST
+                text, hashes, times = within_class(own_hashes, classes, firsts, logs, table) if table else _NO_REST
                 sums = np.where(counts > 0, np.add.reduceat(logs, firsts[:-1]), 0.0)
                 edges = pa.array(np.searchsorted(text, np.arange(end - row + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (hashes.view(np.int64), times)]
@@ -386,12 +405,11 @@ def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str
 _NO_REST = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def within_class(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, firsts: np.ndarray, logs: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def within_class(words: np.ndarray, classes: np.ndarray, firsts: np.ndarray, logs: np.ndarray, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Adds to ``logs`` what is known of log P(word | class); text, word and times of the words whose counts are not in ``table``."""
     hashes, counts, sizes = table
     at = np.flatnonzero(classes >= FREQUENT)
-    starts, ends, _ = word_spans(data, offsets)
-    own = span_hashes(data, starts[at], ends[at])
+    own = words[at]
     logs[at] -= sizes[classes[at] - FREQUENT]
     there = np.zeros(len(at), bool)
     if len(hashes):
