@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,3 +63,68 @@ def without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
     marked = rows.withColumn(may, member(rows, held, F.xxhash64(rows[column])))
     kept = marked.where(F.col(may)).drop(may).join(gone.select(F.col(name).alias(lost)).hint("merge"), F.col(column) == F.col(lost), "left_anti")
     return marked.where(~F.col(may)).drop(may).unionByName(kept)
+
+
+#: Counters of a block of a filter of repeated keys, and keys that a task holds before it passes their counters on.
+COUNTERS, HELD_KEYS = 1 << 16, 1 << 20
+
+
+def repeated_filter(keys: DataFrame, column: str) -> KeyFilter:
+    """A filter of the values of a column of longs that may occur more than once; every one that does is in it.
+
+    Each key counts at both of its places, and a place's bit is set where the count reaches two. A task sends the places that it has
+    counted, block by block, two bytes each; blocks are added up where they meet, whatever the order. What reaches the driver are
+    the bits, ``FILTER_BITS`` at most: beyond that size more keys that occur once pass as well. Nulls are no keys.
+    """
+    keys = keys.select(column).where(F.col(column).isNotNull())
+    n = keys.count()
+    bits = min(FILTER_BITS, max(COUNTERS, 1 << (max(n, 1) * BITS_PER_KEY - 1).bit_length()))
+
+    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.concatenate(waiting)
+        mask = np.uint64(bits - 1)
+        places, times = np.unique(np.concatenate([own & mask, (own >> np.uint64(32)) & mask]), return_counts=True)
+        block = (places // np.uint64(COUNTERS)).astype(np.int64)
+        low, twice = (places % np.uint64(COUNTERS)).astype("<u2"), times > 1
+        heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        parts = list(zip(heads, np.append(heads[1:], len(block))))
+        sides = [pa.array([low[a:b][twice[a:b] == side].tobytes() for a, b in parts], pa.binary()) for side in (False, True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[heads]), *sides], ["block", "once", "twice"])
+
+    def tasks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in source:
+            if batch.num_rows:
+                waiting.append(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
+                held += batch.num_rows
+            if held >= HELD_KEYS:
+                yield counted(waiting)
+                waiting, held = [], 0
+        if waiting:
+            yield counted(waiting)
+
+    def added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, counts = None, np.zeros(COUNTERS, np.uint8)
+
+        def out() -> pa.RecordBatch:
+            words = np.packbits(counts >= 2, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([words], pa.binary())], ["block", "bits"])
+
+        for batch in source:
+            for own, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if own != block:
+                    if block is not None:
+                        yield out()
+                    block, counts = own, np.zeros(COUNTERS, np.uint8)
+                for places, times in ((once, 1), (twice, 2)):
+                    at = np.frombuffer(places, "<u2")
+                    counts[at] = np.minimum(counts[at] + times, 2)
+        if block is not None:
+            yield out()
+
+    sent = keys.mapInArrow(tasks, "block long, once binary, twice binary")
+    blocks = sent.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block long, bits binary").toArrow()
+    found = KeyFilter(bits)
+    for block, words in zip(blocks["block"].to_pylist(), blocks["bits"].to_pylist()):
+        found.words[block * (COUNTERS // 64) : (block + 1) * (COUNTERS // 64)] = np.frombuffer(words, "<u8")
+    return found
