@@ -1,82 +1,45 @@
-"""Entries of ZIP and gzip archives as rows: archives are spread over tasks, entries are streamed out of them.
-
-Archives are read by Spark, so that any store that it reads will do; one must be under 2 GB.
-"""
+"""Entries of ZIP and gzip archives as rows."""
 
 from __future__ import annotations
 
-import gzip
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "zip_name string, entry_name string, content binary, error string"
-#: Bytes of entries that are handed on together.
-HANDED = 16 << 20
+from vellum.sources import archive_ranges
+from vellum.sources.archive_ranges import SCHEMA, Parts, chunks_of, handed_on, read_members
+from vellum.sources.stores import opens
 
 
 def entries(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".xml",)) -> DataFrame:
     """(zip_name, entry_name, content, error): a row for each wanted entry of the archives in a folder, and of archives in these, under their own name.
 
     An archive or entry that cannot be read gives a row with ``error``; directories are passed over. A gzip file is an
-    archive of one entry, named as the file without its ending.
+    archive of one entry, named as the file without its ending. Where tasks can open the store's files themselves, archives of any size are read
+    by ranges, split ones too; in a store that only Spark reads, an archive is one file of under 2 GB and the work of one task.
     """
+    return archive_ranges.entries(spark, folder, suffixes) if opens(folder) else whole_entries(spark, folder, suffixes)
+
+
+def whole_entries(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".xml",)) -> DataFrame:
+    """The same of archives that Spark reads, each whole."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[zZ][iI][pP],[gG][zZ]}").option("recursiveFileLookup", True).load(folder)
-    found = found.select("path", "content")
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                name, held, size = path.rpartition("/")[2], [], 0
-                for row in _entries_of(name, pa.BufferReader(content.as_buffer()), suffixes):
-                    held.append(row)
-                    size += len(row[2] or b"")
-                    if size > HANDED:
-                        yield _batch(held)
-                        held, size = [], 0
-                if held:
-                    yield _batch(held)
-
-    return found.mapInArrow(rows, SCHEMA)
-
-
-#: What reading a damaged archive raises.
-_DAMAGED = (zipfile.BadZipFile, NotImplementedError, RuntimeError, zlib.error, OSError, EOFError)
-
+                yield from handed_on(_entries_of(Parts.held(path, content.as_buffer()), suffixes))
 
-def _entries_of(name: str, file, suffixes: tuple[str, ...]) -> Iterator[tuple]:
-    inner = name.rpartition("/")[2]
-    try:
-        if inner.lower().endswith(".gz"):
-            members = [(inner[:-3], lambda: gzip.GzipFile(fileobj=file).read())]
-        else:
-            archive = zipfile.ZipFile(file)
-            members = [(info.filename, lambda info=info: archive.read(info)) for info in archive.infolist() if not info.is_dir()]
-    except _DAMAGED as e:
-        yield inner, None, None, str(e)
-        return
-    for entry, read in members:
-        packed = entry.lower().endswith((".zip", ".gz"))
-        if not packed and not entry.lower().endswith(suffixes):
-            continue
-        try:
-            content = read()
-        except _DAMAGED as e:
-            yield inner, entry, None, str(e)
-            continue
-        if packed:
-            yield from _entries_of(entry, pa.BufferReader(content), suffixes)
-        else:
-            yield inner, entry, content, None
+    return found.select("path", "content").mapInArrow(rows, SCHEMA)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["zip_name", "entry_name", "content", "error"])
+def _entries_of(parts: Parts, suffixes: tuple[str, ...]) -> Iterator[tuple]:
+    for name, _, _, members, error in chunks_of(parts, suffixes):
+        if error is not None:
+            yield name, None, None, error
+        yield from read_members(name, parts, members, suffixes)
 
 
 def counts(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.text import is_download
+from vellum.shared import new_folder
+from vellum.sources.stores import store_of
+
+#: Directories that a task lists, on average, and tasks of a level at most; entries that are handed on together.
+LISTED, TASKS, HANDED = 16, 4096, 10_000
+ENTRY = "path string, name string, type string, size long, modified timestamp"
+
+
+def walk(spark: SparkSession, folder: str, levels: int | None = None) -> DataFrame:
+    """(path, name, type, size, modified) of all below a folder: files, empty ones too, and directories, whose size is 0.
+
+    Directories are listed by tasks, a level of the tree at a time, so the time goes with the depth and not with the number of
+    entries; ``levels`` ends it sooner. A directory that is gone when its turn comes has no entries; if the folder itself is
+    not there, ``FileNotFoundError`` is raised.
+    """
+    store, inner = store_of(folder)
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        raise FileNotFoundError(folder)
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC")]
+
+    def listed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for path in batch.column(0).to_pylist():
+                store, inner = store_of(path)
+                found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+                for at in range(0, len(found), HANDED):
+                    some = [(f"{path.rstrip('/')}/{x.base_name}", x.base_name, "directory" if x.type == fs.FileType.Directory else "file", x.size or 0, x.mtime) for x in found[at : at + HANDED]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], ["path", "name", "type", "size", "modified"])
+
+    level, found, directories = spark.createDataFrame([(folder,)], "path string"), [], 1
+    root = new_folder(spark, "listing")
+    while directories and (levels is None or len(found) < levels):
+        tasks = min(TASKS, -(-directories // LISTED))
+        level.select("path").repartition(tasks, "path").mapInArrow(listed, ENTRY).write.parquet(f"{root}/{len(found)}")
+        found.append(spark.read.schema(ENTRY).parquet(f"{root}/{len(found)}"))
+        level = found[-1].where("type = 'directory'")
+        directories = level.count()
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], ENTRY)
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
