@@ -60,6 +60,10 @@ def test_whitelists(spark):
     assert rows(df.select("i", code, name)) == [(1, True, True), (2, True, False), (3, False, False), (4, False, True)]
     assert rows(WL.counted(df, code, name)) == [(1, 1, 1, 1)]
     assert WL.listed(" a, ,B", lower=True) == ["a", "b"]
+    forms = spark.createDataFrame([(1, ["H04L0065101600"]), (2, ["h04l 65/1016 (2022.01)"]), (3, ["H04L65/1017"]), (4, ["H04L 65"]), (5, ["/x"])], "i int, codes array<string>")
+    passing = lambda *allowed: [r.i for r in forms.where(WL.code_matches(F.col("codes"), list(allowed))).orderBy("i").collect()]
+    assert passing("H04L65/1016") == passing("H04L 65/1016") == passing("H04L0065101600") == [1, 2]
+    assert passing("h04l 65") == [1, 2, 3, 4] and passing("H04L6") == [] and passing("") == []
     assert df.where(WL.code_matches(F.col("codes"), [])).count() == 0
 
 

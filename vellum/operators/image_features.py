@@ -23,17 +23,15 @@ def dhash(pixels: Column) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def phash(pixels: pd.Series) -> pd.Series:
-    """63 bits of a picture of 16 by 16: whether each low frequency but the first is above their median."""
-    u, x = np.arange(8)[:, None], np.arange(HASH_SIDE)[None, :]
-    waves = np.cos((2 * x + 1) * u * np.pi / (2 * HASH_SIDE))
-
-    def bits(values: np.ndarray | None) -> list[int] | None:
-        if values is None or len(values) != HASH_SIDE * HASH_SIDE:
-            return None
-        low = (waves @ np.asarray(values, float).reshape(HASH_SIDE, HASH_SIDE) @ waves.T).reshape(-1)[1:]
-        return (low > np.sort(low)[len(low) // 2]).astype(int).tolist()
-
-    return pixels.map(bits)
+    """63 bits of a picture of 16 by 16: whether each low frequency but the first is above their median. Null for a picture of another size."""
+    waves = np.cos((2 * np.arange(HASH_SIDE)[None, :] + 1) * np.arange(8)[:, None] * np.pi / (2 * HASH_SIDE))
+    fits = np.array([v is not None and len(v) == HASH_SIDE * HASH_SIDE for v in pixels], bool)
+    out = pd.Series([None] * len(pixels), object)
+    if fits.any():
+        stack = np.stack(pixels[fits].to_list()).astype(float).reshape(-1, HASH_SIDE, HASH_SIDE)
+        low = (waves @ stack @ waves.T).reshape(len(stack), -1)[:, 1:]
+        out[fits] = list((low > np.sort(low, axis=1)[:, low.shape[1] // 2, None]).astype(np.int32))
+    return out
 
 
 def bit_distance(a: Column, b: Column) -> Column:
@@ -46,24 +44,26 @@ def hash_score(dhash_a: Column, dhash_b: Column, phash_a: Column, phash_b: Colum
     return 1 - (bit_distance(dhash_a, dhash_b) / 256 + bit_distance(phash_a, phash_b) / 63) / 2
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def black_and_white(pixels: pd.Series) -> pd.Series:
-    """Pixels as 0 or 255, parted where the variance between both sides is greatest."""
+def thresholds(pixels: np.ndarray) -> np.ndarray:
+    """For each row of pixels the value at which the variance between both sides is greatest."""
+    counts = np.bincount((pixels + 256 * np.arange(len(pixels))[:, None]).reshape(-1), minlength=256 * len(pixels)).reshape(-1, 256).astype(float)
+    below, weighted = np.cumsum(counts, axis=1), np.cumsum(counts * np.arange(256), axis=1)
+    above = below[:, -1:] - below
+    both = (below > 0) & (above > 0)
+    means = weighted / np.where(both, below, 1) - (weighted[:, -1:] - weighted) / np.where(both, above, 1)
+    return np.where(both, below * above * means**2, 0.0).argmax(axis=1)
 
-    def parted(values: np.ndarray | None) -> list[int] | None:
-        if values is None or not len(values):
-            return None
-        own = np.asarray(values, np.int64)
-        counts = np.bincount(own, minlength=256).astype(float)
-        below, weighted = np.cumsum(counts), np.cumsum(counts * np.arange(256))
-        above = len(own) - below
-        both = (below > 0) & (above > 0)
-        between = np.zeros(256)
-        means = weighted[both] / below[both] - (weighted[-1] - weighted[both]) / above[both]
-        between[both] = below[both] * above[both] * means**2
-        return np.where(own > int(between.argmax()), 255, 0).tolist()
 
-    return pixels.map(parted)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def black_and_white(pixels: pd.Series) -> pd.Series:
+    """Pixels as 0 or 255, parted where the variance between both sides is greatest. Null for a picture without pixels."""
+    sizes = np.array([0 if v is None else len(v) for v in pixels], int)
+    out = pd.Series([None] * len(pixels), object)
+    for size in np.unique(sizes[sizes > 0]):
+        own = sizes == size
+        stack = np.stack(pixels[own].to_list()).astype(np.int64)
+        out[own] = list(np.where(stack > thresholds(stack)[:, None], 255, 0).astype(np.int32))
+    return out
 
 
 def agreement(a: Column, b: Column) -> Column:
@@ -72,14 +72,17 @@ def agreement(a: Column, b: Column) -> Column:
 
 
 def structure(a: Column, b: Column) -> Column:
-    """Likeness of means, variances and covariance of two pictures as a whole."""
-    n = F.size(a)
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-    doubles = lambda x: F.transform(x, lambda v: v.cast("double"))
-    mean_a, mean_b = total(doubles(a)) / n, total(doubles(b)) / n
-    spread = lambda x, mx, y, my: total(F.zip_with(x, y, lambda p, q: (p - mx) * (q - my))) / (n - 1)
-    var_a, var_b, both = spread(a, mean_a, a, mean_a), spread(b, mean_b, b, mean_b), spread(a, mean_a, b, mean_b)
-    return (2 * mean_a * mean_b + C1) * (2 * both + C2) / ((mean_a * mean_a + mean_b * mean_b + C1) * (var_a + var_b + C2))
+    """Likeness of means, variances and covariance of two pictures as a whole, from sums of one pass over both."""
+    sums = {"n": lambda x, y: F.lit(1.0), "a": lambda x, y: x, "b": lambda x, y: y, "aa": lambda x, y: x * x, "bb": lambda x, y: y * y, "ab": lambda x, y: x * y}
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    added = lambda s, v: F.struct(*[(s[k] + f(v["x"], v["y"])).alias(k) for k, f in sums.items()])
+
+    def likeness(s: Column) -> Column:
+        mean_a, mean_b = s["a"] / s["n"], s["b"] / s["n"]
+        spread = lambda xy, x, y: (s[xy] - s[x] * s[y] / s["n"]) / (s["n"] - 1)
+        return (2 * mean_a * mean_b + C1) * (2 * spread("ab", "a", "b") + C2) / ((mean_a * mean_a + mean_b * mean_b + C1) * (spread("aa", "a", "a") + spread("bb", "b", "b") + C2))
+
+    return F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(k) for k in sums]), added, likeness)
 
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))

@@ -15,11 +15,13 @@ def listed(setting: str, lower: bool = False) -> list[str]:
 
 
 def code_matches(code_list: Column, allowed: list[str]) -> Column:
-    """Whether a code, or what stands before its slash, is in the list. An empty list lets nothing pass."""
+    """Whether a code, or what stands before its slash, is in the list, both normalized (those that are no codes without white space). An empty list lets nothing pass."""
     if not allowed:
         return F.lit(False)
-    own = F.transform(code_list, codes.compact)
-    return F.coalesce(F.exists(own, lambda c: c.isin(allowed) | (c.contains("/") & F.substring_index(c, "/", 1).isin(allowed))), F.lit(False))
+    entries = [codes.normalized_or_compact(F.lit(c)) for c in allowed]  # folded into constants when the query is planned
+    group = lambda c: F.when(F.instr(c, "/") > 1, F.substring_index(c, "/", 1))
+    own = F.transform(code_list, codes.normalized_or_compact)
+    return F.coalesce(F.exists(own, lambda c: c.isin(*entries) | F.coalesce(group(c).isin(*entries), F.lit(False))), F.lit(False))
 
 
 def name_matches(names: Column, keywords: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import image_features as IF
+from vellum.operators import image_match as MT
 from vellum.operators import images as IM
 from vellum.operators import integrity as I
 from vellum.operators import vectors as V
@@ -54,7 +55,7 @@ def download_plan(spark, sf_dir):
 
 def archive_groups(spark, sf_dir):
     """Archives of one base name: split ones with their parts in order, single ones, and what cannot be opened."""
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    items = table(spark, sf_dir, "lineitem")
     part = F.col("l_linenumber") - 1
     ending = F.when(part == 0, F.when(F.col("l_orderkey") % 7 == 0, ".gz").otherwise(".zip")).otherwise(F.concat(F.lit(".z0"), part))
     names = items.select(F.concat(F.lit("b"), "l_orderkey", ending).alias("name")).distinct()
@@ -119,9 +120,42 @@ def image_likeness(spark, sf_dir):
     """Neighbouring pictures' likeness by difference hash, by pixels and by structure."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     pixel = lambda n, move, most: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((i * 37 + F.floor(i / 5) * (F.col("k") + move) * 11) % most).cast("int"))
-    a, b = IF.dhash(pixel(272, 0, 256)), IF.dhash(pixel(272, 1, 256))
-    x, y = (F.transform(pixel(64, move, 256), lambda v: F.when(v > 100, 255).otherwise(0)) for move in (0, 1))
-    return p.select("k", IF.bit_distance(a, b).alias("distance"), F.round(IF.agreement(x, y), 6).alias("agreement"), F.round(IF.structure(x, y), 6).alias("structure"))
+    black = lambda move: F.transform(pixel(64, move, 256), lambda v: F.when(v > 100, 255).otherwise(0))
+    # pixels are columns of their own, so that no expression makes them anew for each place it looks at
+    p = p.select("k", pixel(272, 0, 256).alias("a"), pixel(272, 1, 256).alias("b"), black(0).alias("x"), black(1).alias("y"))
+    hashed = p.select("k", IF.dhash(F.col("a")).alias("a"), IF.dhash(F.col("b")).alias("b"), "x", "y")
+    x, y = F.col("x"), F.col("y")
+    return hashed.select("k", IF.bit_distance(F.col("a"), F.col("b")).alias("distance"), F.round(IF.agreement(x, y), 6).alias("agreement"), F.round(IF.structure(x, y), 6).alias("structure"))
+
+
+def pictures(spark, sf_dir):
+    """Pictures of patents, one for each part: a figure of boxes, a drawing with it turned, a fainter one, another figure, and for some an equal one."""
+    shapes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("patent"), "p_size")
+
+    def drawn(source):
+        import numpy as np
+        import pandas as pd
+
+        for rows in source:
+            out = []
+            for patent, size in zip(rows["patent"], rows["p_size"]):
+                y, x = np.mgrid[0:48, 0:64]
+                boxes = lambda k: ((x // (3 + k % 5) + y // (4 + k % 7)) % (2 + k % 3) == 0) & (x > 5 + k % 9) & (y > 4) & (x + y < 70 + size % 30)
+                figure = np.where(boxes(patent), 20, 255)
+                made = {"figure": figure, "turned": np.rot90(figure, patent % 4), "faint": np.where(figure < 255, 120, 250), "other": np.where(boxes(patent * 7 + 3), 60, 255), "same": figure}
+                for place, (name, picture) in enumerate(made.items()):
+                    if (name != "same" or patent % 5 == 0) and (name != "turned" or patent % 3 > 0):
+                        out.append((patent, place, f"{name}.TIF", name == "figure", name if name != "same" else "figure", picture.shape[1], picture.shape[0], picture.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["patent", "place", "file_name", "is_abstract", "content_hash", "width", "height", "pixels"])
+
+    return shapes.mapInPandas(drawn, "patent long, place int, file_name string, is_abstract boolean, content_hash string, width int, height int, pixels binary")
+
+
+def image_matches(spark, sf_dir):
+    """The drawing that each figure of an abstract is shown as, how it is turned, and how alike both are."""
+    images = pictures(spark, sf_dir)
+    shown = MT.with_canonical(images.drop("pixels"), MT.matches(images))
+    return shown.select("patent", "file_name", "canonical_file_name", "display_rotation", "match_method", F.round("match_score", 9).alias("match_score"))
 
 
 def image_order(spark, sf_dir):
@@ -151,7 +185,7 @@ def identifiers(spark, sf_dir):
     return orders.select("o_orderkey", T.is_uuid(F.when(k % 3 == 0, F.upper(made)).when(k % 3 == 1, made).otherwise(F.concat(made, F.lit("0")))).alias("is_uuid"))
 
 
-QUERIES = {f.__name__: f for f in (xml_parse, title_lists, download_plan, archive_groups, split_parts, manifest_lines, no_manifest, image_assets, delete_batch, image_likeness, image_order, semantic_search, identifiers)}
+QUERIES = {f.__name__: f for f in (xml_parse, title_lists, download_plan, archive_groups, split_parts, manifest_lines, no_manifest, image_assets, delete_batch, image_likeness, image_matches, image_order, semantic_search, identifiers)}
 
 _CODE = "case when o_orderkey % 50 = 7 then 'A01B0000020000' when o_orderkey % 50 = 8 then ' ' else 'x' end"
 _COS = "list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q))"
@@ -173,7 +207,7 @@ r as (select *, case when code = 'A01B0000020000' then 0 when level = 0 then 0 w
 u as (select own as level, error, title from r union all select case when k % 2 = 0 then 9 else own end, error, title from r)
 select cast(level as int) as level, error, count(*) as "rows", min(title) as first_title from u group by 1, 2""",
     "download_plan": "with f as (select concat(p_partkey, list_extract(['.zip', '.z01', '.XML', '.txt'], cast(p_partkey % 4 + 1 as int))) as name, p_partkey as k from part where p_partkey % 4 < 3) select name, k * 10 as size, case k % 3 when 0 then 'pending' when 1 then 'skipped' else 'partial' end as state, case k % 3 when 0 then 0 when 1 then k * 10 else k * 4 end as done from f",
-    "archive_groups": """with n as (select distinct l_orderkey as k, l_linenumber as i from lineitem where l_orderkey <= 2000), g as (select k, count(*) filter (i = 1) as main, count(*) filter (i > 1) as parts, string_agg(concat('b', k, '.z0', i - 1), ',' order by i) filter (i > 1) as names from n group by k)
+    "archive_groups": """with n as (select distinct l_orderkey as k, l_linenumber as i from lineitem), g as (select k, count(*) filter (i = 1) as main, count(*) filter (i > 1) as parts, string_agg(concat('b', k, '.z0', i - 1), ',' order by i) filter (i > 1) as names from n group by k)
 select concat('b', k) as base, case when k % 7 = 0 then 'gzip' when parts > 0 then 'split' else 'zip' end as kind, case when k % 7 = 0 then concat('b', k, '.gz') else concat(case when parts > 0 then concat(names, ',') else '' end, 'b', k, '.zip') end as parts from g where main > 0""",
     "split_parts": """with p as (select l_orderkey as base, l_linenumber - 1 as part, case when l_orderkey % 3 = 0 then 9 else cast(l_quantity as bigint) end as size from lineitem where l_orderkey % 11 > 0 or l_linenumber > 1),
 g as (select base, count(*) filter (part = 0) as mains, count(*) filter (part > 0) as n, count(distinct case when part > 0 then part end) as d, max(case when part > 0 then part end) as last, min(size) as least, min(case when part > 0 then size end) as low, max(case when part > 0 then size end) as high from p group by base),

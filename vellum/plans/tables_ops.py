@@ -10,7 +10,7 @@ from vellum.operators import merge as M
 from vellum.operators import stats as S
 from vellum.operators import vectors as V
 from vellum.operators import whitelist as WL
-from vellum.plans.tables import table
+from vellum.plans.tables import CODED_SQL, coded, table
 
 TODAY = "1998-06-01"
 
@@ -103,6 +103,14 @@ def whitelist_counts(spark, sf_dir):
     return WL.counted(docs, WL.code_matches(F.col("codes"), ["SRC1", "SRC2/EN", "SRC3"]), WL.name_matches(F.col("names"), WL.listed("License, stat", lower=True)))
 
 
+def whitelist_codes(spark, sf_dir):
+    """Orders whose code is listed, long and spaced forms on both sides."""
+    allowed = WL.listed(" C01G 19/04 (2006.01), A07F0025000000 ,h09j,, E 09 D 15, B04F 10/02,x / y")
+    rows = coded(spark, sf_dir)
+    code = F.when(F.col("o_orderkey") % 35 == 2, "X/Y").when(F.col("o_orderkey") % 35 == 6, " / ").otherwise(F.col("raw_code"))
+    return rows.where(WL.code_matches(F.array(F.lit("none"), code), allowed)).select("o_orderkey")
+
+
 def claims(spark, sf_dir):
     """Texts as claims: whether they refer to another one."""
     orders = table(spark, sf_dir, "orders")
@@ -257,7 +265,7 @@ def image_match(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (anti_resume, full_outer_manifest, dedupe_keep_last, dedupe_keep_first, replaced_children, split_valid, whitelist_counts, format_date, html_fields, batch_code, crc_check, log_normalize, log_latest, speed_window, upsert_policy, progress, kind_labels, vector_topk, vector_filtered_join, hamming_topk, image_match)
+    for f in (anti_resume, full_outer_manifest, dedupe_keep_last, dedupe_keep_first, replaced_children, split_valid, whitelist_counts, whitelist_codes, format_date, html_fields, batch_code, crc_check, log_normalize, log_latest, speed_window, upsert_policy, progress, kind_labels, vector_topk, vector_filtered_join, hamming_topk, image_match)
 } | {
     "dedupe_exact_rows": dedupe_exact,
     "dashboard_stats": dashboard,
@@ -287,6 +295,8 @@ ORACLE_SQL = {
     "replaced_children": "select l_orderkey, count(*) as items, sum(l_quantity) as quantity from (select l_orderkey, l_quantity from lineitem where l_orderkey not in (select l_orderkey from lineitem where l_orderkey % 5 = 0 and l_linenumber = 1) union all select l_orderkey, 0.0 from lineitem where l_orderkey % 5 = 0 and l_linenumber = 1) group by l_orderkey",
     "delete_cascade_count": "select (select count(*) from orders where o_orderstatus = 'F') as deleted, (select count(*) from orders where o_orderstatus <> 'F') as orders_left, (select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')) as items_left",
     "split_valid": "select case when length(text) < 100 then 'too short' when source in ('src1', 'src2') then 'no page' when lang = 'es' then 'language' end as error, count(*) as \"rows\" from documents where length(text) < 100 or source in ('src1', 'src2') or lang = 'es' group by 1",
+    "whitelist_codes": f"""with {CODED_SQL} select o_orderkey from coded where case o_orderkey % 35 when 2 then true when 6 then false
+else code_norm in ('C01G19/04', 'A07F25/00', 'H09J', 'B04F10/02') or (code_norm like '%/%' and split_part(code_norm, '/', 1) in ('E09D15', 'H09J')) end""",
     "whitelist_counts": "with f as (select source in ('src1', 'src3') or (source = 'src2' and lang = 'en') as c, lower(text) like '%license%' or lower(text) like '%stat%' as n from documents) select count(*) filter (c and not n) as code_only, count(*) filter (n and not c) as name_only, count(*) filter (c and n) as both, count(*) filter (not c and not n) as skipped from f",
     "claim_independence": "select o_orderkey, o_orderkey % 3 = 2 as independent from orders",
     "ref_documents": "with k as (select o_orderkey, concat('CN', lpad(cast(o_orderkey % 1000 as varchar), 9, '1')) as a, concat('CN', lpad(cast(o_orderkey % 7 as varchar), 9, '1')) as b, concat('2020', lpad(cast(o_orderkey % 5 as varchar), 9, '1'), '.1') as c from orders) select o_orderkey, concat(b, ',', c, case when a = b then '' else concat(',', a) end, ',201510145456.1') as cited from k",
