@@ -11,8 +11,9 @@ The table of word counts grows with the input. Its most frequent words, ``KNOWN`
 network; all others are summed up per text and joined with the table by their hashes.
 
 Everything the model learns comes from all documents. Word counts are summed in each task before the
-shuffle. Training is data-parallel over shards of about ``SHARD`` rows, dealt and ordered by a hash of id and
-text (what is shuffled are the classes of tokens, two bytes each), so that scores do not depend on how the input is split. In each round every shard goes on from the same
+shuffle. Training is data-parallel over shards of about ``SHARD`` rows, ``SHARDS`` at most, dealt and ordered by a hash of id and
+text (what is shuffled are the classes of tokens, two bytes each), and scores are computed in doubles, so that they do not
+depend on how the input is split but for the last bits of sums. In each round every shard goes on from the same
 parameters, and a share of its tokens is masked, other ones in each round, so that after the last round each
 token of each text has been a target once. Then the shards' parameters are averaged by the number of tokens,
 in salted groups, a block of parameters at a time and in the order of shards. What shards send grows with their
@@ -44,10 +45,12 @@ MEMBERS = CLASSES // GROUPS
 REACH, HIDDEN = 2, 16
 #: Rounds, which share the tokens out among them; tokens of a step; step size.
 ROUNDS, BATCH, RATE = 2, 2048, 0.15
-#: Rows of a shard, on average.
-SHARD = 4096
+#: Rows of a shard, on average, and shards at most: beyond, a shard is as many rows as it takes.
+SHARD, SHARDS = 4096, 1 << 14
 #: Words whose counts go out with the network at most; what is added to a word's count within its class.
 KNOWN, SMOOTH = 1 << 17, 0.5
+#: Tokens that are scored at once: what they need stays in the processor's caches.
+SCORED = 1 << 12
 #: Parameters of a block, and groups that the tasks' parameters are summed in.
 BLOCK, SUMMED = 4096, 16
 
@@ -82,40 +85,56 @@ class Network:
         """Hidden layer over (rows, places) classes of the context."""
         total = self.part["embed"][0][context[:, 0]]
         for j in range(1, 2 * REACH):
-            total = total + self.part["embed"][j][context[:, j]]
-        return np.tanh(total)
+            total += self.part["embed"][j][context[:, j]]
+        return np.tanh(total, out=total)
 
-    def _by_group(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    @staticmethod
+    def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of the rows by the group of their target, and where each group is in it."""
         group = (target // MEMBERS).astype(np.int16)  # numpy sorts 16 bits by radix
-        order = np.argsort(group, kind="stable")
         edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
-        for g in range(GROUPS):
-            if edges[g] < edges[g + 1]:
-                yield g, order[edges[g] : edges[g + 1]]
+        return np.argsort(group, kind="stable"), [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+
+    def _members(self, h: np.ndarray, groups: list[tuple[int, slice]], target: np.ndarray) -> np.ndarray:
+        """The members' outputs of rows in the order of their groups."""
+        z = np.empty((len(h), MEMBERS), h.dtype)
+        for g, rows in groups:
+            np.matmul(h[rows], self.part["member"][g], out=z[rows])
+        z += self.part["member_b"][target // MEMBERS]
+        return z
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target class given its context."""
-        h = self.hidden(context)
-        z = h @ self.part["group"] + self.part["group_b"]
-        out = z[np.arange(len(z)), target // MEMBERS] - _log_sum(z)
-        for g, rows in self._by_group(target):
-            z = h[rows] @ self.part["member"][g] + self.part["member_b"][g]
-            out[rows] += z[np.arange(len(z)), target[rows] % MEMBERS] - _log_sum(z)
+        h, every = self.hidden(context), np.arange(len(target))
+        z = h @ self.part["group"]
+        z += self.part["group_b"]
+        out = z[every, target // MEMBERS]
+        out -= _log_sum(z)
+        order, groups = self._by_group(target)
+        target = target[order]
+        z = self._members(h[order], groups, target)
+        member = z[every, target % MEMBERS]
+        member -= _log_sum(z)
+        out[order] += member
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: Network) -> None:
         """One step of Adagrad against the targets' log-probability."""
-        h, n, rows_of = self.hidden(context), len(target), np.arange
+        h, n, every = self.hidden(context), len(target), np.arange(len(target))
         p = _softmax(h @ self.part["group"] + self.part["group_b"])
-        p[rows_of(n), target // MEMBERS] -= 1
+        p[every, target // MEMBERS] -= 1
         back = p @ self.part["group"].T
         grads = {"group": h.T @ p / n, "group_b": p.sum(0) / n}
         member, member_b = np.zeros(_SHAPES["member"], np.float32), np.zeros(_SHAPES["member_b"], np.float32)
-        for g, rows in self._by_group(target):
-            p = _softmax(h[rows] @ self.part["member"][g] + self.part["member_b"][g])
-            p[rows_of(len(rows)), target[rows] % MEMBERS] -= 1
-            back[rows] += p @ self.part["member"][g].T
-            member[g], member_b[g] = h[rows].T @ p / n, p.sum(0) / n
+        order, groups = self._by_group(target)
+        own, target = h[order], target[order]
+        p = _softmax(self._members(own, groups, target))
+        p[every, target % MEMBERS] -= 1
+        further = np.empty_like(own)
+        for g, rows in groups:
+            np.matmul(p[rows], self.part["member"][g].T, out=further[rows])
+            member[g], member_b[g] = own[rows].T @ p[rows] / n, p[rows].sum(0) / n
+        back[order] += further
         grads |= {"member": member, "member_b": member_b}
         back *= (1 - h * h) / n
         for name, grad in grads.items():
@@ -133,13 +152,19 @@ class Network:
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
+    """Log of the sum of exponentials of each row; ``z`` is overwritten."""
     most = z.max(axis=1)
-    return most + np.log(np.exp(z - most[:, None]).sum(axis=1))
+    z -= most[:, None]
+    np.exp(z, out=z)
+    return most + np.log(z @ np.ones(z.shape[1], z.dtype))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+    """Shares of the exponentials of each row; ``z`` is overwritten."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +275,7 @@ def tokenized(docs: DataFrame, frequent: np.ndarray, id_column: str | None, text
 
 def sharded(tokens: DataFrame) -> DataFrame:
     """(classes) of all rows, in shards and an order that follow from the rows alone."""
-    return tokens.repartition(max(1, -(-tokens.count() // SHARD)), "key").sortWithinPartitions("key").select("classes")
+    return tokens.repartition(max(1, min(SHARDS, -(-tokens.count() // SHARD))), "key").sortWithinPartitions("key").select("classes")
 
 
 def classes_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -369,7 +394,7 @@ def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, frequent, table = shared.value
-        own = Network(values)
+        own = Network(values.astype(float))  # in singles a score would depend on the height of the arrays that its tokens are in
         key = TaskContext.get().partitionId() << 33
         for batch in source:
             for row, end, data, offsets in text_slices(batch.column(1)):
@@ -378,8 +403,8 @@ def score(docs: DataFrame, net: np.ndarray, frequent: np.ndarray, id_column: str
                 around = contexts(classes, firsts)
                 logs = np.empty(len(classes) + 1)
                 logs[-1] = 0
-                for at in range(0, len(classes), 1 << 15):
-                    logs[at : min(at + (1 << 15), len(classes))] = own.log_probabilities(around[at : at + (1 << 15)], classes[at : at + (1 << 15)])
+                for at in range(0, len(classes), SCORED):
+                    logs[at : min(at + SCORED, len(classes))] = own.log_probabilities(around[at : at + SCORED], classes[at : at + SCORED])
                 counts = np.diff(firsts)
                 text, hashes, times = within_class(own_hashes, classes, firsts, logs, table) if table else _NO_REST
                 sums = np.where(counts > 0, np.add.reduceat(logs, firsts[:-1]), 0.0)
