@@ -56,6 +56,17 @@ def test_edges_of_the_input(spark):
     assert [tuple(r) for r in runs] == [(2, 1, 4, 1, 0, 1)]
 
 
+def test_rows_that_share_an_id_are_texts_of_their_own(spark):
+    a, own = "a one\nb two\nc three", "q1\nq2\nq3\nq4\nq5"
+    rows = [(1, a), (5, f"x\n{a}\ny"), (5, own), (5, own), (6, f"{own}\nend"), (None, a)]
+    got = sorted((str(r.doc_id), r.text) for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    # rows that share id and text are one text, so neither is cut
+    assert got == sorted([("1", a), ("5", "x\ny"), ("5", own), ("5", own), ("6", "end"), ("None", a)])
+    rng = random.Random(9)
+    rows = [(i % 7, "\n".join(f"{i} {k} {rng.random()}" for k in range(5))) for i in range(40)]
+    assert sorted(map(tuple, D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == sorted(rows)
+
+
 @pytest.mark.parametrize(
     "text, want",
     [("a\na\na\na\na", "a\na\na"), ("x y\nq\nx y\nq\nx y\nz", "x y\nq\nx y\nz"), ("a\nb\n" * 5 + "c", "a\nb\na\nb\nc"), ("a\nb\nc\na\nb\nc", "a\nb\nc")],

@@ -71,6 +71,20 @@ def test_edges_of_the_input(spark):
     assert N.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join("w%d" % rng.randrange(10**6) for _ in range(40))
+    a, b, c = say(), say(), say()
+    rows = [(5, a), (5, b), (5, b), (3, a + " end"), (7, b + " end"), (None, c), (9, c + " end"), (None, a + " end"), (5, None), (4, c)]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(docs).collect()), key=str)
+    want = [(5, 3, False), (5, 5, True), (5, 5, True), (3, 3, True), (7, 5, False), (None, 4, False), (9, 4, False), (None, 3, False), (5, 5, True), (4, 4, True)]
+    assert got == sorted(want, key=str)
+    left = N.without_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, b), (5, b), (3, a + " end"), (5, None), (4, c)], key=str)
+
+
 def test_estimate_is_corrected_for_chance(spark):
     rng = random.Random(0)
     base = ["w%d" % i for i in range(1000)]

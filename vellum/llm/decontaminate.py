@@ -154,15 +154,24 @@ def document_hits(docs: DataFrame, partitions: list[int], minima: KeyFilter, shi
 
 def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc id, item id, ``n_item``, ``n_shared``, ``containment``) of the items that documents contain."""
-    rows = stored(item_keys(items, item_column, item_text), "items")
+    found, members = _contained(docs, items, id_column, text_column, item_column, item_text)
+    found = found.join(members, "item")
+    return found.select(F.col("doc").alias(id_column), F.col("member").alias(item_column), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def _contained(docs: DataFrame, items: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, item, n_item, n_shared) for one item of each class of equal texts, and (item, member), the items of the classes, stored."""
+    own = items.select(items[item_column].alias("member"), items[item_text].cast("string").alias("text")).where("member is not null and text is not null")
+    first = own.groupBy("text").agg(F.min("member").alias("item"))
+    members = stored(own.join(first, "text").select("item", "member").distinct(), "members")
+    rows = stored(item_keys(first, "item", "text"), "items")
     partitions = sorted(r.partition for r in rows.select("partition").distinct().collect())
     minima = rows.select("id", F.explode("keys").alias("key")).distinct()
     shingles = rows.select("id", F.explode("shingles").alias("key")).distinct()
     sizes = shingles.groupBy("id").agg(F.count("*").alias("n_item"))
     if not partitions:
         none = docs.select(docs[id_column].alias("doc"), F.lit(None).cast(rows.schema["id"].dataType).alias("item")).where("false")
-        none = none.select("doc", "item", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment"))
-        return none.withColumnsRenamed({"doc": id_column, "item": item_column})
+        return none.select("doc", "item", F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared")), members
     hits = stored(document_hits(docs, partitions, filter_of(minima, "key"), filter_of(shingles, "key"), id_column, text_column), "hits")
     candidates = hits.where("minimum").join(minima.withColumnRenamed("id", "item"), "key").select("id", "item").distinct()
     candidates = stored(candidates, "candidates")
@@ -171,10 +180,10 @@ def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id"
     wanted = candidates.join(shingles.withColumnRenamed("id", "item"), "item")
     shared = wanted.join(own.hint("merge"), ["id", "key"]).groupBy("id", "item").agg(F.count("*").alias("n_shared"))
     found = shared.join(sizes.withColumnRenamed("id", "item"), "item").where(F.col("n_shared") * 100 >= F.col("n_item") * CONTAINED)
-    return found.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    return found.select(F.col("id").alias("doc"), "item", "n_item", "n_shared"), members
 
 
-def without_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", **columns: str) -> DataFrame:
+def without_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain an item; all columns stay."""
-    found = contained_items(docs, items, id_column, **columns).select(id_column).distinct()
-    return without(docs, stored(found, "leaks"), id_column)
+    found, _ = _contained(docs, items, id_column, text_column, item_column, item_text)
+    return without(docs, stored(found.select(F.col("doc").alias(id_column)).distinct(), "leaks"), id_column)

@@ -11,8 +11,8 @@ its own source (lines that repeat at once), the source stays whole and what is b
 
 The order of ids is the order of texts. Nothing is compared in pairs: each window meets only the
 first of its kind, whose minimum is combined before the shuffle, so a line that a third of all texts
-share costs one row a place. Null and empty texts, and rows without an id, stay as they are; rows
-that share an id count as one text. A text whose lines are all repeated becomes empty. Very long texts are
+share costs one row a place. Null and empty texts, and rows without an id, stay as they are. Rows that share an id are texts of
+their own, in the order of a hash of their text; rows that share the text too are one text, and are cut alike. A text whose lines are all repeated becomes empty. Very long texts are
 a slice of their own. Any other columns stay as they are, whatever their names. An empty table stays empty.
 Contents of windows are compared by 64-bit hashes.
 """
@@ -81,7 +81,7 @@ def windows_of(data: np.ndarray, offsets: np.ndarray, run_lines: int = RUN_LINES
 
 
 def windows(docs: DataFrame, id_column: str, text_column: str, run_lines: int, run_words: int) -> DataFrame:
-    """(id, start, stop, fingerprint, content, selects) of the windows of all texts."""
+    """(id, hash, start, stop, fingerprint, content, selects) of the windows of all texts; ``hash`` is that of the text."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_memory():
@@ -89,40 +89,46 @@ def windows(docs: DataFrame, id_column: str, text_column: str, run_lines: int, r
                 for row, end, data, offsets in text_slices(batch.column(1)):
                     w = windows_of(data, offsets, run_lines, run_words)
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(row, end - row).take(pa.array(w["text"], pa.int64())),
+                        *(batch.column(i).slice(row, end - row).take(pa.array(w["text"], pa.int64())) for i in (0, 2)),
                         pa.array(w["start"], pa.int32()),
                         pa.array(w["stop"], pa.int32()),
                         pa.array(w["fingerprint"].astype(np.uint64).view(np.int64)),
                         pa.array(w["content"].astype(np.uint64).view(np.int64)),
                         pa.array(w["selects"].astype(bool)),
-                    ], ["id", "start", "stop", "fingerprint", "content", "selects"])
+                    ], ["id", "hash", "start", "stop", "fingerprint", "content", "selects"])
 
-    columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text")).where("id is not null")
+    text = docs[text_column].cast("string")
+    columns = docs.select(docs[id_column].alias("id"), text.alias("text"), F.xxhash64(text).alias("hash")).where("id is not null")
     kind = columns.schema["id"].dataType.simpleString()
-    return columns.mapInArrow(batches, f"id {kind}, start int, stop int, fingerprint long, content long, selects boolean")
+    return columns.mapInArrow(batches, f"id {kind}, hash long, start int, stop int, fingerprint long, content long, selects boolean")
 
 
 def repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
     """(id, start, stop, source_id, source_start, cut): maximal runs of lines that an earlier place has, that place, and the first line to delete."""
+    return _runs(docs, id_column, text_column, run_lines, run_words).select("id", "start", "stop", "source_id", "source_start", "cut")
+
+
+def _runs(docs: DataFrame, id_column: str, text_column: str, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
+    """The same with ``hash``, that of the text."""
     if not 1 <= run_lines <= len(_PLACES):
         raise ValueError(f"run_lines is not in 1..{len(_PLACES)}")
     found = stored(windows(docs, id_column, text_column, run_lines, run_words), "windows")
     shared = found.where("selects").groupBy("fingerprint").agg(F.count("*").alias("places")).where("places > 1").select("fingerprint")
     shared = stored(shared, "fingerprints")
     # none of these tables has a bound, so none is broadcast
-    found = found.join(shared.hint("merge"), "fingerprint", "left_semi").select("id", "start", "stop", "content")
-    first = found.groupBy("content").agg(F.min(F.struct("id", "start", "stop")).alias("first"), F.count("*").alias("places")).where("places > 1")
-    first = stored(first.select("content", F.col("first.id").alias("source_id"), F.col("first.start").alias("source_start"), F.col("first.stop").alias("source_stop")), "first")
-    later = found.join(first.hint("merge"), "content").where("id > source_id or start > source_start")
+    found = found.join(shared.hint("merge"), "fingerprint", "left_semi").select("id", "hash", "start", "stop", "content")
+    first = found.groupBy("content").agg(F.min(F.struct("id", "hash", "start", "stop")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    first = stored(first.select("content", F.col("first.id").alias("source_id"), F.col("first.hash").alias("source_hash"), F.col("first.start").alias("source_start"), F.col("first.stop").alias("source_stop")), "first")
+    later = found.join(first.hint("merge"), "content").where("id > source_id or hash > source_hash or start > source_start")
     # matches on one diagonal that touch or overlap are one run
-    diagonal = W.partitionBy("id", "source_id", "diagonal").orderBy("start", "stop")
+    diagonal = W.partitionBy("id", "hash", "source_id", "source_hash", "diagonal").orderBy("start", "stop")
     later = later.withColumn("diagonal", F.col("start") - F.col("source_start"))
     later = later.withColumn("reached", F.max("stop").over(diagonal.rowsBetween(W.unboundedPreceding, -1)))
     later = later.withColumn("run", F.count(F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached") + 1), 1)).over(diagonal))
-    runs = later.groupBy("id", "source_id", "diagonal", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("source_start").alias("source_start"), F.max("source_stop").alias("source_stop"))
+    runs = later.groupBy("id", "hash", "source_id", "source_hash", "diagonal", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("source_start").alias("source_start"), F.max("source_stop").alias("source_stop"))
     # a source is never cut
-    cut = F.when(F.col("id") == F.col("source_id"), F.greatest(F.col("start"), F.col("source_stop") + 1)).otherwise(F.col("start"))
-    return runs.select("id", "start", "stop", "source_id", "source_start", cut.alias("cut")).where("cut <= stop")
+    cut = F.when((F.col("id") == F.col("source_id")) & (F.col("hash") == F.col("source_hash")), F.greatest(F.col("start"), F.col("source_stop") + 1)).otherwise(F.col("start"))
+    return runs.select("id", "hash", "start", "stop", "source_id", "source_start", cut.alias("cut")).where("cut <= stop")
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
@@ -149,15 +155,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     ``removed_column``, if named, is added, or takes the place of the column of that name: the number of lines deleted.
     """
-    runs = repeated_runs(docs, id_column, text_column, **limits)
-    row, key, may, found = (unused([*docs.columns, "starts", "stops"], c) for c in ("row", "key", "may", "cut"))
-    cuts = runs.groupBy("id").agg(F.collect_list("cut").alias("starts"), F.collect_list("stop").alias("stops"))
-    cuts = stored(cuts.select(F.col("id").alias(key), "starts", "stops"), "cuts")
+    runs = _runs(docs, id_column, text_column, **limits)
+    row, key, own, may, found = (unused([*docs.columns, "starts", "stops"], c) for c in ("row", "key", "hash", "may", "cut"))
+    cuts = runs.groupBy("id", "hash").agg(F.collect_list("cut").alias("starts"), F.collect_list("stop").alias("stops"))
+    cuts = stored(cuts.select(F.col("id").alias(key), F.col("hash").alias(own), "starts", "stops"), "cuts")
     # texts without a cut stay where they are
-    held = filter_of(cuts.select(F.xxhash64(key).alias("key")), "key")
-    marked = docs.withColumn(may, member(docs, held, F.xxhash64(docs[id_column])))
-    whole = marked.where(F.col(may)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_column).alias(key))
-    joined = whole.join(cuts.hint("merge"), key, "left")
+    held = filter_of(cuts.select(F.xxhash64(key, own).alias("key")), "key")
+    of_text = F.xxhash64(docs[text_column].cast("string"))
+    marked = docs.withColumn(may, member(docs, held, F.xxhash64(docs[id_column], of_text)))
+    whole = marked.where(F.col(may)).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(id_column).alias(key), of_text.alias(own))
+    joined = whole.join(cuts.hint("merge"), [key, own], "left")
     text = F.col(row)[text_column]
     hit = F.col("starts").isNotNull() & text.isNotNull()
     joined = joined.withColumn(found, _without(F.when(hit, text), F.col("starts"), F.col("stops")))

@@ -2,7 +2,7 @@
 
 1. Each text's set of distinct 5-word shingles gives 128 minima; four at a time they are the keys of
    32 bands, and their low two bits, packed into longs, the signature.
-2. Equal sets are one class, whose smallest id stands for all of its members.
+2. Equal sets are one class, for which its member of the smallest id stands, by a number of its own.
 3. Documents that share a band are candidates. A candidate pair's similarity is estimated from the
    packed bits: equal low bits are counted with bit operations, and the share that is equal by chance
    is taken off. Pairs whose estimate is within ``MARGIN`` of the threshold are confirmed on the full
@@ -18,7 +18,8 @@
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32 = 5e-6, and its estimate
 is off by ``MARGIN`` (over 5 standard deviations) less often than 1e-6. Shingles are compared by
 64-bit hashes, equal sets by two sums of their members' hashes, 128 bits in all. Null and empty texts and texts without words have no shingles and are linked with
-nothing. Rows that repeat an id are all kept or all dropped. A row without an id is dropped if it is
+nothing. Rows that share an id are documents of their own, each with the text that it has: a component's id is the smallest of its
+members', and of rows that share that id all are kept. A row without an id is dropped if it is
 a copy of one with an id, and kept otherwise. Very long texts are slices of their own, and count like others.
 Columns beside id and text are not read, whatever their names; an empty table gives no rows.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from vellum.llm.arrowtext import distinct_shingles, mixed, task_memory
 from vellum.llm.components import components
 from vellum.llm.filters import filter_of, member, without
-from vellum.llm.store import removed, stored
+from vellum.llm.store import removed, stored, unused
 
 BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
@@ -68,7 +69,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n, set_a, set_b, bands, bits): size and key of each shingle set, its bands and packed low bits."""
+    """(id, hash, n, set_a, set_b, bands, bits): hash of each text, size and key of its shingle set, its bands and packed low bits."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task_memory():
@@ -88,13 +89,18 @@ def signatures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     bits.append((low << np.arange(0, 64, BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64))
                 a, b = zip(*keys) if keys else ((), ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["id", "n", "set_a", "set_b", "bands", "bits"],
+                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    ["id", "hash", "n", "set_a", "set_b", "bands", "bits"],
                 )
 
-    columns = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
+    columns = _hashed(docs, id_column, text_column)
     kind = columns.schema["id"].dataType.simpleString()
-    return columns.mapInArrow(batches, f"id {kind}, n long, set_a long, set_b long, bands array<long>, bits array<long>")
+    return columns.mapInArrow(batches, f"id {kind}, hash long, n long, set_a long, set_b long, bands array<long>, bits array<long>")
+
+
+def _hashed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    text = docs[text_column].cast("string")
+    return docs.select(docs[id_column].alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
 
 def estimate(bits_a: Column, bits_b: Column) -> Column:
@@ -114,14 +120,14 @@ def likely(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (a, b) ``pairs`` whose full shingle sets are as similar as the threshold asks.
+    """The (a, b) of (a, b, a_key, b_key) ``pairs`` whose full shingle sets are as similar as the threshold asks.
 
-    ``texts`` has (id, text). A text reaches the pairs it is in, once for each group of its partners.
+    ``texts`` has (key, text). A text reaches the pairs it is in, once for each group of its partners.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = stored(pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "groups").alias("salt")), "pairs")
-    firsts = dealt.select("a", "salt").distinct().join(texts, F.col("a") == texts.id).select("a", "salt", F.lit(None).cast(dealt.schema["b"].dataType).alias("b"), "text")
-    seconds = dealt.join(texts, F.col("b") == texts.id).select("a", "salt", "b", "text")
+    dealt = stored(pairs.join(counts, "a").select("a", "b", "a_key", "b_key", F.pmod(F.xxhash64("b"), "groups").alias("salt")), "pairs")
+    firsts = dealt.select("a", "salt", "a_key").distinct().join(texts, F.col("a_key") == texts.key).select("a", "salt", F.lit(None).cast(dealt.schema["b"].dataType).alias("b"), "text")
+    seconds = dealt.join(texts, F.col("b_key") == texts.key).select("a", "salt", "b", "text")
     rows = firsts.unionByName(seconds).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,22 +152,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: its id, ``n_shingles``, ``component_id`` (the smallest id it is linked to) and ``kept``."""
+    found = _found(docs, id_column, text_column)
+    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, hash, n, component, kept) of all rows; ``hash`` is that of the text."""
     signed = stored(signatures(docs, id_column, text_column), "signatures")
     # classes of equal sets
-    classes = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
+    key = F.when(F.col("id").isNotNull(), F.struct("id", "hash"))
+    classes = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min(key).alias("rep"), F.count("*").alias("members"))
     copies = stored(classes.where("members > 1 and rep is not null").select("set_a", "set_b", "n", "rep"), "classes")
-    members = signed.join(copies, ["set_a", "set_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "bands", "bits")
-    reps = stored(members.where("n > 0 and id = rep").select("id", "n", "bits", "bands").dropDuplicates(["id"]), "reps")
+    members = signed.join(copies, ["set_a", "set_b", "n"], "left").select("n", key.alias("key"), F.coalesce("rep", key).alias("rep"), "bands", "bits")
+    reps = members.where("n > 0 and key = rep").select("key", "n", "bits", "bands").dropDuplicates(["key"])
+    # from here on an id is the number of a class
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "n", "bits", "bands"), "reps")
     banded = reps.select("id", F.explode("bands").alias("band"))
     heads = stored(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head"), "heads")
     # first each band's members against its smallest id
     in_bands = stored(banded.join(heads, "band").select("band", "head", "id"), "bands")
     pairs = in_bands.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    first, second = (reps.select(F.col("id").alias(x), "n", "bits") for x in "ab")
-    pairs = pairs.join(first, "a").select("a", "b", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).join(second, "b")
+    first, second = (reps.select(F.col("id").alias(x), F.col("key").alias(f"{x}_key"), "n", "bits") for x in "ab")
+    pairs = pairs.join(first, "a").select("a", "b", "a_key", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).join(second, "b")
     pairs = pairs.where(likely(F.col("n_a"), F.col("n"), F.col("bits_a"), F.col("bits")))
-    pairs = stored(pairs.select("a", "b"), "candidates")
-    ids = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
+    pairs = stored(pairs.select("a", "b", "a_key", "b_key"), "candidates")
+    ids = _hashed(docs, id_column, text_column).where("id is not null").select(F.struct("id", "hash").alias("key"), "text")
     links = stored(confirmed(pairs, _texts_of(pairs, ids)), "links")
     labels = components(links)
     # then what is in one band but not yet in one component
@@ -170,27 +185,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     open_bands = groups.groupBy("band").agg(F.count("*").alias("labels"), F.sum("size").alias("size"), F.max("size").alias("inside"), F.max_by("label", F.struct("size", "label")).alias("main"))
     open_bands = stored(open_bands.where("labels > 1").select("band", "main", "size", (F.col("size") - F.col("inside")).alias("outside")), "open")
     rows = labelled.join(open_bands, "band").where("id <> head").select("band", "id", "label", "size", "outside", (F.col("label") == F.col("main")).alias("inside"))
-    rows = stored(rows.join(reps.select("id", "n", "bits", "bands"), "id"), "rest")
-    a, b = (rows.where(F.col("size") <= SMALL_BAND).select("band", "id", "label", "inside", "n", "bits").alias(x) for x in "xy")
+    rows = stored(rows.join(reps.select("id", "key", "n", "bits", "bands"), "id"), "rest")
+    a, b = (rows.where(F.col("size") <= SMALL_BAND).select("band", "id", "key", "label", "inside", "n", "bits").alias(x) for x in "xy")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     alike = ~y("inside") & (x("label") != y("label")) & (x("inside") | (x("id") < y("id"))) & likely(x("n"), y("n"), x("bits"), y("bits"))
-    more = stored(a.join(b, (x("band") == y("band")) & alike).select(F.least(x("id"), y("id")).alias("a"), F.greatest(x("id"), y("id")).alias("b")).distinct(), "candidates")
+    more = stored(a.join(b, (x("band") == y("band")) & alike).select(x("id").alias("a"), y("id").alias("b"), x("key").alias("a_key"), y("key").alias("b_key")).distinct(), "candidates")
     large = with_likely_partners(rows.where(F.col("size") > SMALL_BAND))
     further = stored(confirmed(more, _texts_of(more, ids)).union(confirmed_in_blocks(large, ids)), "links")
     if not further.isEmpty():
         labels = components(links.union(further))
-    found = signed.join(copies, ["set_a", "set_b", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    found = found.join(labels, found.rep == labels.node, "left")
-    component = F.coalesce("label", "rep")
+    # a component has the smallest id of its classes' first members
+    linked = stored(reps.select("id", "key").join(labels, F.col("id") == labels.node).select("key", "label"), "linked")
+    named = linked.groupBy("label").agg(F.min("key.id").alias("component"))
+    linked = stored(linked.join(named, "label").select("key", "component"), "components")
+    found = signed.join(copies, ["set_a", "set_b", "n"], "left").select("id", "hash", "n", F.coalesce("rep", key).alias("rep"))
+    found = found.join(linked, found.rep == linked.key, "left")
+    component = F.coalesce("component", "rep.id")
     removed(docs.sparkSession, in_bands, labelled, rows, heads, open_bands, reps, pairs, more)
-    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return found.select("id", "hash", "n", component.alias("component"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def _texts_of(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``pairs``, and of few others: what is not in a filter of ids stays where it is."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")) if "a" in pairs.columns else pairs.select("id")
-    held = filter_of(named.select(F.xxhash64("id").alias("key")).distinct(), "key")
-    return ids.where(member(ids, held, F.xxhash64("id")))
+    """(key, text) of the documents in ``pairs``, and of few others: what is not in a filter of keys stays where it is. Rows that share id and text are one."""
+    named = pairs.select(F.col("a_key").alias("key")).union(pairs.select("b_key")) if "a_key" in pairs.columns else pairs.select("key")
+    held = filter_of(named.select(F.xxhash64("key").alias("key")).distinct(), "key")
+    return ids.where(member(ids, held, F.xxhash64("key"))).groupBy("key").agg(F.first("text").alias("text"))
 
 
 def in_blocks(rows: DataFrame, columns: list[str], outside_of: int, others_of: int) -> DataFrame:
@@ -269,7 +288,7 @@ def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
     A pair that shares several bands is looked at in the first of them.
     """
-    dealt = rows.join(_texts_of(rows, ids), "id")
+    dealt = rows.join(_texts_of(rows, ids), "key")
     both = in_blocks(dealt, ["id", "label", "bits", "bands", "text"], BLOCK_OUTSIDE, BLOCK_OTHERS)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +323,9 @@ def confirmed_in_blocks(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id. All columns stay."""
-    dropped = near_duplicates(docs, id_column, text_column).where("not kept").select(id_column).distinct()
-    return without(docs, stored(dropped, "dropped"), id_column)
+    """``docs`` with one document of each component: the one of smallest id. All columns stay. Rows are dropped by id and text, never by id alone."""
+    own = unused(docs.columns, "key")
+    dropped = _found(docs, id_column, text_column).where("not kept").select(F.struct("id", "hash").alias(own)).distinct()
+    text = docs[text_column].cast("string")
+    keyed = docs.withColumn(own, F.struct(docs[id_column].alias("id"), F.xxhash64(text).alias("hash")))
+    return without(keyed, stored(dropped, "dropped"), own).select(*[F.col(f"`{c}`") for c in docs.columns])
