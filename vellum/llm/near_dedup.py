@@ -167,11 +167,12 @@ def _found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     reps = members.where("n > 0 and key = rep").select("key", "n", "bits", "bands").dropDuplicates(["key"])
     # from here on an id is the number of a class
     reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), "key", "n", "bits", "bands"), "reps")
-    banded = reps.select("id", F.explode("bands").alias("band"))
-    heads = stored(banded.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head"), "heads")
+    banded = reps.select("id", F.col("key.id").alias("named"), F.explode("bands").alias("band"))
+    heads = banded.groupBy("band").agg(F.min_by("id", "named").alias("head"), F.count("*").alias("members")).where("members > 1")
+    heads = stored(heads.select("band", "head"), "heads")
     # first each band's members against its smallest id
     in_bands = stored(banded.join(heads, "band").select("band", "head", "id"), "bands")
-    pairs = in_bands.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = in_bands.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     first, second = (reps.select(F.col("id").alias(x), F.col("key").alias(f"{x}_key"), "n", "bits") for x in "ab")
     pairs = pairs.join(first, "a").select("a", "b", "a_key", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")).join(second, "b")
     pairs = pairs.where(likely(F.col("n_a"), F.col("n"), F.col("bits_a"), F.col("bits")))
