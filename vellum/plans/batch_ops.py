@@ -13,20 +13,20 @@ from vellum.operators import merge as M
 from vellum.plans.tables import CODED_SQL, dictionary, table
 
 
-def _changes(spark, sf_dir):
+def batch_changes(spark, sf_dir):
     states = F.array(*map(F.lit, B.STATES))
     return table(spark, sf_dir, "events").withColumn("status", F.element_at(states, (F.col("event_id") % 8 + 1).cast("int")))
 
 
 def batch_states(spark, sf_dir):
     """The state of each user's last change, and when it was started and ended."""
-    rows = B.current(_changes(spark, sf_dir), "user_id", "status", "ts", "event_id")
+    rows = B.current(batch_changes(spark, sf_dir), "user_id", "status", "ts", "event_id")
     day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return rows.select("user_id", "status", day("started_at").alias("started_at"), day("completed_at").alias("completed_at"))
 
 
 def batches_active(spark, sf_dir):
-    return B.listed(B.current(_changes(spark, sf_dir), "user_id", "status", "ts", "event_id"), "pending", active=True).groupBy("status").agg(F.count("*").alias("batches"))
+    return B.listed(B.current(batch_changes(spark, sf_dir), "user_id", "status", "ts", "event_id"), "pending", active=True).groupBy("status").agg(F.count("*").alias("batches"))
 
 
 def log_failures(spark, sf_dir):

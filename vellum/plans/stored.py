@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import conditions as C
-from vellum.operators import commits, text_index, vector_index
+from vellum.operators import checkpoints, commits, text_index, vector_index
+from vellum.plans import batch_ops
+from vellum.plans.batch_ops import batch_changes
 from vellum.plans.tables import table
 from vellum.shared import new_folder
 from vellum.sources import archives
 from vellum.sources.stores import put
+from vellum.streaming import states
 
 
 def archive_entries(spark, sf_dir):
@@ -87,11 +90,40 @@ def indexed_search(spark, sf_dir):
     return reduce(DataFrame.union, [*out, text_index.find(index, either, needs).select(F.lit("either").alias("asked"), "doc_id")])
 
 
-QUERIES = {f.__name__: f for f in (archive_entries, table_versions, indexed_vectors, indexed_search)}
+def state_stream(spark, sf_dir):
+    """The state of each user's last change, from a stream of files in another order than that of the changes."""
+    changes = batch_changes(spark, sf_dir).select("user_id", "status", "ts", "event_id")
+    folder = new_folder(spark, "changes")
+    changes.repartition(6, F.xxhash64("event_id")).write.parquet(folder)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    out = new_folder(spark, "states")
+    states.kept(states.states(stream, "user_id", "status", "ts", "event_id"), out, new_folder(spark, "stream")).awaitTermination()
+    rows = states.last_updates(spark.read.parquet(out), "user_id")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return rows.select("user_id", "status", day("started_at").alias("started_at"), day("completed_at").alias("completed_at"))
+
+
+def resumed_archives(spark, sf_dir):
+    """Customers as records of their nations' archives: some are processed, then some of these change, and the rest follows; records and sizes of each archive."""
+    nations, customers = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    archives = lambda size: nations.select(F.col("n_name").alias("name"), size.alias("size"), F.lit(1).alias("modified"))
+    named = customers.join(nations.select("n_nationkey", F.col("n_name").alias("name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    parse = lambda cut: lambda rows: named.join(rows, "name").where(cut).select("name", "size", "c_custkey")
+    root, key = new_folder(spark, "processed"), F.col("n_nationkey")
+    checkpoints.process(archives(F.lit(1)).where("name < 'J'"), parse(F.col("c_custkey") % 2 == 0), root)
+    now = archives(F.when(key % 3 == 0, 2).otherwise(1))
+    found = checkpoints.process(now, parse(F.lit(True)), root)
+    return found.groupBy("name").agg(F.count("*").alias("records"), F.max("size").alias("size"), F.sum("c_custkey").alias("keys"))
+
+
+QUERIES = {f.__name__: f for f in (archive_entries, table_versions, indexed_vectors, indexed_search, state_stream, resumed_archives)}
 
 _COS = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v))"
 
 ORACLE_SQL = {
+    "state_stream": batch_ops.ORACLE_SQL["batch_states"],
+    "resumed_archives": """select n_name as name, count(*) as records, case when n_nationkey % 3 = 0 then 2 else 1 end as size, sum(c_custkey)::bigint as keys
+from nation join customer on c_nationkey = n_nationkey where c_custkey % 2 = 0 or not (n_name < 'J') or n_nationkey % 3 = 0 group by n_name, n_nationkey""",
     "archive_entries": "select concat('b', o_orderkey // 20000, '.zip') as zip_name, count(*) as entries, sum(length(concat('<o>', o_orderkey, ' ', o_orderpriority, '</o>')))::bigint as bytes, sum(o_orderkey)::bigint as keys from orders group by 1",
     "table_versions": """with p as (select o_orderkey as k, o_orderpriority as b, o_orderkey % 3 > 0 as first, o_orderkey % 3 < 2 as later, o_orderkey % 2 = 0 and o_orderkey % 3 < 2 as gone from orders),
 c as (select p.*, l_linenumber as n from p join lineitem on l_orderkey = k)
