@@ -204,3 +204,15 @@ def test_stream_windows_and_repeats(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("seen0").count() == 2
     assert sorted(r.rows for r in spark.table("seen1").collect()) == [1, 2]
+
+
+def test_texts_of_elements_without_their_own(spark):
+    contents = ["x", "<b>y</b> z", '<b id="5">y</b><c/>', '<b id="5" k="6"/><c n="7"><d>w</d></c>', '<b id="5">\n <d>w</d></b>', "", "<b></b>", '<Image file="a.tif"/>']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "i int, c string")
+    assert [r.t for r in df.select("i", patent_xml.plain(F.col("c")).alias("t")).orderBy("i").collect()] == ["x", "z", "y", "5 6 7 w", "5 w", None, None, "a.tif"]
+
+
+def test_the_root_is_behind_comments(spark):
+    xml = '<?xml version="1.0"?><!-- <Other> --><!DOCTYPE x [<!ENTITY a "<b>">]><patent-document kind="A"><bibliographic-data><publication-reference><document-id><doc-number>7</doc-number></document-id></publication-reference></bibliographic-data></patent-document>'
+    found = patent_xml.parsed(spark.createDataFrame([(xml,), (xml.replace("patent-document", "Other"),)], "content string"))
+    assert [r.doc_number for r in found.collect()] == ["7"]

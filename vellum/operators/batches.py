@@ -71,3 +71,8 @@ def latest_of(batches: DataFrame, column: str, value: str, time: str = "created_
 def size_of(files: DataFrame, key: str) -> DataFrame:
     """Files of each batch and their bytes."""
     return files.groupBy(key).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def newest_logs(logs: DataFrame, batch: str, most: int = 100) -> DataFrame:
+    """The newest entries of a batch's log, the last first."""
+    return logs.where(F.col("batch_code") == batch).orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(most)

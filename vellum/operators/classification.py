@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import codes
 from vellum.functions.conditions import any_contains, code_prefix
 from vellum.functions.text import trimmed
+from vellum.operators.listing import page
 
 PATH = ["section", "class_code", "subclass", "main_group", "subgroup"]
 
@@ -56,6 +57,62 @@ def tree_search(dictionary: DataFrame, query: str, most: int = 200) -> DataFrame
     return node(dictionary.join(marked, "code_norm"), F.col("hit"))
 
 
+#: Columns of an entry in a key-value store, and what they are where a value has none.
+STORED = {"code": None, "source_code": "", "version": "", "section": None, "class_code": None, "subclass": None, "main_group": None, "subgroup": None, "level": None, "title_en": "", "title_zh": None, "title_zh_source": None, "source_file": None}
+
+
+def stored_entries(values: DataFrame, value: str = "value") -> DataFrame:
+    """Entries of JSON values of a key-value store; values that are no JSON or have no code go, what others lack has its default."""
+    row = F.from_json(value, "code_norm string, " + ", ".join(f"{c} string" for c in STORED))
+    rows = values.select(row.alias("row")).select("row.*").where("code_norm is not null and code_norm <> ''")
+    level = F.regexp_extract("level", r"^\s*([+-]?\d+)", 1).try_cast("int")
+    filled = {c: F.coalesce(c, F.lit(default)) for c, default in STORED.items() if default is not None}
+    return rows.withColumns({"code": F.coalesce("code", "code_norm"), "level": level, **filled})
+
+
+def _stored_matches(query: str) -> tuple[Column, Column]:
+    """Whether the query, normalized, begins an entry's code, and whether it is in its codes or titles, signs for themselves and whatever the case."""
+    wanted, norm = F.lit(query.strip()), codes.normalized(F.lit(query.strip()))
+    prefix = F.coalesce(F.lower("code_norm").startswith(F.lower(norm)), F.lit(False))
+    inside = [F.coalesce(F.lower(c).contains(F.lower(wanted)), F.lit(False)) for c in ("code", "source_code", "title_en", "title_zh")]
+    return prefix, inside[0] | inside[1] | inside[2] | inside[3]
+
+
+def stored_list(entries: DataFrame, query: str | None, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of stored entries that match, those first whose code the query begins; groups in the order of numbers."""
+    if query is None or not query.strip():
+        return page(entries, order(by_number=True), number, size)
+    prefix, inside = _stored_matches(query)
+    return page(entries.where(prefix | inside), [prefix.desc(), *order(by_number=True)], number, size)
+
+
+def stored_children(entries: DataFrame, parent: str | None = None, most: int = 100) -> DataFrame:
+    """Stored entries one level below a code as nodes, at most 200; without one the sections A to H."""
+    if parent is None:
+        rows = entries.where(F.col("code_norm").rlike(r"^[A-H]\z"))
+    else:
+        norm = codes.normalized(F.lit(parent))
+        at = lambda part, column: part(norm) == F.col(column)
+        section = (F.length(norm) == 1) & at(codes.section, "section") & F.col("code_norm").rlike(r"^[A-Z]\d{2}\z")
+        own_class = (F.length(norm) == 3) & at(codes.class_code, "class_code") & F.col("code_norm").rlike(r"^[A-Z]\d{2}[A-Z]\z")
+        group = codes.main_group(norm)
+        subclass = group.isNull() & at(codes.subclass, "subclass") & (F.col("main_group") != "") & (F.col("subgroup") == "00")
+        main = (codes.subgroup(norm) == "00") & at(codes.subclass, "subclass") & (F.col("main_group") == group) & (F.col("subgroup") != "") & (F.col("subgroup") != "00")
+        rows = entries.where(F.coalesce(section, F.lit(False)) | F.coalesce(own_class, F.lit(False)) | F.coalesce(subclass, F.lit(False)) | F.coalesce(main, F.lit(False)))
+    some = page(rows, order(by_number=True), 1, most, 200)
+    return node(some, F.lit(False))
+
+
+def stored_tree_search(entries: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
+    """All stored entries that match and all above them, as nodes; and one row, ``total``, the number of matches."""
+    norm = codes.normalized_or_compact(F.lit(query.strip()))
+    _, inside = _stored_matches(query)
+    found = entries.where(F.lower("code_norm").startswith(F.lower(norm)) | inside).select("code_norm").distinct()
+    above = found.select(F.explode(codes.ancestors(F.col("code_norm"))).alias("code_norm"))
+    marked = found.withColumn("hit", F.lit(True)).unionByName(above.withColumn("hit", F.lit(False))).groupBy("code_norm").agg(F.max("hit").alias("hit"))
+    return node(entries.join(marked, "code_norm"), F.col("hit")), found.agg(F.count("*").alias("total"))
+
+
 def merged_titles(rows: DataFrame, key: str, title: str, position: str) -> DataFrame:
     """One row a key, the first by position; its title and those of later rows are joined by semicolons, each once."""
     others = [c for c in rows.columns if c not in (key, title, position)]

@@ -50,6 +50,17 @@ def with_nested(parents: DataFrame, key: str, *lists: DataFrame) -> DataFrame:
     return parents
 
 
+#: Columns of a list's item; of these the ones that are null rather than empty, and the list that is empty rather than null.
+ITEM, ITEM_DATES, ITEM_LISTS = ("id", "doc_number", "kind", "title", "pub_date", "grant_date", "applicants"), ("pub_date", "grant_date"), ("applicants",)
+
+
+def list_items(patents: DataFrame) -> DataFrame:
+    """Patents as items of a list: their first columns, dates that are empty as null, applicants that are null as none."""
+    text = lambda c: F.when(F.col(c).cast("string") != "", F.col(c))
+    shown = {c: text(c) for c in ITEM_DATES} | {c: F.coalesce(c, F.array()) for c in ITEM_LISTS}
+    return patents.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in ITEM])
+
+
 def with_assets(images: DataFrame, assets: DataFrame, shared: list[str]) -> DataFrame:
     """``images`` with the columns that assets have too taken from the asset, if it has them."""
     a, b = images.alias("i"), assets.alias("a")

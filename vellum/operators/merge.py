@@ -56,6 +56,21 @@ def first_of_each(rows: DataFrame, keys: list[str], position: Column) -> DataFra
     return rows.groupBy(*keys).agg(F.min_by(whole, position).alias("row")).select(*keys, "row.*")
 
 
+def filled_from(rows: DataFrame, other: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """``rows`` in which null values are taken from the row of the same key in ``other``, where keys are distinct; ``columns`` names what comes from which."""
+    own = other.select(F.col(key), *[F.col(theirs).alias(f"__{ours}") for ours, theirs in columns.items()])
+    filled = {ours: F.coalesce(F.col(ours), F.col(f"__{ours}")) for ours in columns}
+    return rows.join(own, key, "left").withColumns(filled).select(*rows.columns)
+
+
+def with_missing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``old`` and the rows of ``new`` whose keys it has not, one of each key, the least; rows with a null key are not added."""
+    rows = new.where(" and ".join(f"`{k}` is not null" for k in keys)).join(old.select(*keys), keys, "left_anti")
+    others = [c for c in old.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("row")) if others else rows.select(*keys).distinct()
+    return old.unionByName(one.select(*[F.col(f"row.{c}") if c in others else c for c in old.columns]))
+
+
 def split_valid(rows: DataFrame, errors: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows without an error, and the others with ``error``, the name of their first one."""
     error = F.coalesce(*[F.when(bad, F.lit(name)) for name, bad in errors.items()])

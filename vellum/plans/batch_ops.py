@@ -9,6 +9,7 @@ from vellum.functions import patent_text as P
 from vellum.operators import batches as B
 from vellum.operators import classification as C
 from vellum.operators import images as I
+from vellum.operators import listing as L
 from vellum.operators import merge as M
 from vellum.plans.tables import CODED_SQL, dictionary, table
 
@@ -118,18 +119,65 @@ def markers(spark, sf_dir):
 
 def backfill(spark, sf_dir):
     """Labels take their language over from documents where they have none."""
-    labels = table(spark, sf_dir, "labels").withColumn("lang", F.when(F.col("quality") == 1, F.lit("xx")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("own"))
-    return labels.join(docs, "doc_id", "left").select("doc_id", F.coalesce("lang", "own").alias("lang"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, F.lit("xx")).alias("lang"))
+    return M.filled_from(labels, table(spark, sf_dir, "documents"), "doc_id", {"lang": "lang"})
+
+
+def added_missing(spark, sf_dir):
+    """Nations as assets, with those of customers' market segments added that are not among them."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("oss_key"), F.lit("nation").alias("content_hash"))
+    c = table(spark, sf_dir, "customer")
+    new = c.select(F.when(F.col("c_custkey") % 9 > 0, F.concat(F.lit("s"), F.col("c_nationkey"))).alias("oss_key"), F.concat(F.lit("h"), F.col("c_custkey") % 7).alias("content_hash"))
+    return M.with_missing(nations, new.unionByName(nations.withColumn("content_hash", F.lit("other"))), ["oss_key"])
+
+
+def batch_logs(spark, sf_dir):
+    """The newest entries of a batch's log."""
+    logs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("batch_code"), F.col("ts").alias("created_at"))
+    return B.newest_logs(logs, "click").select("id", "batch_code")
+
+
+def batch_lookups(spark, sf_dir):
+    """The newest batch of a folder; and how many files each batch has, and their bytes."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("batch_code"), F.col("event_type").alias("ftp_folder"), F.col("ts").alias("created_at"))
+    latest = B.latest_of(events, "ftp_folder", "click").select("batch_code", F.lit(None).cast("long").alias("files"), F.lit(None).cast("long").alias("bytes"))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("batch_code"), F.col("l_quantity").cast("long").alias("size"))
+    return latest.unionByName(B.size_of(files, "batch_code"))
+
+
+def patent_items(spark, sf_dir):
+    """Orders as items of a list, with null for empty dates and no applicants for null."""
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    date = F.when(k % 3 > 0, F.when(k % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(""))
+    names = F.when(k % 4 > 0, F.array(F.struct(F.col("o_orderpriority").alias("name"))))
+    rows = orders.select(k.alias("id"), k.cast("string").alias("doc_number"), F.col("o_orderstatus").alias("kind"), F.lit("t").alias("title"), date.alias("pub_date"), date.alias("grant_date"), names.alias("applicants"), "o_totalprice")
+    return L.list_items(rows).select("id", "doc_number", "kind", "pub_date", "grant_date", F.array_join(F.transform("applicants", lambda a: a["name"]), ",").alias("applicants"))
+
+
+def _stored_dictionary(spark, sf_dir):
+    """The dictionary as JSON values of a key-value store, with one that is broken and some without all columns."""
+    entries = dictionary(spark, sf_dir)
+    full = F.to_json(F.struct("code_norm", "code", "section", "class_code", "subclass", "main_group", "subgroup", F.col("level").cast("string").alias("level"), "title_en"))
+    rows = entries.select(full.alias("value"))
+    return C.stored_entries(rows.unionByName(rows.limit(1).select(F.lit("{broken").alias("value"))).unionByName(rows.limit(1).select(F.lit('{"code": "x"}').alias("value"))))
 
 
 def kv_list(spark, sf_dir):
     """The dictionary read from JSON values of a key-value store, groups ordered as numbers."""
-    stored = dictionary(spark, sf_dir).select(F.to_json(F.struct("code_norm", "title_en")).alias("value"))
-    stored = stored.unionByName(stored.limit(1).select(F.lit("{broken").alias("value")))
-    rows = stored.select(F.from_json("value", "code_norm string, title_en string").alias("row")).select("row.*").where("code_norm is not null")
-    rows = C.entries(rows, None, "title_en")
-    return rows.where(F.col("code_norm").startswith("A")).orderBy(*C.order(by_number=True)).limit(40).select("code_norm", codes.depth_label(F.col("code_norm")).alias("label"))
+    rows = _stored_dictionary(spark, sf_dir).where(F.col("code_norm").startswith("A"))
+    return C.stored_list(rows, None, 1, 40).select("code_norm", codes.depth_label(F.col("code_norm")).alias("label"))
+
+
+def kv_tree(spark, sf_dir):
+    """The tree of a key-value store: the sections, what is below a section, a class, a subclass and a group, and a search with all codes above its matches."""
+    rows = _stored_dictionary(spark, sf_dir)
+    shown = lambda df, name: df.select(F.lit(name).alias("of"), "code_norm", "parent", "depth", "has_children", "is_match")
+    out = shown(C.stored_children(rows, None), "top")
+    for parent in ("A", "h09", "H09J", "E09D 15/00", "none"):
+        out = out.unionByName(shown(C.stored_children(rows, parent, 200), parent))
+    found, total = C.stored_tree_search(rows, "b02 d")
+    out = out.unionByName(shown(found, "search"))
+    return out.unionByName(total.select(F.lit("total").alias("of"), F.col("total").cast("string").alias("code_norm"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("boolean").alias("has_children"), F.lit(None).cast("boolean").alias("is_match")))
 
 
 def child_rows(spark, sf_dir):
@@ -137,7 +185,7 @@ def child_rows(spark, sf_dir):
     return M.first_of_each(table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), ["conv_id", "role"], F.col("turn"))
 
 
-QUERIES = {f.__name__: f for f in (batch_states, batches_active, log_failures, time_left, resume_archives, reconcile, image_references, image_entries, image_same_content, image_sections, image_totals, image_rotations, disclosure, markers, backfill, kv_list, child_rows)}
+QUERIES = {f.__name__: f for f in (batch_states, batches_active, log_failures, time_left, resume_archives, reconcile, image_references, image_entries, image_same_content, image_sections, image_totals, image_rotations, disclosure, markers, backfill, added_missing, batch_logs, batch_lookups, patent_items, kv_list, kv_tree, child_rows)}
 
 _CHANGED = "c as (select *, list_extract(['pending', 'downloading', 'downloaded', 'processing', 'processed', 'importing', 'completed', 'failed'], cast(event_id % 8 + 1 as int)) as status from events), last as (select * from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from c) where rn = 1)"
 _TIME = "'%Y-%m-%d %H:%M:%S'"
@@ -164,6 +212,17 @@ select k as p_partkey, case when a1 is not null then array_to_string(p[a1 : leas
 case when b1 is not null then array_to_string(p[b1 : least(case when a1 > b1 then a1 else e end, case when c1 > b1 then c1 else e end) - 1], chr(10)) end as solution,
 case when c1 is not null then array_to_string(p[c1 : least(case when a1 > c1 then a1 else e end, case when b1 > c1 then b1 else e end) - 1], chr(10)) end as effect from n""",
     "markers": "select p_partkey, concat(p_name, '.jpg,x.tif') as files, case substr(p_brand, 1, 1) when 'A' then 'invention_application' when 'B' then 'invention' else 'utility_model' end as type from part",
+    "added_missing": "select n_name as oss_key, 'nation' as content_hash from nation union all select concat('s', c_nationkey), min(concat('h', c_custkey % 7)) from customer where c_custkey % 9 > 0 group by 1",
+    "batch_logs": "select event_id as id, event_type as batch_code from events where event_type = 'click' order by ts desc, event_id desc limit 100",
+    "batch_lookups": "(select cast(event_id as varchar) as batch_code, cast(null as bigint) as files, cast(null as bigint) as bytes from events where event_type = 'click' order by ts desc, cast(event_id as varchar) limit 1) union all select l_returnflag, count(*), cast(sum(cast(l_quantity as bigint)) as bigint) from lineitem group by 1",
+    "patent_items": "select o_orderkey as id, cast(o_orderkey as varchar) as doc_number, o_orderstatus as kind, case when o_orderkey % 3 = 1 then strftime(o_orderdate, '%Y-%m-%d') end as pub_date, case when o_orderkey % 3 = 1 then strftime(o_orderdate, '%Y-%m-%d') end as grant_date, case when o_orderkey % 4 > 0 then o_orderpriority else '' end as applicants from orders",
+    "kv_tree": f"""with {CODED_SQL}, p as (select code_norm, level, length(code_norm) as n, case when length(code_norm) > 3 then substr(code_norm, 1, 4) end as subclass, case when level >= 3 then split_part(code_norm, '/', 1) end as grp, case when level >= 3 then split_part(code_norm, '/', 2) end as sub, title_en from dictionary),
+node as (select code_norm, case when level = 4 then concat(grp, '/00') when level = 3 then subclass when level = 2 then substr(code_norm, 1, 3) when level = 1 then substr(code_norm, 1, 1) end as parent, cast(level as int) as depth, grp is null or sub = '00' as has_children, level, subclass, grp, sub from p),
+hit as (select code_norm from node where code_norm like 'B02D%' or lower(case when level >= 3 then concat(subclass, ' ', substr(code_norm, 5)) else code_norm end) like '%b02 d%'),
+above as (select code_norm from hit union select unnest([substr(code_norm, 1, 1), substr(code_norm, 1, 3), substr(code_norm, 1, 4), concat(split_part(code_norm, '/', 1), '/00')]) from hit),
+picked as (select 'top' as "of", code_norm, false as is_match from node where code_norm ~ '^[A-H]$' union all select 'A', code_norm, false from node where level = 1 and code_norm like 'A%' union all select 'h09', code_norm, false from node where level = 2 and code_norm like 'H09%'
+union all select 'H09J', code_norm, false from node where level = 3 and code_norm like 'H09J%' union all select 'E09D 15/00', code_norm, false from node where level = 4 and grp = 'E09D15' union all select 'search', n.code_norm, n.code_norm in (select code_norm from hit) from node n where n.code_norm in (select code_norm from above))
+select "of", code_norm, parent, depth, has_children, is_match from picked join node using (code_norm) union all select 'total', cast(count(*) as varchar), null, null, null, null from hit""",
     "backfill": "select l.doc_id, coalesce(case when quality = 1 then 'xx' end, d.lang) as lang from labels l left join documents d on l.doc_id = d.doc_id",
     "kv_list": f"with {CODED_SQL} select code_norm, case level when 0 then 'section' when 1 then 'class' when 2 then 'subclass' when 3 then 'main_group' else 'subgroup' end as label from dictionary where code_norm like 'A%' order by 1 = 1, case when length(code_norm) > 2 then substr(code_norm, 1, 3) end nulls last, case when length(code_norm) > 3 then substr(code_norm, 1, 4) end nulls last, try_cast(case when code_norm like '%/%' then substr(split_part(code_norm, '/', 1), 5) end as int) nulls last, case when code_norm like '%/%' then split_part(code_norm, '/', 2) end nulls last, code_norm limit 40",
     "child_rows": "select conv_id, role, min(turn) as turn from conversations group by conv_id, role",

@@ -67,6 +67,8 @@ _OLD = r"<(?:bibliographic-data|related-documents|invention-title|title|abstract
 _OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "mode": "PERMISSIVE"}
 
 _TAG = r"(?s)<[^>]*>"
+#: A tag with attributes and a text behind it, and an attribute within a tag.
+_WITH_TEXT, _ATTRIBUTE = r"(?s)<([A-Za-z][\w.-]*)\s[^<>]*>(?=\s*[^<\s])", r"(?s)\s[\w:.-]+=\"([^\"<>]*)\"(?=[^<>]*>)"
 _ELEMENT = r"(?s)<([A-Za-z][\w.-]*)\b[^>]*?(?:/>|>.*?</\1>)"
 _PARAGRAPH = r"(?s)<(Paragraphs?)\b[^>]*?(?:/>|>(.*?)</\1>)"
 _IMAGE = r"(?s)<Image\b[^>]*?\bfile=\"([^\"]*)\""
@@ -75,9 +77,14 @@ _LESS = "\ue000"
 
 
 def plain(content: Column) -> Column:
-    """Text of an element's content: its own, or, if it has none, that of all elements in it, parted by spaces; null if there is none."""
+    """Text of an element's content: its own, or, if it has none, that of all elements in it, parted by spaces; null if there is none.
+
+    An element within that has no text of its own before its first child gives the values of its attributes too.
+    """
     own = F.array_join(F.transform(F.split(content, _ELEMENT), lambda x: T.trimmed(F.regexp_replace(x, _TAG, ""))), "")
-    inner = F.array_join(F.filter(F.transform(F.split(content, _TAG), T.trimmed), lambda x: x != ""), " ")
+    # attributes of tags with a text behind them go, the values of the others become texts
+    told = F.regexp_replace(F.regexp_replace(content, _WITH_TEXT, "<$1>"), _ATTRIBUTE, ">$1<")
+    inner = F.array_join(F.filter(F.transform(F.split(told, _TAG), T.trimmed), lambda x: x != ""), " ")
     return F.nullif(F.replace(F.when(own != "", own).otherwise(inner), F.lit(_LESS), F.lit("<")), F.lit(""))
 
 
@@ -172,7 +179,9 @@ def parsed(entries: DataFrame, content: str = "content", keep: tuple[str, ...] =
     """
     xml = F.col(content).cast("string")
     bare = F.replace(F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:", "$1"), F.lit("&lt;"), F.lit(_LESS))
-    root = F.regexp_extract(xml, r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z][\w.-]*)[\s/>]", 1)
+    # the first tag that is not within a comment, a declaration or an instruction
+    head = F.regexp_replace(F.substring(xml, 1, 1 << 16), r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>", "")
+    root = F.regexp_extract(head, r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z][\w.-]*)[\s/>]", 1)
     asked = F.col(patent_type) if patent_type else F.lit(None).cast("string")
     rows = entries.where(root.isin(*ROOTS)).select(*keep, asked.alias("asked"), xml.alias("raw_xml"), bare.alias("bare"))
     rows = rows.select(*keep, "asked", "raw_xml", F.from_xml("bare", SCHEMA, _OPTIONS).alias("x"), F.from_xml(F.when(F.col("bare").rlike(_OLD), F.col("bare")), OLD_SCHEMA, _OPTIONS).alias("o"))
