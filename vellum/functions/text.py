@@ -78,6 +78,7 @@ def image_key(path: Column) -> Column:
 
 def content_type(file_name: Column) -> Column:
     """Content type of an image by its extension."""
+    # fixed values
     kinds = {"png": "image/png", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "jp2": "image/jp2", "j2k": "image/jp2"}
     extension = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)\z", 1))
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), extension), F.lit("image/jpeg"))
@@ -210,6 +211,7 @@ def embedding_document(entry: dict[str, Column], kind: str, label: Column, local
     ``entry`` has code, code_norm, version, title_zh, title_en, section, class_code, subclass, main_group and subgroup;
     ``locale`` leaves out the titles of another language (zh, en), or none (mixed).
     """
+    # fixed values: the names of the lines and of the parts
     line = lambda name, value: F.concat(F.lit(f"{name}："), value)
     shown = lambda name, part: F.when(non_empty(entry[part]).isNotNull(), F.concat(F.lit(f"{name}="), entry[part]))
     none = F.lit(None).cast("string")
@@ -227,12 +229,12 @@ MESSAGES = [
     (r"^(.+\.ZIP): parsed ([0-9]+) XML, filtered patents ([0-9]+), skipped image upload, total patents ([0-9]+)\z", "$1：已解析 $2 个 XML，筛选后专利 $3 条，已跳过附图上传，累计专利 $4 条"),
     (r"^Processing completed: patents=([0-9]+), uploadedImages=([0-9]+), skippedImages=([0-9]+), filteredOut=([0-9]+)\z", "处理完成：$1 条专利，上传附图 $2 张，跳过附图 $3 张，过滤掉 $4 条不符合条件的专利"),
 ]
-#: Messages whose words were lost: what the numbers behind the archive's name say.
+#: Messages whose words were lost, and what the numbers behind the archive's name say.
 UPLOADS = ": 附图上传进度 {}/{}，上传 {}，跳过 {}，失败 {}"
 FILTERED = "：已解析 {} 个 XML，原始专利 {} 条，筛选后 {} 条，引用附图文件 {} 个"
 HANDLED = "：已解析 {} 个 XML，处理引用附图 {} 张，上传 {} 张，跳过 {} 张，失败 {} 张，累计专利 {} 条"
 INNER = (r"^.*ZIP:(?U)\s*([^\s]+\.ZIP)\z", "开始处理内层 ZIP：$1")
-#: Beginnings and parts of messages in a wrong encoding, and what they say.
+#: Beginnings and parts of messages in a wrong encoding, and what they say.
 BEGINNINGS = [("澶勭悊澶辫触:", "处理失败："), ("瀵煎叆澶辫触:", "导入失败："), ("婢跺嫮鎮婃径杈\ue0a5Е:", "处理失败：")]
 PARTS = [("涓撳埄闄勫浘涓婁紶澶辫触", "专利附图上传失败"), ("You did not provide the number of bytes specified by the Content-Length HTTP header.", "对象存储上传失败：请求体长度与 Content-Length 不一致")]
 
