@@ -80,6 +80,25 @@ def test_states_are_finite_and_chunks_compose(library):
     assert len(words.states) < 1000
 
 
+def test_chunks_are_mapped_a_bounded_number_of_times(library, monkeypatch):
+    words = C.WordTransducer(C.counter(JSON).words.ranks)
+    asked, plain = [], words.mapped
+    monkeypatch.setattr(words, "mapped", lambda state, chunk: asked.append(1) or plain(state, chunk))
+    rng = np.random.default_rng(1)
+    for text in ("a" * 1_000_000, "ab" * 100_000, "".join(rng.choice(list("etaoinshrdlu"), 60_000))):
+        asked.clear()
+        assert words.count(text.encode()) == words.walk(0, text.encode())[1]
+        assert len(asked) <= 3 * len(text) / C.CHUNK
+    # states that remember all that was read: each chunk is asked once for each level at most
+    monkeypatch.setattr(words, "mapped", lambda state, chunk: asked.append(1) or ((state * 31 + chunk[0] + 1) % 1_000_003, state % 7))
+    word = bytes(rng.integers(0, 256, 64 * 1024).astype(np.uint8))
+    state = total = 0
+    for i in range(0, len(word), C.CHUNK):
+        state, total = (state * 31 + word[i] + 1) % 1_000_003, total + state % 7
+    asked.clear()
+    assert words.count(word) == total and len(asked) <= 1024 * 11
+
+
 def test_a_clash_of_hashes_gives_no_wrong_count():
     known = C.KnownCounts()
     data = np.frombuffer(b"wordlong", np.uint8)

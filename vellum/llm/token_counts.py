@@ -10,9 +10,10 @@ count now. That is finitely much whatever the pre-token's length, and it is comp
 far as it is needed: the last token of a prefix's encoding is its longest suffix that is a token and follows
 the last token of the rest in a valid pair.
 
-A long pre-token is cut into chunks. Each chunk has a map from entry state to exit state and tokens emitted,
-kept by the chunk's bytes; all chunks are mapped from guessed entries, which are then replaced by the exits of
-the chunks before until none changes. States forget soon, so that few passes are needed.
+A long pre-token is cut into chunks. Each chunk has a map from entry state to exit state and tokens emitted, known at
+the states that have been asked for and kept by the chunk's bytes. Maps of neighbours are composed in pairs, these in pairs again, and
+so on, each from its own beginning alone, so that a scan of any number of chunks has as many steps as their number has
+binary digits; a map that is asked at a new state asks its two halves. States forget soon, so that nearly all are known then.
 
 Counts of pre-tokens are remembered by a hash; the bytes are compared before a count is used. Null texts count
 as empty (0 bytes, 0 tokens); repeated rows are counted each; a very long text is a slice of its own. An empty
@@ -135,14 +136,26 @@ class WordTransducer:
         if len(word) <= CHUNK:
             return self.walk(0, word)[1]
         chunks = [word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
-        entries: list[int] = [0] * len(chunks)
-        found = [self.mapped(0, chunk) for chunk in chunks]
+        levels: list[list[dict[int, tuple[int, int]]]] = [[{} for _ in chunks]]
+
+        def at(level: int, k: int, state: int) -> tuple[int, int]:
+            """Exit state and tokens of the ``k``-th map of a level at an entry state."""
+            own = levels[level][k]
+            if state not in own:
+                if not level:
+                    own[state] = self.mapped(state, chunks[k])
+                else:
+                    middle, first = at(level - 1, 2 * k, state)
+                    end, second = at(level - 1, 2 * k + 1, middle) if 2 * k + 1 < len(levels[level - 1]) else (middle, 0)
+                    own[state] = end, first + second
+            return own[state]
+
         while True:
-            exits = [0, *(state for state, _ in found[:-1])]
-            if exits == entries:
-                return sum(tokens for _, tokens in found)
-            found = [same if new == old else self.mapped(new, chunk) for new, old, same, chunk in zip(exits, entries, found, chunks)]
-            entries = exits
+            for k in range(len(levels[-1])):
+                at(len(levels) - 1, k, 0)
+            if len(levels[-1]) == 1:
+                return at(len(levels) - 1, 0, 0)[1]
+            levels.append([{} for _ in range(-(-len(levels[-1]) // 2))])
 
 
 class KnownCounts:
