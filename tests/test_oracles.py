@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from vellum.plans import batch_ops, codes, records, search, stored, tables_ops
+from vellum.plans import batch_ops, codes, records, search, stored, tables_ops, written
 
 FOLDER = "/root/testdata/sf0.01"
-MODULES = (search, codes, tables_ops, batch_ops, records, stored)
+MODULES = (search, codes, tables_ops, batch_ops, records, stored, written)
 NAMES = [(m, n) for m in MODULES for n in m.QUERIES]
 
 
