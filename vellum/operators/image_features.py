@@ -25,13 +25,14 @@ def dhash(pixels: Column) -> Column:
 def phash(pixels: pd.Series) -> pd.Series:
     """63 bits of a picture of 16 by 16: whether each low frequency but the first is above their median. Null for a picture of another size."""
     waves = np.cos((2 * np.arange(HASH_SIDE)[None, :] + 1) * np.arange(8)[:, None] * np.pi / (2 * HASH_SIDE))
-    fits = np.array([v is not None and len(v) == HASH_SIDE * HASH_SIDE for v in pixels], bool)
-    out = pd.Series([None] * len(pixels), object)
-    if fits.any():
-        stack = np.stack(pixels[fits].to_list()).astype(float).reshape(-1, HASH_SIDE, HASH_SIDE)
+    fits = [i for i, v in enumerate(pixels) if v is not None and len(v) == HASH_SIDE * HASH_SIDE]
+    out: list[np.ndarray | None] = [None] * len(pixels)
+    if fits:
+        stack = np.stack([pixels.iloc[i] for i in fits]).astype(float).reshape(-1, HASH_SIDE, HASH_SIDE)
         low = (waves @ stack @ waves.T).reshape(len(stack), -1)[:, 1:]
-        out[fits] = list((low > np.sort(low, axis=1)[:, low.shape[1] // 2, None]).astype(np.int32))
-    return out
+        for i, bits in zip(fits, (low > np.sort(low, axis=1)[:, low.shape[1] // 2, None]).astype(np.int32)):
+            out[i] = bits
+    return pd.Series(out, dtype=object)
 
 
 def bit_distance(a: Column, b: Column) -> Column:
@@ -58,12 +59,13 @@ def thresholds(pixels: np.ndarray) -> np.ndarray:
 def black_and_white(pixels: pd.Series) -> pd.Series:
     """Pixels as 0 or 255, parted where the variance between both sides is greatest. Null for a picture without pixels."""
     sizes = np.array([0 if v is None else len(v) for v in pixels], int)
-    out = pd.Series([None] * len(pixels), object)
+    out: list[np.ndarray | None] = [None] * len(pixels)
     for size in np.unique(sizes[sizes > 0]):
-        own = sizes == size
-        stack = np.stack(pixels[own].to_list()).astype(np.int64)
-        out[own] = list(np.where(stack > thresholds(stack)[:, None], 255, 0).astype(np.int32))
-    return out
+        own = np.flatnonzero(sizes == size)
+        stack = np.stack([pixels.iloc[i] for i in own]).astype(np.int64)
+        for i, values in zip(own, np.where(stack > thresholds(stack)[:, None], 255, 0).astype(np.int32)):
+            out[i] = values
+    return pd.Series(out, dtype=object)
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,8 +26,9 @@ def valid(vector: Column, dimensions: int) -> Column:
 
 def nearest(rows: DataFrame, vector: str, query: list[float], k: int = 10, ties: str = "vec_id") -> DataFrame:
     """The ``k`` rows most alike a query vector, with ``similarity``; each task keeps ``k`` rows."""
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    found = rows.withColumn("similarity", cosine_similarity(F.col(vector), asked)).where("similarity is not null")
+    asked, length = F.array(*[F.lit(float(x)) for x in query]), math.sqrt(sum(float(x) * float(x) for x in query))
+    alike = F.try_divide(dot(F.col(vector), asked), F.sqrt(dot(F.col(vector), F.col(vector))) * length)
+    found = rows.withColumn("similarity", alike).where("similarity is not null")
     return found.orderBy(F.desc("similarity"), ties).limit(k)
 
 
