@@ -295,6 +295,8 @@ ORACLE_SQL = {
     "replaced_children": "select l_orderkey, count(*) as items, sum(l_quantity) as quantity from (select l_orderkey, l_quantity from lineitem where l_orderkey not in (select l_orderkey from lineitem where l_orderkey % 5 = 0 and l_linenumber = 1) union all select l_orderkey, 0.0 from lineitem where l_orderkey % 5 = 0 and l_linenumber = 1) group by l_orderkey",
     "delete_cascade_count": "select (select count(*) from orders where o_orderstatus = 'F') as deleted, (select count(*) from orders where o_orderstatus <> 'F') as orders_left, (select count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')) as items_left",
     "split_valid": "select case when length(text) < 100 then 'too short' when source in ('src1', 'src2') then 'no page' when lang = 'es' then 'language' end as error, count(*) as \"rows\" from documents where length(text) < 100 or source in ('src1', 'src2') or lang = 'es' group by 1",
+    "crc_check": """with t as (select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)
+select doc_id, lpad(printf('%X', xor(list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda p: ('0x' || p)::bigint), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)), 8, '0') as crc from documents, t""",
     "whitelist_codes": f"""with {CODED_SQL} select o_orderkey from coded where case o_orderkey % 35 when 2 then true when 6 then false
 else code_norm in ('C01G19/04', 'A07F25/00', 'H09J', 'B04F10/02') or (code_norm like '%/%' and split_part(code_norm, '/', 1) in ('E09D15', 'H09J')) end""",
     "whitelist_counts": "with f as (select source in ('src1', 'src3') or (source = 'src2' and lang = 'en') as c, lower(text) like '%license%' or lower(text) like '%stat%' as n from documents) select count(*) filter (c and not n) as code_only, count(*) filter (n and not c) as name_only, count(*) filter (c and n) as both, count(*) filter (not c and not n) as skipped from f",
