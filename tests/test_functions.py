@@ -70,3 +70,17 @@ def test_texts(spark):
     assert one(spark, lambda c: T.duration_text(c.cast("double")), "-1", "0.4", "59.4", "150", "4500", "3600") == [None, "< 1s", "59s", "2m 30s", "1h 15m", "1h"]
     assert one(spark, lambda c: T.transfer_text(c.cast("long"), F.lit(104857600)), "52428800", "0") == ["50.0 MB / 100.0 MB (50%)", "0 B / 100.0 MB (0%)"]
     assert one(spark, T.is_uuid, "0f8fad5b-d9cb-469f-a165-70867728950e", "0F8FAD5B-D9CB-469F-A165-70867728950E", "x", None) == [True, True, False, None]
+
+
+def test_several_values_at_once_as_one_by_one(spark):
+    parents = spark.createDataFrame([(1, "solar cell", None), (2, None, "x"), (3, "urgent", "cell"), (4, "none", None)], "k int, title string, abstract string")
+    names = spark.createDataFrame([(2, "Cell Ltd"), (2, "cells"), (4, None), (9, "cell")], "k int, name string")
+    ipc = spark.createDataFrame([(4, "H01M 10/05", "H01M10/05"), (1, "A", None)], "k int, ipc_code string, code_norm string")
+    values, texts = ["cell", "h01m 10", "zz"], ["title", "abstract"]
+    one = {(r.k, v) for v in values for r in C.default_field(parents, "k", texts, [names], ipc, v).collect()}
+    got = [(r.k, r.asked) for r in C.default_field_each(parents, "k", texts, [names], ipc, values).collect()]
+    assert sorted(got) == sorted(one) and len(one) == 4
+    values = ["c_ll", "m10/", "%"]
+    one = {(r.k, v) for v in values for r in C.free_search(parents, "k", texts, names, ipc, v).collect()}
+    got = [(r.k, r.asked) for r in C.free_search_each(parents, "k", texts, names, ipc, values).collect()]
+    assert sorted(got) == sorted(one) and len(one) == 8

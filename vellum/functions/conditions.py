@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,6 +139,28 @@ def default_field(parents: DataFrame, key: str, texts: list[str], names: list[Da
     return parents.where(hit).drop(*marks, "__code")
 
 
+def _asked(rows: DataFrame, key: str, values: list[str], hit: Callable[[str], Column]) -> DataFrame:
+    """(key, asked): which of the values a row has, a row for each."""
+    return rows.select(key, F.explode(F.array_compact(F.array(*[F.when(hit(v), F.lit(v)) for v in values]))).alias("asked"))
+
+
+def default_field_each(parents: DataFrame, key: str, texts: list[str], names: list[DataFrame], ipc: DataFrame, values: list[str]) -> DataFrame:
+    """``parents`` once for each of several values that :func:`default_field` finds them by, with ``asked``, the value; every table is read once. Parents without a key are left out."""
+    found = _asked(parents, key, values, lambda v: any_contains([F.col(c) for c in texts], v))
+    for children in names:
+        found = found.union(_asked(children, key, values, lambda v: contains(F.col("name"), v)))
+    found = found.union(_asked(ipc, key, values, lambda v: code_contains(F.col("code_norm"), v)))
+    return parents.join(found.distinct(), key)
+
+
+def free_search_each(parents: DataFrame, key: str, texts: list[str], applicants: DataFrame, ipc: DataFrame, values: list[str]) -> DataFrame:
+    """The same of :func:`free_search`."""
+    found = _asked(parents, key, values, lambda v: reduce(lambda a, b: a | b, [contains_raw(F.col(c), v) for c in texts]))
+    found = found.union(_asked(applicants, key, values, lambda v: contains_raw(F.col("name"), v)))
+    found = found.union(_asked(ipc, key, values, lambda v: contains_raw(F.replace(F.col("ipc_code"), F.lit(" "), F.lit("")), re.sub(r"\s+", "", v))))
+    return parents.join(found.distinct(), key)
+
+
 def free_search(parents: DataFrame, key: str, texts: list[str], applicants: DataFrame, ipc: DataFrame, value: str) -> DataFrame:
     """``parents`` that a search box finds: in a text, in an applicant's name (key, name), or in a code as written (key, ipc_code), spaces aside."""
     marked = has_child(parents, applicants, key, contains_raw(F.col("name"), value), "__name")

@@ -46,8 +46,8 @@ def _coded_orders(spark, sf_dir):
 def unescaped_search(spark, sf_dir):
     """The search box: percent and underscore are wildcards; texts, applicants' names, or codes as written without their spaces."""
     orders, names, ipc = _coded_orders(spark, sf_dir)
-    found = [C.free_search(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], names, ipc, v).select("o_orderkey", F.lit(v).alias("asked")) for v in ("1%ent", "_00011", "b02 d 5/")]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    found = C.free_search_each(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], names, ipc, ["1%ent", "_00011", "b02 d 5/"])
+    return found.select("o_orderkey", "asked")
 
 
 def exists_field(spark, sf_dir):
@@ -66,8 +66,8 @@ def not_exists(spark, sf_dir):
 def default_field(spark, sf_dir):
     """A value without a field: texts of the patent, names of its children, or a code with it, normalized, in it."""
     orders, names, ipc = _coded_orders(spark, sf_dir)
-    found = [C.default_field(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], [names], ipc, v).select("o_orderkey", F.lit(v).alias("asked")) for v in ("urgent", "00011", "b02d 5/00", "A01B0010020000")]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    found = C.default_field_each(orders, "o_orderkey", ["o_orderpriority", "o_orderstatus"], [names], ipc, ["urgent", "00011", "b02d 5/00", "A01B0010020000"])
+    return found.select("o_orderkey", "asked")
 
 
 def code_field(spark, sf_dir):
