@@ -35,6 +35,30 @@ def xml_parse(spark, sf_dir):
     return found.select("p_partkey", "doc_number", "kind", "title", "pub_date", "grant_number", "grant_date", "applicant", "embodiment", "claims_text", "claim_count", "independent_claim_count", F.array_join("image_files", ",").alias("images"))
 
 
+def xml_parties(spark, sf_dir):
+    """A document for each part, parsed back into its parties, priorities, citations, abstract and sections."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    s = lambda *x: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in x])
+    key, size = k.cast("string"), F.col("p_size").cast("string")
+    content = s(
+        '<b:PatentDocumentAndRelated xmlns:b="urn:b" docNumber="N', key, '" kind="A" status="C" lang="zh" country="CN" file="', key, '.XML"><b:BibliographicData>',
+        '<b:ApplicationReference applType="10"><b:DocumentID><b:WIPOST3Code>CN</b:WIPOST3Code><b:DocNumber>A', key, "</b:DocNumber><b:Date>20200102</b:Date></b:DocumentID></b:ApplicationReference>",
+        F.when(k % 2 == 0, s('<b:PriorityDetails><b:Priority kind="national" sequence="1"><b:WIPOST3Code>JP</b:WIPOST3Code><b:DocNumber>', key, "-1</b:DocNumber><b:Date>20190303</b:Date></b:Priority><b:Priority/></b:PriorityDetails>")).otherwise(""),
+        "<b:Parties><b:InventorDetails><b:Inventor><b:AddressBook><b:Name>", F.col("p_brand"), "</b:Name></b:AddressBook></b:Inventor><b:Inventor>", F.col("p_type"), "</b:Inventor></b:InventorDetails>",
+        "<b:AgentDetails><b:Agent><b:AddressBook><b:Name>L", key, "</b:Name></b:AddressBook>", F.when(k % 3 > 0, s("<b:Agency><b:AddressBook><b:OrganizationName>Agency ", size, "</b:OrganizationName></b:AddressBook></b:Agency>")).otherwise(""), "</b:Agent></b:AgentDetails></b:Parties>",
+        "<b:AssigneeDetails><b:Assignee><b:AddressBook><b:Name>", F.col("p_type"), "</b:Name></b:AddressBook></b:Assignee></b:AssigneeDetails><b:ExaminerDetails><b:Examiner><b:Name>E", size, "</b:Name></b:Examiner><b:Examiner>second</b:Examiner></b:ExaminerDetails>",
+        F.when(k % 4 == 1, s("<b:ReferencesCited><b:Citation><b:ApplicationCitation><b:PublicationReference><b:DocumentID><b:WIPOST3Code>TW</b:WIPOST3Code><b:DocNumber>", key, "</b:DocNumber><b:Kind>A1</b:Kind><b:Date>20131009</b:Date></b:DocumentID></b:PublicationReference></b:ApplicationCitation></b:Citation><b:Citation/></b:ReferencesCited>")).otherwise(""),
+        "</b:BibliographicData><b:Abstract><b:Paragraphs>", F.col("p_name"), " &lt; ", key, '</b:Paragraphs><b:AbstractFigure><b:Figure><b:Image file="abs', key, '.JPG"/></b:Figure></b:AbstractFigure></b:Abstract>',
+        "<b:Description><b:TechnicalField><b:Paragraphs>of ", F.col("p_name"), '</b:Paragraphs></b:TechnicalField><b:BackgroundArt><b:Part><b:Paragraphs>one</b:Paragraphs></b:Part><b:Paragraphs><b:u k="v">', size, '</b:u><b:u k="w"/></b:Paragraphs></b:BackgroundArt></b:Description></b:PatentDocumentAndRelated>',
+    )
+    found = patent_xml.parsed(p.select("p_partkey", content.alias("content")), keep=("p_partkey",))
+    listed = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), "; ").alias(column)
+    return found.select(
+        "p_partkey", "abstract", "abstract_figure", "app_number", "app_date", "app_country", "app_type", "status", "lang", "source_file", "pub_country", "inventor", "technical_field", "background_art",
+        listed("agents", "agency", "agent"), listed("assignees", "name"), listed("citations", "country", "doc_number", "kind", "pub_date"), listed("priorities", "country", "doc_number", "date", "kind", "sequence"), F.array_join("examiners", ",").alias("examiners"),
+    )
+
+
 def title_lists(spark, sf_dir):
     """Lines of title lists in both layouts; invalid codes are told with their line."""
     rows = coded(spark, sf_dir).select(F.lit("list.txt").alias("file"), F.col("o_orderkey").cast("int").alias("line_no"), F.col("raw_code"), F.col("o_orderpriority"))
@@ -185,7 +209,7 @@ def identifiers(spark, sf_dir):
     return orders.select("o_orderkey", T.is_uuid(F.when(k % 3 == 0, F.upper(made)).when(k % 3 == 1, made).otherwise(F.concat(made, F.lit("0")))).alias("is_uuid"))
 
 
-QUERIES = {f.__name__: f for f in (xml_parse, title_lists, download_plan, archive_groups, split_parts, manifest_lines, no_manifest, image_assets, delete_batch, image_likeness, image_matches, image_order, semantic_search, identifiers)}
+QUERIES = {f.__name__: f for f in (xml_parse, xml_parties, title_lists, download_plan, archive_groups, split_parts, manifest_lines, no_manifest, image_assets, delete_batch, image_likeness, image_matches, image_order, semantic_search, identifiers)}
 
 _CODE = "case when o_orderkey % 50 = 7 then 'A01B0000020000' when o_orderkey % 50 = 8 then ' ' else 'x' end"
 _COS = "list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q))"
@@ -202,6 +226,9 @@ case when p_partkey % 5 < 4 then concat(p_name, chr(10), '[[PATENT_IMAGE:', p_pa
 case when p_partkey % 5 = 4 then concat('c', p_partkey) else concat('一种', p_name, chr(10), '根据权利要求1所述') end as claims_text,
 case when p_partkey % 5 < 4 then 2 end as claim_count, case when p_partkey % 5 < 4 then 1 end as independent_claim_count,
 case when p_partkey % 5 < 4 then concat(p_partkey, '.tif') else '' end as images from part""",
+    "xml_parties": """select p_partkey, concat(p_name, ' < ', p_partkey) as abstract, concat('abs', p_partkey, '.JPG') as abstract_figure, concat('A', p_partkey) as app_number, '2020-01-02' as app_date, 'CN' as app_country, '10' as app_type, 'C' as status, 'zh' as lang, concat(p_partkey, '.XML') as source_file, 'CN' as pub_country,
+concat(p_brand, '; ', p_type) as inventor, concat('of ', p_name) as technical_field, concat('one', chr(10), p_size, ' w') as background_art, concat(case when p_partkey % 3 > 0 then concat('Agency ', p_size, ' ') else '' end, 'L', p_partkey) as agents, p_type as assignees,
+case when p_partkey % 4 = 1 then concat('TW ', p_partkey, ' A1 2013-10-09') else '' end as citations, case when p_partkey % 2 = 0 then concat('JP ', p_partkey, '-1 2019-03-03 national 1') end as priorities, concat('E', p_size, ',second') as examiners from part""",
     "title_lists": f"""with l as (select o_orderkey as k, {_CODE} as code, o_orderkey % 5 as level, o_orderkey % 4 * 2 as sub, o_orderpriority as title from orders where o_orderkey % 50 <> 8),
 r as (select *, case when code = 'A01B0000020000' then 0 when level = 0 then 0 when level < 3 then level when sub = 0 then 3 else 4 end as own, case when code = 'A01B0000020000' then concat('list.txt:', k, ': invalid code') end as error from l),
 u as (select own as level, error, title from r union all select case when k % 2 = 0 then 9 else own end, error, title from r)
