@@ -96,8 +96,13 @@ def state_stream(spark, sf_dir):
     folder = new_folder(spark, "changes")
     changes.repartition(6, F.xxhash64("event_id")).write.parquet(folder)
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(folder)
-    out = new_folder(spark, "states")
-    states.kept(states.states(stream, "user_id", "status", "ts", "event_id"), out, new_folder(spark, "stream")).awaitTermination()
+    out, partitions = new_folder(spark, "states"), spark.conf.get("spark.sql.shuffle.partitions")
+    # each partition of a stream keeps a store of its own, so there are as many as tasks run at once
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(partitions), spark.sparkContext.defaultParallelism))
+    try:
+        states.kept(states.states(stream, "user_id", "status", "ts", "event_id"), out, new_folder(spark, "stream")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     rows = states.last_updates(spark.read.parquet(out), "user_id")
     day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return rows.select("user_id", "status", day("started_at").alias("started_at"), day("completed_at").alias("completed_at"))
