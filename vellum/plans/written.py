@@ -13,6 +13,9 @@ from vellum.shared import new_folder
 from vellum.sources import listing
 from vellum.sources.stores import put
 
+#: Columns of a picture that one JPEG file of it can have the number of.
+STRIPE = 1 << 16
+
 
 def upserted_dictionary(spark, sf_dir):
     """Entries of a dictionary, some of them old, with new ones merged in by code."""
@@ -48,12 +51,16 @@ def failure_report(spark, sf_dir):
 
 
 def jpeg_sizes(spark, sf_dir):
-    """Width and height that files state of which two in three are JPEG."""
+    """Width and height of pictures of which two in three are JPEG.
+
+    A frame has 16 bits for its width. So a picture is two files: one is as wide as there are whole stripes of 65,536 columns, the other as what is left.
+    """
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     four = lambda c: F.lpad(F.hex(c), 4, "0")
-    jpeg = F.concat(F.lit("FFD8FFE000046162FFC0000B08"), four(F.col("p_size")), four(k), F.lit("01011100FFD9"))
-    content = F.unhex(F.when(k % 3 > 0, jpeg).otherwise(F.lit("89504E47")))
-    return p.select("p_partkey", IF.jpeg_size(content).alias("size")).select("p_partkey", "size.*")
+    jpeg = lambda width: F.concat(F.lit("FFD8FFE000046162FFC0000B08"), four(F.col("p_size")), four(width), F.lit("01011100FFD9"))
+    size = lambda width: IF.jpeg_size(F.unhex(F.when(k % 3 > 0, jpeg(width)).otherwise(F.lit("89504E47"))))
+    sizes = p.select("p_partkey", size(F.floor(k / STRIPE)).alias("stripes"), size(k % STRIPE).alias("last"))
+    return sizes.select("p_partkey", (F.col("stripes.width") * STRIPE + F.col("last.width")).alias("width"), "last.height")
 
 
 def text_search(spark, sf_dir):
