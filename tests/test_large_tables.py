@@ -21,3 +21,7 @@ def differences(spark, name, folder, **tables):
 
 def test_pictures_wider_than_a_frame_can_say(spark, tmp_path):
     assert differences(spark, "jpeg_sizes", tmp_path, part=PARTS.format(key="65000 + i * 7", n=300)) == [[], []]
+
+
+def test_transfers_of_over_a_megabyte(spark, tmp_path):
+    assert differences(spark, "size_text", tmp_path, part=PARTS.format(key="1048000 + i * 7", n=300)) == [[], []]

@@ -130,11 +130,13 @@ def split_values(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ";"), trimmed), lambda x: x != "")
 
 
-def size_text(n: Column) -> Column:
-    """Bytes in words: KB and MB with one decimal, GB with two."""
-    out = F.format_string("%.2f GB", n / 1024**3)
-    for power, unit in ((2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024**power)).otherwise(out)
+def size_text(n: Column, largest: str = "GB") -> Column:
+    """Bytes in words: KB and MB with one decimal, GB with two; no unit above ``largest`` is used."""
+    units = [("KB", "%.1f KB"), ("MB", "%.1f MB"), ("GB", "%.2f GB")]
+    units = units[: [unit for unit, _ in units].index(largest) + 1]
+    out = F.format_string(units[-1][1], n / 1024 ** len(units))
+    for power in range(len(units) - 1, 0, -1):
+        out = F.when(n < 1024 ** (power + 1), F.format_string(units[power - 1][1], n / 1024**power)).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
 
@@ -163,10 +165,10 @@ def duration_text(seconds: Column) -> Column:
     return F.when(seconds < 0, None).when(seconds < 1, "< 1s").when(seconds < 60, F.concat(_whole(seconds), F.lit("s"))).when(seconds < 3600, two(minutes, "m", rest, "s")).otherwise(two(hours, "h", left, "m"))
 
 
-def transfer_text(done: Column, total: Column) -> Column:
-    """What is done of a total, with the share; without a total only what is done."""
+def transfer_text(done: Column, total: Column, largest: str = "GB") -> Column:
+    """What is done of a total, with the share; without a total only what is done. No unit above ``largest`` is used."""
     share = F.least(F.floor(done / total * 100 + 0.5), F.lit(100)).cast("string")
-    return F.when(total <= 0, size_text(done)).otherwise(F.concat(size_text(done), F.lit(" / "), size_text(total), F.lit(" ("), share, F.lit("%)")))
+    return F.when(total <= 0, size_text(done, largest)).otherwise(F.concat(size_text(done, largest), F.lit(" / "), size_text(total, largest), F.lit(" ("), share, F.lit("%)")))
 
 
 #: Percentage at which a state begins, and states that go on within their step.
