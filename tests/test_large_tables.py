@@ -25,3 +25,10 @@ def test_pictures_wider_than_a_frame_can_say(spark, tmp_path):
 
 def test_transfers_of_over_a_megabyte(spark, tmp_path):
     assert differences(spark, "size_text", tmp_path, part=PARTS.format(key="1048000 + i * 7", n=300)) == [[], []]
+
+
+def test_disclosures_find_marks_once_a_row(spark, tmp_path):
+    assert differences(spark, "disclosure", tmp_path, part=PARTS.format(key="i", n=210)) == [[], []]
+    plan = queries()["disclosure"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    # three results at most name the marks, and rows are dealt out before
+    assert plan.count("rlike") + plan.count("RLIKE") <= 9 and "RepartitionByExpression" in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,18 @@ def disclosure_parts(paragraphs: Column) -> tuple[Column, Column, Column]:
     Of marks in one paragraph the last of problem, solution, effect counts. Without a problem's mark, what stands before the
     solution is the problem. Null where there is none.
     """
-    marks = [first_match(paragraphs, p) for p in (PROBLEM, SOLUTION, EFFECT)]
+    found = F.struct(paragraphs.alias("all"), *[first_match(paragraphs, p).alias(f"at{i}") for i, p in enumerate((PROBLEM, SOLUTION, EFFECT))])
+    parts = bound(found, lambda f: F.struct(*[x.alias(f"part{i}") for i, x in enumerate(_cut(f["all"], [f[f"at{i}"] for i in range(3)]))]))
+    return parts["part0"], parts["part1"], parts["part2"]
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _cut(paragraphs: Column, marks: list[Column]) -> tuple[Column, Column, Column]:
+    """The parts from the places of their marks; marks and paragraphs are at hand."""
     last = F.size(paragraphs) + 1
 
     def part(first: Column, end: Column) -> Column:

@@ -11,7 +11,7 @@ from vellum.operators import classification as C
 from vellum.operators import images as I
 from vellum.operators import listing as L
 from vellum.operators import merge as M
-from vellum.plans.tables import CODED_SQL, dictionary, table
+from vellum.plans.tables import CODED_SQL, dealt, dictionary, table
 
 
 def batch_changes(spark, sf_dir):
@@ -106,8 +106,8 @@ def disclosure(spark, sf_dir):
         F.when(k % 7 != 3, F.col("p_name")), F.when(k % 2 == 0, F.concat(F.lit("本发明所要解决的技术问题 "), "p_type")), F.when(k % 5 == 4, F.lit("与现有技术相比，早")),
         F.when(k % 3 > 0, F.concat(F.lit("采用如下技术方案 "), "p_type")), F.col("p_brand"), F.when(k % 5 < 3, F.lit("具有以下有益效果")),
     ))
-    problem, solution, effect = P.disclosure_parts(lines)
-    return parts.select("p_partkey", problem.alias("problem"), solution.alias("solution"), effect.alias("effect"))
+    problem, solution, effect = P.disclosure_parts(F.col("lines"))
+    return dealt(parts.select("p_partkey", lines.alias("lines")), "p_partkey").select("p_partkey", problem.alias("problem"), solution.alias("solution"), effect.alias("effect"))
 
 
 def markers(spark, sf_dir):

@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out to the tasks that run at once: a table of few bytes is read by one, however much is made of its rows."""
+    return rows.repartition(key)
+
+
 def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as patents: the first line is the title, the whole the abstract."""
     docs = table(spark, sf_dir, "documents")
