@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions import conditions as C
@@ -52,3 +53,13 @@ def test_rare_values_read_few_blocks(spark, tmp_path, monkeypatch):
 def test_fragments():
     assert X.fragments(r"%a\%b%c_d\\%") == ["a%b", "c", "d\\"] and X.fragments("%%") == []
     assert len(X.trigrams("abcabc")) == 3 and X.trigrams("ab") == set()
+
+
+def test_trigrams_are_made_of_bounded_slices(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["", "ab", *("".join(rng.choice(list("abcß語😀"), n)) for n in (3, 4, 5, 40, 2, 9, 300)), ""]
+    want = sorted((g, i) for i, t in enumerate(texts) for g in X.trigrams(t))
+    for size in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(X, "SLICE", size)
+        assert sorted(zip(*(x.tolist() for x in X._grams(texts)))) == want
+    assert X._grams([])[0].tolist() == X._grams(["a", "b"])[0].tolist() == []

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, on average, and blocks at most; partitions of postings at most, and rows for each; files of a partition.
 BLOCK_ROWS, BLOCKS, PARTS, PART_ROWS, FILES = 2048, 8192, 1024, 1 << 16, 4
+#: Code points of texts that trigrams are made of at once.
+SLICE = 1 << 20
 #: Trigrams that are intersected; share of rows beyond which a scan is no dearer.
 RAREST, SCANNED = 3, 0.25
 
@@ -70,30 +72,50 @@ def part_of(gram: str, parts: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(parts)).cast("int")
 
 
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of texts, each once a text, and the places of the texts; texts are read ``SLICE`` code points at a time."""
+    whole, length = "".join(texts), np.array([len(x) for x in texts])
+    owner_ends, found = np.cumsum(length), []
+    for at in range(0, max(1, len(whole) - 2), SLICE):
+        code = np.frombuffer(whole[at : at + SLICE + 2].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        gram = code[:-2] | code[1:-1] << 21 | code[2:] << 42
+        first, last = (np.searchsorted(owner_ends, at + i + np.arange(len(gram)), "right") for i in (0, 2))
+        gram, row = gram[first == last], first[first == last]
+        found.append(_once(gram, row))
+    gram, row = (np.concatenate(x) for x in zip(*found))
+    return (gram, row) if len(found) == 1 else _once(gram, row)
+
+
+def _once(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((row, gram))
+    gram, row = gram[order], row[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
+    return gram[new], row[new]
+
+
 def _postings(rows: DataFrame, column: str) -> DataFrame:
-    """(gram, block, places): the rows of a block that have a trigram, an Arrow batch at a time."""
+    """(gram, block, places): the rows of a block that have a trigram, some ``SLICE`` code points at a time."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            text = batch.column(2)
-            length = pc.utf8_length(text).to_numpy()
-            code = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
-            if len(code) < 3:
-                continue
-            owner = np.repeat(np.arange(len(length)), length)
-            gram, row = code[:-2] | code[1:-1] << 21 | code[2:] << 42, owner[:-2]
-            gram, row = gram[row == owner[2:]], row[row == owner[2:]]
-            block, place = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
-            order = np.lexsort((place[row], block[row], gram))
-            gram, row = gram[order], row[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])
-            gram, row = gram[new], row[new]
-            head = np.ones(len(gram), bool)
-            head[1:] = (gram[1:] != gram[:-1]) | (block[row[1:]] != block[row[:-1]])
-            first = np.flatnonzero(head)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(place[row].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(block[row[first]].astype(np.int32)), lists], ["gram", "block", "places"])
+            text, block, place = batch.column(2), *(batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            ends = np.cumsum(pc.utf8_length(text).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < len(ends):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+                gram, row = _grams(text.slice(at, to - at).to_pylist())
+                block_of, place_of = block[at:to][row], place[at:to][row]
+                at = to
+                if not len(gram):
+                    continue
+                order = np.lexsort((place_of, block_of, gram))
+                gram, block_of, place_of = gram[order], block_of[order], place_of[order]
+                head = np.ones(len(gram), bool)
+                head[1:] = (gram[1:] != gram[:-1]) | (block_of[1:] != block_of[:-1])
+                first = np.flatnonzero(head)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(gram)).astype(np.int32)), pa.array(place_of.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(block_of[first].astype(np.int32)), lists], ["gram", "block", "places"])
 
     texts = rows.select("block", "place", F.lower(F.col(f"`{column}`").cast("string")).alias("text")).where("text is not null")
     return texts.mapInArrow(batches, _POSTINGS)
