@@ -32,3 +32,11 @@ def test_disclosures_find_marks_once_a_row(spark, tmp_path):
     plan = queries()["disclosure"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     # three results at most name the marks, and rows are dealt out before
     assert plan.count("rlike") + plan.count("RLIKE") <= 9 and "RepartitionByExpression" in plan
+
+
+def test_codes_are_parsed_once_they_are_distinct(spark, tmp_path):
+    orders = "select i::bigint as o_orderkey, i::bigint as o_custkey, ['1-URGENT', '5-LOW'][i % 2 + 1] as o_orderpriority, timestamp '2020-01-01' as o_orderdate from range(5000) t(i)"
+    assert differences(spark, "class_tree_children", tmp_path, orders=orders) == [[], []]
+    plan = queries()["class_tree_children"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp" not in below.lower() for below in plan.split("Aggregate [raw_code#")[1:] if "Aggregate" not in below)
+    assert "regexp" in plan

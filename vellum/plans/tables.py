@@ -52,6 +52,8 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.functions.codes import normalized
     from vellum.operators.classification import entries
 
-    # codes are made distinct first, so that the parts of each are found once
-    norm = coded(spark, sf_dir).groupBy(normalized(F.col("raw_code")).alias("code_norm")).agg(F.min("o_orderpriority").alias("title_en"))
+    # raw codes are made distinct first, so that each is parsed once; as a maximum a code is known behind the aggregate only, so filters on it stay there
+    pairs = coded(spark, sf_dir).select("raw_code", "o_orderpriority").distinct()
+    raw = pairs.groupBy("raw_code").agg(F.max("raw_code").alias("code"), F.min("o_orderpriority").alias("title_en"))
+    norm = raw.groupBy(normalized(F.col("code")).alias("code_norm")).agg(F.min("title_en").alias("title_en"))
     return entries(norm, None, "title_en")
