@@ -38,5 +38,5 @@ def test_codes_are_parsed_once_they_are_distinct(spark, tmp_path):
     orders = "select i::bigint as o_orderkey, i::bigint as o_custkey, ['1-URGENT', '5-LOW'][i % 2 + 1] as o_orderpriority, timestamp '2020-01-01' as o_orderdate from range(5000) t(i)"
     assert differences(spark, "class_tree_children", tmp_path, orders=orders) == [[], []]
     plan = queries()["class_tree_children"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
-    assert all("regexp" not in below.lower() for below in plan.split("Aggregate [raw_code#")[1:] if "Aggregate" not in below)
-    assert "regexp" in plan
+    below = [part.rpartition("Aggregate")[2].partition("\n")[2] for part in plan.split("Relation")[:-1]]  # between each table and the first aggregate
+    assert below and all("regexp" not in part and "rlike" not in part.lower() for part in below) and "regexp" in plan
