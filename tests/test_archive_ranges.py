@@ -142,3 +142,21 @@ def test_damage_is_told_where_it_is(spark, tmp_path):
     assert {a for a, _, _ in errors} == {"one.zip", "lost.zip", "short.zip", "bad.zip", "empty.zip", "other.zip", "cut.zip.gz"}
     assert [r[1] for r in got if r[0] == "one.zip"] == ["0.xml", "1.xml", "3.xml", "4.xml", "5.xml"]
     assert ("other.zip", "\u00e9.xml", b"<c/>") in got and ("latin.zip", "\u00e9.xml", b"<d/>") in got
+
+
+def test_chunks_are_unpacked_one_at_a_time():
+    import pyarrow as pa
+
+    from vellum.sources import archive_ranges as A
+
+    class Batch:
+        """Cannot be made objects of whole."""
+
+        rows = pa.RecordBatch.from_pylist([{"zip_name": x, "error": "no"} for x in "ab"])
+        num_rows = 2
+
+        def slice(self, at, n):
+            assert n == 1
+            return self.rows.slice(at, n)
+
+    assert list(A._read([Batch()], (".xml",))) == [("a", None, None, "no"), ("b", None, None, "no")]
