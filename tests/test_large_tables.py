@@ -40,3 +40,8 @@ def test_codes_are_parsed_once_they_are_distinct(spark, tmp_path):
     plan = queries()["class_tree_children"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     below = [part.rpartition("Aggregate")[2].partition("\n")[2] for part in plan.split("Relation")[:-1]]  # between each table and the first aggregate
     assert below and all("regexp" not in part and "rlike" not in part.lower() for part in below) and "regexp" in plan
+
+
+def test_pictures_are_dealt_out_to_all_tasks(spark, tmp_path):
+    assert differences(spark, "image_likeness", tmp_path, part=PARTS.format(key="i", n=100)) == [[], []]
+    assert spark.read.parquet(f"{tmp_path}/found").selectExpr("input_file_name() as f").distinct().count() == 4

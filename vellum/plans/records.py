@@ -12,7 +12,7 @@ from vellum.operators import images as IM
 from vellum.operators import integrity as I
 from vellum.operators import vectors as V
 from vellum.operators import writes as W
-from vellum.plans.tables import coded, table
+from vellum.plans.tables import coded, dealt, table
 from vellum.sources import listing, patent_xml, titles
 
 
@@ -142,7 +142,7 @@ def delete_batch(spark, sf_dir):
 
 def image_likeness(spark, sf_dir):
     """Neighbouring pictures' likeness by difference hash, by pixels and by structure."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    p = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")), "k")
     pixel = lambda n, move, most: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: ((i * 37 + F.floor(i / 5) * (F.col("k") + move) * 11) % most).cast("int"))
     black = lambda move: F.transform(pixel(64, move, 256), lambda v: F.when(v > 100, 255).otherwise(0))
     # pixels are columns of their own, so that no expression makes them anew for each place it looks at

@@ -12,7 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """The rows dealt out to the tasks that run at once: a table of few bytes is read by one, however much is made of its rows."""
-    return rows.repartition(key)
+    spark = rows.sparkSession
+    # a given number, as small rows would be put together in one task again
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
 def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
