@@ -66,3 +66,9 @@ def test_each_record_once_whatever_ends_a_run(spark, tmp_path):
     assert found(K.process(archives(b=2), parse, root, options="no images")) == ["b2", "b3"] and seen[-1] == ["b"]
     assert {r.name: r.records for r in K.checkpoints(archives(a=9, b=2, c=1), root).collect()} == {"a": 0, "b": 2, "c": 0}
     assert K.records(archives(a=1), str(tmp_path / "new")) is None
+
+
+def test_a_stream_without_timers_is_an_aggregate(spark, tmp_path):
+    stream = spark.readStream.schema(CHANGE).parquet(str(tmp_path))
+    plan = S.states(stream, "k", "status", "ts", "id")._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan

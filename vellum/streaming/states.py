@@ -75,8 +75,13 @@ def states(changes: DataFrame, key: str, status: str, time: str, ties: str, stal
         micros = spark.range(1).select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {stale}"))).alias("n")).first().n
     else:
         rows = rows.select(*columns)
-    kind = rows.schema["key"].dataType.simpleString()
-    found = rows.groupBy("key").transformWithStateInPandas(_Changes(micros), f"key {kind}, status string, started long, ended long, stale boolean", "Update", "None" if stale is None else "EventTime")
+    if stale is None:  # without timers, what is kept is an aggregate
+        last = rows.groupBy("key").agg(F.max(F.struct("at", "tie", "status")).alias("last"), F.min(F.when(F.col("status") != "pending", F.col("at"))).alias("started"))
+        ended = F.when(F.col("last.status").isin(*ENDED), F.col("last.at"))
+        found = last.select("key", "last.status", "started", ended.alias("ended"), F.lit(False).alias("stale"))
+    else:
+        kind = rows.schema["key"].dataType.simpleString()
+        found = rows.groupBy("key").transformWithStateInPandas(_Changes(micros), f"key {kind}, status string, started long, ended long, stale boolean", "Update", "EventTime")
     moment = lambda c: F.timestamp_micros(c).cast(changes.schema[time].dataType)
     return found.select(F.col("key").alias(key), "status", moment("started").alias("started_at"), moment("ended").alias("completed_at"), "stale")
 
