@@ -133,3 +133,14 @@ def test_query_finds_the_turned_figures(spark):
     assert all(r.canonical_file_name == "same.TIF" and r.match_score == 1 for r in figures if r.patent % 5 == 0)
     turned = [r for r in matched if r.canonical_file_name == "turned.TIF"]
     assert turned and all(r.match_score > 0.99 for r in turned)
+
+
+def test_a_turned_picture_has_the_features_of_the_picture_turned():
+    rng = np.random.default_rng(3)
+    for shape in ((3, 40, 27), (3, 5, 133), (3, 150, 141)):
+        stack = np.where(rng.random(shape) < 0.1, rng.integers(0, 256, shape), 255).astype(np.uint8)
+        stack[0] = 255
+        found = M.turned_features(stack)
+        for i, rotation in enumerate(M.ROTATIONS):
+            turned = M.features(np.ascontiguousarray(np.rot90(stack, -rotation // 90, axes=(1, 2))))
+            assert all((part[:, i].reshape(3, -1) == own.reshape(3, -1)).all() for part, own in zip(found, turned))

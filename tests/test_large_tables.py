@@ -45,3 +45,13 @@ def test_codes_are_parsed_once_they_are_distinct(spark, tmp_path):
 def test_pictures_are_dealt_out_to_all_tasks(spark, tmp_path):
     assert differences(spark, "image_likeness", tmp_path, part=PARTS.format(key="i", n=100)) == [[], []]
     assert spark.read.parquet(f"{tmp_path}/found").selectExpr("input_file_name() as f").distinct().count() == 4
+
+
+def test_pictures_are_made_by_all_tasks_and_met_once(spark, tmp_path):
+    duckdb.execute(f"copy ({PARTS.format(key='i', n=40)}) to '{tmp_path}/part.parquet' (format parquet)")
+    found = queries()["image_matches"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # once for the matches and once for what is shown, each time by rows that are dealt out
+    assert plan.count("MapInPandas") == plan.count("RepartitionByExpression") == 2 and plan.count("MapInArrow") == 1
+    figures = found.where("file_name = 'figure.TIF'").collect()
+    assert len(figures) == 40 and all((r.canonical_file_name == "same.TIF") == (r.patent % 5 == 0) for r in figures)

@@ -1,10 +1,11 @@
 """The drawing that shows the same as the figure of a patent's abstract, by pictures given as gray pixels.
 
-1. A picture is cropped to what is darker than white, with a margin, in four rotations. Area means of the crop give a difference hash and a
-   frequency hash, and a picture of 128 by 128 in black and white. All pictures of a batch that have the same size are one array,
-   and crop and mean are one product with matrices of weights, so the time is linear in pixels.
-2. The figure and each drawing of its patent are compared by bits only: the five best by both hashes go on, and of these the
-   best by hashes, pixels and structure counts if it reaches 0.75. Bits are longs, so this stays in DataFrame functions.
+1. A picture is cropped to what is darker than white, with a margin. Area means of the crop give a difference hash and a frequency hash,
+   and a picture of 128 by 128 in black and white, in four rotations. Means are taken once, as those of a turned picture are the means turned.
+   Pictures of the same size are one array, and crop and mean are one product with matrices of weights, so the time is linear in pixels.
+2. The images of a patent meet once, by a window that gives each drawing the figure; a task takes the features of both and hands on in how many bits
+   they differ or agree, so neither pixels nor bits are shuffled again. The five best by both hashes go on, and of these the best by hashes, pixels
+   and structure counts if it reaches 0.75.
 
 A drawing of equal content is the match, of several the first, with score 1 and no rotation. A patent without a figure or without drawings has no
 match. A picture without pixels, or with fewer than its size says, takes part by its content only; a picture that is white all over is not
@@ -29,11 +30,11 @@ from vellum.operators.image_features import BINARY_SIDE, C1, C2, DHASH_WIDTH, HA
 WHITE, MARGIN, ROTATIONS, BEST, WEIGHTS, LEAST = 245, 2, (0, 90, 180, 270), 5, (0.2, 0.5, 0.3), 0.75
 #: Bits of the hashes, pixels of the black and white picture.
 DHASH_BITS, PHASH_BITS, PIXELS = 256, 63, BINARY_SIDE * BINARY_SIDE
-#: Bytes of pixels of one array.
-STACKED = 16 << 20
+#: Numbers in one array of pictures, and pairs of pictures that are compared at a time: arrays stay within a core's cache.
+STACKED, AT_ONCE = 1 << 17, 256
 
 _WAVES = np.cos((2 * np.arange(HASH_SIDE)[None, :] + 1) * np.arange(8)[:, None] * np.pi / (2 * HASH_SIDE))
-_FEATURES = "dhash array<long>, phash long, pixels array<long>"
+_COUNTS = ("rotation", "dhash", "phash", "figure_ones", "ones", "both")
 
 
 def crops(pictures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,15 +54,34 @@ def area_weights(first: np.ndarray, last: np.ndarray, n: int, side: int) -> np.n
     """(pictures, side, n): the share that each of ``n`` pixels has in the mean of each of ``side`` equal parts of first..last."""
     length = (last - first + 1)[:, None] / side
     low = first[:, None] + np.arange(side) * length
-    pixel = np.arange(n)
-    shared = np.minimum((low + length)[:, :, None], pixel + 1) - np.maximum(low[:, :, None], pixel)
-    return np.clip(shared, 0, None) / length[:, :, None]
+    pixel = np.arange(n, dtype=float)
+    shared = np.minimum((low + length)[:, :, None], pixel + 1)
+    shared -= np.maximum(low[:, :, None], pixel)
+    np.maximum(shared, 0, out=shared)
+    shared /= length[:, :, None]
+    return shared
 
 
-def resized(pictures: np.ndarray, crop: tuple, width: int, height: int) -> np.ndarray:
-    """The crops of pictures as area means of ``width`` by ``height``, rounded."""
-    rows, columns = area_weights(crop[0], crop[1], pictures.shape[1], height), area_weights(crop[2], crop[3], pictures.shape[2], width)
-    return np.floor(rows @ pictures @ columns.transpose(0, 2, 1) + 0.5 + 1e-9).astype(np.int64)
+def rounded(means: np.ndarray) -> np.ndarray:
+    """Means of pixels as pixels."""
+    means += 0.5 + 1e-9
+    return means.astype(np.uint8)
+
+
+def resized(pictures: np.ndarray, lying: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The crops of pictures as rounded area means of 128 by 128 and 16 by 16, of 17 by 16 and, if ``lying``, of 16 by 17.
+
+    A mean of 16 equal parts is one of eight means of 128.
+    """
+    crop, pictures = crops(pictures), pictures.astype(float)
+    few = lambda x, axis: x.reshape(*x.shape[:axis], HASH_SIDE, -1, *x.shape[axis + 1 :]).mean(axis=axis + 1)
+    weights = lambda axis, side: area_weights(*crop[2 * axis - 2 : 2 * axis], pictures.shape[axis], side)
+    columns = weights(2, BINARY_SIDE)
+    rows = weights(1, BINARY_SIDE) @ pictures
+    large = rows @ columns.transpose(0, 2, 1)
+    square, upright = few(few(large, 1), 2), few(rows, 1) @ weights(2, DHASH_WIDTH).transpose(0, 2, 1)
+    turned = rounded(weights(1, DHASH_WIDTH) @ pictures @ few(columns, 1).transpose(0, 2, 1)) if lying else None
+    return rounded(large), rounded(square), rounded(upright), turned
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -69,58 +89,84 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
-def features(pictures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Difference hash, frequency hash and black and white pixels of pictures of one size, as bits in longs."""
-    crop, pictures = crops(pictures), pictures.astype(float)
-    small = resized(pictures, crop, DHASH_WIDTH, HASH_SIDE)
-    dhash = (small[:, :, :-1] > small[:, :, 1:]).reshape(len(pictures), -1)
-    low = (_WAVES @ resized(pictures, crop, HASH_SIDE, HASH_SIDE) @ _WAVES.T).reshape(len(pictures), -1)[:, 1:]
-    phash = np.zeros((len(pictures), 64), bool)
-    phash[:, :PHASH_BITS] = low > np.sort(low, axis=1)[:, PHASH_BITS // 2, None]
-    large = resized(pictures, crop, BINARY_SIDE, BINARY_SIDE).reshape(len(pictures), -1)
-    return packed(dhash), packed(phash)[:, 0], packed(large > thresholds(large)[:, None])
+def turned_features(pictures: np.ndarray, rotations: tuple[int, ...] = ROTATIONS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Difference hash, frequency hash and black and white pixels of pictures of one size, as bits in longs, for each rotation."""
+    n = len(pictures)
+    # a turned picture's 17 columns are 17 rows of the picture
+    large, square, upright, lying = resized(pictures, any(r % 180 for r in rotations))
+    light = large > thresholds(large.reshape(n, -1))[:, None, None]
+    found = []
+    for rotation in rotations:
+        small, own, black = (np.ascontiguousarray(np.rot90(x, -rotation // 90, axes=(1, 2))) for x in (lying if rotation % 180 else upright, square, light))
+        low = (_WAVES @ own @ _WAVES.T).reshape(n, -1)[:, 1:]
+        phash = np.zeros((n, 64), bool)
+        phash[:, :PHASH_BITS] = low > np.sort(low, axis=1)[:, PHASH_BITS // 2, None]
+        found.append((packed((small[:, :, :-1] > small[:, :, 1:]).reshape(n, -1)), packed(phash), packed(black.reshape(n, -1))))
+    return tuple(np.stack(x, axis=1) for x in zip(*found))
 
 
-def with_features(images: DataFrame, rotations: tuple[int, ...] = ROTATIONS) -> DataFrame:
-    """The rows of (width, height, pixels) ``images`` whose pixels fit their size, once for each rotation, with their features in place of the pixels."""
-    others = [c for c in images.columns if c != "pixels"]
-    sizes = [others.index(c) for c in ("width", "height")]
+def features(pictures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Difference hash, frequency hash and black and white pixels of pictures of one size, as bits in longs."""
+    dhash, phash, black = turned_features(pictures, ROTATIONS[:1])
+    return dhash[:, 0], phash[:, 0, 0], black[:, 0]
+
+
+def fitting(width: pa.Array, height: pa.Array, pixels: pa.Array) -> np.ndarray:
+    """Which pictures have as many pixels as their size says."""
+    width, height, length = (c.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (width, height, pc.binary_length(pixels)))
+    return (length == width * height) & (length > 0)
+
+
+def distinct_features(width: pa.Array, height: pa.Array, pixels: pa.Array, rotations: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Features of the pictures, which fit their sizes; of equal ones they are taken once."""
+    shapes = np.stack([c.to_numpy(zero_copy_only=False) for c in (height, width, pixels.dictionary_encode().indices)])
+    _, at, places = np.unique(shapes, axis=1, return_index=True, return_inverse=True)
+    out = [np.empty((len(at), len(rotations), n), "<i8") for n in (DHASH_BITS // 64, 1, PIXELS // 64)]
+    for h, w in sorted({(int(h), int(w)) for h, w in shapes[:2, at].T}):
+        own = np.flatnonzero((shapes[0, at] == h) & (shapes[1, at] == w))
+        step = max(1, STACKED // max(h * w, PIXELS))
+        for some in (own[i : i + step] for i in range(0, len(own), step)):
+            stack = np.stack([np.frombuffer(pixels[int(i)].as_buffer(), np.uint8).reshape(h, w) for i in at[some]])
+            for whole, part in zip(out, turned_features(stack, rotations)):
+                whole[some] = part
+    return tuple(x[places.reshape(-1)] for x in out)
+
+
+def compared(pairs: DataFrame, rotations: tuple[int, ...] = ROTATIONS) -> DataFrame:
+    """The rows of pairs of pictures, (width, height, pixels) and (figure_width, figure_height, figure_pixels), once for each rotation of the first, with counts
+    in place of the pictures: bits in which both hashes differ, light pixels of the figure, of the other, and of both. A pair of which one does not fit
+    its size is one row without counts."""
+    pictures = [f"{of}{c}" for of in ("", "figure_") for c in ("width", "height", "pixels")]
+    others = [c for c in pairs.columns if c not in pictures]
+
+    def counts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kept = batch.select(others)
+        first, figure = ([batch.column(c) for c in side] for side in (pictures[:3], pictures[3:]))
+        fits = fitting(*first) & fitting(*figure)
+        missing = pa.array(np.flatnonzero(~fits))
+        if len(missing):
+            yield pa.RecordBatch.from_arrays([*kept.take(missing).columns, *[pa.nulls(len(missing), pa.int32())] * len(_COUNTS)], [*others, *_COUNTS])
+        if fits.any():
+            some = pa.array(np.flatnonzero(fits))
+            a_dhash, a_phash, a_black = distinct_features(*[c.take(some) for c in figure], rotations=ROTATIONS[:1])
+            dhash, phash, black = distinct_features(*[c.take(some) for c in first], rotations=rotations)
+            ones = lambda bits: np.bitwise_count(bits.view("<u8")).sum(axis=2, dtype=np.int32)
+            found = [np.broadcast_to(np.array(rotations, np.int32), phash.shape[:2]), ones(dhash ^ a_dhash), ones(phash ^ a_phash), np.broadcast_to(ones(a_black), phash.shape[:2]), ones(black), ones(black & a_black)]
+            again = kept.take(pa.array(np.repeat(np.flatnonzero(fits), len(rotations))))
+            yield pa.RecordBatch.from_arrays([*again.columns, *[pa.array(x.reshape(-1)) for x in found]], [*others, *_COUNTS])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            width, height = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in sizes)
-            pixels = batch.column(len(others))
-            # a picture whose pixels do not fit its size has no features
-            length = pc.binary_length(pixels).fill_null(-1).to_numpy(zero_copy_only=False)
-            fits = np.flatnonzero((length == width.astype(np.int64) * height) & (length > 0))
-            for shape in sorted({(height[i], width[i]) for i in fits}):
-                own = fits[(height[fits] == shape[0]) & (width[fits] == shape[1])]
-                step = max(1, STACKED // int(shape[0] * shape[1]))
-                for at in range(0, len(own), step):
-                    some = own[at : at + step]
-                    stack = np.stack([np.frombuffer(pixels[int(i)].as_buffer(), np.uint8).reshape(shape) for i in some])
-                    kept = [c.take(pa.array(some)) for c in batch.columns[: len(others)]]
-                    for rotation in rotations:
-                        dhash, phash, black = features(np.rot90(stack, -rotation // 90, axes=(1, 2)))
-                        lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (dhash, black)]
-                        columns = [*kept, pa.array(np.full(len(some), rotation, np.int32)), lists[0], pa.array(phash), lists[1]]
-                        yield pa.RecordBatch.from_arrays(columns, [*others, "rotation", "dhash", "phash", "pixels"])
-
-    kinds = ", ".join(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in others)
-    return images.select(*others, "pixels").mapInArrow(batches, f"{kinds}, rotation int, {_FEATURES}")
-
-
-def _ones(bits: Column) -> Column:
-    return F.aggregate(bits, F.lit(0), lambda n, x: n + F.bit_count(x))
-
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield from counts(batch.slice(at, AT_ONCE))
 
-def _both(a: Column, b: Column, how: str) -> Column:
-    return _ones(F.zip_with(a, b, lambda x, y: getattr(x, how)(y)))
+    kinds = [f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in others] + [f"{c} int" for c in _COUNTS]
+    return pairs.select(*others, *pictures).mapInArrow(batches, ", ".join(kinds))
 
 
-def hash_score(a_dhash: Column, b_dhash: Column, a_phash: Column, b_phash: Column) -> Column:
-    """Likeness of two pictures by their hashes."""
-    return 1 - (_both(a_dhash, b_dhash, "bitwiseXOR") / DHASH_BITS + F.bit_count(a_phash.bitwiseXOR(b_phash)) / PHASH_BITS) / 2
+def hash_score(dhash: Column, phash: Column) -> Column:
+    """Likeness of two pictures by the numbers of bits in which their hashes differ."""
+    return 1 - (dhash / DHASH_BITS + phash / PHASH_BITS) / 2
 
 
 def structure_score(hashes: Column, a_ones: Column, b_ones: Column, both: Column, n: int = PIXELS) -> Column:
@@ -139,23 +185,26 @@ def matches(images: DataFrame, key: str = "patent") -> DataFrame:
     ``images`` has key, place (the order of drawings), file_name, is_abstract, content_hash, width, height and pixels, a byte each, row by row; of several
     figures of a patent the first counts. Drawings of the figure's own name are left out.
     """
-    columns = [key, "place", "file_name", "content_hash", "width", "height", "pixels"]
-    figures = images.where("is_abstract").groupBy(key).agg(F.min_by(F.struct(*columns[1:]), F.struct("place", "file_name")).alias("figure")).select(key, "figure.*")
-    drawings = images.where("not is_abstract").select(*columns)
-    named = figures.select(key, image_key(F.col("file_name")).alias("figure_key"), F.col("file_name").alias("abstract_file_name"), F.col("content_hash").alias("figure_hash"))
-    drawings = drawings.join(named, key).where(image_key(F.col("file_name")) != F.col("figure_key"))
-    same = drawings.where("content_hash = figure_hash").groupBy(key, "abstract_file_name").agg(F.min_by("file_name", F.struct("place", "file_name")).alias("drawing_file_name"))
-    same = same.select(key, "abstract_file_name", "drawing_file_name", F.lit(0).alias("rotation"), F.lit("sha256").alias("method"), F.lit(1.0).alias("score"))
-    figure = with_features(figures.join(same.select(key), key, "left_anti").select(key, "width", "height", "pixels"), ROTATIONS[:1])
-    figure = figure.select(key, *[F.col(c).alias(f"a_{c}") for c in ("dhash", "phash", "pixels")], _ones(F.col("pixels")).alias("a_ones"))
-    turned = with_features(drawings.join(same.select(key), key, "left_anti").select(key, "place", "file_name", "abstract_file_name", "width", "height", "pixels"))
-    pairs = turned.join(figure, key).withColumn("hashes", hash_score(F.col("a_dhash"), F.col("dhash"), F.col("a_phash"), F.col("phash")))
-    order = [F.asc("place"), F.asc("file_name"), F.asc("rotation")]
-    some = pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("hashes"), *order))).where(F.col("rank") <= BEST)
-    score = structure_score(F.col("hashes"), F.col("a_ones"), _ones(F.col("pixels")), _both(F.col("a_pixels"), F.col("pixels"), "bitwiseAND"))
-    best = some.withColumn("score", score).groupBy(key, "abstract_file_name").agg(F.min_by(F.struct("file_name", "rotation", "score"), F.struct((-F.col("score")).alias("score"), "rank")).alias("best"))
-    found = best.where(F.col("best.score") >= LEAST).select(key, "abstract_file_name", F.col("best.file_name").alias("drawing_file_name"), "best.rotation", F.lit("hash-top5-binary-structure").alias("method"), "best.score")
-    return same.unionByName(found)
+    own, place = W.partitionBy(key), F.struct("place", "file_name")
+    rows = images.where(F.col(key).isNotNull()).select(key, "place", "file_name", "is_abstract", "content_hash", "width", "height", "pixels")
+    rows = rows.withColumn("figure", F.min_by(F.struct("file_name", "content_hash", "width", "height", "pixels"), F.when(F.col("is_abstract"), place)).over(own))
+    rows = rows.where("not is_abstract").where(image_key(F.col("file_name")) != image_key(F.col("figure.file_name")))
+    rows = rows.withColumn("same", F.min_by("file_name", F.when(F.col("content_hash") == F.col("figure.content_hash"), place)).over(own))
+    # where a drawing is of equal content, no pictures are compared
+    some = [F.when(F.col("same").isNull(), F.col(c)).alias(c.replace(".", "_")) for c in ("width", "height", "pixels", "figure.width", "figure.height", "figure.pixels")]
+    pairs = compared(rows.select(key, "place", "file_name", "same", F.col("figure.file_name").alias("abstract_file_name"), *some))
+    pairs = pairs.withColumn("hashes", hash_score(F.col("dhash"), F.col("phash")))
+    order = [F.desc("hashes"), F.asc("place"), F.asc("file_name"), F.asc("rotation")]
+    few = pairs.withColumn("rank", F.row_number().over(own.orderBy(*order))).where(F.col("rank") <= BEST)
+    few = few.withColumn("score", structure_score(*[F.col(c) for c in ("hashes", "figure_ones", "ones", "both")]))
+    first = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("score"), "rank"))
+    best = few.groupBy(key, "abstract_file_name").agg(F.min("same").alias("same"), F.min_by(F.struct("file_name", "rotation", "score"), first).alias("best"))
+    is_same = F.col("same").isNotNull()
+    either = lambda same, best, name: F.when(is_same, same).otherwise(best).alias(name)
+    return best.where(is_same | (F.col("best.score") >= LEAST)).select(
+        key, "abstract_file_name", either(F.col("same"), F.col("best.file_name"), "drawing_file_name"), either(F.lit(0), F.col("best.rotation"), "rotation"),
+        either(F.lit("sha256"), F.lit("hash-top5-binary-structure"), "method"), either(F.lit(1.0), F.col("best.score"), "score"),
+    )
 
 
 def with_canonical(images: DataFrame, found: DataFrame, key: str = "patent") -> DataFrame:

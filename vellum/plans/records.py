@@ -154,23 +154,26 @@ def image_likeness(spark, sf_dir):
 
 def pictures(spark, sf_dir):
     """Pictures of patents, one for each part: a figure of boxes, a drawing with it turned, a fainter one, another figure, and for some an equal one."""
-    shapes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("patent"), "p_size")
+    shapes = dealt(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("patent"), "p_size"), "patent")
 
     def drawn(source):
         import numpy as np
         import pandas as pd
 
+        y, x = np.mgrid[0:48, 0:64]
+        y, x = y[:, :1], x[:1]
         for rows in source:
-            out = []
-            for patent, size in zip(rows["patent"], rows["p_size"]):
-                y, x = np.mgrid[0:48, 0:64]
-                boxes = lambda k: ((x // (3 + k % 5) + y // (4 + k % 7)) % (2 + k % 3) == 0) & (x > 5 + k % 9) & (y > 4) & (x + y < 70 + size % 30)
-                figure = np.where(boxes(patent), 20, 255)
-                made = {"figure": figure, "turned": np.rot90(figure, patent % 4), "faint": np.where(figure < 255, 120, 250), "other": np.where(boxes(patent * 7 + 3), 60, 255), "same": figure}
-                for place, (name, picture) in enumerate(made.items()):
-                    if (name != "same" or patent % 5 == 0) and (name != "turned" or patent % 3 > 0):
-                        out.append((patent, place, f"{name}.TIF", name == "figure", name if name != "same" else "figure", picture.shape[1], picture.shape[0], picture.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["patent", "place", "file_name", "is_abstract", "content_hash", "width", "height", "pixels"])
+            for at in range(0, len(rows), 256):
+                patents, sizes = (rows[c].to_numpy()[at : at + 256, None, None] for c in ("patent", "p_size"))
+                boxes = lambda k: ((x // (3 + k % 5) + y // (4 + k % 7)) % (2 + k % 3) == 0) & (x > 5 + k % 9) & (y > 4) & (x + y < 70 + sizes % 30)
+                some, others, out = boxes(patents), boxes(patents * 7 + 3), []
+                made = {"figure": np.where(some, 20, 255), "turned": np.where(some, 20, 255), "faint": np.where(some, 120, 250), "other": np.where(others, 60, 255), "same": np.where(some, 20, 255)}
+                for place, (name, pictures) in enumerate(made.items()):
+                    for patent, picture in zip(patents.ravel(), pictures.astype(np.uint8)):
+                        if (name != "same" or patent % 5 == 0) and (name != "turned" or patent % 3 > 0):
+                            picture = np.rot90(picture, patent % 4) if name == "turned" else picture
+                            out.append((patent, place, f"{name}.TIF", name == "figure", name if name != "same" else "figure", picture.shape[1], picture.shape[0], picture.tobytes()))
+                yield pd.DataFrame(out, columns=["patent", "place", "file_name", "is_abstract", "content_hash", "width", "height", "pixels"])
 
     return shapes.mapInPandas(drawn, "patent long, place int, file_name string, is_abstract boolean, content_hash string, width int, height int, pixels binary")
 
