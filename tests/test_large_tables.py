@@ -55,3 +55,15 @@ def test_pictures_are_made_by_all_tasks_and_met_once(spark, tmp_path):
     assert plan.count("MapInPandas") == plan.count("RepartitionByExpression") == 2 and plan.count("MapInArrow") == 1
     figures = found.where("file_name = 'figure.TIF'").collect()
     assert len(figures) == 40 and all((r.canonical_file_name == "same.TIF") == (r.patent % 5 == 0) for r in figures)
+
+
+def parsed_once(spark, name, folder):
+    """Whether a query makes the trees of a row once, and nothing of its texts before rows are dealt out."""
+    plan = queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.rpartition("RepartitionByExpression")[2]
+    return plan.count("from_xml(") == 2 and "Relation" in below and "regexp" not in below
+
+
+def test_parties_are_parsed_once_a_row_by_all_tasks(spark, tmp_path):
+    assert differences(spark, "xml_parties", tmp_path, part=PARTS.format(key="i * 7", n=120)) == [[], []]
+    assert parsed_once(spark, "xml_parties", tmp_path)

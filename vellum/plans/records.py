@@ -37,7 +37,7 @@ def xml_parse(spark, sf_dir):
 
 def xml_parties(spark, sf_dir):
     """A document for each part, parsed back into its parties, priorities, citations, abstract and sections."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    p, k = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey"), F.col("p_partkey")
     s = lambda *x: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in x])
     key, size = k.cast("string"), F.col("p_size").cast("string")
     content = s(

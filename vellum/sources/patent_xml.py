@@ -84,8 +84,15 @@ def plain(content: Column) -> Column:
     own = F.array_join(F.transform(F.split(content, _ELEMENT), lambda x: T.trimmed(F.regexp_replace(x, _TAG, ""))), "")
     # attributes of tags with a text behind them go, the values of the others become texts
     told = F.regexp_replace(F.regexp_replace(content, _WITH_TEXT, "<$1>"), _ATTRIBUTE, ">$1<")
-    inner = F.array_join(F.filter(F.transform(F.split(told, _TAG), T.trimmed), lambda x: x != ""), " ")
-    return F.nullif(F.replace(F.when(own != "", own).otherwise(inner), F.lit(_LESS), F.lit("<")), F.lit(""))
+    inner = F.array_join(F.array_remove(F.transform(F.split(told, _TAG), T.trimmed), ""), " ")
+    # most contents have no tags
+    text = F.when(content.contains("<"), F.coalesce(_some(own), inner)).otherwise(T.trimmed(content))
+    return _some(F.replace(text, F.lit(_LESS), F.lit("<")))
+
+
+def _some(text: Column) -> Column:
+    """Null in place of an empty text, which is made once also within lists."""
+    return F.get(F.array_remove(F.array(text), ""), F.lit(0))
 
 
 def joined(contents: Column, separator: str = " ") -> Column:
@@ -183,8 +190,10 @@ def parsed(entries: DataFrame, content: str = "content", keep: tuple[str, ...] =
     head = F.regexp_replace(F.substring(xml, 1, 1 << 16), r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>", "")
     root = F.regexp_extract(head, r"<(?:[A-Za-z_][\w.-]*:)?([A-Za-z][\w.-]*)[\s/>]", 1)
     asked = F.col(patent_type) if patent_type else F.lit(None).cast("string")
-    rows = entries.where(root.isin(*ROOTS)).select(*keep, asked.alias("asked"), xml.alias("raw_xml"), bare.alias("bare"))
-    rows = rows.select(*keep, "asked", "raw_xml", F.from_xml("bare", SCHEMA, _OPTIONS).alias("x"), F.from_xml(F.when(F.col("bare").rlike(_OLD), F.col("bare")), OLD_SCHEMA, _OPTIONS).alias("o"))
+    rows = entries.select(*keep, asked.alias("asked"), xml.alias("raw_xml"), bare.alias("bare"), root.isin(*ROOTS).alias("is_patent"))
+    # as a generator's columns the trees are made once a row, and where rows are dealt out to: filters on them stay behind it
+    trees = F.struct(F.from_xml("bare", SCHEMA, _OPTIONS).alias("x"), F.from_xml(F.when(F.col("bare").rlike(_OLD), F.col("bare")), OLD_SCHEMA, _OPTIONS).alias("o"))
+    rows = rows.select(*keep, "asked", "raw_xml", F.inline(F.when(F.col("is_patent"), F.array(trees))))
     x, o = F.col("x"), F.col("o")
     b, ob = x["BibliographicData"], o["bibliographic-data"]
     first = lambda nodes: F.get(nodes, F.lit(0))
