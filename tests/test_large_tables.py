@@ -67,3 +67,8 @@ def parsed_once(spark, name, folder):
 def test_parties_are_parsed_once_a_row_by_all_tasks(spark, tmp_path):
     assert differences(spark, "xml_parties", tmp_path, part=PARTS.format(key="i * 7", n=120)) == [[], []]
     assert parsed_once(spark, "xml_parties", tmp_path)
+
+
+def test_documents_are_parsed_once_a_row_by_all_tasks(spark, tmp_path):
+    assert differences(spark, "xml_parse", tmp_path, part=PARTS.format(key="i * 7", n=120)) == [[], []]
+    assert parsed_once(spark, "xml_parse", tmp_path)

@@ -18,7 +18,7 @@ from vellum.sources import listing, patent_xml, titles
 
 def xml_parse(spark, sf_dir):
     """A document for each part, in the vocabulary in use or the older one, parsed back into its fields."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    p, k = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey"), F.col("p_partkey")
     s = lambda *x: F.concat(*[c if not isinstance(c, str) else F.lit(c) for c in x])
     key, name, kind = k.cast("string"), F.col("p_name"), F.element_at(F.array(*map(F.lit, "ABU")), (k % 3 + 1).cast("int"))
     new = s(
